@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow as pa
 from .bytetext import IS_SEPARATOR, prefix_sums, range_hash, slices
 
 #: Pieces kept; when there are more, the cache starts anew.
-CACHED = 400_000
+CACHED = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 #: Bytes that don't occur in texts of ASCII and the Latin letters U+00C0 to U+017F.
@@ -17,6 +18,16 @@ _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[0xC0:0xC3] = _ODD_LEAD[0xC6:] = True
 
 
+def _byte_characters() -> dict[int, str]:
+    """The visible character that byte-level vocabularies write for each byte: its own if it is visible, else the next from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SPELL = _byte_characters()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -41,44 +52,32 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.word_ends = any(k.endswith("</w>") for k in vocab)
-        self.spelled = np.zeros(self.size, np.int64)
-        for k, i in vocab.items():
-            self.spelled[i] = len(k.removesuffix("</w>"))
-        self.known: dict[bytes, int] = {}  # where a piece's ids stand in flat, and how many, as start * 2**24 + count
+        self.model = self.tokenizer.model
+        self.known: dict[int, int] = {}  # by a piece's hash, where its ids stand in flat, and how many, as start * 2**24 + count
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(self, keys: list[int], found: list) -> None:
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(pieces, (((starts + self.used) << 24) + counts).tolist()))
+        self.known.update(zip(keys, (((np.cumsum(counts) - counts + self.used) << 24) + counts).tolist()))
         self.used += len(ids)
 
-    def _keep_whole(self, pieces: list[bytes]) -> None:
-        found = self.whole([p.decode() for p in pieces])
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self._keep(pieces, np.concatenate(found), np.cumsum(counts) - counts, counts)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces in one call, joined by a character that is a token of its own (or is dropped), and cut the ids at the pieces' spelled lengths."""
-        texts = [p.decode() for p in pieces]
+    def _learn_plain(self, keys: list[int], pieces: list[bytes]) -> None:
+        """Encode pieces that are letters after a space or none: one unit for the pre-tokenizers, so the library's model takes them without the steps before it."""
+        text = b"\n".join(pieces)
         if self.word_ends:
-            glue, lengths = " ", [len(t.strip().lower().encode()) for t in texts]
-        else:
-            glue, lengths = "\x00", [len(p) + 1 for p in pieces]
-            lengths[-1] -= 1
-        ids = self.whole([glue.join(texts)])[0]
-        at, want = np.cumsum(self.spelled[ids]), np.cumsum(lengths)
-        ends = np.searchsorted(at, want) + 1
-        if not len(at) or (at[np.minimum(ends, len(at)) - 1] != want).any() or 0 in lengths:
-            self._keep_whole(pieces)
-        else:
-            starts = np.concatenate([[0], ends[:-1]])
-            stops = ends if self.word_ends else np.concatenate([ends[:-1] - 1, ends[-1:]])
-            self._keep(pieces, ids, starts, stops - starts)
+            text = text.decode().lower().replace(" ", "").encode()
+        tokenize = self.model.tokenize
+        self._keep(keys, [[t.id for t in tokenize(w)] for w in text.decode("latin-1").translate(_SPELL).split(_SPELL[10])])
+
+    def _learn_whole(self, keys: list[int], pieces: list[bytes]) -> None:
+        self._keep(keys, self.whole([p.decode() for p in pieces]))
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and each text's number of ids."""
@@ -104,21 +103,26 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         ends = np.append(starts[1:], len(data))
         keys = range_hash(prefix_sums(data), starts, ends)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) + len(pieces) > CACHED:
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        if len(self.known) + len(names) > CACHED:
             self.known, self.used = {}, 0
-        known = self.known
-        if len(odd):
-            whole = set(starts[np.searchsorted(starts, offsets[odd])].tolist())
-            alone = [p for p, a in zip(pieces, starts[first].tolist()) if a in whole and p not in known]
-            if alone:
-                self._keep_whole(alone)
-        missing = [p for p in pieces if p not in known]
-        if missing:
-            self._learn(missing)
-        found = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = first[new]
+            begin, end = starts[at], ends[at]
+            letters = np.concatenate([[0], np.cumsum(letter)])
+            skip = (data[begin] == 32).astype(np.int64)
+            plain = (end - begin > skip) & (letters[end] - letters[np.minimum(begin + skip, end)] == end - begin - skip)
+            if len(odd):
+                plain &= ~np.isin(begin, offsets[odd])
+            raw = data.tobytes()
+            for these, learn in ((new[plain], self._learn_plain), (new[~plain], self._learn_whole)):
+                if len(these):
+                    learn(distinct[these].tolist(), [raw[a:b] for a, b in zip(starts[first[these]].tolist(), ends[first[these]].tolist())])
+            missing_keys = distinct[new].tolist()
+            found[new] = np.fromiter(map(self.known.__getitem__, missing_keys), np.int64, len(new))
         begins, lengths = found >> 24, found & 0xFFFFFF
         out = lengths[which]
         done = np.cumsum(out)
