@@ -2,12 +2,13 @@
 
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op8_packing
+from .shingles import op9_ngram_jaccard
 from .sharding import op7_sharding
 from .tokens import op1_token_ids, op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op4_token_counts, op7_sharding, op8_packing)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op4_token_counts, op7_sharding, op8_packing, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
