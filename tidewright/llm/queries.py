@@ -4,13 +4,15 @@ from .mixing import OP2_SQL, op2_mixing
 from .neardup import op10_embedding_neardup
 from .packing import op8_packing
 from .shingles import op9_ngram_jaccard
+from .quality import op5_quality
 from .sharding import op7_sharding
 from .tokens import op1_token_ids, op4_token_counts
 from .topk import OP6_SQL, op6_top_k
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op4_token_counts, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_toxicity, op4_token_counts, op5_quality, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

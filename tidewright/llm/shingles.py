@@ -270,5 +270,14 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with its own columns. Of rows with one doc_id one stays."""
+    found = save(jaccard_components(docs, size, percent), "jaccard")
+    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    left = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return left.dropDuplicates(["doc_id"]) if repeated else left
+
+
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
