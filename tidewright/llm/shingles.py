@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, words
 from .components import components
-from .store import save, shuffle_partitions
+from .store import broadcast_if_small, save, shuffle_partitions
 
 SIZE, PERCENT = 5, 80
 #: A token is frequent if it is in this part of the documents; there are at most as many such tokens as documents have shingles on average, times this.
 FREQUENT = 4096
-#: Most tokens that a pair is asked to share.
-MATCHES = 8
+#: Candidates that a token outside the frequent ones is taken to bring, and postings that a token of a set in a check costs.
+RARE, CHECK = 0.25, 1 / 16
+#: Smallest tokens of a set that the first round looks at, and how many of them a pair must share there.
+LOWEST, LOWEST_SHARED = 8, 3
 #: Postings that one group of the candidate search is meant to hold.
 GROUP_POSTINGS = 1_000_000
 _MANY = 4096
@@ -74,22 +76,27 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row (doc_id, set_id, n) for each document, and rows (token, docs) for tokens that a run of texts has often."""
+    """One row (doc_id, set_id, n, lowest) for each document, and rows (token, docs) for tokens that a run of texts has often."""
+    names = ["doc_id", "set_id", "n", "lowest", "token", "docs"]
 
     def profile(batches):
         seen: set[int] = set()
         for batch in batches:
             for first, end, keys, offsets in shingle_sets(batch.column(1), size):
                 n, ids = np.diff(offsets), _ids(keys, offsets)
+                few = np.minimum(n, LOWEST)
+                stops = np.concatenate([[0], np.cumsum(few)])
+                at = np.arange(stops[-1]) - np.repeat(stops[:-1], few) + np.repeat(offsets[:-1], few)
+                lowest = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(keys[at].view(np.int64)))
                 none = pa.nulls(end - first, pa.int64())
-                yield _rows(["doc_id", "set_id", "n", "token", "docs"], batch.column(0).slice(first, end - first), ids, n, none, none)
+                yield _rows(names, batch.column(0).slice(first, end - first), ids, n, lowest, none, none)
                 fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool)
                 tokens, counts = np.unique(keys[np.repeat(fresh, n)], return_counts=True)
                 often = counts >= max(3, fresh.sum() // 256)
                 none = pa.nulls(int(often.sum()), pa.int64())
-                yield _rows(["doc_id", "set_id", "n", "token", "docs"], none, none, none, tokens[often].view(np.int64), counts[often])
+                yield _rows(names, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), tokens[often].view(np.int64), counts[often])
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, set_id long, n long, token long, docs long"), "profiles")
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, set_id long, n long, lowest array<long>, token long, docs long"), "profiles")
 
 
 def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,160 +113,177 @@ def prefix_lengths(keys: np.ndarray, offsets: np.ndarray, percent: int = PERCENT
 
     With t the least overlap that any link needs, linked sets share l tokens of
     their first n - t + l, for each l. A larger l costs more postings and leaves
-    fewer candidates; the l with the least estimated cost is taken, where a
-    frequent token counts as many candidates as its class says.
+    fewer candidates to check; the l with the least estimated cost is taken,
+    where a frequent token brings as many candidates as its class says.
     """
     n = np.diff(offsets)
     base = n - (percent * n + 99) // 100 + 1
     others = np.where(keys >> np.uint64(48), np.uint64(2) << (keys >> np.uint64(48)), np.uint64(0)).astype(np.float64)
+    others[others == 0] = RARE
     sums = np.concatenate([[0.0], np.cumsum(others)])
     best, least = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-    for l in range(1, MATCHES + 1):
+    for l in [np.full(len(n), k) for k in (1, 2, 3, 4, 6, 8)] + [n // k for k in (64, 40, 24, 16)]:
         length = base + l - 1
         met = sums[offsets[:-1] + np.minimum(length, n)] - sums[offsets[:-1]]
-        cost = np.where(length <= n, met + met / l * np.maximum(n, 1) / 16, np.inf)
+        cost = np.where((length <= n) & (l > 0), length + met + met / np.maximum(l, 1) * n * CHECK, np.inf)
         best, least = np.where(cost < least, l, best), np.minimum(cost, least)
+    best = np.minimum(best, 65535)
     return np.where(n > 0, np.minimum(base + best - 1, n), 0), best
 
 
-_POSTING = np.dtype([("token", "<u4"), ("n_l", "<u4"), ("set_id", "<i8")])
+#: n and l as 16-bit numbers: a larger n counts as 65535, which only weakens the filter by size.
+_RARE = np.dtype([("token", "<u4"), ("n", "<u2"), ("l", "<u2"), ("set_id", "<i8")])
+_LABELLED = np.dtype([*_RARE.descr, ("c", "<i8")])
+_OFTEN = np.dtype([("token", "<i8"), *_LABELLED.descr[1:]])
+_ROW = ["token", "set_id", "n", "l", "c"]
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, size: int, percent: int) -> DataFrame:
-    """(token, set_id, n, l) for the prefix tokens that two different sets share.
+def _runs_of(token: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by token, have a token with more than one c."""
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    return np.repeat(mixed, np.diff(np.append(first, len(token))))
+
+
+def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, size: int, percent: int) -> DataFrame:
+    """(token, set_id, n, l, c) of the prefix tokens that sets of different components share, from (text, set_id, c).
 
     Tokens that aren't frequent are dealt by hash into parts, packed as binary,
-    and sorted part by part; a token in one set only ends there. Frequent tokens
-    go on as plain rows, so that no part holds one of them.
+    and sorted part by part; a token within one component ends there. Frequent
+    tokens are dealt by set, so that no part holds all of one, and go on as rows.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     parts = max(2 * shuffle_partitions(spark), total * (100 - percent) // 100 // GROUP_POSTINGS + 1)
     shared = spark.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        seen: set[int] = set()
-        names = ["part", "payload", "token", "set_id", "n", "l"]
+        names = ["part", "rare", "labelled", "often"]
+        kinds = (_RARE, _LABELLED, _OFTEN)
         for batch in batches:
-            plain = []
-            for _, _, keys, offsets in shingle_sets(batch.column(0), size, shared.value):
-                n, ids = np.diff(offsets), _ids(keys, offsets)
-                fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool) & (n > 0)
+            given, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            chunks = ([], [], [])
+            for first, end, keys, offsets in shingle_sets(batch.column(0), size, shared.value):
+                n, ids, c = np.diff(offsets), _ids(keys, offsets), labels[first:end]
                 length, l = prefix_lengths(keys, offsets, percent)
-                length = np.where(fresh, length, 0)
+                length = np.where(ids == given[first:end], length, 0)
                 doc = np.repeat(np.arange(len(n)), length)
-                at = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length) + offsets[:-1][doc]
-                token = keys[at]
-                often = token >> np.uint64(48) > 0
-                d = doc[often]
-                if len(d):
-                    yield _rows(names, pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary()), (token[often] | np.uint64(1 << 62)).view(np.int64), ids[d], n[d], l[d])
-                d, token = doc[~often], token[~often]
-                out = np.empty(len(d), _POSTING)
-                out["token"], out["n_l"], out["set_id"] = token & np.uint64(0xFFFFFFFF), np.minimum(n[d], (1 << 28) - 1) << 4 | l[d], ids[d]
-                plain.append((((token >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), out))
-            if plain:
-                part, out = np.concatenate([p for p, _ in plain]), np.concatenate([o for _, o in plain])
+                token = keys[np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length) + offsets[:-1][doc]]
+                often, labelled = token >> np.uint64(48) > 0, (c != ids)[doc]
+                for kind, rows, to in zip(kinds, (~often & ~labelled, ~often & labelled, often), chunks):
+                    d, t = doc[rows], token[rows]
+                    out = np.empty(len(d), kind)
+                    out["n"], out["l"], out["set_id"] = np.minimum(n[d], 65535), l[d], ids[d]
+                    if kind is _OFTEN:
+                        out["token"], part = t.astype(np.int64) | 1 << 62, (out["set_id"] % parts).astype(np.int64)
+                    else:
+                        out["token"], part = t & np.uint64(0xFFFFFFFF), ((t >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                    if kind is not _RARE:
+                        out["c"] = c[d]
+                    to.append((part, out))
+            for i, chunk in enumerate(chunks):
+                part, out = (np.concatenate([x[j] for x in chunk]) if chunk else np.zeros(0, np.int64) for j in (0, 1))
                 order = np.argsort(part, kind="stable")
                 part, out = part[order], out[order]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 if len(cuts):
-                    none = pa.nulls(len(cuts), pa.int64())
-                    raw = [x.tobytes() for x in np.split(out, cuts[1:])]
-                    yield _rows(names, part[cuts].astype(np.int32), pa.array(raw, pa.binary()), none, none, none, none)
+                    raw = pa.array([x.tobytes() for x in np.split(out, cuts[1:])], pa.binary())
+                    none = pa.nulls(len(cuts), pa.binary())
+                    yield _rows(names, part[cuts].astype(np.int32), *[raw if i == k else none for k in range(3)])
 
     def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py() if len(table) else 0
-        all_ = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in table.column("payload")])
-        token = np.sort(all_["token"])
-        twice = np.unique(token[1:][token[1:] == token[:-1]])
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, all_["token"]), len(twice) - 1)
-            all_ = all_[twice[at] == all_["token"]]
-            all_ = all_[np.lexsort((all_["set_id"], all_["token"]))]
-            same = np.concatenate([[False], all_["token"][1:] == all_["token"][:-1]])
-            all_ = all_[~(same & np.concatenate([[False], all_["set_id"][1:] == all_["set_id"][:-1]]))]
-            same = np.concatenate([[False], all_["token"][1:] == all_["token"][:-1], [False]])
-            all_ = all_[same[1:] | same[:-1]]
-        else:
-            all_ = all_[:0]
-        long = all_["token"].astype(np.int64) | part << 32
-        n_l = all_["n_l"].astype(np.int64)
-        return pa.table({"token": long, "set_id": all_["set_id"], "n": n_l >> 4, "l": n_l & 15})
-
-    emitted = save(docs.select("text").mapInArrow(emit, "part int, payload binary, token long, set_id long, n long, l long"), "prefixes")
-    met = emitted.where("part is not null").select("part", "payload").groupBy("part").applyInArrow(meet, "token long, set_id long, n long, l long")
-    often = emitted.where("token is not null").groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-    return save(met.unionByName(often), "postings")
+        rare, labelled, often = (np.concatenate([np.zeros(0, kind)] + [np.frombuffer(x.as_buffer(), kind) for x in table.column(name).drop_null()]) for name, kind in (("rare", _RARE), ("labelled", _LABELLED), ("often", _OFTEN)))
+        token = np.concatenate([rare["token"], labelled["token"]])
+        if len(token):
+            ordered = np.sort(token)
+            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+            keep = np.isin(token, twice, kind="sort") if len(twice) else np.zeros(len(token), bool)
+            n_rare = len(rare)
+            rare, labelled, token = rare[keep[:n_rare]], labelled[keep[n_rare:]], token[keep]
+        c = np.concatenate([rare["set_id"], labelled["c"]])
+        order = np.argsort(token, kind="stable")
+        if len(order):
+            order = order[_runs_of(token[order], c[order])]
+        columns = {"token": token.astype(np.int64) | part << 32, "c": c} | {k: np.concatenate([rare[k], labelled[k]]).astype(np.int64) for k in ("set_id", "n", "l")}
+        return pa.table({k: np.concatenate([columns[k][order], often[k].astype(np.int64)]) for k in _ROW})
+
+    emitted = texts.select("text", "set_id", "c").mapInArrow(emit, "part int, rare binary, labelled binary, often binary")
+    return save(emitted.groupBy("part").applyInArrow(meet, "token long, set_id long, n long, l long, c long"), "postings")
 
 
 def _near(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of sets those with enough in common, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Of the saved pairs (a, b) of sets those with enough in common, by the whole texts of one document of each."""
+    one = classes.select(F.col("set_id").alias("_set"), F.col("first_doc").alias("_doc"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"))
+
+    def with_text(table: DataFrame, column: str, out: str) -> DataFrame:
+        named = save(table.join(one, F.col(column) == F.col("_set")).drop("_set"), f"{name}_{out}")
+        return texts.join(broadcast_if_small(named), F.col("_id").eqNullSafe(F.col("_doc"))).drop("_id", "_doc").withColumnRenamed("text", out)
 
     def check(batches):
+        def sets(column):
+            out = []
+            for _, _, keys, offsets in shingle_sets(column, size):
+                ids = _ids(keys, offsets).tolist()
+                out += [(i, keys[x:y]) for i, x, y in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist())]
+            return out
+
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            change = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+            left, right, at = sets(batch.column(2).filter(pa.array(change))), sets(batch.column(3)), np.cumsum(change) - 1
+            keep = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                (one_id, x), (other_id, y) = left[at[i]], right[i]
+                if one_id == a[i] and other_id == b[i]:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    x, y = sets.select(F.col("set_id").alias("_x"), F.col("tokens").alias("x")), sets.select(F.col("set_id").alias("_y"), F.col("tokens").alias("y"))
-    joined = pairs.select("a", "b").join(y, F.col("b") == F.col("_y")).join(x, F.col("a") == F.col("_x")).select("a", "b", "x", "y")
-    return save(joined.mapInArrow(check, "a long, b long"), name)
+    x = with_text(pairs.select("a").distinct(), "a", "x").withColumnRenamed("a", "_a")
+    y = with_text(pairs.select("a", "b"), "b", "y")
+    return save(y.join(x, F.col("a") == F.col("_a")).select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Link documents whose sets of word shingles have 100 * intersection >= percent * union: doc_id, n_shingles, component_id.
 
-    Equal sets are one set. Sets that share prefix tokens are candidates. First
-    each set is held against one other, the first set of the token lists that
-    they share most; what links becomes components. Then all pairs of sets in
-    different components that share as many prefix tokens as the smaller of
-    their numbers says are checked, so no link between components is missed,
-    and a group of near copies costs about as many checks as it has members.
-    component_id is the smallest doc_id that links reach. A null, empty or blank
-    text has 0 shingles and links with nothing; equal rows are linked; rows with
-    equal doc_id are documents of their own; an empty table gives no row.
+    Equal sets are one set. A first round holds each set against one other that
+    has much of its smallest tokens, the first of their lists; what links becomes
+    components, so a group of near copies costs about as many checks as members.
+    Then all pairs of sets in different components that share as many prefix
+    tokens as the smaller of their numbers says are checked, so no link between
+    components is missed. component_id is the smallest doc_id that links reach. A
+    null, empty or blank text has 0 shingles and links with nothing; equal rows
+    are linked; rows with equal doc_id are documents of their own; an empty table
+    gives no row.
     """
     profile = profiles(docs, size)
     each = profile.where("n is not null").select("doc_id", "set_id", "n")
     documents, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    classes = save(each.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc")), "classes")
-    found = postings(docs, _frequent(profile, documents), total, size, percent)
-
-    lists = found.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("p"), F.max("set_id").alias("last")).where("p.set_id < last").select(F.col("token").alias("_token"), F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"))
-    lists = save(lists, "lists")
-    star = found.join(lists, F.col("token") == F.col("_token")).where((F.col("set_id") != F.col("a")) & _near("n", "n_a", percent))
-    star = star.groupBy("a", F.col("set_id").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    star = save(star, "star_pairs")
-
-    members = found.join(lists, F.col("token") == F.col("_token"), "left_semi").select("set_id").distinct()
-    wanted = save(members.join(classes, "set_id").select(F.col("first_doc").alias("_doc"), F.col("set_id").alias("_set")), "members")
-
-    def whole(batches):
-        for batch in batches:
-            for first, end, keys, offsets in shingle_sets(batch.column(0), size):
-                ids, own = _ids(keys, offsets), batch.column(1).slice(first, end - first).to_numpy(zero_copy_only=False)
-                rows = np.flatnonzero(ids == own)
-                yield _rows(["set_id", "tokens"], ids[rows], pa.array([keys[offsets[i] : offsets[i + 1]].tobytes() for i in rows.tolist()], pa.binary()))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_doc")).select("text", "_set")
-    sets = save(texts.mapInArrow(whole, "set_id long, tokens binary").dropDuplicates(["set_id"]), "sets")
-
-    links = verified(star, sets, percent, "star_links")
+    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("lowest").alias("lowest")), "classes")
+
+    low = save(classes.select(F.explode("lowest").alias("token"), "set_id", "n"), "lowest")
+    lists = low.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("p"), F.max("set_id").alias("last")).where("p.set_id < last").select(F.col("token").alias("_token"), F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"))
+    star = low.join(lists, F.col("token") == F.col("_token")).where((F.col("set_id") != F.col("a")) & _near("n", "n_a", percent))
+    star = star.groupBy("a", F.col("set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("n", "n_a")).alias("least")).where(F.col("c") >= F.least(F.lit(LOWEST_SHARED), "least"))
+    star = save(star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), "star_pairs")
+    links = verified(star, docs, classes, size, percent, "star")
     labels = components(links, "star")
-    known = save(found.join(labels, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", "l", F.coalesce("label", "set_id").alias("c")), "labelled")
-    mixed = known.groupBy("token").agg(F.min_by("c", "set_id").alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("_token"), "main")
-    known = save(known.join(save(mixed, "mixed"), F.col("token") == F.col("_token")).drop("_token"), "mixed_postings")
-    minor = known.where("c != main").select(F.col("token").alias("t"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("c").alias("c_a"))
-    met = minor.join(known, (F.col("t") == F.col("token")) & (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("set_id"))) & _near("n_a", "n", percent))
+
+    known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(broadcast_if_small(known), F.col("_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "c")
+    found = postings(texts, _frequent(profile, documents), total, size, percent).distinct()
+    main = found.groupBy("token").agg(F.min_by("c", "set_id").alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("_token"), "main")
+    found = save(found.join(main, F.col("token") == F.col("_token")).drop("_token"), "mixed_postings")
+    minor = found.where("c != main").select(F.col("token").alias("t"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("c").alias("c_a"))
+    met = minor.join(found, (F.col("t") == F.col("token")) & (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("set_id"))) & _near("n_a", "n", percent))
     pairs = met.groupBy(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need")).where("shared >= need")
-    more = verified(save(pairs, "cross_pairs"), sets, percent, "cross_links")
+    more = verified(save(pairs, "cross_pairs"), docs, classes, size, percent, "cross")
     labels = components(links.unionByName(more), "links")
 
     label = F.coalesce("label", "set_id").alias("label")

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
@@ -45,3 +46,12 @@ def release(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count shows that it has BROADCAST_ROWS rows at most; beyond, joins with it shuffle. Only for saved tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
