@@ -76,8 +76,11 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row (doc_id, set_id, n, lowest) for each document, and rows (token, docs) for tokens that a run of texts has often."""
-    names = ["doc_id", "set_id", "n", "lowest", "token", "docs"]
+    """One row (doc_id, set_id, n, lowest, common) for each document, and rows (token, docs) for tokens that a run of texts has often.
+
+    common: how many of the tokens other texts of the run have; it only serves to choose whom others are held against first.
+    """
+    names = ["doc_id", "set_id", "n", "lowest", "common", "token", "docs"]
 
     def profile(batches):
         seen: set[int] = set()
@@ -88,15 +91,19 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 stops = np.concatenate([[0], np.cumsum(few)])
                 at = np.arange(stops[-1]) - np.repeat(stops[:-1], few) + np.repeat(offsets[:-1], few)
                 lowest = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(keys[at].view(np.int64)))
-                none = pa.nulls(end - first, pa.int64())
-                yield _rows(names, batch.column(0).slice(first, end - first), ids, n, lowest, none, none)
                 fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool)
-                tokens, counts = np.unique(keys[np.repeat(fresh, n)], return_counts=True)
+                tokens, which, counts = np.unique(keys[np.repeat(fresh, n)], return_inverse=True, return_counts=True)
+                met = np.concatenate([[0], np.cumsum(counts[which] > 1)])
+                stops = np.concatenate([[0], np.cumsum(n[fresh])])
+                common = np.zeros(end - first, np.int64)
+                common[fresh] = met[stops[1:]] - met[stops[:-1]]
+                none = pa.nulls(end - first, pa.int64())
+                yield _rows(names, batch.column(0).slice(first, end - first), ids, n, lowest, common, none, none)
                 often = counts >= max(3, fresh.sum() // 256)
                 none = pa.nulls(int(often.sum()), pa.int64())
-                yield _rows(names, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), tokens[often].view(np.int64), counts[often])
+                yield _rows(names, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), none, tokens[often].view(np.int64), counts[often])
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, set_id long, n long, lowest array<long>, token long, docs long"), "profiles")
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, set_id long, n long, lowest array<long>, common long, token long, docs long"), "profiles")
 
 
 def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +138,15 @@ def prefix_lengths(keys: np.ndarray, offsets: np.ndarray, percent: int = PERCENT
     return np.where(n > 0, np.minimum(base + best - 1, n), 0), best
 
 
-#: n and l as 16-bit numbers: a larger n counts as 65535, which only weakens the filter by size.
-_RARE = np.dtype([("token", "<u4"), ("n", "<u2"), ("l", "<u2"), ("set_id", "<i8")])
+#: Of a posting's set: n tokens, k of them not frequent, l; i: the token's place. Numbers end at CAP; sets that large pass the filters that use them.
+CAP = 65535
+_NUMBERS = ["n", "k", "l", "i"]
+_RARE = np.dtype([("token", "<u4"), *[(x, "<u2") for x in _NUMBERS], ("set_id", "<i8")])
 _LABELLED = np.dtype([*_RARE.descr, ("c", "<i8")])
 _OFTEN = np.dtype([("token", "<i8"), *_LABELLED.descr[1:]])
-_ROW = ["token", "set_id", "n", "l", "c"]
+_ROW = ["token", "set_id", *_NUMBERS, "c"]
+#: Set in the number of a frequent token.
+_OFTEN_BIT = 1 << 62
 
 
 def _runs_of(token: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -146,7 +157,7 @@ def _runs_of(token: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, size: int, percent: int) -> DataFrame:
-    """(token, set_id, n, l, c) of the prefix tokens that sets of different components share, from (text, set_id, c).
+    """(token, set_id, n, k, l, i, c) of the prefix tokens that sets of different components share, from (text, set_id, c).
 
     Tokens that aren't frequent are dealt by hash into parts, packed as binary,
     and sorted part by part; a token within one component ends there. Frequent
@@ -166,15 +177,21 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: i
                 n, ids, c = np.diff(offsets), _ids(keys, offsets), labels[first:end]
                 length, l = prefix_lengths(keys, offsets, percent)
                 length = np.where(ids == given[first:end], length, 0)
+                frequent_before = np.concatenate([[0], np.cumsum(keys >> np.uint64(48) > 0)])
+                k = n - (frequent_before[offsets[1:]] - frequent_before[offsets[:-1]])
+                l = np.where(length > k, 1, l)  # not all of its matches are counted
                 doc = np.repeat(np.arange(len(n)), length)
-                token = keys[np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length) + offsets[:-1][doc]]
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+                token = keys[place + offsets[:-1][doc]]
                 often, labelled = token >> np.uint64(48) > 0, (c != ids)[doc]
                 for kind, rows, to in zip(kinds, (~often & ~labelled, ~often & labelled, often), chunks):
                     d, t = doc[rows], token[rows]
                     out = np.empty(len(d), kind)
-                    out["n"], out["l"], out["set_id"] = np.minimum(n[d], 65535), l[d], ids[d]
+                    out["set_id"] = ids[d]
+                    for name, values in zip(_NUMBERS, (n[d], k[d], l[d], place[rows])):
+                        out[name] = np.minimum(values, CAP)
                     if kind is _OFTEN:
-                        out["token"], part = t.astype(np.int64) | 1 << 62, (out["set_id"] % parts).astype(np.int64)
+                        out["token"], part = t.astype(np.int64) | _OFTEN_BIT, (out["set_id"] % parts).astype(np.int64)
                     else:
                         out["token"], part = t & np.uint64(0xFFFFFFFF), ((t >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                     if kind is not _RARE:
@@ -204,11 +221,11 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: i
         order = np.argsort(token, kind="stable")
         if len(order):
             order = order[_runs_of(token[order], c[order])]
-        columns = {"token": token.astype(np.int64) | part << 32, "c": c} | {k: np.concatenate([rare[k], labelled[k]]).astype(np.int64) for k in ("set_id", "n", "l")}
+        columns = {"token": token.astype(np.int64) | part << 32, "c": c} | {k: np.concatenate([rare[k], labelled[k]]).astype(np.int64) for k in ("set_id", *_NUMBERS)}
         return pa.table({k: np.concatenate([columns[k][order], often[k].astype(np.int64)]) for k in _ROW})
 
     emitted = texts.select("text", "set_id", "c").mapInArrow(emit, "part int, rare binary, labelled binary, often binary")
-    return save(emitted.groupBy("part").applyInArrow(meet, "token long, set_id long, n long, l long, c long"), "postings")
+    return save(emitted.groupBy("part").applyInArrow(meet, "token long, set_id long, n long, k long, l long, i long, c long"), "postings")
 
 
 def _near(a: str, b: str, percent: int):
@@ -249,10 +266,46 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     return save(y.join(x, F.col("a") == F.col("_a")).select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
 
 
+def first_links(low: DataFrame, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Hold each set against one other: of the lists of its smallest tokens, the member with the most common tokens that it meets most. With labels from before, others are chosen, and only of other components. Returns links and their components."""
+    if labels is not None:
+        low = low.join(labels, F.col("set_id") == F.col("node"), "left").withColumns({"c": F.coalesce("label", "set_id"), "common": F.col("common").bitwiseAND(F.lit(~15)) * 65536 + F.pmod(F.xxhash64("set_id"), F.lit(65536))})
+    else:
+        low = low.withColumn("c", F.col("set_id"))
+    lists = low.groupBy("token").agg(F.max(F.struct("common", "set_id", "n", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("_token"), F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.c").alias("c_a"))
+    star = low.join(lists, F.col("token") == F.col("_token")).where((F.col("c") != F.col("c_a")) & _near("n", "n_a", percent))
+    star = star.groupBy("a", F.col("set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("n", "n_a")).alias("least")).where(F.col("c") >= F.least(F.lit(LOWEST_SHARED), "least"))
+    star = save(star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), f"{name}_pairs")
+    links = verified(star, docs, classes, size, percent, name)
+    return links, components(links, name) if labels is None else labels
+
+
+def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, from saved postings with each token's main component.
+
+    Linked sets differ in at most (n + m) * (100 - percent) / (100 + percent)
+    tokens. A pair that shares no rare token differs in all its k rare ones, so
+    it meets in a frequent token's list only if those are few, and one of them
+    has few for its size; so sets that share a very common passage and little
+    else aren't paired. Of the tokens up to the last match all that don't match
+    are differences, too.
+    """
+    rare = F.col("token") < _OFTEN_BIT
+    found = found.withColumn("few", rare | (2 * percent * F.col("k") <= (100 - percent) * F.col("n")) | (F.col("n") == CAP))
+    minor = found.where("c != main").select(*[F.col(x).alias(f"{x}_a") for x in ("token", "set_id", "c", "few", *_NUMBERS)])
+    large = (F.col("n") == CAP) | (F.col("n_a") == CAP)
+    room = (100 - percent) * (F.col("n") + F.col("n_a"))
+    once = (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("set_id_a") < F.col("set_id")))
+    on = (F.col("token_a") == F.col("token")) & once & _near("n_a", "n", percent) & (rare | large | ((100 + percent) * (F.col("k") + F.col("k_a")) <= room))
+    met = minor.where("few_a").join(found, on).unionByName(minor.where("not few_a").join(found.where("few"), on))
+    each = met.groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (F.max("i") + F.max("i_a") + 2).alias("seen"), F.first(room).alias("room"), F.first(large).alias("large"))
+    return each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Link documents whose sets of word shingles have 100 * intersection >= percent * union: doc_id, n_shingles, component_id.
 
-    Equal sets are one set. A first round holds each set against one other that
+    Equal sets are one set. Two rounds hold each set against one other that
     has much of its smallest tokens, the first of their lists; what links becomes
     components, so a group of near copies costs about as many checks as members.
     Then all pairs of sets in different components that share as many prefix
@@ -265,24 +318,20 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     profile = profiles(docs, size)
     each = profile.where("n is not null").select("doc_id", "set_id", "n")
     documents, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("lowest").alias("lowest")), "classes")
+    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("lowest").alias("lowest"), F.max("common").alias("common")), "classes")
 
-    low = save(classes.select(F.explode("lowest").alias("token"), "set_id", "n"), "lowest")
-    lists = low.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("p"), F.max("set_id").alias("last")).where("p.set_id < last").select(F.col("token").alias("_token"), F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"))
-    star = low.join(lists, F.col("token") == F.col("_token")).where((F.col("set_id") != F.col("a")) & _near("n", "n_a", percent))
-    star = star.groupBy("a", F.col("set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("n", "n_a")).alias("least")).where(F.col("c") >= F.least(F.lit(LOWEST_SHARED), "least"))
-    star = save(star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), "star_pairs")
-    links = verified(star, docs, classes, size, percent, "star")
-    labels = components(links, "star")
+    low = save(classes.select(F.explode("lowest").alias("token"), "set_id", "n", "common"), "lowest")
+    links, labels = first_links(low, None, docs, classes, size, percent, "star")
+    more, labels = first_links(low, labels, docs, classes, size, percent, "second")
+    links = links.unionByName(more)
+    labels = components(links, "both")
 
     known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(broadcast_if_small(known), F.col("_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "c")
     found = postings(texts, _frequent(profile, documents), total, size, percent).distinct()
     main = found.groupBy("token").agg(F.min_by("c", "set_id").alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("_token"), "main")
     found = save(found.join(main, F.col("token") == F.col("_token")).drop("_token"), "mixed_postings")
-    minor = found.where("c != main").select(F.col("token").alias("t"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("c").alias("c_a"))
-    met = minor.join(found, (F.col("t") == F.col("token")) & (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("set_id"))) & _near("n_a", "n", percent))
-    pairs = met.groupBy(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need")).where("shared >= need")
+    pairs = cross_pairs(found, percent)
     more = verified(save(pairs, "cross_pairs"), docs, classes, size, percent, "cross")
     labels = components(links.unionByName(more), "links")
 
