@@ -44,6 +44,14 @@ def zscore(c, least: int) -> Column:
     return F.coalesce(F.when((F.count(c).over(so_far()) >= least) & (sd >= 1e-12), (c - F.avg(c).over(so_far())) / sd), F.lit(0.0))
 
 
+def corr(a: str, b: str, over=None) -> Column:
+    """Pearson correlation of pairs without NULL; NULL where one side is constant."""
+    a, b = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    parts = [F.covar_samp(a, b), F.stddev_samp(a), F.stddev_samp(b)]
+    cov, x, y = parts if over is None else [p.over(over) for p in parts]
+    return F.try_divide(cov, x * y)
+
+
 def diff(c, n: int = 1) -> Column:
     return col(c) - lag(c, n)
 

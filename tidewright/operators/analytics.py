@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.win import by_symbol, lag, near, so_far
+from ..functions.win import by_symbol, corr, lag, near, so_far
 
 
 def pnl_frame(bars: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def feature_quality(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair of columns over the rows that have both; one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.win import by_symbol, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, zscore
+from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, zscore
 
 YEAR = math.sqrt(252 * 24)
 
@@ -253,7 +253,7 @@ def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24,
     out = {}
     for w in widths:
         enough = F.count("x").over(frame(w)) >= w // 2
-        out |= {f"corr_{w}": F.when(enough, F.corr("x", "y").over(frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": (pct_change("close", w) - pct_change("bench", w)) * 100, f"relative_vol_{w}": F.when(enough, F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))))}
+        out |= {f"corr_{w}": F.when(enough, corr("x", "y", frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": (pct_change("close", w) - pct_change("bench", w)) * 100, f"relative_vol_{w}": F.when(enough, F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))))}
     return s.select("symbol", "ts", "spread", *[v.alias(k) for k, v in out.items()])
 
 

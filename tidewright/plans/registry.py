@@ -110,7 +110,7 @@ query("rolling_minperiods1", lambda b: b.select("symbol", "ts", F.avg("close").o
 query("expanding_zscore", lambda b: b.select("symbol", "ts", zscore("close", 168).alias("z")), f"WITH {BARS} " + out({"z": z("close", 168)}, "bars", "z"))
 query("time_since", lambda b: numbered(b).select("symbol", "ts", time_since(F.col("close") > 50).alias("n"), F.coalesce(time_since(F.col("close") > 50), F.count("*").over(Window.partitionBy("symbol"))).alias("m")), f"WITH {BARS}, s AS (SELECT *, row_number() OVER ({O}) AS rn FROM bars) SELECT symbol, ts, {since('close > 50')} AS n, coalesce({since('close > 50')}, count(*) OVER (PARTITION BY symbol)) AS m FROM s")
 query("crossover", lambda b: b.select("symbol", "ts", cross("close", "open").alias("x")), f"WITH {BARS} SELECT symbol, ts, {crs('close', 'open', lg('close'), lg('open'))} AS x FROM bars")
-query("rolling_corr_beta", lambda b: b.select("symbol", "ts", F.when(F.count("close").over(frame(24)) >= 24, F.corr("close", "volume").over(frame(24))).alias("corr"), F.when(F.count("close").over(frame(24)) >= 24, F.try_divide(F.covar_samp("close", "volume").over(frame(24)), F.var_samp("volume").over(frame(24)))).alias("beta")), f"WITH {BARS} " + out({"corr": f"CASE WHEN count(close) {rw(24)} >= 24 THEN corr(close, volume) {rw(24)} END", "beta": f"CASE WHEN count(close) {rw(24)} >= 24 THEN {dv(f'covar_samp(close, volume) {rw(24)}', f'var_samp(volume) {rw(24)}')} END"}, "bars", "corr beta"))
+query("rolling_corr_beta", lambda b: b.select("symbol", "ts", F.when(F.count("close").over(frame(24)) >= 24, win.corr("close", "volume", frame(24))).alias("corr"), F.when(F.count("close").over(frame(24)) >= 24, F.try_divide(F.covar_samp("close", "volume").over(frame(24)), F.var_samp("volume").over(frame(24)))).alias("beta")), f"WITH {BARS} " + out({"corr": f"CASE WHEN count(close) {rw(24)} >= 24 THEN covar_samp(close, volume) {rw(24)} / nullif(stddev_samp(close) {rw(24)} * stddev_samp(volume) {rw(24)}, 0) END", "beta": f"CASE WHEN count(close) {rw(24)} >= 24 THEN {dv(f'covar_samp(close, volume) {rw(24)}', f'var_samp(volume) {rw(24)}')} END"}, "bars", "corr beta"))
 query("rolling_skew", lambda b: b.select("symbol", "ts", (roll(F.skewness, "close", 24) * (math.sqrt(24 * 23) / 22)).alias("skew")), f"WITH {BARS} " + out({"skew": rl("skewness", "close", 24)}, "bars", "skew"))
 query("rolling_product", lambda b: b.select("symbol", "ts", roll(F.product, 1 + F.col("close") / 1000, 5).alias("p")), f"WITH {BARS} " + out({"p": rl("product", "1 + close / 1000", 5)}, "bars", "p"))
 query("expanding_minmax", lambda b: b.select("symbol", "ts", F.max("high").over(so_far()).alias("top"), F.min("low").over(so_far()).alias("bottom"), F.avg("close").over(so_far()).alias("mean")), f"WITH {BARS} " + out({"top": f"max(high) {E}", "bottom": f"min(low) {E}", "mean": f"avg(close) {E}"}, "bars", "top bottom mean"))
@@ -174,7 +174,7 @@ query("returns", lambda b: features.returns(b).withColumns({f"cum_pct_{w}": F.ro
 _rel = {"spread": "spread"}
 for _w in (24, 72):
     _c = f"CASE WHEN count(x) {rw(_w)} >= {_w // 2} THEN "
-    _rel |= {f"corr_{_w}": f"{_c} corr(x, y) {rw(_w)} END", f"beta_{_w}": f"{_c} {dv(f'covar_samp(x, y) {rw(_w)}', f'var_samp(y) {rw(_w)}')} END", f"strength_{_w}": f"({pc('close', _w)} - {pc('bench', _w)}) * 100", f"relative_vol_{_w}": f"{_c} {dv(f'stddev_samp(x) {rw(_w)}', f'stddev_samp(y) {rw(_w)}')} END"}
+    _rel |= {f"corr_{_w}": f"{_c} covar_samp(x, y) {rw(_w)} / nullif(stddev_samp(x) {rw(_w)} * stddev_samp(y) {rw(_w)}, 0) END", f"beta_{_w}": f"{_c} {dv(f'covar_samp(x, y) {rw(_w)}', f'var_samp(y) {rw(_w)}')} END", f"strength_{_w}": f"({pc('close', _w)} - {pc('bench', _w)}) * 100", f"relative_vol_{_w}": f"{_c} {dv(f'stddev_samp(x) {rw(_w)}', f'stddev_samp(y) {rw(_w)}')} END"}
 query("relationship", lambda b: features.relationship(b, "view"), f"WITH {BARS}, j AS (SELECT a.symbol, a.ts, a.close, v.close AS bench FROM bars a LEFT JOIN bars v ON v.symbol = 'view' AND v.ts = a.ts WHERE a.symbol <> 'view'), s AS (SELECT symbol, ts, {lg('close')} AS close, {lg('bench')} AS bench FROM j), l AS (SELECT *, ln({dv('close', lg('close'))}) AS a, ln({dv('bench', lg('bench'))}) AS b, ln({dv('close', 'bench')}) AS spread FROM s), n AS (SELECT *, CASE WHEN b IS NOT NULL THEN a END AS x, CASE WHEN a IS NOT NULL THEN b END AS y FROM l) " + out(_rel, "n", " ".join(_rel)))
 query("cycle", features.cycle, f"WITH {DAILY}, h AS (SELECT *, ts - INTERVAL 1 HOUR AS t0 FROM bars), b AS (SELECT *, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' WHEN t0::DATE >= '2020-05-11' THEN DATE '2020-05-11' WHEN t0::DATE >= '2016-07-09' THEN DATE '2016-07-09' WHEN t0::DATE >= '2012-11-28' THEN DATE '2012-11-28' END AS last, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' + 1460 WHEN t0::DATE >= '2020-05-11' THEN DATE '2024-04-20' WHEN t0::DATE >= '2016-07-09' THEN DATE '2020-05-11' WHEN t0::DATE >= '2012-11-28' THEN DATE '2016-07-09' ELSE DATE '2012-11-28' END AS next FROM h) SELECT symbol, ts, (floor((t0::DATE - last) / (next - last)::DOUBLE * 4) + 1)::INTEGER AS cycle_year, (next - t0::DATE)::INTEGER AS days_to_next, coalesce(t0 = last::TIMESTAMP, false)::INTEGER AS is_halving FROM b", src.daily)
 _ax = {"range_pct": dv("high - low", "open") + " * 100", "body_pct": dv("close - open", "open") + " * 100", "upper_pct": dv("high - greatest(open, close)", "open") + " * 100", "mean_24": rl("avg", "close", 24), "vs_mean_24": dv("close", "(" + rl("avg", "close", 24) + ")") + " - 1", "change_24": pc("close", 24)}
@@ -188,7 +188,7 @@ query("equity_metrics", analytics.equity_metrics, f"WITH {BARS}, r AS (SELECT *,
 query("risk_windows", lambda b: analytics.risk_windows(analytics.pnl_frame(b)), f"WITH {BARS}, {_pnl}, w AS (SELECT symbol, ts, stddev_pop(pnl) {rw(20)} * {repr(math.sqrt(252))}::DOUBLE AS volatility, list(pnl) {rw(100)} AS x, quantile_cont(pnl, 0.05) {rw(100)} AS var_95 FROM f) SELECT symbol, ts, round(volatility, 6) AS volatility, round(var_95, 6) AS var_95, round(list_avg(list_filter(x, lambda v: v <= var_95)), 6) AS shortfall FROM w")
 _FQ = ("open", "close", "quote_volume", "taker_buy_quote_volume")
 query("feature_quality", lambda b: analytics.feature_quality(b, list(_FQ)), f"WITH {BARS}, t AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, {c} AS x FROM bars''' for c in _FQ)}) SELECT feature, count(*) FILTER (x IS NULL) AS nulls, count(DISTINCT x) AS \"distinct\", round(min(x), 6) AS least, round(max(x), 6) AS greatest, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM t GROUP BY 1")
-query("correlations", lambda b: analytics.correlations(b, list(_FQ)), f"WITH {BARS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, round(corr({a}, {c}), 6) AS corr FROM bars" for i, a in enumerate(_FQ) for c in _FQ[i:]))
+query("correlations", lambda b: analytics.correlations(b, list(_FQ)), f"WITH {BARS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, round(covar_samp({a}, {c}) / nullif(stddev_samp({a}) * stddev_samp({c}), 0), 6) AS corr FROM bars" for i, a in enumerate(_FQ) for c in _FQ[i:]))
 query("percentiles", lambda b: analytics.percentiles(b, "close"), f"WITH {BARS} SELECT symbol, " + ", ".join(f"round(quantile_cont(close, {p}), 6) AS p{round(100 * p)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM bars GROUP BY symbol")
 query("histogram", lambda b: analytics.histogram(b, "close", 0.0, 100.0, 20), f"WITH {BARS} SELECT symbol, least(floor(close / 5.0::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM bars WHERE close BETWEEN 0 AND 100 GROUP BY 1, 2")
 _heat = "c AS (SELECT ts::DATE AS day, least(floor(value / 10.0::DOUBLE), 9)::INTEGER AS level, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT day, unnest(range(10))::INTEGER AS level FROM (SELECT DISTINCT day FROM c)), d AS (SELECT g.day, g.level, coalesce(c.v, 0.0) AS v FROM g LEFT JOIN c ON g.day = c.day AND g.level = c.level)"
