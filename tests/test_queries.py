@@ -104,3 +104,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     columns = ["symbol", "ts", "open", "close", "high", "low"]
     assert rows_of(columns, spark.table("hours").collect()) == rows_of(columns, src.hourly(spark, SF).collect())
+
+
+def test_volume_profile_by_brute_force(spark):
+    bars = src.hourly(spark, SF).where("symbol = 'view'").orderBy("ts").collect()
+    got = {r.ts: r for r in features.volume_profile(src.hourly(spark, SF).where("symbol = 'view'"), 8, 10).collect()}
+    for i in range(8, len(bars)):
+        last = bars[i - 8 : i]
+        low, high = min(b.low for b in last), max(b.high for b in last)
+        step = (high - low) / 10
+        hist = [0.0] * 10
+        for b in last:
+            hist[min(int(((b.high + b.low + b.close) / 3 - low) / step), 9)] += b.quote_volume
+        poc = max(range(10), key=lambda k: (hist[k], -k))
+        assert got[bars[i].ts].poc == pytest.approx(low + (poc + 0.5) * step)
