@@ -138,7 +138,7 @@ FLAT = "shard int, block long, doc_ids array<long>, payload binary"
 def write_flat(docs: DataFrame, path: str, end_id: int, name: str = "flat") -> DataFrame:
     """Encode (doc_id, text) to flat files: little-endian ids of 16 or 32 bits, cut into blocks of FLAT_BLOCK_TOKENS wherever that falls, no index.
 
-    The files have no lengths. doc_ids (the documents that end in a block) stands
+    Documents stand in the order of the input, so nothing is shuffled. The files have no lengths. doc_ids (the documents that end in a block) stands
     beside the ids only for naming results; the scan doesn't use it.
     """
     kind = "<u2" if width(max(encoder(path, True).size, end_id + 1)) <= 16 else "<u4"
@@ -160,7 +160,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, name: str = "flat") -> D
         if len(held):
             yield row(len(held))[0]
 
-    return save(_in_order(docs).mapInArrow(write, FLAT), name)
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, FLAT), name)
 
 
 def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
@@ -196,6 +196,6 @@ def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Id 50256 ends a document; it is taken for ordinary text inside one, so no text makes it."""
+    """Id 50256 ends a document; it is taken for ordinary text inside one, so no text makes it. Where a document starts depends on how the input was split, so it is no part of the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return separator_scan(write_flat(docs, vocabulary_path("byte_bpe_50k.json"), 50256), 50256).select("doc_id", "start", "n_tokens")
+    return separator_scan(write_flat(docs, vocabulary_path("byte_bpe_50k.json"), 50256), 50256).select("doc_id", "n_tokens")
