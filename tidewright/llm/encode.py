@@ -10,7 +10,7 @@ import pyarrow as pa
 from .bytetext import IS_SEPARATOR, prefix_sums, range_hash, slices
 
 #: Pieces kept; when there are more, the cache starts anew.
-CACHED = 1_000_000
+CACHED = 500_000
 #: Bytes of text encoded at once, about; the arrays over them take some 60 times as much.
 ENCODE_BYTES = 1 << 20
 _LETTER = np.zeros(256, bool)

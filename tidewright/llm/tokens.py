@@ -13,7 +13,7 @@ from .encode import encoded, encoder, vocabulary_path
 from .store import save
 
 BLOCK_TOKENS = 1 << 16
-FLAT_BLOCK_TOKENS = 1 << 18
+FLAT_BLOCK_TOKENS = 1 << 16
 
 
 def width(vocabulary: int) -> int:
