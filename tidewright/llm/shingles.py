@@ -280,25 +280,39 @@ def first_links(low: DataFrame, labels: DataFrame | None, docs: DataFrame, class
     return links, components(links, name) if labels is None else labels
 
 
-def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components that may link, from saved postings with each token's main component.
+def with_main(found: DataFrame) -> DataFrame:
+    """The postings of tokens that different components have, with the component of each token's smallest set (main)."""
+    lists = found.groupBy("token").agg(F.min(F.struct("set_id", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    lists = lists.select(F.col("token").alias("_token"), F.col("p.c").alias("main"))
+    return found.join(lists, F.col("token") == F.col("_token")).drop("_token")
+
+
+def matches(found: DataFrame, percent: int) -> DataFrame:
+    """Postings that two sets in different components share and that don't rule out that the sets link, from with_main.
 
     Linked sets differ in at most (n + m) * (100 - percent) / (100 + percent)
-    tokens. A pair that shares no rare token differs in all its k rare ones, so
-    it meets in a frequent token's list only if those are few, and one of them
-    has few for its size; so sets that share a very common passage and little
-    else aren't paired. Of the tokens up to the last match all that don't match
-    are differences, too.
+    tokens. A shared token at places i and j leaves at least |i - j| differences
+    before it and |(n - i) - (m - j)| after it. A pair that shares no rare token
+    differs in all its k rare ones, so it meets in a frequent token's list only
+    if those are few, and one of them has few for its size; so sets that share a
+    very common passage and little else aren't paired.
     """
     rare = F.col("token") < _OFTEN_BIT
     found = found.withColumn("few", rare | (2 * percent * F.col("k") <= (100 - percent) * F.col("n")) | (F.col("n") == CAP))
     minor = found.where("c != main").select(*[F.col(x).alias(f"{x}_a") for x in ("token", "set_id", "c", "few", *_NUMBERS)])
     large = (F.col("n") == CAP) | (F.col("n_a") == CAP)
     room = (100 - percent) * (F.col("n") + F.col("n_a"))
+    apart = F.abs(F.col("i") - F.col("i_a")) + F.abs(F.col("n") - F.col("i") - F.col("n_a") + F.col("i_a"))
     once = (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("set_id_a") < F.col("set_id")))
-    on = (F.col("token_a") == F.col("token")) & once & _near("n_a", "n", percent) & (rare | large | ((100 + percent) * (F.col("k") + F.col("k_a")) <= room))
+    may = large | (((100 + percent) * apart <= room) & (rare | ((100 + percent) * (F.col("k") + F.col("k_a")) <= room)))
+    on = (F.col("token_a") == F.col("token")) & once & _near("n_a", "n", percent) & may
     met = minor.where("few_a").join(found, on).unionByName(minor.where("not few_a").join(found.where("few"), on))
-    each = met.groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (F.max("i") + F.max("i_a") + 2).alias("seen"), F.first(room).alias("room"), F.first(large).alias("large"))
+    return met.withColumns({"room": room, "large": large})
+
+
+def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, from with_main: they share as many prefix tokens as the smaller l, and of their tokens up to the last match few enough don't match."""
+    each = matches(found, percent).groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (F.max("i") + F.max("i_a") + 2).alias("seen"), F.first("room").alias("room"), F.first("large").alias("large"))
     return each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
 
 
@@ -329,10 +343,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(broadcast_if_small(known), F.col("_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "c")
     found = postings(texts, _frequent(profile, documents), total, size, percent).distinct()
-    main = found.groupBy("token").agg(F.min_by("c", "set_id").alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("_token"), "main")
-    found = save(found.join(main, F.col("token") == F.col("_token")).drop("_token"), "mixed_postings")
-    pairs = cross_pairs(found, percent)
-    more = verified(save(pairs, "cross_pairs"), docs, classes, size, percent, "cross")
+    mixed = save(with_main(found), "mixed_postings")
+    more = verified(save(cross_pairs(mixed, percent), "cross_pairs"), docs, classes, size, percent, "cross")
     labels = components(links.unionByName(more), "links")
 
     label = F.coalesce("label", "set_id").alias("label")
