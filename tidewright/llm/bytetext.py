@@ -6,7 +6,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The white space that ends a word.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -38,7 +38,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         first = end
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
@@ -46,7 +46,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(22, int(n).bit_length()))
+    return _powers(base, 1 << max(21, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
