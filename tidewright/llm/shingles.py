@@ -20,6 +20,8 @@ RARE, CHECK = 0.25, 1 / 16
 LOWEST, LOWEST_SHARED = 8, 3
 #: Postings that one group of the candidate search is meant to hold.
 GROUP_POSTINGS = 1_000_000
+#: Postings that a task gathers before it deals them to the groups.
+EMIT_POSTINGS = 1 << 18
 _MANY = 4096
 _TOKEN = (1 << 48) - 1
 
@@ -168,11 +170,10 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: i
     shared = spark.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        names = ["part", "rare", "labelled", "often"]
         kinds = (_RARE, _LABELLED, _OFTEN)
         for batch in batches:
             given, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            chunks = ([], [], [])
+            chunks, held = ([], [], []), 0
             for first, end, keys, offsets in shingle_sets(batch.column(0), size, shared.value):
                 n, ids, c = np.diff(offsets), _ids(keys, offsets), labels[first:end]
                 length, l = prefix_lengths(keys, offsets, percent)
@@ -197,15 +198,22 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: i
                     if kind is not _RARE:
                         out["c"] = c[d]
                     to.append((part, out))
-            for i, chunk in enumerate(chunks):
-                part, out = (np.concatenate([x[j] for x in chunk]) if chunk else np.zeros(0, np.int64) for j in (0, 1))
-                order = np.argsort(part, kind="stable")
-                part, out = part[order], out[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                if len(cuts):
-                    raw = pa.array([x.tobytes() for x in np.split(out, cuts[1:])], pa.binary())
-                    none = pa.nulls(len(cuts), pa.binary())
-                    yield _rows(names, part[cuts].astype(np.int32), *[raw if i == k else none for k in range(3)])
+                held += len(doc)
+                if held >= EMIT_POSTINGS:
+                    yield from dealt(chunks)
+                    chunks, held = ([], [], []), 0
+            yield from dealt(chunks)
+
+    def dealt(chunks):
+        for i, chunk in enumerate(chunks):
+            part, out = (np.concatenate([x[j] for x in chunk]) if chunk else np.zeros(0, np.int64) for j in (0, 1))
+            order = np.argsort(part, kind="stable")
+            part, out = part[order], out[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            if len(cuts):
+                raw = pa.array([x.tobytes() for x in np.split(out, cuts[1:])], pa.binary())
+                none = pa.nulls(len(cuts), pa.binary())
+                yield _rows(["part", "rare", "labelled", "often"], part[cuts].astype(np.int32), *[raw if i == k else none for k in range(3)])
 
     def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py() if len(table) else 0
