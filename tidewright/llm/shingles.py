@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, words
 from .components import components
-from .store import broadcast_if_small, save, shuffle_partitions
+from .store import broadcast_if_small, save, shuffle_partitions, text_batches
 
 SIZE, PERCENT = 5, 80
 #: A token is frequent if it is in this part of the documents; there are at most as many such tokens as documents have shingles on average, times this.
@@ -337,6 +337,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     are linked; rows with equal doc_id are documents of their own; an empty table
     gives no row.
     """
+    text_batches(docs.sparkSession)
     profile = profiles(docs, size)
     each = profile.where("n is not null").select("doc_id", "set_id", "n")
     documents, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -55,3 +55,14 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if a count shows that it has BROADCAST_ROWS rows at most; beyond, joins with it shuffle. Only for saved tables of a few numbers a row."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+#: Rows of whole texts that go to Python at once.
+TEXT_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have the session send at most TEXT_ROWS rows to Python at once, as rows with whole texts are long. A smaller number that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
