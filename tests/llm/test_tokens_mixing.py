@@ -148,3 +148,16 @@ def test_sharding(spark, odd):
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
     assert sharding.shard(odd).count() == len(ROWS)
     assert sharding.shard(empty(spark)).count() == 0
+
+
+def test_sharding_only_copies(spark):
+    rng = np.random.default_rng(3)
+    sizes = [40_000, 30_000, *rng.integers(20, 2000, 298).tolist()]
+    rows = [(2 * i + j, f"{i} " + "x" * n) for i, n in enumerate(sizes) for j in range(2)]
+    loads, where = [0] * 8, {}
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        loads[r.shard] += r.size
+        where.setdefault(r.key, []).append(r.shard)
+    assert len(where) == 300 and all(len(v) == 2 for v in where.values())
+    assert sum(len(set(v)) == 1 for v in where.values()) >= 0.95 * len(where)
+    assert max(loads) - min(loads) < 0.05 * sum(loads) / 8

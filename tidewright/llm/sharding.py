@@ -1,5 +1,7 @@
 """Sharding by balanced label propagation. DataFrame operations only."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,7 +9,6 @@ from .running import running_sum
 from .store import save
 
 SHARDS = 8
-ROUNDS = 5
 #: A group of linked documents larger than this part of a shard is cut into pieces, as no shard could take it whole.
 PIECE = 4
 
@@ -21,27 +22,38 @@ def _by_shard(values: list[float], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), shard.cast("int") + 1)
 
 
-def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Move linked documents (size, link, shard, ...) towards the shard where most of their neighbours' bytes are.
+def propagate(linked: DataFrame, shards: int, capacity: float) -> DataFrame:
+    """Move linked documents (size, link, shard, ...) to the shard where most of their neighbours' bytes are.
 
-    In each round every link counts its bytes by shard, and the rest of its
-    documents ask to move to the fullest one. A shard grants the requests that
-    its quota (capacity less what it holds) covers, in a seeded order, whole
-    links only. Ends when no request is granted, after rounds at most.
+    A link holds no bytes of a shard until it is placed there whole. In each
+    round every link that isn't placed asks for the shard with most of its bytes
+    among those with room for all of it. A shard grants requests up to its room
+    (capacity less the links that it was given), large ones first and else in a
+    seeded order. So each round takes a third of the room at least where a request is
+    refused. Ends when no shard has room for any link that is left; if all
+    documents are linked, fewer links than shards are left then. Those keep their
+    documents where they were and lose their link.
     """
-    for k in range(rounds):
-        held = linked.groupBy("link", "shard").agg(F.sum("size").alias("bytes"))
-        best = F.max(F.struct("bytes", (-F.col("shard")).alias("least")))
-        asks = held.groupBy("link").agg(best.alias("best"), F.sum("bytes").alias("total")).select("link", (-F.col("best.least")).cast("int").alias("to"), (F.col("total") - F.col("best.bytes")).alias("need")).where("need > 0")
-        asks = save(asks, f"shard_asks{k}")
-        quota = [max(0.0, capacity - x) for x in _totals(linked, shards)]
-        granted = running_sum(asks, F.col("need"), ["to"], [F.col("link")]).where(F.col("before") + F.col("need") <= _by_shard(quota, F.col("to")))
-        granted = save(granted.select(F.col("link").alias("_link"), "to"), f"shard_granted{k}")
-        if granted.isEmpty():
+    held = F.array(*[F.coalesce(F.sum(F.when(F.col("shard") == i, F.col("size"))), F.lit(0)) for i in range(shards)])
+    left = save(linked.groupBy("link").agg(F.sum("size").alias("need"), held.alias("held")), "shard_held")
+    room, rounds = [float(capacity)] * shards, []
+    while True:
+        asks = [F.when(F.col("need") <= room[i], F.struct(F.col("held")[i].alias("bytes"), F.xxhash64("link", F.lit(i)).alias("tie"), F.lit(i).alias("to"))) for i in range(shards)]
+        asks = save(left.withColumn("to", F.array_max(F.array(*asks))["to"]).where("to is not null"), f"shard_asks{len(rounds)}")
+        if asks.isEmpty():
             break
-        moved = linked.join(granted, F.col("link") == F.col("_link"), "left").withColumn("shard", F.coalesce("to", "shard")).drop("_link", "to")
-        linked = save(moved, f"shard_round{k}")
-    return linked
+        large = F.char(F.lit(126) - F.floor(F.log2("need")).cast("int"))
+        answers = running_sum(asks, F.col("need"), ["to"], [F.col("link")], prefix=large)
+        answers = save(answers.withColumn("granted", F.col("before") + F.col("need") <= _by_shard(room, F.col("to"))).drop("before"), f"shard_answers{len(rounds)}")
+        rounds.append(answers.where("granted").select(F.col("link").alias("_link"), "to"))
+        for r in answers.where("granted").groupBy("to").agg(F.sum("need").alias("given")).collect():
+            room[r["to"]] -= r["given"]
+        left = answers.where("not granted").drop("granted", "to")
+    if not rounds:
+        return linked.withColumn("link", F.lit(None).cast("string"))
+    placed = reduce(DataFrame.unionByName, rounds)
+    moved = linked.join(placed, F.col("link") == F.col("_link"), "left").withColumns({"shard": F.coalesce("to", "shard"), "link": F.col("_link")})
+    return moved.drop("_link", "to")
 
 
 def even_out(rows: DataFrame, shards: int, movable: Column, name: str) -> DataFrame:
@@ -64,7 +76,7 @@ def even_out(rows: DataFrame, shards: int, movable: Column, name: str) -> DataFr
     return save(leaving.unionByName(ranked.where("not leaves")).drop("leaves").unionByName(rows.where(~movable)), name)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Put documents into shards of near equal bytes, equal texts together as far as they fit.
 
     Returns doc_id, size (UTF-8 bytes and 1), text_crc32 (unsigned), key (MD5 of
@@ -73,7 +85,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     gathers them, and even_out() then moves mostly unlinked documents, large ones
     first and small ones last, so that sizes end within about a small document of
     each other. A group of links larger than a quarter of a shard is cut into
-    pieces that are placed apart. A null text has size 1 and checksum 0 and is
+    pieces that are placed apart; a group that no shard has room for is not kept together. A null text has size 1 and checksum 0 and is
     linked with nothing. Repeated rows are rows of their own; an empty table gives
     an empty result.
     """
@@ -86,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     groups = save(groups.select(F.col("key").alias("_key"), pieces.alias("pieces")), "shard_groups")
     link = F.when(F.col("_key").isNotNull(), F.concat_ws("/", "key", F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces"))))
     rows = save(rows.join(groups, F.col("key") == F.col("_key"), "left").withColumn("link", link).drop("_key", "pieces"), "shard_links")
-    linked = propagate(rows.where("link is not null"), shards, total / shards, rounds)
+    linked = propagate(rows.where("link is not null"), shards, total / shards)
     rows = save(linked.unionByName(rows.where("link is null")), "shard_gathered")
     mean = total / max(1, rows.count())
     for name, most in (("all", None), ("middling", mean), ("small", mean / 4)):
