@@ -161,3 +161,18 @@ def test_sharding_only_copies(spark):
     assert len(where) == 300 and all(len(v) == 2 for v in where.values())
     assert sum(len(set(v)) == 1 for v in where.values()) >= 0.95 * len(where)
     assert max(loads) - min(loads) < 0.05 * sum(loads) / 8
+
+
+def test_token_positions(spark, odd, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokens, "FLAT_BLOCK_TOKENS", 50)
+    odd.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want, start, out = expected(ROWS, "byte_bpe_50k.json", 50256, True), 0, []
+    for doc, ids in want:
+        out.append((doc, start, len(ids)))
+        start += len(ids)
+    got = tokens.op4_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in got), key=repr) == sorted(out, key=repr)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.shard, r.ordinal)):
+        assert r.at == ends.get(r.shard, 0)
+        ends[r.shard] = r.at + r.n_tokens

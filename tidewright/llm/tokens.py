@@ -164,7 +164,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, name: str = "flat") -> D
 
 
 def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
-    """Documents of flat token files (shard, block, payload, and doc_ids or null): shard, ordinal in the shard, doc_id, start, n_tokens with the end id.
+    """Documents of flat token files (shard, block, payload, and doc_ids or null): shard, ordinal and place (at) in the shard, doc_id, start (at and the tokens of all shards before), n_tokens with the end id.
 
     Each block is searched on its own for end_id. A prefix scan over the blocks
     of a shard (tokens so far, place of the last end id so far) gives the part of
@@ -192,10 +192,27 @@ def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
     cut = known.withColumn("ends", ends)
     starts = F.concat(F.array("open"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     each = cut.where(F.size("ends") > 0).select("shard", "done", F.posexplode(F.arrays_zip(starts.alias("s"), F.col("ends").alias("e"), F.coalesce("doc_ids", F.array().cast("array<long>")).alias("d"))).alias("i", "x"))
-    return each.join(shard_starts(found), F.col("shard") == F.col("_shard")).select("shard", (F.col("done") + F.col("i")).alias("ordinal"), F.col("x.d").alias("doc_id"), (F.col("shard_start") + F.col("x.s")).alias("start"), (F.col("x.e") - F.col("x.s")).alias("n_tokens"))
+    return each.join(shard_starts(found), F.col("shard") == F.col("_shard")).select("shard", (F.col("done") + F.col("i")).alias("ordinal"), F.col("x.s").alias("at"), F.col("x.d").alias("doc_id"), (F.col("shard_start") + F.col("x.s")).alias("start"), (F.col("x.e") - F.col("x.s")).alias("n_tokens"))
+
+
+def ordered_starts(found: DataFrame) -> DataFrame:
+    """Documents of separator_scan with start as it is when they follow one another by doc_id; null ids first, equal ids by n_tokens.
+
+    Only this table of numbers is put in order. Each of its ranges gets running sums of its own, and the totals of the ranges before are added.
+    """
+    order = ["doc_id", "n_tokens", "shard", "ordinal"]
+    ranged = save(found.drop("start").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = shard_starts(ranged.select(F.col("range").alias("shard"), "n_tokens"))
+    placed = ranged.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return placed.join(before, F.col("range") == F.col("_shard")).withColumn("start", F.col("shard_start") + F.col("start")).drop("range", "_shard", "shard_start")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Id 50256 ends a document; it is taken for ordinary text inside one, so no text makes it. Where a document starts depends on how the input was split, so it is no part of the result."""
+    """Id 50256 ends a document; it is taken for ordinary text inside one, so no text makes it.
+
+    start: where a document begins when all follow one another by doc_id, the same however the input was split. shard, ordinal, at: where it stands in the flat files, which keep the input's order.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return separator_scan(write_flat(docs, vocabulary_path("byte_bpe_50k.json"), 50256), 50256).select("doc_id", "n_tokens")
+    found = save(separator_scan(write_flat(docs, vocabulary_path("byte_bpe_50k.json"), 50256), 50256), "boundaries")
+    return ordered_starts(found).select("doc_id", "start", "n_tokens", "shard", "ordinal", "at")
