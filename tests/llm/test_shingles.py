@@ -77,3 +77,19 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_shared_and_missing_ids(spark, share):
+    """Rows that share a doc_id, or have none, are linked as if each had its own."""
+    rows = made(3, 120)
+    given = [(None if i % 5 == 0 else i // share,) + r[1:] for i, r in enumerate(rows)]
+    want, ids = {}, [r[0] for r in given]
+    for (i, n, c) in brute(rows):
+        want.setdefault(c, []).append((i, n))
+    out = []
+    for members in want.values():
+        known = [ids[i] for i, _ in members if ids[i] is not None]
+        out += [(ids[i], n, min(known) if known and n else ids[i]) for i, n in members]
+    got = jaccard_components(spark.createDataFrame(given, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(out, key=repr)

@@ -77,12 +77,29 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(_id, _key, text): a row is named by its doc_id and a hash of its text, as rows may share a doc_id or have none."""
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+
+
+def _named(table: DataFrame, names: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of table (_id, _key, ...) whose name is in names (_doc, _hash, ...)."""
+    return table.join(names, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")), how).drop("_doc", "_hash")
+
+
+def _once(table: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """table (_id, _key, ...) with one row of each name that the saved table names (_doc, _hash) has."""
+    if names.isEmpty():
+        return table
+    return _named(table, names, "left_anti").unionByName(save(_named(table, names, "left_semi").dropDuplicates(["_id", "_key"]), name))
+
+
 def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row (doc_id, set_id, n, lowest, common) for each document, and rows (token, docs) for tokens that a run of texts has often.
+    """One row (doc_id, key, set_id, n, lowest, common) for each of named_texts, and rows (token, docs) for tokens that a run of texts has often.
 
     common: how many of the tokens other texts of the run have; it only serves to choose whom others are held against first.
     """
-    names = ["doc_id", "set_id", "n", "lowest", "common", "token", "docs"]
+    names = ["doc_id", "key", "set_id", "n", "lowest", "common", "token", "docs"]
 
     def profile(batches):
         seen: set[int] = set()
@@ -100,12 +117,12 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 common = np.zeros(end - first, np.int64)
                 common[fresh] = met[stops[1:]] - met[stops[:-1]]
                 none = pa.nulls(end - first, pa.int64())
-                yield _rows(names, batch.column(0).slice(first, end - first), ids, n, lowest, common, none, none)
+                yield _rows(names, batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), ids, n, lowest, common, none, none)
                 often = counts >= max(3, fresh.sum() // 256)
                 none = pa.nulls(int(often.sum()), pa.int64())
-                yield _rows(names, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), none, tokens[often].view(np.int64), counts[often])
+                yield _rows(names, none, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), none, tokens[often].view(np.int64), counts[often])
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, set_id long, n long, lowest array<long>, common long, token long, docs long"), "profiles")
+    return save(docs.select(F.col("_id").alias("doc_id"), "text", "_key").mapInArrow(profile, "doc_id long, key long, set_id long, n long, lowest array<long>, common long, token long, docs long"), "profiles")
 
 
 def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +257,13 @@ def _near(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Of the saved pairs (a, b) of sets those with enough in common, by the whole texts of one document of each."""
-    one = classes.select(F.col("set_id").alias("_set"), F.col("first_doc").alias("_doc"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"))
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Of the saved pairs (a, b) of sets those with enough in common, by the whole texts of one document of each. texts has one row of each name."""
+    one = classes.select(F.col("set_id").alias("_set"), F.col("first_doc").alias("_doc"), F.col("first_key").alias("_hash"))
 
     def with_text(table: DataFrame, column: str, out: str) -> DataFrame:
         named = save(table.join(one, F.col(column) == F.col("_set")).drop("_set"), f"{name}_{out}")
-        return texts.join(broadcast_if_small(named), F.col("_id").eqNullSafe(F.col("_doc"))).drop("_id", "_doc").withColumnRenamed("text", out)
+        return _named(texts, broadcast_if_small(named)).drop("_id", "_key").withColumnRenamed("text", out)
 
     def check(batches):
         def sets(column):
@@ -274,7 +290,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     return save(y.join(x, F.col("a") == F.col("_a")).select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
 
 
-def first_links(low: DataFrame, labels: DataFrame | None, docs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+def first_links(low: DataFrame, labels: DataFrame | None, texts: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Hold each set against one other: of the lists of its smallest tokens, the member with the most common tokens that it meets most. With labels from before, others are chosen, and only of other components. Returns links and their components."""
     if labels is not None:
         low = low.join(labels, F.col("set_id") == F.col("node"), "left").withColumns({"c": F.coalesce("label", "set_id"), "common": F.col("common").bitwiseAND(F.lit(~15)) * 65536 + F.pmod(F.xxhash64("set_id"), F.lit(65536))})
@@ -284,7 +300,7 @@ def first_links(low: DataFrame, labels: DataFrame | None, docs: DataFrame, class
     star = low.join(lists, F.col("token") == F.col("_token")).where((F.col("c") != F.col("c_a")) & _near("n", "n_a", percent))
     star = star.groupBy("a", F.col("set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("n", "n_a")).alias("least")).where(F.col("c") >= F.least(F.lit(LOWEST_SHARED), "least"))
     star = save(star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")), f"{name}_pairs")
-    links = verified(star, docs, classes, size, percent, name)
+    links = verified(star, texts, classes, size, percent, name)
     return links, components(links, name) if labels is None else labels
 
 
@@ -324,6 +340,11 @@ def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
     return each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
 
 
+def _name(doc: str, key: str):
+    """Orders rows by doc_id, null ids last, and then by the hash of the text."""
+    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(key).alias("key"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Link documents whose sets of word shingles have 100 * intersection >= percent * union: doc_id, n_shingles, component_id.
 
@@ -337,31 +358,37 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     are linked; rows with equal doc_id are documents of their own; an empty table
     gives no row.
     """
+    return named_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def named_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """jaccard_components with key, the hash of each row's text, and component_key, that of the text of the component's first row."""
     text_batches(docs.sparkSession)
-    profile = profiles(docs, size)
-    each = profile.where("n is not null").select("doc_id", "set_id", "n")
+    texts = named_texts(docs)
+    profile = profiles(texts, size)
+    each = profile.where("n is not null").select("doc_id", "key", "set_id", "n")
+    texts = _once(texts, save(each.where("n > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_hash")).count().where("count > 1").drop("count"), "repeated"), "repeated_texts")
     documents, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("lowest").alias("lowest"), F.max("common").alias("common")), "classes")
+    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min(_name("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("lowest").alias("lowest"), F.max("common").alias("common")).select("*", F.col("first.doc").alias("first_doc"), F.col("first.key").alias("first_key")).drop("first"), "classes")
 
     low = save(classes.select(F.explode("lowest").alias("token"), "set_id", "n", "common"), "lowest")
-    links, labels = first_links(low, None, docs, classes, size, percent, "star")
-    more, labels = first_links(low, labels, docs, classes, size, percent, "second")
+    links, labels = first_links(low, None, texts, classes, size, percent, "star")
+    more, labels = first_links(low, labels, texts, classes, size, percent, "second")
     links = links.unionByName(more)
     labels = components(links, "both")
 
-    known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(broadcast_if_small(known), F.col("_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "c")
-    found = postings(texts, _frequent(profile, documents), total, size, percent).distinct()
+    known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), F.col("first_key").alias("_hash"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
+    found = postings(_named(texts, broadcast_if_small(known)).select("text", "set_id", "c"), _frequent(profile, documents), total, size, percent).distinct()
     mixed = save(with_main(found), "mixed_postings")
-    more = verified(save(cross_pairs(mixed, percent), "cross_pairs"), docs, classes, size, percent, "cross")
+    more = verified(save(cross_pairs(mixed, percent), "cross_pairs"), texts, classes, size, percent, "cross")
     labels = components(links.unionByName(more), "links")
 
     label = F.coalesce("label", "set_id").alias("label")
-    where = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", label, "first_doc"), "class_labels")
-    smallest = where.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = save(where.join(smallest, "label").select(F.col("set_id").alias("_set"), "component_id"), "class_components")
+    where = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", label, "first_doc", "first_key"), "class_labels")
+    first = where.groupBy("label").agg(F.min(_name("first_doc", "first_key")).alias("first"))
+    named = save(where.join(first, "label").select(F.col("set_id").alias("_set"), F.col("first.doc").alias("component_id"), F.col("first.key").alias("component_key")), "class_components")
     out = each.join(named, (F.col("set_id") == F.col("_set")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_key", "key").alias("component_key"))
 
 
 def distinct_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
