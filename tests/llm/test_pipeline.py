@@ -78,3 +78,22 @@ def test_distinct_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
     assert sorted(r.doc_id for r in shingles.distinct_documents(docs).collect()) == [1, 3, 4]
     assert docs.where(held_out()).count() == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 1, 2, 3, 4))
+
+
+def test_rows_that_share_or_lack_ids(spark):
+    a, b, c, d, e = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b", "c d e f g h i")
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, a), (2, d), (2, c), (None, e), (None, e.upper()), (None, e), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in shingles.distinct_documents(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (None, b), (2, c), (2, d), (None, e), (3, ""), (3, "")], key=repr)
+
+
+def test_mixed_rows_that_share_ids(spark):
+    rows = [(None if i % 2 else 7, f"{i // 3} " + "w " * (i // 3 % 7), "abc"[i % 3 if i % 10 else 0]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    mixed = mixing.mixed_documents(docs).collect()
+    for s in "abc":
+        of = [r for r in found if r.source == s]
+        taken = sum(len(r.text.split()) for r in mixed if r.source == s)
+        assert abs(taken - of[0].target) <= max(r.size for r in of) / 2

@@ -39,11 +39,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
     """Decide how often each document enters the mix.
 
-    Returns doc_id, source, size, source_size, target, repeats and
-    taken. Each document of a source enters floor(target /
+    Returns doc_id, source, size, source_size, target, repeats,
+    taken and the carried columns. Each document of a source enters floor(target /
     source_size) times; those that a seeded shuffle puts first enter once more,
     up to the document whose middle crosses what is left of the target, so a
     source misses its target by half a document at most. size defaults to the
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     columns that aren't named stay unread.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if size is None else size
-    sized = save(docs.select("doc_id", "source", words.cast("long").alias("size")), "mix_sizes")
+    sized = save(docs.select("doc_id", "source", words.cast("long").alias("size"), *carried), "mix_sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = save(targets(by_source, weights, max_epochs), "mix_targets").select(F.col("source").alias("_source"), "source_size", "target")
     placed = running_sum(sized, F.col("size"), ["source"], [F.lit(seed), F.col("doc_id")])
@@ -60,16 +60,23 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     rest = F.col("target") - whole * F.col("source_size")
     more = (2 * F.col("before") + F.col("size") <= 2 * rest) & (rest > 0)
     out = placed.join(wanted, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("repeats", (whole + F.when(more, 1).otherwise(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), *carried)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "") -> DataFrame:
-    """The documents of the mix with their own columns, each as many times as it enters. Rows with one doc_id enter equally often."""
-    found = mix(docs, weights=weights, max_epochs=max_epochs, seed=seed)
-    times = save(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("repeats").cast("int").alias("_times")).where("_times > 0"), "mix_repeats")
+    """The documents of the mix with their own columns, each as many times as it enters. A row is known by doc_id, source and a hash of its text; rows that are equal in these share what they have together."""
     columns = docs.columns
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*columns)
+    docs = docs.withColumn("_key", F.xxhash64("text"))
+    found = mix(docs, weights=weights, max_epochs=max_epochs, seed=seed, carried=("_key",))
+    name = [F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("_key").alias("_hash")]
+    times = save(found.groupBy(*name).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows")).where("_all > 0"), "mix_repeats")
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_hash"))
+    even, odd = times.where("_all % _rows = 0"), times.where("_all % _rows > 0")
+    joined = docs.join(even, on).withColumn("_times", F.expr("_all div _rows"))
+    if not odd.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_doc", "_source", "_hash").orderBy(F.lit(0)))
+        joined = joined.unionByName(docs.join(odd, on).withColumn("_times", F.expr("_all div _rows") + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)))
+    return joined.where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -392,12 +392,14 @@ def named_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
 
 def distinct_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns. Of rows with one doc_id one stays."""
-    found = save(jaccard_components(docs, size, percent), "jaccard")
-    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    left = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One row of each component, the one with the smallest doc_id (rows without one come last, equal ids by the hash of the text), with its own columns. Rows whose text is null, empty or blank all stay."""
+    found = save(named_components(docs, size, percent), "jaccard")
+    name = [F.col("doc_id").alias("_doc"), F.col("key").alias("_hash")]
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    gone = found.where((F.col("n_shingles") > 0) & ~first).select(*name).distinct()
+    twice = save(found.where((F.col("n_shingles") > 0) & first).groupBy(*name).count().where("count > 1").drop("count"), "kept_twice")
+    left = _named(docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")}), gone, "left_anti")
+    return _once(left, twice, "kept_once").select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
