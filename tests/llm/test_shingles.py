@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidewright.llm import shingles
 from tidewright.llm.components import components
 from tidewright.llm.shingles import jaccard_components
 
@@ -93,3 +94,12 @@ def test_shared_and_missing_ids(spark, share):
         out += [(ids[i], n, min(known) if known and n else ids[i]) for i, n in members]
     got = jaccard_components(spark.createDataFrame(given, SCHEMA)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(out, key=repr)
+
+
+def test_few_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "FREQUENT_TOKENS", 5)
+    docs = spark.createDataFrame([(1, 10 * i, i) for i in range(1, 41)], "n long, docs long, token long")
+    tokens, _ = shingles._frequent(docs, 400)
+    assert len(tokens) <= 5 and tokens.tolist() == list(range(41 - len(tokens), 41))
+    rows = made(4, 120)
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)

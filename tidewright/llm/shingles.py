@@ -12,8 +12,10 @@ from .components import components
 from .store import broadcast_if_small, save, shuffle_partitions, text_batches
 
 SIZE, PERCENT = 5, 80
-#: A token is frequent if it is in this part of the documents; there are at most as many such tokens as documents have shingles on average, times this.
+#: A token is frequent if it is in this part of the documents.
 FREQUENT = 4096
+#: Frequent tokens that go to the driver and to every task at most, 16 bytes each.
+FREQUENT_TOKENS = 1 << 20
 #: Candidates that a token outside the frequent ones is taken to bring, and postings that a token of a set in a check costs.
 RARE, CHECK = 0.25, 1 / 16
 #: Smallest tokens of a set that the first round looks at, and how many of them a pair must share there.
@@ -126,8 +128,16 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens and their classes. The number of tokens is bounded by FREQUENT times the mean size of a set; the order of tokens never changes which pairs link."""
-    found = profile.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(8, documents // FREQUENT)).toPandas()
+    """Frequent tokens and their classes. Of more than FREQUENT_TOKENS the most frequent are taken, in steps of the fourth root of 2; the order of tokens never changes which pairs link."""
+    found = profile.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(8, documents // FREQUENT))
+    found = save(found.withColumn("step", F.floor(4 * F.log2("docs"))), "frequent")
+    least, room = 0, FREQUENT_TOKENS
+    for step, n in sorted(map(tuple, found.groupBy("step").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            least = step + 1
+            break
+    found = found.where(F.col("step") >= least).toPandas()
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     classes = np.clip(np.log2(np.maximum(found["docs"].to_numpy(np.int64), 2)).astype(np.int64) - 1, 1, 15)
