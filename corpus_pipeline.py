@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import mixing, packing, quality, shingles, toxicity
 from tidewright.llm.encode import vocabulary_path
-from tidewright.llm.store import save
+from tidewright.llm.store import run_and_release
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir; each one's rows are written and read again for the next."""
+    """All stages on the documents of sf_dir; each one's rows are written and read again for the next. What a stage wrote on the way is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline_{name.replace(' ', '_')}")
+        docs = run_and_release(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline_{name.replace(' ', '_')}")
     return docs

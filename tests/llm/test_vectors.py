@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import neardup, topk
@@ -66,8 +67,9 @@ def test_large_bucket_is_exact(spark, monkeypatch):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "PAGE_ROWS", 300)
+    monkeypatch.setattr(topk, "PAGE_NUMBERS", 256 * 16)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk, "LEAF", 20)
     rows = made()
     got = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5).collect()
     whole = [(r[0], np.floor(1024 * np.array(r[1], np.float64)).astype(np.int64)) for r in rows if fine(r[1])]
@@ -82,6 +84,40 @@ def test_top_k(spark, monkeypatch):
 
 
 def test_equal_points_make_a_tree():
-    ids = np.arange(500)
-    found = topk.search(ids, np.ones((500, 4), np.int64), np.array([3]), np.ones((1, 4), np.int64), 3)
+    tree = topk.build(np.arange(900), np.ones((900, 4), np.int64), 4.0)
+    found = topk.search(tree, 4.0, np.array([3]), np.ones((1, 4), np.int64), [None], 3)
     assert sorted(found[1].tolist()) == [0, 1, 2]
+
+
+def test_far_pages_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PAGE_NUMBERS", 256 * 8)
+    rng = np.random.default_rng(4)
+    centres = 50 * rng.standard_normal((12, 8))
+    v = centres[rng.integers(12, size=3000)] + 0.01 * rng.standard_normal((3000, 8))
+    routes, plain = [], topk.save
+    monkeypatch.setattr(topk, "save", lambda df, name: routes.append((name, plain(df, name))) or routes[-1][1])
+    got = topk.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("vec_id") < 40).collect()
+    whole = np.floor(1024 * v).astype(np.int64)
+    want = [(q, n + 1, i, -s) for q in range(40) for n, (s, i) in enumerate(sorted((-int(whole[q] @ w), i) for i, w in enumerate(whole) if i != q)[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    tables = dict(routes)
+    pages = tables["topk_trees"].count()
+    assert pages >= 12 and tables["topk_rest_queries"].count() < 0.5 * 40 * pages
+
+
+def test_huge_components_raise_and_large_ones_are_exact(spark):
+    table = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(table([(1, [1e10, 1e10]), (2, [1.0, 1.0])]), F.lit(True)).collect()
+    big = [(i, [1e6 + i, 3.0 * i + 0.001]) for i in range(30)]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in big}
+    got = topk.top_k(table(big), F.lit(True), k=4).collect()
+    for q in whole:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:4]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_query_rows_of_one_id_ask_for_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, k=1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(1, 1, 2), (1, 1, 3)]

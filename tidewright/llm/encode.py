@@ -2,17 +2,17 @@
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .bytetext import IS_SEPARATOR, prefix_sums, range_hash, slices
 
-#: Pieces kept; when there are more, the cache starts anew.
+#: Pieces kept, 16 bytes each besides their ids; when there are more, the cache starts anew.
 CACHED = 500_000
 #: Bytes of text encoded at once, about; the arrays over them take some 60 times as much.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 #: Bytes that don't occur in texts of ASCII and the Latin letters U+00C0 to U+017F.
@@ -55,22 +55,35 @@ class Encoder:
         self.size = max(vocab.values()) + 1
         self.word_ends = any(k.endswith("</w>") for k in vocab)
         self.model = self.tokenizer.model
-        self.known: dict[int, int] = {}  # by a piece's hash, where its ids stand in flat, and how many, as start * 2**24 + count
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: sorted hashes of pieces; place: where the ids of each stand in flat, and how many, as start * 2**24 + count."""
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, keys: list[int], found: list) -> None:
+    def _keep(self, keys: np.ndarray, found: list) -> None:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(keys, (((np.cumsum(counts) - counts + self.used) << 24) + counts).tolist()))
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.place = np.insert(self.place, at, ((np.cumsum(counts) - counts + self.used) << 24) + counts)
         self.used += len(ids)
 
-    def _learn_plain(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the ids of the pieces stand; -1 for unknown ones."""
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.place[at], -1)
+
+    def _learn_plain(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode pieces that are letters after a space or none: one unit for the pre-tokenizers, so the library's model takes them without the steps before it."""
         text = b"\n".join(pieces)
         if self.word_ends:
@@ -78,7 +91,7 @@ class Encoder:
         tokenize = self.model.tokenize
         self._keep(keys, [[t.id for t in tokenize(w)] for w in text.decode("latin-1").translate(_SPELL).split(_SPELL[10])])
 
-    def _learn_whole(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn_whole(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         self._keep(keys, self.whole([p.decode() for p in pieces]))
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +119,9 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         keys = range_hash(prefix_sums(data), starts, ends)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        if len(self.known) + len(names) > CACHED:
-            self.known, self.used = {}, 0
-        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        if len(self.known) + len(distinct) > CACHED:
+            self._forget()
+        found = self._places(distinct)
         new = np.flatnonzero(found < 0)
         if len(new):
             at = first[new]
@@ -122,9 +134,8 @@ class Encoder:
             raw = data.tobytes()
             for these, learn in ((new[plain], self._learn_plain), (new[~plain], self._learn_whole)):
                 if len(these):
-                    learn(distinct[these].tolist(), [raw[a:b] for a, b in zip(starts[first[these]].tolist(), ends[first[these]].tolist())])
-            missing_keys = distinct[new].tolist()
-            found[new] = np.fromiter(map(self.known.__getitem__, missing_keys), np.int64, len(new))
+                    learn(distinct[these], [raw[a:b] for a, b in zip(starts[first[these]].tolist(), ends[first[these]].tolist())])
+            found[new] = self._places(distinct[new])
         begins, lengths = found >> 24, found & 0xFFFFFF
         out = lengths[which]
         done = np.cumsum(out)
@@ -134,7 +145,7 @@ class Encoder:
         return ids, total[at[1:]] - total[at[:-1]]
 
 
-@lru_cache(4)
+@lru_cache(2)
 def encoder(path: str, literal_special: bool = False) -> Encoder:
     """One for each Python worker."""
     return Encoder(path, literal_special)

@@ -47,15 +47,18 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     source_size) times; those that a seeded shuffle puts first enter once more,
     up to the document whose middle crosses what is left of the target, so a
     source misses its target by half a document at most. size defaults to the
-    number of words. A null text has size 0, a null source is a source and comes
-    last, repeated rows count each, an empty table gives an empty result, and
-    columns that aren't named stay unread.
+    number of words. The shuffle goes by doc_id, size and the MD5 of the text, so
+    rows that tie in it are equal, and reruns agree however the rows are dealt. A
+    null text has size 0, a null doc_id is an id like others, a null source is a
+    source and comes last, repeated rows count each, an empty table gives an empty
+    result, very long texts are read once, and columns that aren't named stay
+    unread, whatever their names.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if size is None else size
-    sized = save(docs.select("doc_id", "source", words.cast("long").alias("size"), *carried), "mix_sizes")
+    sized = save(docs.select("doc_id", "source", words.cast("long").alias("size"), F.md5("text").alias("_text"), *carried), "mix_sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = save(targets(by_source, weights, max_epochs), "mix_targets").select(F.col("source").alias("_source"), "source_size", "target")
-    placed = running_sum(sized, F.col("size"), ["source"], [F.lit(seed), F.col("doc_id")])
+    placed = running_sum(sized, F.col("size"), ["source"], [F.lit(seed), F.col("doc_id"), F.col("size"), F.col("_text")])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     more = (2 * F.col("before") + F.col("size") <= 2 * rest) & (rest > 0)
@@ -85,7 +88,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), named AS (
@@ -101,7 +104,7 @@ WITH sized AS (
 ), wanted AS (
   SELECT l.source, l.source_size, CASE WHEN l.place >= lv.place THEN (l.weight * lv.remaining)::DOUBLE / lv.shares::DOUBLE ELSE l.cap::DOUBLE END AS target FROM leveled l CROSS JOIN (SELECT max(place) AS place, max(remaining) AS remaining, max(shares) AS shares FROM level) lv
 ), placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('/' || coalesce(doc_id::VARCHAR, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('/' || coalesce(doc_id::VARCHAR, '') || '/' || size || '/' || coalesce(md5(text), '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized
 ), whole AS (
   SELECT p.*, w.source_size, w.target, CASE WHEN w.source_size > 0 THEN floor(w.target / w.source_size) ELSE 0 END AS n FROM placed p JOIN wanted w ON p.source IS NOT DISTINCT FROM w.source
 )

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import tidy
 from .encode import encoded, vocabulary_path
 from .running import running_sum
 from .store import save
@@ -106,6 +107,7 @@ def assign(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Dat
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Encode (doc_id, text), end each document with end_id and cut only what is longer than capacity: doc_id, piece, start, length, ids_crc32 (and ids, little-endian unsigned 32-bit, if asked for)."""
 
+    @tidy
     def cut(batches):
         for batch in batches:
             names = batch.column(0)

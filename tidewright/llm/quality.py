@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytetext import prefix_sums, range_hash, slices, words
+from .bytetext import IS_SEPARATOR, mix, prefix_sums, range_hash, slices, words
 from .labelled import accepted, sample, scored
 
 BUCKETS = 1 << 18
@@ -16,32 +16,48 @@ NGRAM = 4
 
 
 def features(column: pa.Array):
-    """Yield (first row, end row, [(hashed ids, offsets by text), ...]): each text's words and its runs of NGRAM bytes."""
+    """Yield (first row, end row, word ids, words before each text, n-gram ids, n-grams before each text), ids as hash buckets.
+
+    Words go alone and in pairs. The n-grams are runs of NGRAM characters (not
+    bytes); white space, whatever it is, is one kind of character. None spans two texts.
+    """
     for first, end, data, offsets in slices(column):
         starts, ends, before = words(data, offsets)
-        w = (range_hash(prefix_sums(data), starts, ends) % np.uint64(BUCKETS)).astype(np.int32)
-        n = max(0, len(data) - NGRAM + 1)
-        x = np.zeros(n, np.uint32)
-        for j in range(NGRAM):
-            x |= data[j : j + n].astype(np.uint32) << np.uint32(8 * j)
-        x *= np.uint32(0x9E3779B1)
-        x >>= np.uint32(32 - 18)
-        yield first, end, w, before, x.view(np.int32), offsets
+        sums = prefix_sums(np.where(IS_SEPARATOR[data], np.uint8(32), data))
+        w = range_hash(sums, starts, ends)
+        pair = np.empty(2 * len(w), np.uint64)  # each word, and after it the pair that it makes with the next word of its text
+        pair[::2] = w
+        pair[1:-1:2] = mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
+        kept = np.ones(len(pair), bool)
+        last = before[1:][np.diff(before) > 0] - 1
+        kept[2 * last + 1] = False
+        places = np.concatenate([[0], np.cumsum(kept)])
+        w, before = (pair[kept] % np.uint64(BUCKETS)).astype(np.int32), places[2 * before]
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # where a character begins
+        text = np.searchsorted(lead, offsets)
+        n = max(0, len(lead) - NGRAM + 1)
+        inside, new = np.ones(n, bool), np.zeros(len(lead) + 1, bool)
+        new[text] = True
+        for j in range(1, NGRAM):
+            inside &= ~new[j : j + n]
+        at, stops = np.flatnonzero(inside), np.append(lead, len(data))
+        grams = (range_hash(sums, stops[at], stops[at + NGRAM]) % np.uint64(BUCKETS)).astype(np.int32)
+        yield first, end, w, before, grams, np.searchsorted(at, text)
 
 
 def _ids_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the distinct buckets of its n-grams and their shares."""
+    """For each text the distinct buckets of its words and n-grams and their shares."""
     out = []
-    for _, _, w, before, grams, offsets in features(column):
-        for i in range(len(offsets) - 1):
-            own = np.concatenate([w[before[i] : before[i + 1]], grams[offsets[i] : max(offsets[i], offsets[i + 1] - NGRAM + 1)]])
+    for _, _, w, before, grams, grams_before in features(column):
+        for i in range(len(before) - 1):
+            own = np.concatenate([w[before[i] : before[i + 1]], grams[grams_before[i] : grams_before[i + 1]]])
             ids, counts = np.unique(own, return_counts=True)
             out.append((ids, counts / max(1, len(own))))
     return out
 
 
 class Model:
-    """fastText's model: a text is the mean of its n-grams' vectors, and a softmax over two classes reads it."""
+    """A text is the mean of the vectors of its words and character n-grams; a softmax over two classes reads it."""
 
     def __init__(self, texts: pa.Array, y: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -71,15 +87,13 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
-        for first, end, w, before, grams, offsets in features(column):
-            a = np.concatenate([[0.0], np.cumsum(self.weight[w], dtype=np.float64)])
-            b = np.concatenate([[0.0], np.cumsum(self.weight[grams], dtype=np.float64)])
-            stop = np.maximum(offsets[:-1], np.maximum(offsets[1:] - NGRAM + 1, 0))
-            low, stop = np.minimum(offsets[:-1], len(b) - 1), np.minimum(stop, len(b) - 1)
-            stop = np.maximum(stop, low)
-            total = a[before[1:]] - a[before[:-1]] + b[stop] - b[low]
-            count = np.maximum(1, np.diff(before) + stop - low)
-            out[first:end] = 1 / (1 + np.exp(-(total / count + self.bias)))
+        for first, end, w, before, grams, grams_before in features(column):
+            total, count = np.zeros(end - first), np.zeros(end - first)
+            for ids, bounds in ((w, before), (grams, grams_before)):
+                sums = np.concatenate([[0.0], np.cumsum(self.weight[ids], dtype=np.float64)])
+                total += sums[bounds[1:]] - sums[bounds[:-1]]
+                count += bounds[1:] - bounds[:-1]
+            out[first:end] = 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
         return out
 
 
@@ -89,14 +103,14 @@ def quality_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Score whole texts: columns keep, held_out, score (chance of label 1), predicted. Null and empty texts score what the labels' shares say; repeated rows count each; an empty table gives no row."""
+    """Score whole texts: columns keep, held_out, score (chance of label 1), predicted. Null and empty texts score what the labels' shares say; repeated rows and null ids count each; very long texts are scored whole; columns that aren't named stay unread, and an empty table gives no row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(quality_model(docs, labels))
     return scored(docs, lambda texts: shared.value.score(texts), threshold, keep)
 
 
 def admit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, each row by its own text, with their own columns, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(quality_model(docs, labels))
     return accepted(docs, lambda texts: shared.value.score(texts), lambda x: x >= threshold)
 

@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, words
+from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, tidy, words
 from .components import components
 from .store import broadcast_if_small, save, shuffle_partitions, text_batches
 
 SIZE, PERCENT = 5, 80
 #: A token is frequent if it is in this part of the documents.
 FREQUENT = 4096
-#: Frequent tokens that go to the driver and to every task at most, 16 bytes each.
+#: Frequent tokens that go to the driver and to every task at most, 9 bytes each.
 FREQUENT_TOKENS = 1 << 20
 #: Candidates that a token outside the frequent ones is taken to bring, and postings that a token of a set in a check costs.
 RARE, CHECK = 0.25, 1 / 16
@@ -25,6 +25,8 @@ GROUP_POSTINGS = 1_000_000
 #: Postings that a task gathers before it deals them to the groups.
 EMIT_POSTINGS = 1 << 18
 _MANY = 4096
+#: Sets whose repetitions a task leaves out of its counts of frequent tokens; then it starts anew.
+_SEEN = 100_000
 _TOKEN = (1 << 48) - 1
 
 
@@ -103,6 +105,7 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     names = ["doc_id", "key", "set_id", "n", "lowest", "common", "token", "docs"]
 
+    @tidy
     def profile(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -112,6 +115,8 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 stops = np.concatenate([[0], np.cumsum(few)])
                 at = np.arange(stops[-1]) - np.repeat(stops[:-1], few) + np.repeat(offsets[:-1], few)
                 lowest = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(keys[at].view(np.int64)))
+                if len(seen) > _SEEN:
+                    seen.clear()
                 fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool)
                 tokens, which, counts = np.unique(keys[np.repeat(fresh, n)], return_inverse=True, return_counts=True)
                 met = np.concatenate([[0], np.cumsum(counts[which] > 1)])
@@ -140,7 +145,7 @@ def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarra
     found = found.where(F.col("step") >= least).toPandas()
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    classes = np.clip(np.log2(np.maximum(found["docs"].to_numpy(np.int64), 2)).astype(np.int64) - 1, 1, 15)
+    classes = np.clip(np.log2(np.maximum(found["docs"].to_numpy(np.int64), 2)).astype(np.int64) - 1, 1, 15).astype(np.uint8)
     return tokens[order], classes[order]
 
 
@@ -196,6 +201,7 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: i
     parts = max(2 * shuffle_partitions(spark), total * (100 - percent) // 100 // GROUP_POSTINGS + 1)
     shared = spark.sparkContext.broadcast(frequent)
 
+    @tidy
     def emit(batches):
         kinds = (_RARE, _LABELLED, _OFTEN)
         for batch in batches:
@@ -275,6 +281,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
         named = save(table.join(one, F.col(column) == F.col("_set")).drop("_set"), f"{name}_{out}")
         return _named(texts, broadcast_if_small(named)).drop("_id", "_key").withColumnRenamed("text", out)
 
+    @tidy
     def check(batches):
         def sets(column):
             out = []
@@ -373,7 +380,11 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 def named_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """jaccard_components with key, the hash of each row's text, and component_key, that of the text of the component's first row."""
-    text_batches(docs.sparkSession)
+    with text_batches(docs.sparkSession):
+        return _named_components(docs, size, percent)
+
+
+def _named_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = named_texts(docs)
     profile = profiles(texts, size)
     each = profile.where("n is not null").select("doc_id", "key", "set_id", "n")

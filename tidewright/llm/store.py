@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,34 +36,60 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that save() has written in this application. DataFrames that read them must be done with."""
+def run_and_release(make, name: str) -> DataFrame:
+    """save(make()), with the tables that make wrote on the way deleted, as nothing reads them any more."""
+    spark = SparkSession.active()
+    before = made(spark)
+    out = save(make(), name)
+    release(spark, before | set(_made[spark.sparkContext.applicationId][-1:]))
+    return out
+
+
+def made(spark: SparkSession) -> set[str]:
+    """Paths that save() has written in this application and that still stand."""
+    return set(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete the tables that save() has written in this application, but those in keep. DataFrames that read them must be done with."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        parent.getFileSystem(conf).delete(parent, True)
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path not in keep:
+            parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            parent.getFileSystem(conf).delete(parent, True)
+    _made[spark.sparkContext.applicationId] = [p for p in paths if p in keep]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few numbers that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a table may have to be broadcast, as 8 for each number of its rows; Spark's own rows take some 3 times that.
+BROADCAST_BYTES = 16 << 20
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it has BROADCAST_ROWS rows at most; beyond, joins with it shuffle. Only for saved tables of a few numbers a row."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if a count shows that it has BROADCAST_BYTES at most; beyond, joins with it shuffle. Only for saved tables of numbers."""
+    for f in df.schema.fields:
+        if f.dataType.typeName() not in ("long", "integer", "boolean", "double"):
+            raise TypeError(f"{f.name} isn't a number, so a count doesn't bound the table's size")
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
 
 
 #: Rows of whole texts that go to Python at once.
 TEXT_ROWS = 2_000
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Have the session send at most TEXT_ROWS rows to Python at once, as rows with whole texts are long. A smaller number that is set stays."""
+@contextmanager
+def text_batches(spark: SparkSession):
+    """While it is open, at most TEXT_ROWS rows go to Python at once, as rows with whole texts are long. A smaller number that is set stays; the session is left as it was."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:
         spark.conf.set(name, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

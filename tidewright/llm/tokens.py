@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytetext import tidy
 from .encode import encoded, encoder, vocabulary_path
 from .store import save
 
@@ -68,6 +69,7 @@ def write_packed(docs: DataFrame, path: str, end_id: int, name: str = "tokens")
     """
     bits = width(max(encoder(path).size, end_id + 1))
 
+    @tidy
     def write(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         names, lengths, parts, held = [], [], [], 0
@@ -106,6 +108,7 @@ def shard_starts(blocks: DataFrame) -> DataFrame:
 def read_documents(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the ids in the files."""
 
+    @tidy
     def read(batches):
         for batch in batches:
             for b in batch.to_pylist():
@@ -143,6 +146,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, name: str = "flat") -> D
     """
     kind = "<u2" if width(max(encoder(path, True).size, end_id + 1)) <= 16 else "<u4"
 
+    @tidy
     def write(batches):
         shard, block, held, names, ends = TaskContext.get().partitionId(), 0, np.zeros(0, kind), [], np.zeros(0, np.int64)
 
@@ -173,6 +177,7 @@ def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
     """
     kind = f"<u{bits // 8}"
 
+    @tidy
     def scan(batches):
         for batch in batches:
             for b in batch.to_pylist():

@@ -219,13 +219,13 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Score whole texts: columns keep, held_out, score (chance of label 1), predicted. Null and empty texts are scored by their (zero) features; repeated rows count each; an empty table gives no row."""
+    """Score whole texts: columns keep, held_out, score (chance of label 1), predicted. Null and empty texts are scored by their (zero) features; repeated rows and null ids count each; very long texts are scored whole; columns that aren't named stay unread, and an empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels))
     return scored(docs, lambda texts: shared.value.score(texts), threshold, keep)
 
 
 def admit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, each row by its own text, with their own columns, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels))
     return accepted(docs, lambda texts: shared.value.score(texts), lambda x: x < threshold)
 
