@@ -121,3 +121,35 @@ def test_query_rows_of_one_id_ask_for_themselves(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, k=1).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(1, 1, 2), (1, 1, 3)]
+
+
+def brute_links(vectors, labels, cosine=0.93):
+    unit = np.array(vectors, np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= cosine) & (np.array(labels)[:, None] == np.array(labels))
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs with cosines of 0.930 to 0.945 in two labels of unlike size: at least 0.99 of their links are found, and none besides."""
+    rng = np.random.default_rng(8)
+    n, dim = 6000, 64
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9305, 0.945, (n, 1))
+    v = np.concatenate([x, c * x + np.sqrt(1 - c**2) * y]).astype(np.float32)
+    labels = ["big" if i % n % 10 else "small" for i in range(2 * n)]
+    rows = [(i, v[i].tolist(), labels[i]) for i in range(2 * n)]
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    want = brute_links(v, labels)
+    assert all(got[i] <= want[i] for i in range(2 * n))
+    assert sum(got.values()) >= 0.99 * want.sum() and want.sum() >= 2 * n
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(1, [1e200, 2e200], "a"), (2, [1e-200, 2e-200], "a"), (3, [1.0, 2.0], "a"), (4, [1.0, 2.0], "b"), (5, [2.0, -1.0], "a"), (6, [1.0, 2.0], None)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True)}
