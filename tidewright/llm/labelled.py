@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import tidy
+from .bytetext import give_back, tidy
 from .store import save
 
 #: Bytes of sampled texts that go to the driver at most.
@@ -38,7 +38,10 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, most_byte
     table = found.select("doc_id", "text", "y").toArrow().to_pandas().sort_values("doc_id")
     order = np.random.default_rng(11).permutation(len(table))
     table = table.iloc[order]
-    return pa.array(table["text"], pa.string()), table["y"].to_numpy(np.int64)
+    out = pa.array(table["text"], pa.string()), table["y"].to_numpy(np.int64)
+    del table, sizes
+    give_back()
+    return out
 
 
 def scored(docs: DataFrame, score, threshold: float, keep: list[str] | None = None) -> DataFrame:

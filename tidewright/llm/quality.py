@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytetext import IS_SEPARATOR, mix, prefix_sums, range_hash, slices, words
+from .bytetext import IS_SEPARATOR, give_back, mix, prefix_sums, range_hash, slices, words
 from .labelled import accepted, sample, scored
 
 BUCKETS = 1 << 18
@@ -52,7 +52,7 @@ def _ids_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         for i in range(len(before) - 1):
             own = np.concatenate([w[before[i] : before[i + 1]], grams[grams_before[i] : grams_before[i + 1]]])
             ids, counts = np.unique(own, return_counts=True)
-            out.append((ids, counts / max(1, len(own))))
+            out.append((ids, (counts / max(1, len(own))).astype(np.float32)))
     return out
 
 
@@ -70,7 +70,7 @@ class Model:
             for i in rng.permutation(len(docs)).tolist():
                 ids, share = docs[i]
                 rate, step = RATE * (1 - step / rounds), step + 1
-                rows, share = vectors[ids], share.astype(np.float32)
+                rows = vectors[ids]
                 hidden = share @ rows
                 z = hidden @ out + bias
                 p = np.exp(z - z.max())
@@ -99,7 +99,10 @@ class Model:
 
 def quality_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most rows labelled documents outside the held-out fold. Without any label every text scores 0.5."""
-    return Model(*sample(docs, labels, "quality", rows))
+    try:
+        return Model(*sample(docs, labels, "quality", rows))
+    finally:
+        give_back()
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

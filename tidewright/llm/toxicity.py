@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytetext import LOWER, prefix_sums, range_hash, slices
+from .bytetext import LOWER, give_back, prefix_sums, range_hash, slices
 from .labelled import accepted, sample, scored
 
 #: Documents to learn from at most.
@@ -215,7 +215,10 @@ class Model:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most rows labelled documents outside the held-out fold. Without any label every text scores about 0.5."""
-    return Model(*sample(docs, labels, "toxic", rows))
+    try:
+        return Model(*sample(docs, labels, "toxic", rows))
+    finally:
+        give_back()
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
