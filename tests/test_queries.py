@@ -12,6 +12,7 @@ from tidewright.functions import win
 from tidewright.operators import features, trading
 from tidewright.plans import registry
 from tidewright.sources import bars as src
+from tidewright.sources import files
 from tidewright.streaming.bars import hourly_stream
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +49,7 @@ def test_rising_price_has_rsi_100(spark):
 def test_flat_price_is_null_or_zero(spark):
     flat = made(spark, [5.0] * 30, high=[5.0] * 30, low=[5.0] * 30)
     last = features.stochastic(flat).orderBy("ts").collect()[-1]
-    assert last.k is None and last.z_k == 0.0
+    assert last.k is None and last.k_z168 == 0.0
     assert features.bollinger(flat.limit(0)).count() == 0
 
 
@@ -66,7 +67,7 @@ def test_features_see_only_the_past(spark):
     bars = src.hourly(spark, SF).where("symbol = 'view'")
     cut = bars.agg(F.expr("percentile_approx(cast(ts as timestamp), 0.5)")).first()[0]
     early = bars.where(F.col("ts") <= F.lit(cut).cast("timestamp_ntz"))
-    for group in (features.bollinger, features.rsi, features.macd, features.candles, features.returns, features.streaks):
+    for group in (features.bollinger, features.rsi, features.macd, features.candles, features.returns, features.volume_profile):
         whole, part = ({r.ts: r for r in group(d).collect()} for d in (bars, early))
         assert all(whole[t] == r for t, r in part.items())
 
@@ -89,7 +90,7 @@ def test_sessions_overlap():
 
 def test_files_round_trip(spark, tmp_path):
     bars = src.hourly(spark, SF)
-    meta = src.write_features(bars, f"file://{tmp_path}/out", "bars").first()
+    meta = files.write_features(bars, f"file://{tmp_path}/out", "bars").first()
     assert meta.rows == bars.count()
     bars.select("symbol", "ts", "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_quote_volume").write.option("header", True).csv(f"file://{tmp_path}/csv")
     assert src.read_csv(spark, f"file://{tmp_path}/csv").count() == bars.count()
@@ -102,19 +103,84 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/state").start()
     q.processAllAvailable()
     q.stop()
-    columns = ["symbol", "ts", "open", "close", "high", "low"]
+    columns = ["symbol", "ts", "open", "close", "high", "low", "volume", "trades", "quote_volume", "taker_buy_quote_volume"]
     assert rows_of(columns, spark.table("hours").collect()) == rows_of(columns, src.hourly(spark, SF).collect())
 
 
 def test_volume_profile_by_brute_force(spark):
-    bars = src.hourly(spark, SF).where("symbol = 'view'").orderBy("ts").collect()
-    got = {r.ts: r for r in features.volume_profile(src.hourly(spark, SF).where("symbol = 'view'"), 8, 10).collect()}
+    table = src.hourly(spark, SF).where("symbol = 'view'")
+    bars = table.orderBy("ts").collect()
+    got = features.volume_profile(table, 8, 10).orderBy("ts").collect()
+    assert len(got) == len(bars) and got[3].poc is None
     for i in range(8, len(bars)):
         last = bars[i - 8 : i]
         low, high = min(b.low for b in last), max(b.high for b in last)
-        step = (high - low) / 10
-        hist = [0.0] * 10
+        step, raw = (high - low) / 10, [0.0] * 12
         for b in last:
-            hist[min(int(((b.high + b.low + b.close) / 3 - low) / step), 9)] += b.quote_volume
-        poc = max(range(10), key=lambda k: (hist[k], -k))
-        assert got[bars[i].ts].poc == pytest.approx(low + (poc + 0.5) * step)
+            raw[min(int(((b.high + b.low + b.close) / 3 - low) / step), 9) + 1] += b.quote_volume
+        hist = [(raw[k] + raw[k + 1] + raw[k + 2]) / 3 for k in range(10)]
+        price = [low + (k + 0.5) * step for k in range(10)]
+        falling = sorted(range(10), key=lambda k: (-round(hist[k], 9), k))
+        total, inside = 0.0, []
+        for k in falling:
+            total += hist[k]
+            if total > 0.7 * sum(hist):
+                break
+            inside.append(price[k])
+        mean, r, close = sum(hist) / 10, got[i], last[-1].close
+        large = [price[k] for k in falling if hist[k] >= 1.5 * mean][:3]
+        assert r.poc == pytest.approx(price[falling[0]]) and r.to_poc == pytest.approx((r.poc - close) / close * 100, abs=1e-4)
+        assert (r.va_low, r.va_high) == (pytest.approx((min(inside), max(inside))) if inside else (None, None))
+        assert [x for x in (r.hvn_1, r.hvn_2, r.hvn_3) if x is not None] == pytest.approx(large)
+        small = sorted((k for k in range(10) if hist[k] <= 0.5 * mean), key=lambda k: (round(hist[k], 9), k))[:3]
+        assert sorted(x for x in (r.lvn_1, r.lvn_2, r.lvn_3) if x is not None) == pytest.approx(sorted(price[k] for k in small))
+
+
+def test_mixture_by_plain_em(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 400), rng.normal(6, 0.5, 300), rng.normal(20, 2, 300)])
+    rows = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)] * 5 + [("c", None)], "symbol string, x double")
+    fitted = features.mixture(rows, "x")
+    w, m, v = np.full(3, 1 / 3), np.quantile(x, [1 / 6, 0.5, 5 / 6]), np.full(3, x.var() / 3)
+    for _ in range(30):
+        log = np.log(w) - 0.5 * np.log(v) - (x[:, None] - m) ** 2 / (2 * v)
+        r = np.exp(log - log.max(axis=1, keepdims=True))
+        r /= r.sum(axis=1, keepdims=True)
+        n = r.sum(axis=0)
+        w, m = n / len(x), (r * x[:, None]).sum(axis=0) / n
+        v = (r * (x[:, None] - m) ** 2).sum(axis=0) / n
+    got = fitted.where("symbol = 'a'").orderBy("part").collect()
+    assert [g["mean"] for g in got] == pytest.approx(list(m), rel=1e-6) and [g["var"] for g in got] == pytest.approx(list(v), rel=1e-5)
+    named = {round(r.x, 9): r.regime for r in features.labelled_by_mixture(rows, "x", fitted).where("symbol = 'a'").collect()}
+    assert all(named[round(float(z), 9)] == k for z, k in zip(x[[0, 450, 900]], (0, 1, 2)))
+    assert features.labelled_by_mixture(rows, "x", fitted).where("symbol = 'c'").first().regime is None
+
+
+def test_regimes_keep_every_bar(spark):
+    bars = src.hourly(spark, SF)
+    got = features.regimes(bars)
+    assert got.count() == bars.count() and got.where("regime is null").count() >= 24 and {r.regime for r in got.select("regime").distinct().collect()} <= {None, 0, 1, 2}
+
+
+def test_aligned_series(spark):
+    a, b = made(spark, [1.0, None, 3.0]), made(spark, [9.0, 8.0])
+    assert [r.close for r in src.fill_index(a, b, "close").orderBy("ts").collect()] == [9.0, 8.0, 3.0]
+    assert src.overlap_ratio(a, b).first().ratio == 0.5
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    """Append mode: an hour comes out once the watermark has passed it, and a row that comes later than that is left out."""
+    rows = lambda *xs: spark.createDataFrame([(i, T0 + dt.timedelta(hours=h), 1, "view", v, None) for i, (h, v) in enumerate(xs)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    at = f"file://{tmp_path}/events"
+    rows((0, 1.0), (0, 2.0)).coalesce(1).write.parquet(at)
+    stream = hourly_stream(spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", 1).parquet(at))
+    q = stream.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    q.processAllAvailable()
+    for batch in (rows((48, 5.0)), rows((0, 100.0), (96, 5.0)), rows((200, 5.0))):
+        batch.coalesce(1).write.mode("append").parquet(at)
+        q.processAllAvailable()
+    q.stop()
+    found = {r.ts: r for r in spark.table("late").collect()}
+    assert found[T0].high == 2.0 and found[T0].volume == 2.0 and found[T0].taker_buy_quote_volume == 3.0

@@ -97,53 +97,53 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[near(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def ewm(df: DataFrame, value: str, spans: list[int], chunk: Column | None = None) -> DataFrame:
-    """Add ewm_{span}: y += 2 / (span + 1) * (x - y), seeded with the first value; NULLs are skipped.
-
-    The recursion is linear, so each chunk (a month) is folded alone from 0, and
-    what comes before it enters as (1 - alpha)^k times the carry. Carries are a
-    small table of one row for each symbol and chunk.
+def with_z(df: DataFrame, names: list[str], least: tuple[int, ...] = (168, 720)) -> DataFrame:
+    """Add {name}_z{n}: zscore of each column with each least number of values; count, mean and deviation are made once for all of these."""
+    parts = {f"{c}__{k}": f(c).over(so_far()) for c in names for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))}
+    z = {f"{c}_z{n}": F.coalesce(F.when((F.col(f"{c}__n") >= n) & (F.col(f"{c}__s") >= 1e-12), (F.col(c) - F.col(f"{c}__m")) / F.col(f"{c}__s")), F.lit(0.0)) for c in names for n in least}
+    return df.withColumns(parts).withColumns(z).drop(*parts)
+
+
+def ewm(df: DataFrame, value: str, spans: list[int], chunk: Column | None = None, prefix: str = "ewm") -> DataFrame:
+    """Add {prefix}_{span}: y += 2 / (span + 1) * (x - y), seeded with the first value; NULLs are skipped.
+
+    The recursion is linear: a chunk (a month; take a shorter one for bars of
+    minutes) folded from 0 needs only (1 - alpha)^k times what comes before it. So
+    a first pass makes one row for each symbol and chunk, these carries are folded
+    by symbol, and a second pass runs the recursion itself in each chunk from its
+    carry. All of it is array functions in the JVM, and no task holds more of a
+    symbol than a chunk and the carries.
     """
     chunk = F.date_trunc("month", F.col("ts")) if chunk is None else chunk
-    base = df.withColumns({"_chunk": chunk.cast("string"), "_x": F.col(value).cast("double")})
-    names = [f"ewm_{s}" for s in spans]
-    schema = df.schema.names
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def local(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        x = pdf["_x"].to_numpy(float)
-        known = x == x
-        for s, name in zip(spans, names):
-            a, y, out = 2.0 / (s + 1), 0.0, []
-            for v, k in zip(x.tolist(), known.tolist()):
-                y = y + a * (v - y) if k else y
-                out.append(y)
-            pdf[name] = out
-        pdf["_k"] = known.cumsum()
-        return pdf[[*schema, "_chunk", "_x", "_k", *names]]
-
-    folded = base.groupBy("symbol", "_chunk").applyInPandas(local, f"{kinds}, _chunk string, _x double, _k long, " + ", ".join(f"{n} double" for n in names))
-    last = folded.groupBy("symbol", "_chunk").agg(F.max("_k").alias("m"), F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col("ts"))).alias("first"), *[F.max_by(n, "ts").alias(n) for n in names])
-
-    def carry(pdf):
-        pdf = pdf.sort_values("_chunk", kind="stable")
-        for s, name in zip(spans, names):
-            a, y, out, before = 2.0 / (s + 1), None, [], []
-            for m, first, end in zip(pdf["m"], pdf["first"], pdf[name]):
-                before.append(y is not None)
-                if y is None and first == first and first is not None:
-                    y = float(first)
-                out.append(y)
-                if y is not None:
-                    y = (1 - a) ** m * y + end
-            pdf[f"carry_{s}"], pdf["_before"] = out, before
-        return pdf[["symbol", "_chunk", "_before", *[f"carry_{s}" for s in spans]]]
-
-    carries = last.groupBy("symbol").applyInPandas(carry, "symbol string, _chunk string, _before boolean, " + ", ".join(f"carry_{s} double" for s in spans))
-    whole = folded.join(carries.withColumnsRenamed({"symbol": "_s", "_chunk": "_c"}), (F.col("symbol") == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    filled = {n: F.when((F.col("_k") > 0) | F.col("_before"), F.col(n) + F.pow(F.lit(1 - 2.0 / (s + 1)), F.col("_k")) * F.col(f"carry_{s}")) for s, n in zip(spans, names)}
-    return whole.withColumns(filled).select(*schema, *names)
+    alphas = [2.0 / (s + 1) for s in spans]
+    row = F.struct("ts", F.col(value).cast("double").alias("x"), *[c for c in df.columns if c not in ("symbol", "ts")])
+    chunks = df.groupBy("symbol", chunk.alias("_chunk")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    ys = lambda make: F.struct(*[make(i, a).alias(f"y{i}") for i, a in enumerate(alphas)])
+    known = F.filter("_rows", lambda r: r.x.isNotNull())
+    local = F.aggregate(known, ys(lambda i, a: F.lit(0.0)), lambda y, r: ys(lambda i, a: y[f"y{i}"] + a * (r.x - y[f"y{i}"])))
+    summary = chunks.select("symbol", "_chunk", F.size(known).alias("k"), F.try_element_at(known, F.lit(1))["x"].alias("first"), local.alias("local"))
+    ends = summary.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_chunk", "k", "first", "local"))).alias("ends"))
+
+    def through(y, e):
+        seed = lambda i: F.coalesce(y["y"][f"y{i}"], e["first"])
+        new = ys(lambda i, a: F.when(e["k"] > 0, F.pow(F.lit(1 - a), e["k"]) * seed(i) + e["local"][f"y{i}"]).otherwise(y["y"][f"y{i}"]))
+        return F.struct(new.alias("y"), F.concat(y["out"], F.array(F.struct(e["_chunk"].alias("c"), y["y"].alias("y")))).alias("out"))
+
+    kind = "struct<" + ",".join(f"y{i}:double" for i in range(len(spans))) + ">"
+    none = F.from_json(F.lit("{}"), kind)
+    chunk_type = chunks.schema["_chunk"].dataType.simpleString()
+    start = F.struct(none.alias("y"), F.array().cast(f"array<struct<c:{chunk_type},y:{kind}>>").alias("out"))
+    carries = ends.select("symbol", F.explode(F.aggregate("ends", start, through)["out"]).alias("e")).select(F.col("symbol").alias("_s"), F.col("e.c").alias("_c"), F.col("e.y").alias("_y"))
+    joined = chunks.join(carries, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+
+    def run(acc, r):
+        step = ys(lambda i, a: F.when(r.x.isNull(), acc["y"][f"y{i}"]).otherwise(F.when(acc["y"][f"y{i}"].isNull(), r.x).otherwise(acc["y"][f"y{i}"] + a * (r.x - acc["y"][f"y{i}"]))))
+        return F.struct(step.alias("y"), F.concat(acc["out"], F.array(step)).alias("out"))
+
+    out = F.aggregate("_rows", F.struct(F.col("_y").alias("y"), F.array().cast(f"array<{kind}>").alias("out")), run)["out"]
+    each = joined.select("symbol", F.explode(F.arrays_zip(F.col("_rows").alias("r"), out.alias("v"))).alias("e"))
+    columns = [F.col("symbol") if c == "symbol" else F.col(f"e.r.{c}").alias(c) for c in df.columns]
+    return each.select(*columns, *[F.col(f"e.v.y{i}").alias(f"{prefix}_{s}") for i, s in enumerate(spans)])
 
 
 def row_mean(columns: list[Column]) -> Column:

@@ -2,66 +2,110 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, zscore
+from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, with_z, zscore
 
 YEAR = math.sqrt(252 * 24)
 
 
-def bollinger(bars: DataFrame, period: int = 20, sigmas: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Bands of mean and standard deviation, touches, widths, positions, true range and implied volatility."""
+def true_range() -> Column:
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close")))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.try_divide(part, whole) * 100
+
+
+def tag(level: float) -> str:
+    return str(level).replace(".", "p")
+
+
+def bollinger(bars: DataFrame, period: int = 20, sigmas: tuple[int, ...] = (1, 2, 3, 4), levels: tuple[float, ...] = (1.8, 2.0, 2.5, 3.0)) -> DataFrame:
+    """Bands of mean and standard deviation with touches, times since, widths, positions and distances; bands of the mean true range and of the implied volatility; z-scores."""
     s = numbered(shifted(bars, ["high", "low", "close"]))
-    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close")))
-    s = s.withColumns({"mean": roll(F.avg, "close", period), "sd": roll(F.stddev_samp, "close", period), "tr": tr})
+    s = s.withColumns({"mean": roll(F.avg, "close", period), "sd": roll(F.stddev_samp, "close", period), "tr": true_range()})
     s = s.withColumns({"atr": roll(F.avg, "tr", period), "ivol": F.try_divide(F.col("sd"), F.col("mean")) * YEAR})
-    out = ["symbol", "ts", "mean", "sd", "tr", "atr", "ivol"]
+    c, mean, out = F.col("close"), F.col("mean"), {"atr_pct": F.bround(percent(F.col("atr"), F.col("close")), 4)}
     for k in sigmas:
-        up, down = F.col("mean") + k * F.col("sd"), F.col("mean") - k * F.col("sd")
-        s = s.withColumns({f"width_{k}": F.try_divide(up - down, F.col("mean")) * 100, f"position_{k}": F.try_divide(F.col("close") - down, up - down) * 100, f"touch_up_{k}": flag(F.col("high") >= up), f"touch_down_{k}": flag(F.col("low") <= down)})
-        out += [f"width_{k}", f"position_{k}", f"touch_up_{k}", f"touch_down_{k}"]
-    s = s.withColumns({f"z_width_{k}": zscore(f"width_{k}", 168) for k in sigmas} | {f"since_up_{k}": time_since(F.col(f"touch_up_{k}") == 1) for k in sigmas})
-    return s.select(*out, *[f"z_width_{k}" for k in sigmas], *[f"since_up_{k}" for k in sigmas])
+        up, down = mean + k * F.col("sd"), mean - k * F.col("sd")
+        out |= {f"upper_{k}": up, f"lower_{k}": down, f"width_{k}": percent(up - down, mean), f"position_{k}": F.bround(percent(c - down, up - down), 2), f"to_upper_{k}": F.bround(percent(up - c, c), 4), f"to_lower_{k}": F.bround(percent(c - down, c), 4), f"touch_up_{k}": flag(F.col("high") >= up), f"touch_down_{k}": flag(F.col("low") <= down)}
+    for k in levels:
+        for name, half in (("atr", F.col("atr") * k), ("ivol", mean * F.col("ivol") * k)):
+            up, down = mean + half, mean - half
+            out |= {f"{name}_upper_{tag(k)}": up, f"{name}_lower_{tag(k)}": down, f"{name}_position_{tag(k)}": F.bround(percent(c - down, up - down), 2)}
+    s = s.withColumns(out)
+    since = {f"since_{side}_{k}": time_since(F.col(f"touch_{side}_{k}") == 1) for k in sigmas for side in ("up", "down")}
+    s = with_z(s.withColumns(since), [*[f"{m}_{k}" for k in sigmas for m in ("width", "position")], "atr", "ivol"])
+    return s.drop("rn", "high", "low", "close")
+
+
+def level_tests(df: DataFrame, column: str, low: tuple[int, ...], high: tuple[int, ...]) -> DataFrame:
+    """For each level of a column from 0 to 100: whether it is there (at or under a low level, at or over a high one), how long ago it was, and how far it is beyond."""
+    x, out = F.col(column), {}
+    for v, low_side in [(v, True) for v in low] + [(v, False) for v in high]:
+        there = x <= v if low_side else x >= v
+        beyond = F.least(x - v, F.lit(0.0)) if low_side else F.greatest(x - v, F.lit(0.0))
+        out |= {f"{column}_at_{v}": flag(there), f"{column}_since_{v}": time_since(there), f"{column}_beyond_{v}": F.when(x.isNotNull(), beyond)}
+    return df.withColumns(out)
+
 
+LOW, HIGH = (20, 30, 40), (60, 70, 80)
 
-def rsi(bars: DataFrame, period: int = 14, low: int = 30, high: int = 70) -> DataFrame:
-    """Relative strength by simple means; a period without losses is 100, one without moves NULL."""
+
+def rsi(bars: DataFrame, period: int = 14, low: tuple[int, ...] = LOW, high: tuple[int, ...] = HIGH) -> DataFrame:
+    """Relative strength by simple means, its change, levels and z-scores; a period without losses is 100, one without moves NULL."""
     s = numbered(shifted(bars, ["close"])).withColumn("d", diff("close"))
     gain, loss = F.when(F.col("d") > 0, F.col("d")).otherwise(0.0), F.when(F.col("d") < 0, -F.col("d")).otherwise(0.0)
     s = s.withColumns({"g": roll(F.avg, gain, period), "l": roll(F.avg, loss, period)})
     s = s.withColumn("rsi", F.when(F.col("l") == 0, F.when(F.col("g") > 0, 100.0)).otherwise(100 - 100 / (1 + F.try_divide(F.col("g"), F.col("l")))))
-    under, over = F.col("rsi") <= low, F.col("rsi") >= high
-    clip = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
-    return s.select("symbol", "ts", "rsi", diff("rsi").alias("change"), flag(under).alias("oversold"), flag(over).alias("overbought"), time_since(under).alias("since_oversold"), clip(low - F.col("rsi")).alias("below"), clip(F.col("rsi") - high).alias("above"), zscore("rsi", 168).alias("z_rsi"))
+    s = level_tests(s.withColumn("change", diff("rsi")), "rsi", low, high)
+    return with_z(s, ["rsi", "change"]).drop("rn", "close", "d", "g", "l")
 
 
-def stochastic(bars: DataFrame, k: int = 12, d: int = 3, smooth: int = 3, low: int = 20, high: int = 80) -> DataFrame:
+def stochastic(bars: DataFrame, k: int = 12, d: int = 3, smooth: int = 3, low: tuple[int, ...] = LOW, high: tuple[int, ...] = HIGH) -> DataFrame:
+    """Place of the close in the range of k rows, smoothed, with its mean over d rows: crossings, levels, changes, z-scores. A flat range is NULL."""
     s = numbered(shifted(bars, ["high", "low", "close"]))
     lowest, highest = roll(F.min, "low", k), roll(F.max, "high", k)
     s = s.withColumn("raw", F.try_divide(100 * (F.col("close") - lowest), highest - lowest))
-    s = s.withColumn("k", roll(F.avg, "raw", smooth)).withColumn("d", roll(F.avg, "k", d)).withColumn("x", cross("k", "d"))
-    return s.select("symbol", "ts", "k", "d", F.col("x").alias("cross"), time_since(F.col("x") == 1).alias("since_up"), flag(F.col("k") <= low).alias("k_low"), flag(F.col("k") >= high).alias("k_high"), diff("k").alias("k_change"), zscore("k", 168).alias("z_k"))
+    s = s.withColumn("k", roll(F.avg, "raw", smooth) if smooth > 1 else F.col("raw")).withColumn("d", roll(F.avg, "k", d)).withColumn("cross", cross("k", "d"))
+    s = s.withColumns({"since_up": time_since(F.col("cross") == 1), "since_down": time_since(F.col("cross") == -1), "k_change": diff("k"), "d_change": diff("d")})
+    s = level_tests(level_tests(s, "k", low, high), "d", low, high)
+    return with_z(s, ["k", "d", "k_change", "d_change"]).drop("rn", "high", "low", "close", "raw")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Difference of two exponential means, its own mean, their crossings. Both lines have 9 decimals, so that equal means cross nothing."""
+    """Difference of two exponential means (line), its own mean (signal), their difference (hist); crossings and times since, changes, z-scores."""
     s = ewm(shifted(bars, ["close"]), "close", [fast, slow])
-    s = s.withColumn("line", F.round(F.col(f"ewm_{fast}") - F.col(f"ewm_{slow}"), 9)).select("symbol", "ts", "line")
-    s = numbered(ewm(s, "line", [signal]).withColumn("signal", F.round(f"ewm_{signal}", 9))).withColumn("hist", F.col("line") - F.col("signal")).withColumn("x", cross("line", "signal"))
-    return s.select("symbol", "ts", "line", "signal", "hist", F.col("x").alias("cross"), cross("line", F.lit(0.0)).alias("zero_cross"), time_since(F.col("x") == 1).alias("since_up"), diff("hist").alias("hist_change"), zscore("hist", 168).alias("z_hist"))
+    s = s.withColumn("line", F.col(f"ewm_{fast}") - F.col(f"ewm_{slow}")).select("symbol", "ts", "line")
+    s = numbered(ewm(s, "line", [signal], prefix="mean").withColumnRenamed(f"mean_{signal}", "signal")).withColumn("hist", F.col("line") - F.col("signal"))
+    s = s.withColumns({"cross": cross("line", "signal"), "zero_cross": cross("line", F.lit(0.0))} | {f"{c}_change": diff(c) for c in ("line", "signal", "hist")})
+    since = {f"since_{n}{side}": time_since(F.col(c) == sign) for n, c in (("", "cross"), ("zero_", "zero_cross")) for side, sign in (("up", 1), ("down", -1))}
+    return with_z(s.withColumns(since), ["line", "signal", "hist", "line_change", "signal_change", "hist_change"]).drop("rn")
 
 
 def candles(bars: DataFrame, doji: float = 0.1, wick: float = 2.0, period: int = 20) -> DataFrame:
+    """Patterns of one to three candles with strengths, how many bullish and bearish ones of late, volume against its mean, z-scores."""
     s = shifted(bars, ["open", "high", "low", "close", "volume"])
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    s = s.withColumns({"body": F.abs(c - o), "upper": h - F.greatest(o, c), "lower": F.least(o, c) - lo, "range": h - lo, "bull": flag(c > o), "bear": flag(c < o)})
-    s = s.withColumns({"mean_body": F.avg("body").over(frame(period)), "mean_volume": F.avg("volume").over(frame(period))})
-    engulf = flag((F.col("bull") == 1) & (lag("bear") == 1) & (c > lag("open")) & (o < lag("close")))
-    three = flag((F.col("bull") == 1) & (lag("bull") == 1) & (lag("bull", 2) == 1) & (c > lag("close")) & (lag("close") > lag("close", 2)))
-    s = s.withColumns({"doji": flag(F.col("body") <= F.col("mean_body") * doji), "hammer": flag((F.col("lower") > F.col("body") * wick) & (F.col("upper") < F.col("body"))), "star": flag((F.col("upper") > F.col("body") * wick) & (F.col("lower") < F.col("body"))), "engulfing": engulf, "three_white": three, "bulls": F.sum("bull").over(frame(period)), "bears": F.sum("bear").over(frame(period)), "intensity": F.try_divide(F.col("volume"), F.col("mean_volume"))})
-    s = s.withColumn("cluster", F.col("doji") + F.col("hammer") + F.col("star") + F.col("engulfing") + F.col("three_white"))
-    return s.select("symbol", "ts", "body", "upper", "lower", "range", "doji", "hammer", "star", "engulfing", "three_white", "bulls", "bears", "intensity", "cluster", zscore("intensity", 168).alias("z_intensity"))
+    s = s.withColumns({"body": c - o, "size": F.abs(c - o), "upper": h - F.greatest(o, c), "lower": F.least(o, c) - lo, "range": h - lo})
+    s = s.withColumn("mean_size", F.avg("size").over(frame(period)))
+    b, b1, b2, c1, c2, o1 = F.col("body"), lag("body"), lag("body", 2), lag("close"), lag("close", 2), lag("open")
+    s = s.withColumns({
+        "doji": flag(F.col("size") <= F.col("mean_size") * doji), "hammer": flag((F.col("lower") > F.col("size") * wick) & (F.col("upper") < F.col("size")) & (b > 0)), "star": flag((F.col("upper") > F.col("size") * wick) & (F.col("lower") < F.col("size")) & (b < 0)),
+        "bull_engulfing": flag((b1 < 0) & (b > 0) & (o <= c1) & (c >= o1)), "bear_engulfing": flag((b1 > 0) & (b < 0) & (o >= c1) & (c <= o1)),
+        "three_white": flag((b > 0) & (b1 > 0) & (b2 > 0) & (c > c1) & (c1 > c2)), "three_black": flag((b < 0) & (b1 < 0) & (b2 < 0) & (c < c1) & (c1 < c2)),
+    })
+    any_ = lambda *names: F.greatest(*[F.col(n) for n in names])
+    s = s.withColumns({"hammer_strength": F.when(F.col("hammer") == 1, F.try_divide(F.col("lower"), F.col("size"))).otherwise(0.0), "star_strength": F.when(F.col("star") == 1, F.try_divide(F.col("upper"), F.col("size"))).otherwise(0.0), "bullish_count": F.sum(any_("hammer", "bull_engulfing", "three_white")).over(frame(period)).cast("double"), "bearish_count": F.sum(any_("star", "bear_engulfing", "three_black")).over(frame(period)).cast("double"), "intensity": F.try_divide(F.col("volume"), roll(F.avg, "volume", period))})
+    s = s.withColumn("cluster", F.col("bullish_count") + F.col("bearish_count"))
+    return with_z(s, ["hammer_strength", "star_strength", "bullish_count", "bearish_count", "intensity", "cluster"]).drop("open", "high", "low", "close", "volume", "mean_size")
+
+
+#: Hours of sessions, over midnight where the start is later; fixed values.
 
 
 SESSIONS = {"asia": (22, 7), "london": (8, 16), "us": (14, 21)}
@@ -107,13 +151,15 @@ def ath_atl(bars: DataFrame) -> DataFrame:
     return s.select("symbol", "ts", "ath", "atl", "to_ath", "to_atl", F.coalesce(time_since(F.col("high") >= F.col("ath")), n).alias("since_ath"), F.coalesce(time_since(F.col("low") <= F.col("atl")), n).alias("since_atl"))
 
 
-def volume_rolling(bars: DataFrame, widths: tuple[int, ...] = (4, 24, 168)) -> DataFrame:
+def volume_rolling(bars: DataFrame, widths: tuple[int, ...] = (1, 4, 12, 24, 48, 72, 168)) -> DataFrame:
+    """Over each width: volume, bought volume, its share, peak against mean, momentum (change times excess of the share) and its change."""
     s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumnsRenamed({"quote_volume": "v", "taker_buy_quote_volume": "b"})
+    first = {}
     for w in widths:
         total, buy = F.sum("v").over(frame(w)), F.sum("b").over(frame(w))
-        s = s.withColumns({f"sum_{w}": total, f"buy_{w}": buy, f"ratio_{w}": buy / (total + 1e-10), f"peak_{w}": F.max("v").over(frame(w)) / (F.avg("v").over(frame(w)) + 1e-10)})
-        s = s.withColumn(f"momentum_{w}", pct_change("v", w) * (F.col(f"ratio_{w}") - 0.5))
-    return s.drop("v", "b")
+        first |= {f"sum_{w}": total, f"buy_{w}": buy, f"ratio_{w}": buy / (total + 1e-10), f"peak_{w}": F.max("v").over(frame(w)) / (F.avg("v").over(frame(w)) + 1e-10)}
+    s = s.withColumns(first).withColumns({f"momentum_{w}": pct_change("v", w) * (F.col(f"ratio_{w}") - 0.5) for w in widths})
+    return s.withColumns({f"acceleration_{w}": pct_change(f"momentum_{w}") for w in widths}).drop("v", "b")
 
 
 def volume_by_season(bars: DataFrame) -> DataFrame:
@@ -124,59 +170,110 @@ def volume_by_season(bars: DataFrame) -> DataFrame:
     return s.select("symbol", "ts", "season", total.alias("total"), buy.alias("buy"), F.try_divide(buy, total).alias("ratio"), F.try_divide(F.max("quote_volume").over(season), F.avg("quote_volume").over(season)).alias("concentration"))
 
 
-def volume_momentum(bars: DataFrame, periods: tuple[int, ...] = (5, 20), widths: tuple[int, ...] = (24, 72)) -> DataFrame:
+def volume_momentum(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
+    """Changes of volume, of the bought share and of rolling volume over each period; volumes against their means over each width; z-scores of all."""
     s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumn("r", F.try_divide(F.col("taker_buy_quote_volume"), F.col("quote_volume")))
     s = s.withColumns({f"sum_{p}": roll(F.sum, "quote_volume", p) for p in periods})
     out = {}
     for p in periods:
-        out |= {f"volume_{p}": pct_change("quote_volume", p), f"buy_ratio_{p}": pct_change("r", p), f"total_{p}": pct_change(f"sum_{p}", p)}
+        out |= {f"volume_{p}": pct_change("quote_volume", p), f"buy_ratio_{p}": pct_change("r", p), f"total_{p}": pct_change(f"sum_{p}")}
     for w in widths:
         out |= {f"relative_{w}": F.try_divide(F.col("quote_volume"), roll(F.avg, "quote_volume", w)), f"buy_relative_{w}": F.try_divide(F.col("taker_buy_quote_volume"), roll(F.avg, "taker_buy_quote_volume", w))}
-    s = s.withColumns(out)
-    return s.select("symbol", "ts", *out, zscore(f"relative_{widths[0]}", 168).alias("z_relative"))
+    return with_z(s.withColumns(out), list(out)).select("symbol", "ts", *out, *[f"{c}_z{n}" for c in out for n in (168, 720)])
 
 
-def vwap(bars: DataFrame, period: int = 24, mults: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
+def vwap(bars: DataFrame, period: int = 20, mults: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """Volume-weighted price with bands; sees its own bar. The deviation needs a second window over the first one's result."""
     s = bars.select("symbol", "ts", "close", F.col("quote_volume").alias("v"), ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("tp"))
     s = s.withColumn("vwap", F.try_divide(roll(F.sum, F.col("tp") * F.col("v"), period), roll(F.sum, "v", period)))
     dev = roll(F.sum, F.pow(F.col("tp") - F.col("vwap"), 2) * F.col("v"), period)
     s = s.withColumn("sd", F.sqrt(F.try_divide(dev, roll(F.sum, "v", period))))
-    bands = [x for m in mults for x in ((F.col("vwap") + m * F.col("sd")).alias(f"upper_{int(m)}"), (F.col("vwap") - m * F.col("sd")).alias(f"lower_{int(m)}"), F.try_divide(F.col("close") - F.col("vwap"), m * F.col("sd")).alias(f"position_{int(m)}"))]
+    bands = [x for m in mults for x in ((F.col("vwap") + m * F.col("sd")).alias(f"upper_{tag(m)}"), (F.col("vwap") - m * F.col("sd")).alias(f"lower_{tag(m)}"), F.try_divide(F.col("close") - F.col("vwap"), m * F.col("sd")).alias(f"position_{tag(m)}"))]
     return s.select("symbol", "ts", "vwap", "sd", *bands)
 
 
-def volume_profile(bars: DataFrame, period: int = 24, bins: int = 20, area: float = 0.7) -> DataFrame:
-    """Histogram of typical price weighted by volume over the last rows: point of control and value area. Ties go to the lower price."""
+NODES = 3
+
+
+def profile_of(p: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, bins: int, area: float, much: float, little: float) -> np.ndarray:
+    """Rows of prices and volumes (n x period) with their bounds to point of control, value area (low, high) and the NODES largest and smallest nodes; NaN where there is none.
+
+    Equal bins from low to high, the last closed on the right, weighted by volume
+    and smoothed over three bins. The value area takes bins by falling volume as
+    long as their sum is within the area. Ties go to the lower price.
+    """
+    n, step = len(p), (high - low) / bins
+    at = np.clip(np.floor((p - low[:, None]) / step[:, None]), 0, bins - 1).astype(np.int64)
+    raw = np.bincount((at + np.arange(n)[:, None] * bins).ravel(), v.ravel(), n * bins).reshape(n, bins)
+    wide = np.pad(raw, ((0, 0), (1, 1)))
+    hist = (wide[:, :-2] + wide[:, 1:-1] + wide[:, 2:]) / 3
+    price = low[:, None] + (np.arange(bins) + 0.5) * step[:, None]
+    falling, rising = np.argsort(-hist, axis=1, kind="stable"), np.argsort(hist, axis=1, kind="stable")
+    take = lambda order: np.take_along_axis(price, order, 1)
+    by_volume = np.take_along_axis(hist, falling, 1)
+    inside = np.cumsum(by_volume, axis=1) <= area * hist.sum(axis=1, keepdims=True)
+    ordered = take(falling)
+    out = [ordered[:, 0], np.where(inside.any(axis=1), np.where(inside, ordered, np.inf).min(axis=1), np.nan), np.where(inside.any(axis=1), np.where(inside, ordered, -np.inf).max(axis=1), np.nan)]
+    mean = hist.mean(axis=1)
+    large, small = by_volume[:, :NODES] >= much * mean[:, None], np.take_along_axis(hist, rising, 1)[:, :NODES] <= little * mean[:, None]
+    nodes = [np.where(large, ordered[:, :NODES], np.nan), np.where(small, take(rising)[:, :NODES], np.nan)]
+    return np.column_stack([*out, *nodes])
+
+
+def volume_profile(bars: DataFrame, period: int = 24, bins: int = 100, area: float = 0.7, much: float = 1.5, little: float = 0.5) -> DataFrame:
+    """Histogram of typical price by volume over the last rows: point of control, value area, nodes of much and little volume, their distances to the close, z-scores. Rows without a full frame, or whose frame has one price, have NULL."""
     s = shifted(bars, ["high", "low", "close", "quote_volume"])
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
     s = s.withColumns({"rows": F.collect_list(F.struct(tp.alias("p"), F.col("quote_volume").alias("v"))).over(frame(period)), "bottom": roll(F.min, "low", period), "top": roll(F.max, "high", period)})
-    s = s.where(F.col("bottom").isNotNull() & (F.col("top") > F.col("bottom"))).withColumn("step", (F.col("top") - F.col("bottom")) / bins)
-    at = lambda r: F.least(F.floor((r.p - F.col("bottom")) / F.col("step")), F.lit(bins - 1)).cast("int")
-    s = s.withColumn("binned", F.transform("rows", lambda r: F.struct(at(r).alias("i"), r.v.alias("v"))))
-    hist = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(F.aggregate(F.filter("binned", lambda r: r.i == i), F.lit(0.0), lambda a, r: a + r.v).alias("v"), (-i).alias("n")))
-    s = s.withColumn("ranked", F.sort_array(hist, asc=False)).withColumn("total", F.aggregate("ranked", F.lit(0.0), lambda a, r: a + r.v))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    grow = lambda a, r: F.when(a.c + r.v <= area * F.col("total"), F.struct((a.c + r.v).alias("c"), F.least(a.lo, -r.n).alias("lo"), F.greatest(a.hi, -r.n).alias("hi"))).otherwise(F.struct(F.lit(1e300).alias("c"), a.lo.alias("lo"), a.hi.alias("hi")))
-    s = s.withColumn("va", F.aggregate("ranked", start, grow))
-    price = lambda i: F.col("bottom") + (i + 0.5) * F.col("step")
-    poc = price(-F.col("ranked")[0].n)
-    return s.select("symbol", "ts", poc.alias("poc"), price(F.col("va.lo")).alias("va_low"), price(F.col("va.hi")).alias("va_high"), (F.try_divide(F.col("close") - poc, poc) * 100).alias("to_poc"))
-
-
-def price_levels(bars: DataFrame, step: float = 5.0, period: int = 20) -> DataFrame:
-    """Nearest level of a grid strictly above and below the close; touches of the level below; centred support and resistance (looks ahead)."""
-    s = shifted(bars, ["high", "low", "close"])
+    ready = (F.size("rows") == period) & (F.col("top") > F.col("bottom")) & F.forall("rows", lambda r: r.p.isNotNull() & r.v.isNotNull())
+    s = s.withColumn("rows", F.when(ready, F.col("rows")))
+    names = ["poc", "va_low", "va_high", *[f"hvn_{i + 1}" for i in range(NODES)], *[f"lvn_{i + 1}" for i in range(NODES)]]
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("rows")
+            known = np.flatnonzero(rows.is_valid())
+            values = np.full((len(batch), len(names)), np.nan)
+            if len(known):
+                flat = rows.take(pa.array(known)).flatten()
+                p, v = (flat.field(i).to_numpy(zero_copy_only=False).reshape(len(known), period) for i in (0, 1))
+                low, high = (batch.column(c).to_numpy(zero_copy_only=False)[known] for c in ("bottom", "top"))
+                values[known] = profile_of(p, v, low, high, bins, area, much, little)
+            found = [pa.array(x, mask=np.isnan(x)) for x in values.T]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("symbol", "ts", "close")], *found], ["symbol", "ts", "close", *names])
+
+    s = s.mapInArrow(run, "symbol string, ts timestamp_ntz, close double, " + ", ".join(f"{n} double" for n in names))
     c = F.col("close")
-    below = F.when(F.pmod(c, F.lit(step)) == 0, c - step).otherwise(F.floor(c / step) * step)
-    s = s.withColumns({"below": below, "above": (F.floor(c / step) + 1) * step})
-    centred = by_symbol().rowsBetween(-(period // 2), period // 2 - 1)
-    s = s.withColumns({"touch": flag((F.col("low") <= F.col("below") * 1.01) & (F.col("high") >= F.col("below") * 0.99)), "support": F.when(F.count("low").over(centred) >= period, F.min("low").over(centred)), "resistance": F.when(F.count("high").over(centred) >= period, F.max("high").over(centred))})
-    return s.select("symbol", "ts", "below", "above", (F.try_divide(F.col("above") - c, c) * 100).alias("to_above"), (F.try_divide(c - F.col("below"), c) * 100).alias("to_below"), roll(F.sum, "touch", period).alias("strength"), "support", "resistance")
+    away = {f"to_{n}": F.bround(percent(F.col(n) - c, c), 4) for n in names} | {"va_width": F.bround(percent(F.col("va_high") - F.col("va_low"), c), 4)}
+    return with_z(s.withColumns(away), list(away)).drop("close")
+
+
+#: Round prices; fixed values.
+MAJOR, MINOR = (1000.0, 5000.0, 10000.0, 20000.0, 30000.0, 40000.0, 50000.0), (1000.0, 2000.0, 3000.0, 4000.0, 5000.0)
+
+
+def touches(level: Column, period: int, margin: float) -> Column:
+    """How many of the last rows reach each row's own level within the margin; NULL without a full frame."""
+    return roll(F.sum, flag((F.col("low") <= level * (1 + margin)) & (F.col("high") >= level * (1 - margin))).cast("double"), period)
+
+
+def price_levels(bars: DataFrame, period: int = 20, major: tuple[float, ...] = MAJOR, minor: tuple[float, ...] = MINOR, margin: float = 0.01) -> DataFrame:
+    """Nearest major and minor level strictly over and under the close, their distances and touches, levels near the close, centred support and resistance (looks ahead), z-scores of distances."""
+    s = shifted(bars, ["high", "low", "close"])
+    c, found = F.col("close"), {}
+    for name, values in (("major", major), ("minor", minor)):
+        given = F.array(*[F.lit(float(v)) for v in values])
+        found |= {f"{name}_up": F.array_min(F.filter(given, lambda v: v > c)), f"{name}_down": F.array_max(F.filter(given, lambda v: v < c)), f"{name}_cluster": F.coalesce(F.size(F.filter(given, lambda v: (v >= c * (1 - margin)) & (v <= c * (1 + margin)))), F.lit(0))}
+    centred = by_symbol().rowsBetween(-(period // 2), (period - 1) // 2)
+    found |= {"resistance": F.when(F.count("high").over(centred) >= period, F.max("high").over(centred)), "support": F.when(F.count("low").over(centred) >= period, F.min("low").over(centred))}
+    s = s.withColumns(found)
+    names = ["major_up", "major_down", "minor_up", "minor_down", "resistance", "support"]
+    s = s.withColumns({f"to_{n}": F.bround(percent(F.col(n) - c, c), 4) for n in names} | {f"{n}_strength": touches(F.col(n), period, margin) for n in names})
+    return with_z(s, [f"to_{n}" for n in names]).drop("high", "low", "close")
 
 
 def market_structure(bars: DataFrame, p: int = 5) -> DataFrame:
-    """Swing highs and lows over p rows to either side (looks ahead), higher highs and so on, breaks and trend."""
+    """Swing highs and lows over p rows to either side (looks ahead) and how far they stand out, higher highs and so on, breaks, trend, z-scores."""
     s = numbered(shifted(bars, ["high", "low"]))
     n = F.count("*").over(Window.partitionBy("symbol"))
     around = by_symbol().rowsBetween(-p, p)
@@ -189,42 +286,113 @@ def market_structure(bars: DataFrame, p: int = 5) -> DataFrame:
     near, wide = by_symbol().rowsBetween(-p, -1), by_symbol().rowsBetween(-2 * p + 1, 0)
     up, down = (F.col("hh") == 1) & (F.max("hl").over(near) == 1), (F.col("ll") == 1) & (F.max("lh").over(near) == 1)
     bulls, bears = F.sum(F.col("hh") + F.col("hl")).over(wide), F.sum(F.col("lh") + F.col("ll")).over(wide)
-    return s.select("symbol", "ts", "sh", "sl", "hh", "lh", "ll", "hl", F.when(down, -1).when(up, 1).otherwise(0).alias("structure_break"), F.signum((bulls - bears).cast("double")).cast("int").alias("trend"))
-
-
-def streaks(bars: DataFrame, period: int = 20) -> DataFrame:
-    """Signed length of runs of rises or falls (flat rows carry on), and running counts of large ranges and volumes."""
-    s = shifted(bars, ["high", "low", "close", "quote_volume"])
-    s = s.withColumns({"s": F.signum(pct_change("close")).cast("int"), "range": F.col("high") - F.col("low")})
+    span = F.max("high").over(around) - F.min("low").over(around)
+    mean = lambda c: F.avg(c).over(around)
+    strength = lambda c, m, gap: F.when((F.col(m) == 1) & (span > 0), F.bround(gap / span * 100, 2)).otherwise(0.0)
+    s = s.withColumns({"high_strength": strength("high", "sh", F.col("high") - mean("high")), "low_strength": strength("low", "sl", mean("low") - F.col("low"))})
+    strong = {f"strong_{side}_{tag(t)}": flag(F.col(f"{side}_strength") > t) for side in ("high", "low") for t in (1.5, 2.0, 2.5)}
+    s = with_z(s.withColumns(strong | {"broken": F.when(down, -1).when(up, 1).otherwise(0), "trend": F.signum((bulls - bears).cast("double")).cast("int")}), ["high_strength", "low_strength"])
+    return s.withColumnRenamed("broken", "structure_break").drop("rn", "high", "low")
+
+
+def streaks(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 100), threshold: float = 0.5, busy: float = 1.5) -> DataFrame:
+    """Signed length of runs of rises or falls (flat rows carry on), the return of a run on its last row (looks ahead by one), running counts of true ranges and volumes well over their means, both together, z-scores."""
+    s = numbered(shifted(bars, ["high", "low", "close", "quote_volume"]))
+    s = s.withColumns({"s": F.signum(pct_change("close")).cast("int"), "tr": true_range()})
     s = s.withColumn("prev", F.last(F.when(F.col("s") != 0, F.col("s")), ignorenulls=True).over(earlier()))
     s = s.withColumn("island", F.sum(flag((F.col("s") != 0) & (F.col("prev").isNull() | (F.col("s") != F.col("prev"))))).over(so_far()))
     island = Window.partitionBy("symbol", "island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"streak": F.coalesce(F.sum("s").over(island), F.lit(0)), "large": flag(F.col("range") > roll(F.avg, "range", period) * 1.5), "busy": flag(F.col("quote_volume") > roll(F.avg, "quote_volume", period) * 1.5)})
-    return s.select("symbol", "ts", "streak", F.sum("large").over(so_far()).alias("large_ranges"), F.sum("busy").over(so_far()).alias("large_volumes"))
+    s = s.withColumn("price", F.coalesce(F.sum("s").over(island), F.lit(0)))
+    s = s.withColumn("ended", flag(F.abs(F.lead("price").over(by_symbol())) < F.abs("price")))
+    begun = F.max(F.when(lag("ended") == 1, F.col("rn"))).over(so_far())
+    s = s.withColumns({"length": F.abs("price"), "begun": F.coalesce(begun, F.lit(1))})
+    run = Window.partitionBy("symbol", "begun").orderBy("ts")
+    s = s.withColumn("returns", F.when(F.col("ended") == 1, F.coalesce(percent(F.col("close"), F.first("close").over(run)) - 100, F.lit(0.0))).otherwise(0.0))
+    hits = {}
+    for p in periods:
+        hits |= {f"volatility_{p}": flag(F.col("tr") > roll(F.avg, "tr", p) * (1 + threshold)), f"volume_{p}": flag(F.col("quote_volume") > roll(F.avg, "quote_volume", p) * busy)}
+    s = s.withColumns(hits).withColumns({c: F.sum(c).over(so_far()) for c in hits})
+    s = s.withColumns({f"combined_{p}": flag((F.col(f"volatility_{p}") > 0) & (F.col(f"volume_{p}") > 0)) for p in periods})
+    return with_z(s, ["length", "returns", *hits]).drop("rn", "high", "low", "close", "quote_volume", "s", "tr", "prev", "island", "ended", "begun")
 
 
-def volatility(bars: DataFrame, widths: tuple[int, ...] = (24, 168)) -> DataFrame:
-    """Parkinson and close-to-close range volatility, true range, their rolling means and a composite."""
-    s = shifted(bars, ["high", "low", "close"])
+def volatility(bars: DataFrame, widths: tuple[int, ...] = (24, 168, 720)) -> DataFrame:
+    """Parkinson and close-to-close range volatility, true range and true range weighted by volume, their means over each width, the mean of the four over the middle width, z-scores."""
+    s = shifted(bars, ["high", "low", "close", "quote_volume"])
     hl, cc = F.ln(F.try_divide(F.col("high"), F.col("low"))), F.ln(F.try_divide(F.col("close"), lag("close")))
     gk = 0.5 * hl * hl - (2 * math.log(2) - 1) * cc * cc
-    s = s.withColumns({"parkinson": F.sqrt(hl * hl / (4 * math.log(2))), "gk": F.when(gk >= 0, F.sqrt(gk)), "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close")))})
-    means = {f"{m}_{w}": roll(F.avg, m, w) for m in ("parkinson", "tr") for w in widths}
+    s = s.withColumns({"parkinson": F.sqrt(hl * hl / (4 * math.log(2))), "gk": F.when(gk >= 0, F.sqrt(gk)), "tr": true_range(), "busy": F.try_divide(F.col("quote_volume"), roll(F.avg, "quote_volume", widths[0]))})
+    s = s.withColumn("weighted", F.col("tr") * F.col("busy"))
+    kinds = ("parkinson", "gk", "tr", "weighted")
+    means = {f"{m}_{w}": roll(F.avg, m, w) for m in kinds for w in widths}
     s = s.withColumns(means)
-    return s.select("symbol", "ts", "parkinson", "gk", "tr", *means, row_mean([F.col(f"parkinson_{widths[0]}"), F.col(f"tr_{widths[0]}")]).alias("composite"))
+    s = s.withColumn("composite", row_mean([F.col(f"{m}_{widths[min(1, len(widths) - 1)]}") for m in kinds]))
+    return with_z(s, ["parkinson", "gk", "tr", "weighted", "composite"]).drop("high", "low", "close", "quote_volume", "busy")
+
+
+def mixture(df: DataFrame, value: str, parts: int = 3, rounds: int = 30) -> DataFrame:
+    """(symbol, part, weight, mean, var): a normal mixture of a column for each symbol, parts by rising mean.
+
+    Expectation and maximisation: each round is one aggregation over all rows by
+    symbol, from quantiles at first, so no task holds a symbol; what comes to the
+    driver is a row for each symbol. The seed is fixed, so reruns agree. A symbol
+    with fewer different values than parts gets parts that are alike.
+    """
+    x = df.where(F.col(value).isNotNull()).select("symbol", F.col(value).alias("x"))
+    cuts = ", ".join(str((i + 0.5) / parts) for i in range(parts))
+    first = x.groupBy("symbol").agg(F.expr(f"percentile(x, array({cuts}))").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v")).collect()
+    state = {r.symbol: [(1 / parts, m, max(r.v / parts, 1e-12)) for m in r.m] for r in first}
+    spark, schema = df.sparkSession, "symbol string, w array<double>, m array<double>, v array<double>"
+    for _ in range(rounds if state else 0):
+        table = spark.createDataFrame([(k, *map(list, zip(*p))) for k, p in state.items()], schema)
+        joined = x.join(F.broadcast(table), "symbol")  # a row for each symbol
+        logs = [F.ln(F.col("w")[i]) - 0.5 * F.ln(F.col("v")[i]) - F.pow(F.col("x") - F.col("m")[i], F.lit(2)) / (2 * F.col("v")[i]) for i in range(parts)]
+        joined = joined.select("symbol", "x", *[c.alias(f"l{i}") for i, c in enumerate(logs)]).withColumn("top", F.greatest(*[f"l{i}" for i in range(parts)]))
+        joined = joined.withColumns({f"e{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in range(parts)})
+        total = sum((F.col(f"e{i}") for i in range(1, parts)), F.col("e0"))
+        joined = joined.withColumns({f"r{i}": F.col(f"e{i}") / total for i in range(parts)})
+        sums = joined.groupBy("symbol").agg(F.count("*").alias("n"), *[f.alias(f"{k}{i}") for i in range(parts) for k, f in (("s", F.sum(f"r{i}")), ("a", F.sum(F.col(f"r{i}") * F.col("x"))), ("b", F.sum(F.col(f"r{i}") * F.col("x") * F.col("x"))))]).collect()
+        new = {}
+        for r in sums:
+            part = []
+            for i, old in enumerate(state[r.symbol]):
+                s, a, b = r[f"s{i}"], r[f"a{i}"], r[f"b{i}"]
+                part.append((s / r.n, a / s, max(b / s - (a / s) ** 2, 1e-12)) if s > 1e-9 else (1e-9, old[1], old[2]))
+            new[r.symbol] = part
+        moved = max((abs(a[1] - b[1]) for k in new for a, b in zip(new[k], state[k])), default=0.0)
+        state = new
+        if moved < 1e-10:
+            break
+    rows = [(k, i, *p) for k, ps in state.items() for i, p in enumerate(sorted(ps, key=lambda p: p[1]))]
+    return spark.createDataFrame(rows, "symbol string, part int, weight double, mean double, var double")
+
+
+def labelled_by_mixture(df: DataFrame, value: str, fitted: DataFrame) -> DataFrame:
+    """Add regime: the part that each value most likely comes from; NULL stays NULL."""
+    parts = fitted.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("part", "weight", "mean", "var"))).alias("_parts"))
+    score = F.transform("_parts", lambda p: F.struct((F.ln(p.weight) - 0.5 * F.ln(p["var"]) - F.pow(F.col(value) - p["mean"], F.lit(2)) / (2 * p["var"])).alias("s"), (-p.part).alias("n")))
+    return df.join(F.broadcast(parts), "symbol", "left").withColumn("regime", F.when(F.col(value).isNotNull(), -F.array_max(score)["n"])).drop("_parts")
+
+
+def regime_metrics(s: DataFrame, value: str = "x", width: int = 24) -> DataFrame:
+    """Of (symbol, ts, value, regime): rows that a regime has lasted, stability over 12 rows, deviation from the regime's mean, and how often it changed over width rows (the first row of a frame counts as a change)."""
+    changed = F.col("regime") != lag("regime")
+    s = s.withColumns({"changed": F.when(F.col("regime").isNotNull(), flag(changed)), "fresh": flag(F.col("regime").isNotNull() & lag("regime").isNull())})
+    s = s.withColumn("run", F.sum(F.coalesce("changed", F.lit(0)) + F.col("fresh")).over(so_far()))
+    run, same = Window.partitionBy("symbol", "run").orderBy("ts"), Window.partitionBy("symbol", "regime")
+    mean = F.avg(value).over(same)
+    known = F.col("regime").isNotNull()
+    changes = F.sum("changed").over(by_symbol().rowsBetween(-(width - 2), 0))
+    return s.select("symbol", "ts", "regime", F.when(known, F.row_number().over(run)).alias("duration"), (1 - roll(F.avg, F.col("changed").cast("double"), 12)).alias("stability"), F.when(known, F.try_divide(F.col(value) - mean, mean)).alias("intensity"), F.when(F.count("changed").over(frame(width)) >= width, (changes + 1) / width).alias("transition_prob"))
 
 
-def regimes(bars: DataFrame, width: int = 24) -> DataFrame:
-    """Regimes 0 to 2 by fixed bounds of the ratio of short to long volatility; how long each lasts, how stable it was, deviation from its mean."""
-    s = volatility(bars, (width, width * 7)).select("symbol", "ts", F.try_divide(F.col(f"tr_{width}"), F.col(f"tr_{width * 7}")).alias("x")).where("x is not null")
-    s = s.withColumn("regime", F.when(F.col("x") < 0.95, 0).when(F.col("x") < 1.05, 1).otherwise(2))
-    s = s.withColumn("changed", flag(F.col("regime") != lag("regime"))).withColumn("run", F.sum("changed").over(so_far()))
-    run, same = Window.partitionBy("symbol", "run").orderBy("ts"), Window.partitionBy("symbol", "regime")
-    mean = F.avg("x").over(same)
-    return s.select("symbol", "ts", "regime", F.row_number().over(run).alias("duration"), (1 - roll(F.avg, F.col("changed").cast("double"), 12)).alias("stability"), F.try_divide(F.col("x") - mean, mean).alias("intensity"))
+def regimes(bars: DataFrame, width: int = 24, fitted: DataFrame | None = None) -> DataFrame:
+    """Regimes 0 to 2 of the mean true range over width rows, by a mixture fitted to each symbol's whole history (looks ahead), with their metrics; every bar has a row, NULL before the first full frame."""
+    s = volatility(bars, (width,)).select("symbol", "ts", F.col(f"tr_{width}").alias("x"))
+    return regime_metrics(labelled_by_mixture(s, "x", mixture(s, "x") if fitted is None else fitted), "x", width)
 
 
-def funding_features(rates: DataFrame, widths: tuple[int, ...] = (8, 24)) -> DataFrame:
+def funding_features(rates: DataFrame, widths: tuple[int, ...] = (8, 24, 72, 168)) -> DataFrame:
     """Of an eight-hourly rate: annual mean, deviation, skew and share above 0; sees its own row."""
     out = {}
     x = F.col("fundingRate")
@@ -234,17 +402,20 @@ def funding_features(rates: DataFrame, widths: tuple[int, ...] = (8, 24)) -> Dat
     return rates.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
 
 
-def returns(bars: DataFrame, lags: tuple[int, ...] = (1, 5), widths: tuple[int, ...] = (5, 20)) -> DataFrame:
-    s = shifted(bars, ["close"]).withColumns({f"log_{n}": F.ln(F.try_divide(F.col("close"), lag("close", n))) for n in lags} | {f"pct_{n}": pct_change("close", n) * 100 for n in lags})
-    out = {}
+def returns(bars: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4, 5, 10, 20, 50), widths: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+    """Log and percent returns over each lag, yearly volatility and cumulative returns over each width (the product is of 1 and log returns), z-scores."""
+    s = shifted(bars, ["close"]).withColumns({f"log_{n}": F.ln(F.try_divide(F.col("close"), lag("close", n))) for n in lags} | {f"raw_{n}": pct_change("close", n) * 100 for n in lags})
+    out = {f"pct_{n}": F.bround(f"raw_{n}", 4) for n in lags}
     for w in widths:
-        out |= {f"vol_{w}": roll(F.stddev_samp, "log_1", w) * YEAR, f"cum_log_{w}": roll(F.sum, "log_1", w), f"cum_pct_{w}": (roll(F.product, 1 + F.col("log_1"), w) - 1) * 100}
-    return s.select("symbol", "ts", *[f"log_{n}" for n in lags], *[f"pct_{n}" for n in lags], *[v.alias(k) for k, v in out.items()], zscore("log_1", 168).alias("z_log_1"))
+        out |= {f"vol_{w}": roll(F.stddev_samp, "log_1", w) * YEAR, f"cum_log_{w}": roll(F.sum, "log_1", w), f"cum_pct_{w}": F.bround((roll(F.product, 1 + F.col("log_1"), w) - 1) * 100, 4)}
+    s = with_z(s.withColumns(out), [*[f"log_{n}" for n in lags], *[f"raw_{n}" for n in lags], *[f"{k}_{w}" for w in widths for k in ("vol", "cum_log", "cum_pct")]])
+    renamed = {f"raw_{n}_z{z}": f"pct_{n}_z{z}" for n in lags for z in (168, 720)}
+    return s.drop("close", *[f"raw_{n}" for n in lags]).withColumnsRenamed(renamed)
 
 
-def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24, 72)) -> DataFrame:
+def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24, 72, 168, 336, 720)) -> DataFrame:
     """Against one symbol's closes at the same times: correlation, beta, relative strength and volatility, log spread."""
-    own = bars.select("symbol", "ts", "close")
+    own = bars.select("symbol", "ts", "close")  # the benchmark itself gets no row
     bench = own.where(F.col("symbol") == benchmark).select(F.col("ts").alias("_ts"), F.col("close").alias("bench"))
     s = own.where(F.col("symbol") != benchmark).join(bench, F.col("ts") == F.col("_ts"), "left").drop("_ts")
     s = shifted(s, ["close", "bench"]).withColumns({"a": F.ln(F.try_divide(F.col("close"), lag("close"))), "b": F.ln(F.try_divide(F.col("bench"), lag("bench")))})
@@ -252,9 +423,10 @@ def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24,
     s = s.withColumns({"x": F.when(both, F.col("a")), "y": F.when(both, F.col("b")), "spread": F.ln(F.try_divide(F.col("close"), F.col("bench")))})
     out = {}
     for w in widths:
-        enough = F.count("x").over(frame(w)) >= w // 2
-        out |= {f"corr_{w}": F.when(enough, corr("x", "y", frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": (pct_change("close", w) - pct_change("bench", w)) * 100, f"relative_vol_{w}": F.when(enough, F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))))}
-    return s.select("symbol", "ts", "spread", *[v.alias(k) for k, v in out.items()])
+        enough = F.count("x").over(frame(w)) >= w
+        out |= {f"corr_{w}": F.when(enough, corr("x", "y", frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": F.bround((pct_change("close", w) - pct_change("bench", w)) * 100, 4), f"relative_vol_{w}": F.when(enough, F.bround(F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))), 4))}
+    s = with_z(s.withColumns(out), ["spread", *out])
+    return s.select("symbol", "ts", "spread", *out, *[f"{c}_z{n}" for c in ("spread", *out) for n in (168, 720)])
 
 
 HALVINGS = ("2012-11-28", "2016-07-09", "2020-05-11", "2024-04-20")  # fixed values
@@ -273,11 +445,33 @@ def cycle(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", year.alias("cycle_year"), F.datediff(nxt, day).alias("days_to_next"), flag(at == last.cast("timestamp_ntz")).alias("is_halving"))
 
 
-def aux_series(series: DataFrame, widths: tuple[int, ...] = (24,)) -> DataFrame:
-    """Of an index (open, high, low, close): range, body, shadows, means and changes."""
+def aux_series(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168, 336, 720)) -> DataFrame:
+    """Of an index (open, high, low, close): range, body and shadows in percent, means and distances to them over each width, changes over a day and a week of hours, z-scores."""
     s = shifted(series, ["open", "high", "low", "close"])
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    out = {"range_pct": F.try_divide(h - lo, o) * 100, "body_pct": F.try_divide(c - o, o) * 100, "upper_pct": F.try_divide(h - F.greatest(o, c), o) * 100}
+    out = {"range_pct": F.bround(percent(h - lo, o), 2), "body_pct": F.bround(percent(c - o, o), 2), "upper_pct": F.bround(percent(h - F.greatest(o, c), o), 2), "lower_pct": F.bround(percent(F.least(o, c) - lo, o), 2)}
+    for w in widths:
+        out |= {f"mean_{w}": roll(F.avg, c, w), f"vs_mean_{w}": percent(c, roll(F.avg, c, w)) - 100}
+    out |= {f"change_{n}": pct_change("close", n) * 100 for n in (24, 168)}
+    return with_z(s.withColumns(out), ["close", "range_pct", "change_24", "change_168"]).drop("open", "high", "low")
+
+
+def fear_greed_features(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
+    """Of a daily value: the day before, means and distances to them, changes, z-scores; widths are rows of the daily series."""
+    s = series.select("symbol", "ts", lag("value").alias("value"))
+    out = {}
     for w in widths:
-        out |= {f"mean_{w}": roll(F.avg, c, w), f"vs_mean_{w}": F.try_divide(c, roll(F.avg, c, w)) - 1, f"change_{w}": pct_change("close", w)}
-    return s.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
+        out |= {f"mean_{w}": roll(F.avg, "value", w), f"vs_mean_{w}": F.col("value") - roll(F.avg, "value", w)}
+    out |= {f"change_{n}": diff("value", n) for n in (24, 168)}
+    return with_z(s.withColumns(out), ["value", "change_24", "change_168"])
+
+
+#: Times of high value to miners, (start, end); fixed values.
+HIGH_VALUE = (("2017-12-05", "2017-12-21"), ("2021-01-05", "2021-01-12"), ("2021-02-01", "2021-02-20"), ("2021-03-10", "2021-03-15"))
+
+
+def in_intervals(bars: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Add inside: whether ts lies in one of the intervals (start, end), both included; a small table of intervals, not overlapping."""
+    spans = intervals.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    joined = bars.join(F.broadcast(spans))  # one row
+    return joined.withColumn("inside", F.exists("_spans", lambda x: F.col("ts").between(x.start, x.end)).cast("int")).drop("_spans")

@@ -85,7 +85,6 @@ SQL: dict[str, str] = {}
 
 def query(name: str, make, sql: str | None = None, source=src.hourly) -> None:
     def run(spark, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return rounded(make(source(spark, sf_dir)))
 
     run.__name__ = name
@@ -115,70 +114,13 @@ query("rolling_skew", lambda b: b.select("symbol", "ts", (roll(F.skewness, "clos
 query("rolling_product", lambda b: b.select("symbol", "ts", roll(F.product, 1 + F.col("close") / 1000, 5).alias("p")), f"WITH {BARS} " + out({"p": rl("product", "1 + close / 1000", 5)}, "bars", "p"))
 query("expanding_minmax", lambda b: b.select("symbol", "ts", F.max("high").over(so_far()).alias("top"), F.min("low").over(so_far()).alias("bottom"), F.avg("close").over(so_far()).alias("mean")), f"WITH {BARS} " + out({"top": f"max(high) {E}", "bottom": f"min(low) {E}", "mean": f"avg(close) {E}"}, "bars", "top bottom mean"))
 query("ewm_span", lambda b: ewm(b.select("symbol", "ts", "close"), "close", [12]).select("symbol", "ts", "ewm_12"), f"WITH {BARS}, l AS (SELECT symbol, ts, list(close) {E} AS x FROM bars) SELECT symbol, ts, round(list_reduce(x, lambda a, v: a + 2.0::DOUBLE / 13 * (v - a)), 6) AS ewm_12 FROM l")
-_macd = f"""e AS (SELECT symbol, ts, list(close) OVER ({O} ROWS UNBOUNDED PRECEDING) AS x FROM s WHERE close IS NOT NULL),
-line AS (SELECT s.symbol, s.ts, s.rn, round(list_reduce(x, lambda a, v: a + 2.0::DOUBLE / 13 * (v - a)) - list_reduce(x, lambda a, v: a + 2.0::DOUBLE / 27 * (v - a)), 9) AS line FROM s LEFT JOIN e ON s.symbol = e.symbol AND s.ts = e.ts),
-g AS (SELECT symbol, ts, list(line) OVER ({O} ROWS UNBOUNDED PRECEDING) AS x FROM line WHERE line IS NOT NULL),
-m AS (SELECT l.*, round(list_reduce(x, lambda a, v: a + 2.0::DOUBLE / 10 * (v - a)), 9) AS signal FROM line l LEFT JOIN g ON l.symbol = g.symbol AND l.ts = g.ts),
-h AS (SELECT *, line - signal AS hist, {crs('line', 'signal', lg('line'), lg('signal'))} AS crossed, {crs('line', '0', lg('line'), '0')} AS zero_cross FROM m)"""
-query("macd", features.macd, f"WITH {BARS}, {sh('close')}, {_macd} " + out({"line": "line", "signal": "signal", "hist": "hist", '"cross"': "crossed", "zero_cross": "zero_cross", "since_up": since("crossed = 1"), "hist_change": f"hist - {lg('hist')}", "z_hist": z("hist", 168)}, "h", "line signal hist hist_change z_hist"))
-query("rsi", features.rsi, f"WITH {BARS}, {sh('close')}, d AS (SELECT *, close - {lg('close')} AS d FROM s), g AS (SELECT *, {rl('avg', 'CASE WHEN d > 0 THEN d ELSE 0.0 END', 14)} AS g, {rl('avg', 'CASE WHEN d < 0 THEN -d ELSE 0.0 END', 14)} AS l FROM d), r AS (SELECT *, CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100.0 END ELSE 100 - 100 / (1 + g / nullif(l, 0)) END::DOUBLE AS rsi FROM g) " + out({"rsi": "rsi", "change": f"rsi - {lg('rsi')}", "oversold": fl("rsi <= 30"), "overbought": fl("rsi >= 70"), "since_oversold": since("rsi <= 30"), "below": "CASE WHEN rsi IS NOT NULL THEN greatest(30 - rsi, 0.0) END", "above": "CASE WHEN rsi IS NOT NULL THEN greatest(rsi - 70, 0.0) END", "z_rsi": z("rsi", 168)}, "r", "rsi change below above z_rsi"))
-query("stochastic", features.stochastic, f"WITH {BARS}, {sh('high low close')}, r AS (SELECT *, {dv('100 * (close - (' + rl('min', 'low', 12) + '))', '(' + rl('max', 'high', 12) + ') - (' + rl('min', 'low', 12) + ')')} AS raw FROM s), k AS (SELECT *, {rl('avg', 'raw', 3)} AS k FROM r), d AS (SELECT *, {rl('avg', 'k', 3)} AS d FROM k), x AS (SELECT *, {crs('k', 'd', lg('k'), lg('d'))} AS x FROM d) " + out({"k": "k", "d": "d", '"cross"': "x", "since_up": since("x = 1"), "k_low": fl("k <= 20"), "k_high": fl("k >= 80"), "k_change": f"k - {lg('k')}", "z_k": z("k", 168)}, "x", "k d k_change z_k"))
-_bb = {}
-for _k in (1, 2):
-    _bb |= {f"width_{_k}": dv(f"(mean + {_k} * sd) - (mean - {_k} * sd)", "mean") + " * 100", f"position_{_k}": dv(f"close - (mean - {_k} * sd)", f"(mean + {_k} * sd) - (mean - {_k} * sd)") + " * 100", f"touch_up_{_k}": fl(f"high >= mean + {_k} * sd"), f"touch_down_{_k}": fl(f"low <= mean - {_k} * sd")}
-_tr = f"greatest(high - low, abs(high - {lg('close')}), abs(low - {lg('close')}))"
-query("bollinger", features.bollinger, f"WITH {BARS}, {sh('high low close')}, m AS (SELECT *, {rl('avg', 'close', 20)} AS mean, {rl('stddev_samp', 'close', 20)} AS sd, {_tr} AS tr FROM s), w AS (SELECT *, {rl('avg', 'tr', 20)} AS atr, {dv('sd', 'mean')} * {YEAR}::DOUBLE AS ivol, " + ", ".join(f"{v} AS {k}" for k, v in _bb.items()) + " FROM m) " + out(same("mean sd tr atr ivol " + " ".join(_bb)) | {f"z_width_{k}": z(f"width_{k}", 168) for k in (1, 2)} | {f"since_up_{k}": since(f"touch_up_{k} = 1") for k in (1, 2)}, "w", "mean sd tr atr ivol width_1 position_1 width_2 position_2 z_width_1 z_width_2"))
-_eng = fl(f"bull = 1 AND {lg('bear')} = 1 AND close > {lg('open')} AND open < {lg('close')}")
-_white = fl(f"bull = 1 AND {lg('bull')} = 1 AND {lg('bull', 2)} = 1 AND close > {lg('close')} AND {lg('close')} > {lg('close', 2)}")
-query("candles", features.candles, f"WITH {BARS}, {sh('open high low close volume')}, c AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS upper, least(open, close) - low AS lower, high - low AS range, {fl('close > open')} AS bull, {fl('close < open')} AS bear FROM s), m AS (SELECT *, avg(body) {rw(20)} AS mb, avg(volume) {rw(20)} AS mv, {_eng} AS engulfing, {_white} AS three_white, sum(bull) {rw(20)}::BIGINT AS bulls, sum(bear) {rw(20)}::BIGINT AS bears FROM c), f AS (SELECT *, {fl('body <= mb * 0.1::DOUBLE')} AS doji, {fl('lower > body * 2 AND upper < body')} AS hammer, {fl('upper > body * 2 AND lower < body')} AS star, {dv('volume', 'mv')} AS intensity FROM m) " + out(same("body upper lower range doji hammer star engulfing three_white bulls bears intensity") | {"cluster": "doji + hammer + star + engulfing + three_white", "z_intensity": z("intensity", 168)}, "f", "body upper lower range intensity z_intensity"))
 query("seasonality", lambda b: features.seasonality(b, {"fomc": ("2024-01-10", "2024-01-24")}), f"WITH {BARS} SELECT symbol, ts, quarter(ts)::INTEGER AS quarter, ((year(ts) - 2016) % 4 + 1)::INTEGER AS cycle_year, (isodow(ts) - 1)::INTEGER AS weekday, ((isodow(ts) = 5 AND hour(ts) >= 23) OR isodow(ts) = 6 OR (isodow(ts) = 7 AND hour(ts) < 17))::INTEGER AS is_weekend, (day(ts) <= 7 AND isodow(ts) = 5)::INTEGER AS first_friday, (hour(ts) >= 22 OR hour(ts) < 7)::INTEGER AS session_asia, (hour(ts) >= 8 AND hour(ts) < 16)::INTEGER AS session_london, (hour(ts) >= 14 AND hour(ts) < 21)::INTEGER AS session_us, (ts::DATE::VARCHAR IN ('2024-01-10', '2024-01-24'))::INTEGER AS is_fomc FROM bars")
 query("session_ranges", features.session_ranges, f"WITH {BARS}, g AS (SELECT symbol, CASE WHEN hour(ts) < 7 THEN ts::DATE - 1 ELSE ts::DATE END AS date, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM bars WHERE hour(ts) >= 22 OR hour(ts) < 7 GROUP BY 1, 2) SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(high - low, 6) AS range, round({dv('high - low', 'open')} * 100, 6) AS range_pct, round(close - open, 6) AS body, round({dv('close - open', 'open')} * 100, 6) AS body_pct, round(high - greatest(open, close), 6) AS upper, round(least(open, close) - low, 6) AS lower, round({dv('high - greatest(open, close)', 'least(open, close) - low')}, 6) AS wick_ratio FROM g")
 query("ath_atl", features.ath_atl, f"WITH {BARS}, {sh('high low close')}, a AS (SELECT *, max(high) {E} AS ath, min(low) {E} AS atl FROM s) " + out({"ath": "ath", "atl": "atl", "to_ath": dv("close - ath", "ath") + " * 100", "to_atl": dv("close - atl", "atl") + " * 100", "since_ath": f"coalesce({since('high >= ath')}, count(*) OVER (PARTITION BY symbol))", "since_atl": f"coalesce({since('low <= atl')}, count(*) OVER (PARTITION BY symbol))"}, "a", "ath atl to_ath to_atl"))
-_vr = {}
-for _w in (4, 24, 168):
-    _vr |= {f"sum_{_w}": f"sum(v) {rw(_w)}", f"buy_{_w}": f"sum(b) {rw(_w)}", f"ratio_{_w}": f"sum(b) {rw(_w)} / (sum(v) {rw(_w)} + 1e-10)", f"peak_{_w}": f"max(v) {rw(_w)} / (avg(v) {rw(_w)} + 1e-10)", f"momentum_{_w}": f"{pc('v', _w)} * (sum(b) {rw(_w)} / (sum(v) {rw(_w)} + 1e-10) - 0.5)"}
-query("volume_rolling", features.volume_rolling, f"WITH {BARS}, s AS (SELECT symbol, ts, {lg('quote_volume')} AS v, {lg('taker_buy_quote_volume')} AS b FROM bars) " + out(_vr, "s", " ".join(_vr)))
 query("volume_categorical", features.volume_by_season, f"WITH {BARS}, s AS (SELECT *, hour(ts)::INTEGER AS season FROM bars) " + out({"season": "season", "total": "sum(quote_volume) OVER p", "buy": "sum(taker_buy_quote_volume) OVER p", "ratio": "sum(taker_buy_quote_volume) OVER p / nullif(sum(quote_volume) OVER p, 0)", "concentration": "max(quote_volume) OVER p / nullif(avg(quote_volume) OVER p, 0)"}, "s WINDOW p AS (PARTITION BY symbol, season)", "total buy ratio concentration"))
-_vm = {}
-for _p in (5, 20):
-    _vm |= {f"volume_{_p}": pc("quote_volume", _p), f"buy_ratio_{_p}": pc("r", _p), f"total_{_p}": pc(f"sum_{_p}", _p)}
-for _w in (24, 72):
-    _vm |= {f"relative_{_w}": dv("quote_volume", "(" + rl("avg", "quote_volume", _w) + ")"), f"buy_relative_{_w}": dv("taker_buy_quote_volume", "(" + rl("avg", "taker_buy_quote_volume", _w) + ")")}
-query("volume_momentum", features.volume_momentum, f"WITH {BARS}, {sh('quote_volume taker_buy_quote_volume')}, r AS (SELECT *, {dv('taker_buy_quote_volume', 'quote_volume')} AS r, {rl('sum', 'quote_volume', 5)} AS sum_5, {rl('sum', 'quote_volume', 20)} AS sum_20 FROM s), v AS (SELECT symbol, ts, " + ", ".join(f"{v} AS {k}" for k, v in _vm.items()) + " FROM r) " + out(same(" ".join(_vm)) | {"z_relative": z("relative_24", 168)}, "v", " ".join(_vm) + " z_relative"))
-query("vwap_bands", features.vwap, f"WITH {BARS}, t AS (SELECT symbol, ts, close, quote_volume AS v, (high + low + close) / 3 AS tp FROM bars), w AS (SELECT *, {dv('(' + rl('sum', 'tp * v', 24) + ')', '(' + rl('sum', 'v', 24) + ')')} AS vwap FROM t), d AS (SELECT *, sqrt({dv('(' + rl('sum', '(tp - vwap) * (tp - vwap) * v', 24) + ')', '(' + rl('sum', 'v', 24) + ')')}) AS sd FROM w) " + out({"vwap": "vwap", "sd": "sd"} | {k: v for m in (1, 2) for k, v in {f"upper_{m}": f"vwap + {m} * sd", f"lower_{m}": f"vwap - {m} * sd", f"position_{m}": dv("close - vwap", f"{m} * sd")}.items()}, "d", "vwap sd upper_1 lower_1 position_1 upper_2 lower_2 position_2"))
-query("volume_profile", features.volume_profile)
-_below = "CASE WHEN close % 5 = 0 THEN close - 5 ELSE floor(close / 5) * 5 END"
-_cent = f"OVER ({O} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)"
-query("price_levels", features.price_levels, f"WITH {BARS}, {sh('high low close')}, l AS (SELECT *, {_below} AS below, (floor(close / 5) + 1) * 5 AS above FROM s), t AS (SELECT *, {fl('low <= below * 1.01::DOUBLE AND high >= below * 0.99::DOUBLE')} AS touch, CASE WHEN count(low) {_cent} >= 20 THEN min(low) {_cent} END AS support, CASE WHEN count(high) {_cent} >= 20 THEN max(high) {_cent} END AS resistance FROM l) " + out({"below": "below", "above": "above", "to_above": dv("above - close", "close") + " * 100", "to_below": dv("close - below", "close") + " * 100", "strength": "(" + rl("sum", "touch", 20) + ")::BIGINT", "support": "support", "resistance": "resistance"}, "t", "below above to_above to_below support resistance"))
-_p5, _past, _wide = f"OVER ({O} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)", f"OVER ({O} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)", f"OVER ({O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
-_near5 = f"OVER ({O} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
-_swings = f"{sh('high low')}, w AS (SELECT *, {fl(f'rn > 5 AND rn <= count(*) OVER (PARTITION BY symbol) - 5 AND high = max(high) {_p5}')} AS sh, {fl(f'rn > 5 AND rn <= count(*) OVER (PARTITION BY symbol) - 5 AND low = min(low) {_p5}')} AS sl FROM s), x AS (SELECT *, {fl(f'rn > 10 AND sh = 1 AND high > max(CASE WHEN sh = 1 THEN high END) {_past}')} AS hh, {fl(f'rn > 10 AND sh = 1 AND high < min(CASE WHEN sh = 1 THEN high END) {_past}')} AS lh, {fl(f'rn > 10 AND sl = 1 AND low < min(CASE WHEN sl = 1 THEN low END) {_past}')} AS ll, {fl(f'rn > 10 AND sl = 1 AND low > max(CASE WHEN sl = 1 THEN low END) {_past}')} AS hl FROM w)"
-query("market_structure", features.market_structure, f"WITH {BARS}, {_swings} SELECT symbol, ts, sh, sl, hh, lh, ll, hl, CASE WHEN ll = 1 AND max(lh) {_near5} = 1 THEN -1 WHEN hh = 1 AND max(hl) {_near5} = 1 THEN 1 ELSE 0 END AS structure_break, sign(sum(hh + hl) {_wide} - sum(lh + ll) {_wide})::INTEGER AS trend FROM x")
-query("streaks", features.streaks, f"WITH {BARS}, {sh('high low close quote_volume')}, a AS (SELECT *, sign({pc('close')})::INTEGER AS s1, high - low AS range FROM s), b AS (SELECT *, last_value(CASE WHEN s1 <> 0 THEN s1 END IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a), c AS (SELECT *, sum({fl('s1 <> 0 AND (prev IS NULL OR s1 <> prev)')}) {E} AS island, {fl('range > (' + rl('avg', 'range', 20) + ') * 1.5')} AS large, {fl('quote_volume > (' + rl('avg', 'quote_volume', 20) + ') * 1.5')} AS busy FROM b) SELECT symbol, ts, coalesce(sum(s1) OVER (PARTITION BY symbol, island ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS streak, sum(large) {E}::BIGINT AS large_ranges, sum(busy) {E}::BIGINT AS large_volumes FROM c")
-_hl, _cc = f"ln({dv('high', 'low')})", f"ln({dv('close', lg('close'))})"
-_ln2 = repr(2 * math.log(2) - 1)
-_vol = f"v AS (SELECT *, sqrt({_hl} * {_hl} / {repr(4 * math.log(2))}::DOUBLE) AS parkinson, 0.5::DOUBLE * {_hl} * {_hl} - {_ln2}::DOUBLE * {_cc} * {_cc} AS g2, {_tr} AS tr FROM s)"
-query("volatility", features.volatility, f"WITH {BARS}, {sh('high low close')}, {_vol}, m AS (SELECT symbol, ts, parkinson, CASE WHEN g2 >= 0 THEN sqrt(CASE WHEN g2 >= 0 THEN g2 END) END AS gk, tr, " + ", ".join(f"{rl('avg', m, w)} AS {m}_{w}" for m in ("parkinson", "tr") for w in (24, 168)) + " FROM v) " + out(same("parkinson gk tr parkinson_24 parkinson_168 tr_24 tr_168") | {"composite": "(coalesce(parkinson_24, 0) + coalesce(tr_24, 0)) / nullif((parkinson_24 IS NOT NULL)::DOUBLE + (tr_24 IS NOT NULL)::DOUBLE, 0)"}, "m", "parkinson gk tr parkinson_24 parkinson_168 tr_24 tr_168 composite"))
-query("regimes", features.regimes, f"WITH {BARS}, {sh('high low close')}, t AS (SELECT *, {_tr} AS tr FROM s), q AS (SELECT symbol, ts, {dv('(' + rl('avg', 'tr', 24) + ')', '(' + rl('avg', 'tr', 168) + ')')} AS x FROM t), r AS (SELECT *, CASE WHEN x < 0.95 THEN 0 WHEN x < 1.05 THEN 1 ELSE 2 END AS regime FROM q WHERE x IS NOT NULL), c AS (SELECT *, {fl('regime <> ' + lg('regime'))} AS changed FROM r), d AS (SELECT *, sum(changed) {E} AS run FROM c) SELECT symbol, ts, regime, row_number() OVER (PARTITION BY symbol, run ORDER BY ts)::INTEGER AS duration, round(1 - ({rl('avg', 'changed', 12)}), 6) AS stability, round((x - avg(x) OVER (PARTITION BY symbol, regime)) / nullif(avg(x) OVER (PARTITION BY symbol, regime), 0), 6) AS intensity FROM d")
-_ff = {}
-for _w in (8, 24):
-    _sd = "(" + rl("stddev_samp", "fundingRate", _w) + ")"
-    _ff |= {f"annual_{_w}": "(" + rl("avg", "fundingRate", _w) + ") * 24 * 365", f"sd_{_w}": _sd, f"z_{_w}": f"(fundingRate - ({rl('avg', 'fundingRate', _w)})) / ({_sd} + 1e-10)", f"skew_{_w}": f"CASE WHEN {_sd} > 1e-12 THEN {rl('skewness', 'fundingRate', _w)} END", f"positive_{_w}": rl("avg", "(fundingRate > 0)::INTEGER", _w)}
-query("funding", features.funding_features, f"WITH {FUNDING} " + out(_ff, "rates", " ".join(_ff)), src.funding)
 query("funding_asof", lambda b: b, f"WITH {BARS}, {FUNDING} SELECT b.symbol, b.ts, round(b.close, 6) AS close, round(coalesce(r.fundingRate, -1.0), 6) AS fundingRate FROM bars b ASOF LEFT JOIN rates r ON b.symbol = r.symbol AND b.ts >= r.ts", lambda s, d: src.as_of(src.hourly(s, d).select("symbol", "ts", "close"), src.funding(s, d), "fundingRate", -1.0))
 query("resample_ffill", lambda b: src.fill_hours(b, "close"), f"WITH {BARS}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY symbol) SELECT g.symbol, g.ts, round(b.close, 6) AS close FROM g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts >= b.ts")
-_rt = {}
-for _w in (5, 20):
-    _rt |= {f"vol_{_w}": "(" + rl("stddev_samp", "log_1", _w) + f") * {YEAR}::DOUBLE", f"cum_log_{_w}": rl("sum", "log_1", _w), f"cum_pct_{_w}": "round(((" + rl("product", "1 + log_1", _w) + ") - 1) * 100, 2)"}
-query("returns", lambda b: features.returns(b).withColumns({f"cum_pct_{w}": F.round(f"cum_pct_{w}", 2) for w in (5, 20)}), f"WITH {BARS}, {sh('close')}, r AS (SELECT *, " + ", ".join(f"ln({dv('close', lg('close', n))}) AS log_{n}, {pc('close', n)} * 100 AS pct_{n}" for n in (1, 5)) + " FROM s) " + out(same("log_1 log_5 pct_1 pct_5") | _rt | {"z_log_1": z("log_1", 168)}, "r", "log_1 log_5 pct_1 pct_5 z_log_1 " + " ".join(_rt)))
-_rel = {"spread": "spread"}
-for _w in (24, 72):
-    _c = f"CASE WHEN count(x) {rw(_w)} >= {_w // 2} THEN "
-    _rel |= {f"corr_{_w}": f"{_c} covar_samp(x, y) {rw(_w)} / nullif(stddev_samp(x) {rw(_w)} * stddev_samp(y) {rw(_w)}, 0) END", f"beta_{_w}": f"{_c} {dv(f'covar_samp(x, y) {rw(_w)}', f'var_samp(y) {rw(_w)}')} END", f"strength_{_w}": f"({pc('close', _w)} - {pc('bench', _w)}) * 100", f"relative_vol_{_w}": f"{_c} {dv(f'stddev_samp(x) {rw(_w)}', f'stddev_samp(y) {rw(_w)}')} END"}
-query("relationship", lambda b: features.relationship(b, "view"), f"WITH {BARS}, j AS (SELECT a.symbol, a.ts, a.close, v.close AS bench FROM bars a LEFT JOIN bars v ON v.symbol = 'view' AND v.ts = a.ts WHERE a.symbol <> 'view'), s AS (SELECT symbol, ts, {lg('close')} AS close, {lg('bench')} AS bench FROM j), l AS (SELECT *, ln({dv('close', lg('close'))}) AS a, ln({dv('bench', lg('bench'))}) AS b, ln({dv('close', 'bench')}) AS spread FROM s), n AS (SELECT *, CASE WHEN b IS NOT NULL THEN a END AS x, CASE WHEN a IS NOT NULL THEN b END AS y FROM l) " + out(_rel, "n", " ".join(_rel)))
 query("cycle", features.cycle, f"WITH {DAILY}, h AS (SELECT *, ts - INTERVAL 1 HOUR AS t0 FROM bars), b AS (SELECT *, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' WHEN t0::DATE >= '2020-05-11' THEN DATE '2020-05-11' WHEN t0::DATE >= '2016-07-09' THEN DATE '2016-07-09' WHEN t0::DATE >= '2012-11-28' THEN DATE '2012-11-28' END AS last, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' + 1460 WHEN t0::DATE >= '2020-05-11' THEN DATE '2024-04-20' WHEN t0::DATE >= '2016-07-09' THEN DATE '2020-05-11' WHEN t0::DATE >= '2012-11-28' THEN DATE '2016-07-09' ELSE DATE '2012-11-28' END AS next FROM h) SELECT symbol, ts, (floor((t0::DATE - last) / (next - last)::DOUBLE * 4) + 1)::INTEGER AS cycle_year, (next - t0::DATE)::INTEGER AS days_to_next, coalesce(t0 = last::TIMESTAMP, false)::INTEGER AS is_halving FROM b", src.daily)
-_ax = {"range_pct": dv("high - low", "open") + " * 100", "body_pct": dv("close - open", "open") + " * 100", "upper_pct": dv("high - greatest(open, close)", "open") + " * 100", "mean_24": rl("avg", "close", 24), "vs_mean_24": dv("close", "(" + rl("avg", "close", 24) + ")") + " - 1", "change_24": pc("close", 24)}
-query("aux_series", features.aux_series, f"WITH {DAILY}, {sh('open high low close')} " + out(_ax, "s", " ".join(_ax)), src.daily)
 _pnl = f"p AS (SELECT symbol, ts, close, sign({lg('close')} - {lg('close', 2)})::DOUBLE AS position FROM bars), q AS (SELECT *, coalesce(position * (close - {lg('close')}), 0.0) AS pnl FROM p), f AS (SELECT *, round(sum(pnl) {E}, 6) AS total FROM q)"
 query("pnl_frame", analytics.pnl_frame, f"WITH {BARS}, {_pnl} " + out(same("close position pnl total"), "f", "close position pnl total"))
 query("drawdown", lambda b: analytics.drawdowns(analytics.pnl_frame(b)), f"WITH {BARS}, {_pnl}, k AS (SELECT *, max(total) {E} AS peak FROM f), e AS (SELECT *, sum(CASE WHEN total < peak THEN 0 ELSE 1 END) {E} AS episode FROM k), r AS (SELECT symbol, episode, max(peak - total) AS fall, min(ts) AS a, count(*) AS n FROM e GROUP BY 1, 2), h AS (SELECT *, CASE WHEN n > 1 THEN (epoch(lead(a) OVER (PARTITION BY symbol ORDER BY episode)) - epoch(a)) / 3600 END AS hours FROM r) SELECT symbol, round(max(fall), 6) AS max_drawdown, round(coalesce(max(hours), 0.0), 6) AS longest_hours FROM h GROUP BY symbol")
@@ -203,18 +145,16 @@ _book = {"spread": "spread"} | {f"{x}_{s}": f"{x} * (1 {g} spread / 2)" for x in
 query("book_prices", trading.book_prices, f"WITH {BARS}, s AS (SELECT *, least(0.0005::DOUBLE * (1 + 10 * {dv('high - low', 'close')}), 0.01::DOUBLE) AS spread FROM bars) " + out(_book, "s", " ".join(_book)))
 
 
-def _macd_with_close(b: DataFrame) -> DataFrame:
-    return features.macd(b).join(b.select("symbol", "ts", "close"), ["symbol", "ts"])
-
-
-_enter = "abs(hist) >= 0.0001 AND abs(zh) <= 2 AND ((hist > 0 AND line > signal) OR (hist < 0 AND line < signal))"
-query("macd_entry", lambda b: trading.macd_entry(_macd_with_close(b)), f"WITH {BARS}, {sh('close')}, {_macd}, y AS (SELECT *, {z('hist', 168)} AS zh FROM h), n AS (SELECT y.*, b.close, coalesce({_enter}, false) AS e FROM y JOIN bars b ON b.symbol = y.symbol AND b.ts = y.ts) SELECT symbol, ts, e::INTEGER AS enter, CASE WHEN e THEN CASE WHEN hist > 0 THEN 'buy' ELSE 'sell' END END AS side, round(CASE WHEN e THEN 1000.0::DOUBLE / close * least(abs({dv('hist', 'line')}), 1.0) * sign(hist) END, 6) AS target FROM n")
 query("backtest_replay", lambda b: trading.replay(b.withColumn("signal", F.coalesce(F.signum(lag("close") - lag("close", 2)).cast("int"), F.lit(0)))))
 
 
 def queries() -> dict:
+    from . import feature_sql, more  # noqa: F401  they add their queries when they are imported
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import feature_sql, more  # noqa: F401
+
     return dict(SQL)

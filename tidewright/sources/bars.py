@@ -77,8 +77,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BARS).option("header", True).csv(path)
 
 
-def write_features(df: DataFrame, path: str, group: str) -> DataFrame:
-    """Write a feature table as Parquet by symbol; returns its metadata row."""
-    df.withColumn("group", F.lit(group)).write.mode("overwrite").partitionBy("group", "symbol").parquet(path)
-    back = df.sparkSession.read.parquet(path).where(F.col("group") == group)
-    return back.groupBy("group").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("rows"))
+def fill_index(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """left's value where right has none at the same symbol and ts, else right's: assignment on the common index."""
+    r = right.select("symbol", "ts", F.col(value).alias("_v"))
+    return left.join(r, ["symbol", "ts"], "left").withColumn(value, F.coalesce("_v", value)).drop("_v")
+
+
+def common_index(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that both sides have, with the named columns of right."""
+    return left.join(right.select("symbol", "ts", *columns), ["symbol", "ts"], "inner")
+
+
+def outer_difference(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """left's value less right's by symbol and ts; rows that one side lacks have NULL."""
+    a, b = left.select("symbol", "ts", F.col(value).alias("_a")), right.select("symbol", "ts", F.col(value).alias("_b"))
+    return a.join(b, ["symbol", "ts"], "full").select("symbol", "ts", (F.col("_a") - F.col("_b")).alias(value))
+
+
+def overlap_ratio(left: DataFrame, right: DataFrame) -> DataFrame:
+    """By symbol, which part of left's span right covers too; 0 where they don't meet, 1 for a span of one moment inside right's."""
+    at = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    a = left.groupBy("symbol").agg(F.min("ts").alias("a0"), F.max("ts").alias("a1"))
+    b = right.groupBy("symbol").agg(F.min("ts").alias("b0"), F.max("ts").alias("b1"))
+    both = a.join(b, "symbol", "left")
+    shared = F.least(at("a1"), at("b1")) - F.greatest(at("a0"), at("b0"))
+    ratio = F.when(F.col("b0").isNull() | (shared < 0), 0.0).when(F.col("a0") == F.col("a1"), 1.0).otherwise(F.try_divide(shared, at("a1") - at("a0")))
+    return both.select("symbol", ratio.alias("ratio"), (ratio < 0.9).alias("warn"))
