@@ -6,6 +6,7 @@ import pyarrow as pa
 import corpus_pipeline
 from tidewright.llm import mixing, quality, shingles, toxicity
 from tidewright.llm.labelled import held_out, sample
+from tidewright.llm.store import save
 
 from .test_shingles import brute
 
@@ -22,7 +23,7 @@ def test_stages(spark):
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:4]:
         before = docs
-        docs = corpus_pipeline.save(stage(spark, docs, SF), "test")
+        docs = save(stage(spark, docs, SF), "test")
         assert docs.columns == columns
         kept[name] = (before, docs)
     ids = {k: ([r.doc_id for r in a.select("doc_id").collect()], [r.doc_id for r in b.select("doc_id").collect()]) for k, (a, b) in kept.items()}

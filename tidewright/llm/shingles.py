@@ -353,7 +353,9 @@ def matches(found: DataFrame, percent: int) -> DataFrame:
 
 def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets in different components that may link, from with_main: they share as many prefix tokens as the smaller l, and of their tokens up to the last match few enough don't match."""
-    each = matches(found, percent).groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (F.max("i") + F.max("i_a") + 2).alias("seen"), F.first("room").alias("room"), F.first("large").alias("large"))
+    first = F.col("set_id_a") < F.col("set_id")  # which of the two is a differs from token to token
+    places = F.max(F.when(first, F.col("i_a")).otherwise(F.col("i"))) + F.max(F.when(first, F.col("i")).otherwise(F.col("i_a")))
+    each = matches(found, percent).groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (places + 2).alias("seen"), F.first("room").alias("room"), F.first("large").alias("large"))
     return each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
 
 
