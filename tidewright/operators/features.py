@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import chunked
 from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, with_z, zscore
 
 YEAR = math.sqrt(252 * 24)
@@ -123,14 +124,19 @@ def check_sessions(sessions: dict[str, tuple[int, int]]) -> list[tuple[str, str]
     return [(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if hours[x] & hours[y]]
 
 
-def seasonality(bars: DataFrame, events: dict[str, tuple[str, ...]] | None = None, sessions: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Calendar flags of a row's own time: quarter, election cycle year, weekend, first Friday, sessions, dated events."""
+def calendar(events: dict[str, tuple[str, ...]] | None = None, sessions: dict[str, tuple[int, int]] | None = None) -> dict[str, Column]:
+    """Flags of ts by name: quarter, election cycle year, weekday, weekend, first Friday, sessions, dated events."""
     day, hour = F.weekday("ts"), F.hour("ts")
     weekend = ((day == 4) & (hour >= 23)) | (day == 5) | ((day == 6) & (hour < 17))
     out = {"quarter": F.quarter("ts"), "cycle_year": F.pmod(F.year("ts") - 2016, F.lit(4)) + 1, "weekday": day, "is_weekend": weekend.cast("int"), "first_friday": ((F.dayofmonth("ts") <= 7) & (day == 4)).cast("int")}
     out |= {f"session_{k}": in_session(*v).cast("int") for k, v in (sessions or SESSIONS).items()}
     out |= {f"is_{k}": F.to_date("ts").cast("string").isin(*v).cast("int") for k, v in (events or {}).items()}
-    return bars.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
+    return out
+
+
+def seasonality(bars: DataFrame, events: dict[str, tuple[str, ...]] | None = None, sessions: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Calendar flags of a row's own time."""
+    return bars.select("symbol", "ts", *[v.alias(k) for k, v in calendar(events, sessions).items()])
 
 
 def session_ranges(bars: DataFrame, session: str = "asia") -> DataFrame:
@@ -152,7 +158,11 @@ def ath_atl(bars: DataFrame) -> DataFrame:
 
 
 def volume_rolling(bars: DataFrame, widths: tuple[int, ...] = (1, 4, 12, 24, 48, 72, 168)) -> DataFrame:
-    """Over each width: volume, bought volume, its share, peak against mean, momentum (change times excess of the share) and its change."""
+    """Over each width: volume, bought volume, its share, peak against mean, momentum (change times excess of the share) and its change. Runs month by month."""
+    return chunked(bars.select("symbol", "ts", "quote_volume", "taker_buy_quote_volume"), lambda b: _volume_rolling(b, widths), max(widths) + 2)
+
+
+def _volume_rolling(bars: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumnsRenamed({"quote_volume": "v", "taker_buy_quote_volume": "b"})
     first = {}
     for w in widths:
@@ -170,6 +180,26 @@ def volume_by_season(bars: DataFrame) -> DataFrame:
     return s.select("symbol", "ts", "season", total.alias("total"), buy.alias("buy"), F.try_divide(buy, total).alias("ratio"), F.try_divide(F.max("quote_volume").over(season), F.avg("quote_volume").over(season)).alias("concentration"))
 
 
+def volume_seasons(bars: DataFrame, seasons: tuple[str, ...] | None = None, events: dict[str, tuple[str, ...]] | None = None, sessions: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """For each season (names of calendar(), all but weekday if none are given): of all bars whose season has the row's value, the volume before
+    them, what of it was bought, its share, and the largest volume against the mean; z-scores. Looks ahead, as totals are of the whole history.
+
+    One aggregation makes all totals: a symbol has as many as its seasons have values, and bars look them up in its map.
+    """
+    flags = calendar(events, sessions)
+    seasons = tuple(k for k in flags if k != "weekday") if seasons is None else seasons
+    s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumns({f"_{k}": flags[k].cast("int") for k in seasons})
+    key = lambda k: F.concat_ws("=", F.lit(k), F.coalesce(F.col(f"_{k}").cast("string"), F.lit("")))
+    each = s.select("symbol", "quote_volume", "taker_buy_quote_volume", F.explode(F.array(*[key(k) for k in seasons])).alias("key"))
+    total, buy = F.sum("quote_volume"), F.sum("taker_buy_quote_volume")
+    sums = each.groupBy("symbol", "key").agg(F.struct(total.alias("total"), buy.alias("buy"), F.try_divide(buy, total).alias("ratio"), (F.max("quote_volume") / (F.avg("quote_volume") + 1e-10)).alias("concentration")).alias("sums"))
+    sums = sums.groupBy(F.col("symbol").alias("_symbol")).agg(F.map_from_entries(F.collect_list(F.struct("key", "sums"))).alias("_sums"))
+    s = s.join(sums, F.col("symbol").eqNullSafe(F.col("_symbol")))
+    out = {f"{k}_{m}": F.col("_sums")[key(k)][m] for k in seasons for m in ("total", "buy", "ratio", "concentration")}
+    s = s.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
+    return with_z(s, [f"{k}_{m}" for k in seasons for m in ("total", "ratio", "concentration")])
+
+
 def volume_momentum(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
     """Changes of volume, of the bought share and of rolling volume over each period; volumes against their means over each width; z-scores of all."""
     s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumn("r", F.try_divide(F.col("taker_buy_quote_volume"), F.col("quote_volume")))
@@ -393,7 +423,11 @@ def regimes(bars: DataFrame, width: int = 24, fitted: DataFrame | None = None) -
 
 
 def funding_features(rates: DataFrame, widths: tuple[int, ...] = (8, 24, 72, 168)) -> DataFrame:
-    """Of an eight-hourly rate: annual mean, deviation, skew and share above 0; sees its own row."""
+    """Of an eight-hourly rate: annual mean, deviation, skew and share above 0; sees its own row. Runs quarter by quarter."""
+    return chunked(rates.select("symbol", "ts", "fundingRate"), lambda r: _funding_features(r, widths), max(widths), "quarter")
+
+
+def _funding_features(rates: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     out = {}
     x = F.col("fundingRate")
     for w in widths:

@@ -70,6 +70,7 @@ class Groups(Enum):
     SEASONALITY = Group("seasonality", "calendar flags", (), features.seasonality)
     TIME_RANGES = Group("time_ranges", "extremes so far and distances to them", ("high", "low", "close"), features.ath_atl)
     VOLUME_METRICS = Group("volume_metrics", "rolling volumes", ("quote_volume", "taker_buy_quote_volume"), features.volume_rolling, rows=("widths",))
+    VOLUME_SEASONS = Group("volume_seasons", "volumes by season (look ahead)", ("quote_volume", "taker_buy_quote_volume"), features.volume_seasons)
     VOLUME_MOMENTUM = Group("volume_momentum", "changes of volume", ("quote_volume", "taker_buy_quote_volume"), features.volume_momentum, rows=("periods", "widths"))
     VWAP = Group("vwap", "volume-weighted price with bands", ("high", "low", "close", "quote_volume"), features.vwap, tuple({"period": p} for p in (5, 8, 10, 12, 14, 20, 21, 26, 30, 50, 55, 100, 200)), ("period",))
     VOLUME_PROFILE = Group("volume_profile", "volume by price", ("high", "low", "close", "quote_volume"), features.volume_profile, rows=("period",))

@@ -309,3 +309,17 @@ def _inside(b):
 
 
 query("interval_membership", _inside, f"WITH {DAILY} SELECT symbol, ts, (ts BETWEEN '1995-03-01' AND '1996-01-31' OR ts BETWEEN '1998-05-01' AND '1999-01-31')::INTEGER AS inside FROM bars", src.daily)
+
+_seasons = {
+    "quarter": "quarter(ts)",
+    "is_weekend": "(isodow(ts) = 6 OR (isodow(ts) = 5 AND hour(ts) >= 23) OR (isodow(ts) = 7 AND hour(ts) < 17))::INTEGER",
+    "first_friday": "(day(ts) <= 7 AND isodow(ts) = 5)::INTEGER",
+    "session_asia": "(hour(ts) >= 22 OR hour(ts) < 7)::INTEGER",
+}
+_v = Steps(BARS, sh("quote_volume taker_buy_quote_volume")).add(**{f"_{k}": v for k, v in _seasons.items()})
+for _k in _seasons:
+    _over = f"OVER (PARTITION BY symbol, _{_k})"
+    _v.add(**{f"{_k}_total": f"sum(quote_volume) {_over}", f"{_k}_buy": f"sum(taker_buy_quote_volume) {_over}", f"{_k}_concentration": f"max(quote_volume) {_over} / (avg(quote_volume) {_over} + 1e-10::DOUBLE)"})
+    _v.add(**{f"{_k}_ratio": dv(f"{_k}_buy", f"{_k}_total")})
+_zv = [f"{k}_{m}" for k in _seasons for m in ("total", "ratio", "concentration")]
+query("volume_seasons", lambda b: features.volume_seasons(b, tuple(_seasons)), _v.z(_zv).sql([*[f"{k}_{m}" for k in _seasons for m in ("total", "buy", "ratio", "concentration")], *zs(_zv)]))
