@@ -97,13 +97,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[near(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def with_z(df: DataFrame, names: list[str], least: tuple[int, ...] = (168, 720)) -> DataFrame:
-    """Add {name}_z{n}: zscore of each column with each least number of values; count, mean and deviation are made once for all of these."""
-    parts = {f"{c}__{k}": f(c).over(so_far()) for c in names for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))}
-    z = {f"{c}_z{n}": F.coalesce(F.when((F.col(f"{c}__n") >= n) & (F.col(f"{c}__s") >= 1e-12), (F.col(c) - F.col(f"{c}__m")) / F.col(f"{c}__s")), F.lit(0.0)) for c in names for n in least}
-    return df.withColumns(parts).withColumns(z).drop(*parts)
-
-
 def ewm(df: DataFrame, value: str, spans: list[int], chunk: Column | None = None, prefix: str = "ewm") -> DataFrame:
     """Add {prefix}_{span}: y += 2 / (span + 1) * (x - y), seeded with the first value; NULLs are skipped.
 

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunks import chunked
-from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since, with_z, zscore
+from ..functions.chunks import chunked, with_z
+from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since
 
 YEAR = math.sqrt(252 * 24)
 
@@ -27,7 +27,13 @@ def tag(level: float) -> str:
 
 def bollinger(bars: DataFrame, period: int = 20, sigmas: tuple[int, ...] = (1, 2, 3, 4), levels: tuple[float, ...] = (1.8, 2.0, 2.5, 3.0)) -> DataFrame:
     """Bands of mean and standard deviation with touches, times since, widths, positions and distances; bands of the mean true range and of the implied volatility; z-scores."""
-    s = numbered(shifted(bars, ["high", "low", "close"]))
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close"), lambda b: _bollinger(b, period, sigmas, levels), period + 2)
+    since = {f"since_{side}_{k}": F.col(f"touch_{side}_{k}") == 1 for k in sigmas for side in ("up", "down")}
+    return with_z(s, [*[f"{m}_{k}" for k in sigmas for m in ("width", "position")], "atr", "ivol"], since=since)
+
+
+def _bollinger(bars: DataFrame, period: int, sigmas: tuple[int, ...], levels: tuple[float, ...]) -> DataFrame:
+    s = shifted(bars, ["high", "low", "close"])
     s = s.withColumns({"mean": roll(F.avg, "close", period), "sd": roll(F.stddev_samp, "close", period), "tr": true_range()})
     s = s.withColumns({"atr": roll(F.avg, "tr", period), "ivol": F.try_divide(F.col("sd"), F.col("mean")) * YEAR})
     c, mean, out = F.col("close"), F.col("mean"), {"atr_pct": F.bround(percent(F.col("atr"), F.col("close")), 4)}
@@ -38,20 +44,18 @@ def bollinger(bars: DataFrame, period: int = 20, sigmas: tuple[int, ...] = (1, 2
         for name, half in (("atr", F.col("atr") * k), ("ivol", mean * F.col("ivol") * k)):
             up, down = mean + half, mean - half
             out |= {f"{name}_upper_{tag(k)}": up, f"{name}_lower_{tag(k)}": down, f"{name}_position_{tag(k)}": F.bround(percent(c - down, up - down), 2)}
-    s = s.withColumns(out)
-    since = {f"since_{side}_{k}": time_since(F.col(f"touch_{side}_{k}") == 1) for k in sigmas for side in ("up", "down")}
-    s = with_z(s.withColumns(since), [*[f"{m}_{k}" for k in sigmas for m in ("width", "position")], "atr", "ivol"])
-    return s.drop("rn", "high", "low", "close")
+    return s.withColumns(out).drop("high", "low", "close")
 
 
-def level_tests(df: DataFrame, column: str, low: tuple[int, ...], high: tuple[int, ...]) -> DataFrame:
-    """For each level of a column from 0 to 100: whether it is there (at or under a low level, at or over a high one), how long ago it was, and how far it is beyond."""
-    x, out = F.col(column), {}
+def level_tests(column: str, low: tuple[int, ...], high: tuple[int, ...]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """For each level of a column from 0 to 100: whether it is there (at or under a low level, at or over a high one) and how far it is beyond; and the conditions by the name of the rows since they held."""
+    x, out, since = F.col(column), {}, {}
     for v, low_side in [(v, True) for v in low] + [(v, False) for v in high]:
         there = x <= v if low_side else x >= v
         beyond = F.least(x - v, F.lit(0.0)) if low_side else F.greatest(x - v, F.lit(0.0))
-        out |= {f"{column}_at_{v}": flag(there), f"{column}_since_{v}": time_since(there), f"{column}_beyond_{v}": F.when(x.isNotNull(), beyond)}
-    return df.withColumns(out)
+        out |= {f"{column}_at_{v}": flag(there), f"{column}_beyond_{v}": F.when(x.isNotNull(), beyond)}
+        since[f"{column}_since_{v}"] = there
+    return out, since
 
 
 LOW, HIGH = (20, 30, 40), (60, 70, 80)
@@ -59,37 +63,52 @@ LOW, HIGH = (20, 30, 40), (60, 70, 80)
 
 def rsi(bars: DataFrame, period: int = 14, low: tuple[int, ...] = LOW, high: tuple[int, ...] = HIGH) -> DataFrame:
     """Relative strength by simple means, its change, levels and z-scores; a period without losses is 100, one without moves NULL."""
-    s = numbered(shifted(bars, ["close"])).withColumn("d", diff("close"))
+    s = chunked(bars.select("symbol", "ts", "close"), lambda b: _rsi(b, period), period + 3)
+    levels, since = level_tests("rsi", low, high)
+    return with_z(s.withColumns(levels), ["rsi", "change"], since=since)
+
+
+def _rsi(bars: DataFrame, period: int) -> DataFrame:
+    s = shifted(bars, ["close"]).withColumn("d", diff("close"))
     gain, loss = F.when(F.col("d") > 0, F.col("d")).otherwise(0.0), F.when(F.col("d") < 0, -F.col("d")).otherwise(0.0)
     s = s.withColumns({"g": roll(F.avg, gain, period), "l": roll(F.avg, loss, period)})
     s = s.withColumn("rsi", F.when(F.col("l") == 0, F.when(F.col("g") > 0, 100.0)).otherwise(100 - 100 / (1 + F.try_divide(F.col("g"), F.col("l")))))
-    s = level_tests(s.withColumn("change", diff("rsi")), "rsi", low, high)
-    return with_z(s, ["rsi", "change"]).drop("rn", "close", "d", "g", "l")
+    return s.withColumn("change", diff("rsi")).drop("close", "d", "g", "l")
 
 
 def stochastic(bars: DataFrame, k: int = 12, d: int = 3, smooth: int = 3, low: tuple[int, ...] = LOW, high: tuple[int, ...] = HIGH) -> DataFrame:
     """Place of the close in the range of k rows, smoothed, with its mean over d rows: crossings, levels, changes, z-scores. A flat range is NULL."""
-    s = numbered(shifted(bars, ["high", "low", "close"]))
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close"), lambda b: _stochastic(b, k, d, smooth), k + d + smooth + 2)
+    (of_k, since_k), (of_d, since_d) = (level_tests(c, low, high) for c in ("k", "d"))
+    crossed = {"since_up": F.col("cross") == 1, "since_down": F.col("cross") == -1}
+    return with_z(s.withColumns(of_k | of_d), ["k", "d", "k_change", "d_change"], since=crossed | since_k | since_d)
+
+
+def _stochastic(bars: DataFrame, k: int, d: int, smooth: int) -> DataFrame:
+    s = shifted(bars, ["high", "low", "close"])
     lowest, highest = roll(F.min, "low", k), roll(F.max, "high", k)
     s = s.withColumn("raw", F.try_divide(100 * (F.col("close") - lowest), highest - lowest))
     s = s.withColumn("k", roll(F.avg, "raw", smooth) if smooth > 1 else F.col("raw")).withColumn("d", roll(F.avg, "k", d)).withColumn("cross", cross("k", "d"))
-    s = s.withColumns({"since_up": time_since(F.col("cross") == 1), "since_down": time_since(F.col("cross") == -1), "k_change": diff("k"), "d_change": diff("d")})
-    s = level_tests(level_tests(s, "k", low, high), "d", low, high)
-    return with_z(s, ["k", "d", "k_change", "d_change"]).drop("rn", "high", "low", "close", "raw")
+    return s.withColumns({"k_change": diff("k"), "d_change": diff("d")}).drop("high", "low", "close", "raw")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two exponential means (line), its own mean (signal), their difference (hist); crossings and times since, changes, z-scores."""
     s = ewm(shifted(bars, ["close"]), "close", [fast, slow])
     s = s.withColumn("line", F.col(f"ewm_{fast}") - F.col(f"ewm_{slow}")).select("symbol", "ts", "line")
-    s = numbered(ewm(s, "line", [signal], prefix="mean").withColumnRenamed(f"mean_{signal}", "signal")).withColumn("hist", F.col("line") - F.col("signal"))
-    s = s.withColumns({"cross": cross("line", "signal"), "zero_cross": cross("line", F.lit(0.0))} | {f"{c}_change": diff(c) for c in ("line", "signal", "hist")})
-    since = {f"since_{n}{side}": time_since(F.col(c) == sign) for n, c in (("", "cross"), ("zero_", "zero_cross")) for side, sign in (("up", 1), ("down", -1))}
-    return with_z(s.withColumns(since), ["line", "signal", "hist", "line_change", "signal_change", "hist_change"]).drop("rn")
+    s = ewm(s, "line", [signal], prefix="mean").withColumnRenamed(f"mean_{signal}", "signal").withColumn("hist", F.col("line") - F.col("signal"))
+    s = chunked(s, lambda b: b.withColumns({"cross": cross("line", "signal"), "zero_cross": cross("line", F.lit(0.0))} | {f"{c}_change": diff(c) for c in ("line", "signal", "hist")}), 1)
+    since = {f"since_{n}{side}": F.col(c) == sign for n, c in (("", "cross"), ("zero_", "zero_cross")) for side, sign in (("up", 1), ("down", -1))}
+    return with_z(s, ["line", "signal", "hist", "line_change", "signal_change", "hist_change"], since=since)
 
 
 def candles(bars: DataFrame, doji: float = 0.1, wick: float = 2.0, period: int = 20) -> DataFrame:
     """Patterns of one to three candles with strengths, how many bullish and bearish ones of late, volume against its mean, z-scores."""
+    s = chunked(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), lambda b: _candles(b, doji, wick, period), period + 4)
+    return with_z(s, ["hammer_strength", "star_strength", "bullish_count", "bearish_count", "intensity", "cluster"])
+
+
+def _candles(bars: DataFrame, doji: float, wick: float, period: int) -> DataFrame:
     s = shifted(bars, ["open", "high", "low", "close", "volume"])
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     s = s.withColumns({"body": c - o, "size": F.abs(c - o), "upper": h - F.greatest(o, c), "lower": F.least(o, c) - lo, "range": h - lo})
@@ -103,7 +122,7 @@ def candles(bars: DataFrame, doji: float = 0.1, wick: float = 2.0, period: int =
     any_ = lambda *names: F.greatest(*[F.col(n) for n in names])
     s = s.withColumns({"hammer_strength": F.when(F.col("hammer") == 1, F.try_divide(F.col("lower"), F.col("size"))).otherwise(0.0), "star_strength": F.when(F.col("star") == 1, F.try_divide(F.col("upper"), F.col("size"))).otherwise(0.0), "bullish_count": F.sum(any_("hammer", "bull_engulfing", "three_white")).over(frame(period)).cast("double"), "bearish_count": F.sum(any_("star", "bear_engulfing", "three_black")).over(frame(period)).cast("double"), "intensity": F.try_divide(F.col("volume"), roll(F.avg, "volume", period))})
     s = s.withColumn("cluster", F.col("bullish_count") + F.col("bearish_count"))
-    return with_z(s, ["hammer_strength", "star_strength", "bullish_count", "bearish_count", "intensity", "cluster"]).drop("open", "high", "low", "close", "volume", "mean_size")
+    return s.drop("open", "high", "low", "close", "volume", "mean_size")
 
 
 #: Hours of sessions, over midnight where the start is later; fixed values.
@@ -202,6 +221,11 @@ def volume_seasons(bars: DataFrame, seasons: tuple[str, ...] | None = None, even
 
 def volume_momentum(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50), widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
     """Changes of volume, of the bought share and of rolling volume over each period; volumes against their means over each width; z-scores of all."""
+    s = chunked(bars.select("symbol", "ts", "quote_volume", "taker_buy_quote_volume"), lambda b: _volume_momentum(b, periods, widths), max(*periods, *widths) + 3)
+    return with_z(s, [c for c in s.columns if c not in ("symbol", "ts")])
+
+
+def _volume_momentum(bars: DataFrame, periods: tuple[int, ...], widths: tuple[int, ...]) -> DataFrame:
     s = shifted(bars, ["quote_volume", "taker_buy_quote_volume"]).withColumn("r", F.try_divide(F.col("taker_buy_quote_volume"), F.col("quote_volume")))
     s = s.withColumns({f"sum_{p}": roll(F.sum, "quote_volume", p) for p in periods})
     out = {}
@@ -209,11 +233,15 @@ def volume_momentum(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 50),
         out |= {f"volume_{p}": pct_change("quote_volume", p), f"buy_ratio_{p}": pct_change("r", p), f"total_{p}": pct_change(f"sum_{p}")}
     for w in widths:
         out |= {f"relative_{w}": F.try_divide(F.col("quote_volume"), roll(F.avg, "quote_volume", w)), f"buy_relative_{w}": F.try_divide(F.col("taker_buy_quote_volume"), roll(F.avg, "taker_buy_quote_volume", w))}
-    return with_z(s.withColumns(out), list(out)).select("symbol", "ts", *out, *[f"{c}_z{n}" for c in out for n in (168, 720)])
+    return s.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
 
 
 def vwap(bars: DataFrame, period: int = 20, mults: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """Volume-weighted price with bands; sees its own bar. The deviation needs a second window over the first one's result."""
+    return chunked(bars.select("symbol", "ts", "high", "low", "close", "quote_volume"), lambda b: _vwap(b, period, mults), 2 * period)
+
+
+def _vwap(bars: DataFrame, period: int, mults: tuple[float, ...]) -> DataFrame:
     s = bars.select("symbol", "ts", "close", F.col("quote_volume").alias("v"), ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("tp"))
     s = s.withColumn("vwap", F.try_divide(roll(F.sum, F.col("tp") * F.col("v"), period), roll(F.sum, "v", period)))
     dev = roll(F.sum, F.pow(F.col("tp") - F.col("vwap"), 2) * F.col("v"), period)
@@ -252,6 +280,11 @@ def profile_of(p: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray,
 
 def volume_profile(bars: DataFrame, period: int = 24, bins: int = 100, area: float = 0.7, much: float = 1.5, little: float = 0.5) -> DataFrame:
     """Histogram of typical price by volume over the last rows: point of control, value area, nodes of much and little volume, their distances to the close, z-scores. Rows without a full frame, or whose frame has one price, have NULL."""
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close", "quote_volume"), lambda b: _volume_profile(b, period, bins, area, much, little), period + 1)
+    return with_z(s, [c for c in s.columns if c.startswith("to_") or c == "va_width"])
+
+
+def _volume_profile(bars: DataFrame, period: int, bins: int, area: float, much: float, little: float) -> DataFrame:
     s = shifted(bars, ["high", "low", "close", "quote_volume"])
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
     s = s.withColumns({"rows": F.collect_list(F.struct(tp.alias("p"), F.col("quote_volume").alias("v"))).over(frame(period)), "bottom": roll(F.min, "low", period), "top": roll(F.max, "high", period)})
@@ -272,10 +305,10 @@ def volume_profile(bars: DataFrame, period: int = 24, bins: int = 100, area: flo
             found = [pa.array(x, mask=np.isnan(x)) for x in values.T]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("symbol", "ts", "close")], *found], ["symbol", "ts", "close", *names])
 
-    s = s.mapInArrow(run, "symbol string, ts timestamp_ntz, close double, " + ", ".join(f"{n} double" for n in names))
+    s = s.mapInArrow(run, f"symbol {s.schema['symbol'].dataType.simpleString()}, ts timestamp_ntz, close double, " + ", ".join(f"{n} double" for n in names))
     c = F.col("close")
     away = {f"to_{n}": F.bround(percent(F.col(n) - c, c), 4) for n in names} | {"va_width": F.bround(percent(F.col("va_high") - F.col("va_low"), c), 4)}
-    return with_z(s.withColumns(away), list(away)).drop("close")
+    return s.withColumns(away).drop("close")
 
 
 #: Round prices; fixed values.
@@ -289,6 +322,11 @@ def touches(level: Column, period: int, margin: float) -> Column:
 
 def price_levels(bars: DataFrame, period: int = 20, major: tuple[float, ...] = MAJOR, minor: tuple[float, ...] = MINOR, margin: float = 0.01) -> DataFrame:
     """Nearest major and minor level strictly over and under the close, their distances and touches, levels near the close, centred support and resistance (looks ahead), z-scores of distances."""
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close"), lambda b: _price_levels(b, period, major, minor, margin), period + period // 2 + 1, ahead=(period - 1) // 2)
+    return with_z(s, [c for c in s.columns if c.startswith("to_")])
+
+
+def _price_levels(bars: DataFrame, period: int, major: tuple[float, ...], minor: tuple[float, ...], margin: float) -> DataFrame:
     s = shifted(bars, ["high", "low", "close"])
     c, found = F.col("close"), {}
     for name, values in (("major", major), ("minor", minor)):
@@ -299,19 +337,23 @@ def price_levels(bars: DataFrame, period: int = 20, major: tuple[float, ...] = M
     s = s.withColumns(found)
     names = ["major_up", "major_down", "minor_up", "minor_down", "resistance", "support"]
     s = s.withColumns({f"to_{n}": F.bround(percent(F.col(n) - c, c), 4) for n in names} | {f"{n}_strength": touches(F.col(n), period, margin) for n in names})
-    return with_z(s, [f"to_{n}" for n in names]).drop("high", "low", "close")
+    return s.drop("high", "low", "close")
 
 
 def market_structure(bars: DataFrame, p: int = 5) -> DataFrame:
     """Swing highs and lows over p rows to either side (looks ahead) and how far they stand out, higher highs and so on, breaks, trend, z-scores."""
-    s = numbered(shifted(bars, ["high", "low"]))
-    n = F.count("*").over(Window.partitionBy("symbol"))
+    s = chunked(bars.select("symbol", "ts", "high", "low"), lambda b: _market_structure(b, p), 5 * p + 1, ahead=p)
+    return with_z(s, ["high_strength", "low_strength"])
+
+
+def _market_structure(bars: DataFrame, p: int) -> DataFrame:
+    s = shifted(bars, ["high", "low"])
     around = by_symbol().rowsBetween(-p, p)
-    inside = (F.col("rn") > p) & (F.col("rn") <= n - p)
+    inside = F.count(F.lit(1)).over(around) == 2 * p + 1
     s = s.withColumns({"sh": flag(inside & (F.col("high") == F.max("high").over(around))), "sl": flag(inside & (F.col("low") == F.min("low").over(around)))})
     past = by_symbol().rowsBetween(-2 * p, -1)
     top = lambda f, c, m: f(F.when(F.col(m) == 1, F.col(c))).over(past)
-    late = F.col("rn") > 2 * p
+    late = F.count(F.lit(1)).over(past) == 2 * p
     s = s.withColumns({"hh": flag(late & (F.col("sh") == 1) & (F.col("high") > top(F.max, "high", "sh"))), "lh": flag(late & (F.col("sh") == 1) & (F.col("high") < top(F.min, "high", "sh"))), "ll": flag(late & (F.col("sl") == 1) & (F.col("low") < top(F.min, "low", "sl"))), "hl": flag(late & (F.col("sl") == 1) & (F.col("low") > top(F.max, "low", "sl")))})
     near, wide = by_symbol().rowsBetween(-p, -1), by_symbol().rowsBetween(-2 * p + 1, 0)
     up, down = (F.col("hh") == 1) & (F.max("hl").over(near) == 1), (F.col("ll") == 1) & (F.max("lh").over(near) == 1)
@@ -321,8 +363,8 @@ def market_structure(bars: DataFrame, p: int = 5) -> DataFrame:
     strength = lambda c, m, gap: F.when((F.col(m) == 1) & (span > 0), F.bround(gap / span * 100, 2)).otherwise(0.0)
     s = s.withColumns({"high_strength": strength("high", "sh", F.col("high") - mean("high")), "low_strength": strength("low", "sl", mean("low") - F.col("low"))})
     strong = {f"strong_{side}_{tag(t)}": flag(F.col(f"{side}_strength") > t) for side in ("high", "low") for t in (1.5, 2.0, 2.5)}
-    s = with_z(s.withColumns(strong | {"broken": F.when(down, -1).when(up, 1).otherwise(0), "trend": F.signum((bulls - bears).cast("double")).cast("int")}), ["high_strength", "low_strength"])
-    return s.withColumnRenamed("broken", "structure_break").drop("rn", "high", "low")
+    s = s.withColumns(strong | {"broken": F.when(down, -1).when(up, 1).otherwise(0), "trend": F.signum((bulls - bears).cast("double")).cast("int")})
+    return s.withColumnRenamed("broken", "structure_break").drop("high", "low")
 
 
 def streaks(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 100), threshold: float = 0.5, busy: float = 1.5) -> DataFrame:
@@ -348,6 +390,11 @@ def streaks(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 100), threshold
 
 def volatility(bars: DataFrame, widths: tuple[int, ...] = (24, 168, 720)) -> DataFrame:
     """Parkinson and close-to-close range volatility, true range and true range weighted by volume, their means over each width, the mean of the four over the middle width, z-scores."""
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close", "quote_volume"), lambda b: _volatility(b, widths), widths[0] + max(widths) + 2, "quarter")
+    return with_z(s, ["parkinson", "gk", "tr", "weighted", "composite"])
+
+
+def _volatility(bars: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = shifted(bars, ["high", "low", "close", "quote_volume"])
     hl, cc = F.ln(F.try_divide(F.col("high"), F.col("low"))), F.ln(F.try_divide(F.col("close"), lag("close")))
     gk = 0.5 * hl * hl - (2 * math.log(2) - 1) * cc * cc
@@ -357,7 +404,7 @@ def volatility(bars: DataFrame, widths: tuple[int, ...] = (24, 168, 720)) -> Dat
     means = {f"{m}_{w}": roll(F.avg, m, w) for m in kinds for w in widths}
     s = s.withColumns(means)
     s = s.withColumn("composite", row_mean([F.col(f"{m}_{widths[min(1, len(widths) - 1)]}") for m in kinds]))
-    return with_z(s, ["parkinson", "gk", "tr", "weighted", "composite"]).drop("high", "low", "close", "quote_volume", "busy")
+    return s.drop("high", "low", "close", "quote_volume", "busy")
 
 
 def mixture(df: DataFrame, value: str, parts: int = 3, rounds: int = 30) -> DataFrame:
@@ -438,13 +485,18 @@ def _funding_features(rates: DataFrame, widths: tuple[int, ...]) -> DataFrame:
 
 def returns(bars: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4, 5, 10, 20, 50), widths: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
     """Log and percent returns over each lag, yearly volatility and cumulative returns over each width (the product is of 1 and log returns), z-scores."""
+    s = chunked(bars.select("symbol", "ts", "close"), lambda b: _returns(b, lags, widths), max(*lags, *widths) + 2)
+    s = with_z(s, [c for c in s.columns if c.startswith(("log_", "raw_", "vol_", "cum_"))])
+    renamed = {f"raw_{n}_z{z}": f"pct_{n}_z{z}" for n in lags for z in (168, 720)}
+    return s.drop(*[f"raw_{n}" for n in lags]).withColumnsRenamed(renamed)
+
+
+def _returns(bars: DataFrame, lags: tuple[int, ...], widths: tuple[int, ...]) -> DataFrame:
     s = shifted(bars, ["close"]).withColumns({f"log_{n}": F.ln(F.try_divide(F.col("close"), lag("close", n))) for n in lags} | {f"raw_{n}": pct_change("close", n) * 100 for n in lags})
     out = {f"pct_{n}": F.bround(f"raw_{n}", 4) for n in lags}
     for w in widths:
         out |= {f"vol_{w}": roll(F.stddev_samp, "log_1", w) * YEAR, f"cum_log_{w}": roll(F.sum, "log_1", w), f"cum_pct_{w}": F.bround((roll(F.product, 1 + F.col("log_1"), w) - 1) * 100, 4)}
-    s = with_z(s.withColumns(out), [*[f"log_{n}" for n in lags], *[f"raw_{n}" for n in lags], *[f"{k}_{w}" for w in widths for k in ("vol", "cum_log", "cum_pct")]])
-    renamed = {f"raw_{n}_z{z}": f"pct_{n}_z{z}" for n in lags for z in (168, 720)}
-    return s.drop("close", *[f"raw_{n}" for n in lags]).withColumnsRenamed(renamed)
+    return s.withColumns(out).drop("close")
 
 
 def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24, 72, 168, 336, 720)) -> DataFrame:
@@ -452,15 +504,19 @@ def relationship(bars: DataFrame, benchmark: str, widths: tuple[int, ...] = (24,
     own = bars.select("symbol", "ts", "close")  # the benchmark itself gets no row
     bench = own.where(F.col("symbol") == benchmark).select(F.col("ts").alias("_ts"), F.col("close").alias("bench"))
     s = own.where(F.col("symbol") != benchmark).join(bench, F.col("ts") == F.col("_ts"), "left").drop("_ts")
-    s = shifted(s, ["close", "bench"]).withColumns({"a": F.ln(F.try_divide(F.col("close"), lag("close"))), "b": F.ln(F.try_divide(F.col("bench"), lag("bench")))})
+    s = chunked(s, lambda b: _relationship(b, widths), max(widths) + 2, "quarter")
+    return with_z(s, [c for c in s.columns if c not in ("symbol", "ts")])
+
+
+def _relationship(pairs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    s = shifted(pairs, ["close", "bench"]).withColumns({"a": F.ln(F.try_divide(F.col("close"), lag("close"))), "b": F.ln(F.try_divide(F.col("bench"), lag("bench")))})
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     s = s.withColumns({"x": F.when(both, F.col("a")), "y": F.when(both, F.col("b")), "spread": F.ln(F.try_divide(F.col("close"), F.col("bench")))})
     out = {}
     for w in widths:
         enough = F.count("x").over(frame(w)) >= w
         out |= {f"corr_{w}": F.when(enough, corr("x", "y", frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": F.bround((pct_change("close", w) - pct_change("bench", w)) * 100, 4), f"relative_vol_{w}": F.when(enough, F.bround(F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))), 4))}
-    s = with_z(s.withColumns(out), ["spread", *out])
-    return s.select("symbol", "ts", "spread", *out, *[f"{c}_z{n}" for c in ("spread", *out) for n in (168, 720)])
+    return s.select("symbol", "ts", "spread", *[v.alias(k) for k, v in out.items()])
 
 
 HALVINGS = ("2012-11-28", "2016-07-09", "2020-05-11", "2024-04-20")  # fixed values
@@ -481,13 +537,18 @@ def cycle(bars: DataFrame) -> DataFrame:
 
 def aux_series(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168, 336, 720)) -> DataFrame:
     """Of an index (open, high, low, close): range, body and shadows in percent, means and distances to them over each width, changes over a day and a week of hours, z-scores."""
+    s = chunked(series.select("symbol", "ts", "open", "high", "low", "close"), lambda b: _aux_series(b, widths), max(*widths, 168) + 1, "quarter")
+    return with_z(s, ["close", "range_pct", "change_24", "change_168"])
+
+
+def _aux_series(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = shifted(series, ["open", "high", "low", "close"])
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     out = {"range_pct": F.bround(percent(h - lo, o), 2), "body_pct": F.bround(percent(c - o, o), 2), "upper_pct": F.bround(percent(h - F.greatest(o, c), o), 2), "lower_pct": F.bround(percent(F.least(o, c) - lo, o), 2)}
     for w in widths:
         out |= {f"mean_{w}": roll(F.avg, c, w), f"vs_mean_{w}": percent(c, roll(F.avg, c, w)) - 100}
     out |= {f"change_{n}": pct_change("close", n) * 100 for n in (24, 168)}
-    return with_z(s.withColumns(out), ["close", "range_pct", "change_24", "change_168"]).drop("open", "high", "low")
+    return s.withColumns(out).drop("open", "high", "low")
 
 
 def fear_greed_features(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
