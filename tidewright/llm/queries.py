@@ -9,11 +9,12 @@ from .sharding import op7_sharding
 from .tokens import op1_token_ids, op4_token_counts
 from .topk import OP6_SQL, op6_top_k
 from .toxicity import op3_toxicity
+from .warc import OP11_SQL, op11_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_toxicity, op4_token_counts, op5_quality, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_toxicity, op4_token_counts, op5_quality, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup, op11_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op6_top_k": OP6_SQL}
+    return {"op2_mixing": OP2_SQL, "op6_top_k": OP6_SQL, "op11_warc": OP11_SQL}
