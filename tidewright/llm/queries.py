@@ -7,6 +7,7 @@ from .packing import op8_packing
 from .shingles import op9_ngram_jaccard
 from .quality import op5_quality
 from .sharding import op7_sharding
+from .spelling import op13_spelling_variants
 from .tokens import op1_token_ids, op4_token_counts
 from .topk import OP6_SQL, op6_top_k
 from .toxicity import op3_toxicity
@@ -14,7 +15,7 @@ from .warc import OP11_SQL, op11_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_toxicity, op4_token_counts, op5_quality, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup, op11_warc, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_toxicity, op4_token_counts, op5_quality, op6_top_k, op7_sharding, op8_packing, op9_ngram_jaccard, op10_embedding_neardup, op11_warc, op12_filter_audit, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
