@@ -2,9 +2,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
-from tidewright.llm import mixing, quality, shingles, toxicity
+from tidewright.llm import mixing, packing, quality, shingles, toxicity
+from tidewright.llm.encode import vocabulary_path
 from tidewright.llm.labelled import held_out, sample
 from tidewright.llm.store import save
 
@@ -98,3 +100,24 @@ def test_mixed_rows_that_share_ids(spark):
         of = [r for r in found if r.source == s]
         taken = sum(len(r.text.split()) for r in mixed if r.source == s)
         assert abs(taken - of[0].target) <= max(r.size for r in of) / 2
+
+
+HELPERS = ["box", "_key", "_doc", "_hash", "_id", "_times", "_source", "_all", "_rows", "_copy", "_v", "_h", "_b", "key", "n", "size", "set_id", "component_id", "repeats", "before", "a.b", "a`b"]
+
+
+def test_columns_with_helper_names(spark):
+    """Users' columns that have the names of helper columns come out as they went in."""
+    rows = [(i % 20 if i % 3 else None, f"{i % 15} " + "some words of a text here " * (i % 15), "ab"[i % 2], *[f"{i} {h}" for h in HELPERS]) for i in range(60)]
+    names = ["doc_id", "text", "source", *HELPERS]
+    docs = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType())] + [StructField(c, StringType()) for c in names[1:]]))
+    for make in (shingles.distinct_documents, mixing.mixed_documents):
+        one, two = ([tuple(r) for r in make(docs.repartition(n)).collect()] for n in (1, 5))
+        assert sorted(one, key=repr) == sorted(two, key=repr)
+        assert make(docs).columns == names and set(one) <= set(rows) and one
+
+
+def test_packing_doesnt_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(7 if i % 2 else None, f"text {i} " * (1 + i % 3)) for i in range(120)], "doc_id long, text string")
+    path = vocabulary_path("word_bpe_49k.json")
+    one, two = (sorted((tuple(r) for r in packing.pack_documents(docs.repartition(n), path, 1).collect()), key=repr) for n in (1, 7))
+    assert one == two

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_sum
-from .store import save
+from .store import in_boxes, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -67,9 +67,13 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "") -> DataFrame:
-    """The documents of the mix with their own columns, each as many times as it enters. A row is known by doc_id, source and a hash of its text; rows that are equal in these share what they have together."""
-    columns = docs.columns
-    docs = docs.withColumn("_key", F.xxhash64("text"))
+    """The documents of the mix with their own columns, whatever their names, each as many times as it enters.
+
+    A row is known by doc_id, source and a hash of its text; rows that are equal in
+    these share what they have together, and which of them gets one more follows
+    from a hash of the whole row, so that reruns agree.
+    """
+    docs = in_boxes(docs, "doc_id", "source", "text").withColumn("_key", F.xxhash64("text"))
     found = mix(docs, weights=weights, max_epochs=max_epochs, seed=seed, carried=("_key",))
     name = [F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("_key").alias("_hash")]
     times = save(found.groupBy(*name).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows")).where("_all > 0"), "mix_repeats")
@@ -77,9 +81,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     even, odd = times.where("_all % _rows = 0"), times.where("_all % _rows > 0")
     joined = docs.join(even, on).withColumn("_times", F.expr("_all div _rows"))
     if not odd.isEmpty():
-        place = F.row_number().over(Window.partitionBy("_doc", "_source", "_hash").orderBy(F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("_doc", "_source", "_hash").orderBy(F.md5(F.to_json("box"))))
         joined = joined.unionByName(docs.join(odd, on).withColumn("_times", F.expr("_all div _rows") + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)))
-    return joined.where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select(*columns)
+    return joined.where("_times > 0").select("box", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("box.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

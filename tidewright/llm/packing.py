@@ -133,9 +133,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
     found by subset sums over a bitset, and taken. That happens on the histogram
     of lengths (capacity rows at most); items then get their rank among equal
     lengths, and with it a place. A null or empty text is a piece of one token,
-    equal rows are packed each, and an empty table gives no row.
+    equal rows are packed each, and an empty table gives no row. Equal lengths
+    go in a seeded order of doc_id, piece and ids, so runs agree even where ids of
+    documents are missing or repeated.
     """
-    return assign(save(pieces(docs, path, end_id, capacity, with_ids), "pieces"), ["doc_id", "piece"], capacity)
+    return assign(save(pieces(docs, path, end_id, capacity, with_ids), "pieces"), ["doc_id", "piece", "ids_crc32"], capacity)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, tidy, words
 from .components import components
-from .store import broadcast_if_small, save, shuffle_partitions, text_batches
+from .store import broadcast_if_small, in_boxes, save, shuffle_partitions, text_batches
 
 SIZE, PERCENT = 5, 80
 #: A token is frequent if it is in this part of the documents.
@@ -415,14 +415,18 @@ def _named_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id (rows without one come last, equal ids by the hash of the text), with its own columns. Rows whose text is null, empty or blank all stay."""
+    """One row of each component, the one with the smallest doc_id (rows without one come last, equal ids by the hash of the text, rows equal in both by a hash of the whole row), with its own columns, whatever their names. Rows whose text is null, empty or blank all stay."""
     found = save(named_components(docs, size, percent), "jaccard")
     name = [F.col("doc_id").alias("_doc"), F.col("key").alias("_hash")]
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
     gone = found.where((F.col("n_shingles") > 0) & ~first).select(*name).distinct()
     twice = save(found.where((F.col("n_shingles") > 0) & first).groupBy(*name).count().where("count > 1").drop("count"), "kept_twice")
-    left = _named(docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")}), gone, "left_anti")
-    return _once(left, twice, "kept_once").select(*docs.columns)
+    boxes = in_boxes(docs, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
+    left = _named(boxes, gone, "left_anti")
+    if not twice.isEmpty():
+        one = _named(left, twice, "left_semi").groupBy("_id", "_key").agg(F.min_by("box", F.md5(F.to_json("box"))).alias("box"))
+        left = _named(left, twice, "left_anti").select("box").unionByName(one.select("box"))
+    return left.select("box.*")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

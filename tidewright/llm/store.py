@@ -36,6 +36,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_boxes(docs: DataFrame, *names: str) -> DataFrame:
+    """(box, names): the columns named, and the whole row as a struct, so that a column of the user's never meets one that an operator adds; select("box.*") gives the row back."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("box"), *names)
+
+
 def run_and_release(make, name: str) -> DataFrame:
     """save(make()), with the tables that make wrote on the way deleted, as nothing reads them any more."""
     spark = SparkSession.active()
