@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Moments, Since, scan
+
 
 def chunked(df: DataFrame, make: Callable[[DataFrame], DataFrame], reach: int, unit: str = "month", ahead: int = 0) -> DataFrame:
     """make(df), where a row of make's result looks at most reach rows of its symbol back and ahead rows forward.
@@ -40,41 +42,11 @@ def with_z(df: DataFrame, names: list[str], least: tuple[int, ...] = (168, 720),
     """Add {name}_z{n}, the expanding z-score of each column with each least number of values, and rows since each condition last held.
 
     A z-score is 0 where undefined or where the deviation is below 1e-12 or 1e-13
-    of the mean; rows since are NULL before the condition first holds. Conditions are of a row's own
-    columns. Windows run within pieces of time. What the earlier pieces of a symbol
-    come to (count, mean, deviation, last hit) is added up from one row for
-    each piece, with means taken from the symbol's first one, so that large values
-    with small deviations keep their digits. df is computed twice, once for these rows.
+    of the mean; rows since are NULL before the condition first holds. Conditions
+    are of a row's own columns. One scan in pieces of time makes them all: df is
+    written once, and all scores of a piece are made together.
     """
-    since, moments = since or {}, {"n": F.count, "m": F.avg, "v": F.var_pop}
-    place = Window.partitionBy("symbol", "_piece").orderBy("ts")
-    so_far = place.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_piece", F.date_trunc(unit, F.col("ts")))
-    rows = rows.withColumn("_r", F.row_number().over(place)).withColumns({f"{k}__at": F.when(c, F.col("_r")) for k, c in since.items()})
-    parts = {f"{c}__{k}": f(c) for c in names for k, f in moments.items()} | {f"{k}__last": F.max(f"{k}__at") for k in since}
-
-    sums = rows.groupBy(F.col("symbol").alias("_s"), F.col("_piece").alias("_p")).agg(F.count("*").alias("_rows"), *[v.alias(k) for k, v in parts.items()])
-    pieces = Window.partitionBy("_s").orderBy("_p")
-    here, before = pieces.rowsBetween(Window.unboundedPreceding, 0), pieces.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns({"_start": F.coalesce(F.sum("_rows").over(before), F.lit(0))} | {f"{c}__zero": F.first(f"{c}__m", ignorenulls=True).over(here) for c in names})
-    carries = {f"{k}__hit": F.max(F.col("_start") + F.col(f"{k}__last")).over(before) for k in since}
-    for c in names:
-        n, away = F.col(f"{c}__n"), F.col(f"{c}__m") - F.col(f"{c}__zero")
-        carries |= {f"{c}__n0": F.coalesce(F.sum(n).over(before), F.lit(0)), f"{c}__s0": F.sum(n * away).over(before), f"{c}__q0": F.sum(n * (F.col(f"{c}__v") + away * away)).over(before)}
-    sums = sums.withColumns(carries).select("_s", "_p", "_start", *carries, *[f"{c}__zero" for c in names])
-
-    rows = rows.withColumns({k: v.over(so_far) for k, v in parts.items()})
-    rows = rows.join(sums, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_piece").eqNullSafe(F.col("_p")), "left")
-    out = {k: F.col("_r") - F.coalesce(F.col(f"{k}__last"), F.col(f"{k}__hit") - F.col("_start")) for k in since}
-    for c in names:
-        n, mean, var, n0 = (F.col(f"{c}__{k}") for k in ("n", "m", "v", "n0"))
-        mean0 = F.col(f"{c}__zero") + F.try_divide(F.col(f"{c}__s0"), n0)
-        square0 = F.col(f"{c}__q0") - F.try_divide(F.col(f"{c}__s0") * F.col(f"{c}__s0"), n0)
-        share = F.try_divide(n, n0 + n)
-        centre = F.when(n0 == 0, mean).when(n == 0, mean0).otherwise(mean0 + (mean - mean0) * share)
-        square = F.when(n0 == 0, n * var).when(n == 0, square0).otherwise(square0 + n * var + (mean - mean0) * (mean - mean0) * n0 * share)
-        sd = F.sqrt(F.greatest(F.try_divide(square, n0 + n - 1), F.lit(0.0)))
-        known = sd >= F.greatest(F.lit(1e-12), F.abs(centre) * 1e-13)  # equal values may leave the last digits of their mean
-        z = F.try_divide(F.col(c) - centre, sd)
-        out |= {f"{c}_z{k}": F.coalesce(F.when(known & (n0 + n >= k), z), F.lit(0.0)) for k in least}
-    return rows.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+    since = since or {}
+    marked = df.withColumns({f"_is_{k}": F.coalesce(c, F.lit(False)) for k, c in since.items()})
+    found = scan(marked, [Since({k: f"_is_{k}" for k in since}), Moments(names, tuple(least))], unit, name="scores")
+    return found.drop(*[f"_is_{k}" for k in since])
