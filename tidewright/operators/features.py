@@ -126,8 +126,6 @@ def _candles(bars: DataFrame, doji: float, wick: float, period: int) -> DataFram
 
 
 #: Hours of sessions, over midnight where the start is later; fixed values.
-
-
 SESSIONS = {"asia": (22, 7), "london": (8, 16), "us": (14, 21)}
 
 
@@ -158,24 +156,6 @@ def seasonality(bars: DataFrame, events: dict[str, tuple[str, ...]] | None = Non
     return bars.select("symbol", "ts", *[v.alias(k) for k, v in calendar(events, sessions).items()])
 
 
-def session_ranges(bars: DataFrame, session: str = "asia") -> DataFrame:
-    """Open, high, low, close of each day's session (over midnight: of the day it starts), its range, body and wicks."""
-    start, end = SESSIONS[session]
-    date = F.when((F.lit(start) > end) & (F.hour("ts") < end), F.date_sub(F.to_date("ts"), 1)).otherwise(F.to_date("ts"))
-    g = bars.where(in_session(start, end)).groupBy("symbol", date.alias("date")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
-    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    top, bottom = h - F.greatest(o, c), F.least(o, c) - lo
-    return g.select("symbol", "date", "open", "high", "low", "close", (h - lo).alias("range"), (F.try_divide(h - lo, o) * 100).alias("range_pct"), (c - o).alias("body"), (F.try_divide(c - o, o) * 100).alias("body_pct"), top.alias("upper"), bottom.alias("lower"), F.try_divide(top, bottom).alias("wick_ratio"))
-
-
-def ath_atl(bars: DataFrame) -> DataFrame:
-    """Highest high and lowest low so far, distances to them, rows since (the number of rows before any)."""
-    s = numbered(shifted(bars, ["high", "low", "close"])).withColumns({"ath": F.max("high").over(so_far()), "atl": F.min("low").over(so_far())})
-    s = s.withColumns({"to_ath": F.try_divide(F.col("close") - F.col("ath"), F.col("ath")) * 100, "to_atl": F.try_divide(F.col("close") - F.col("atl"), F.col("atl")) * 100})
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    return s.select("symbol", "ts", "ath", "atl", "to_ath", "to_atl", F.coalesce(time_since(F.col("high") >= F.col("ath")), n).alias("since_ath"), F.coalesce(time_since(F.col("low") <= F.col("atl")), n).alias("since_atl"))
-
-
 def volume_rolling(bars: DataFrame, widths: tuple[int, ...] = (1, 4, 12, 24, 48, 72, 168)) -> DataFrame:
     """Over each width: volume, bought volume, its share, peak against mean, momentum (change times excess of the share) and its change. Runs month by month."""
     return chunked(bars.select("symbol", "ts", "quote_volume", "taker_buy_quote_volume"), lambda b: _volume_rolling(b, widths), max(widths) + 2)

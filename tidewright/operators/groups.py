@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import feature_name
-from . import features
+from . import features, sessions
 
 KEYS = ["symbol", "ts"]
 
@@ -68,7 +68,7 @@ class Groups(Enum):
     STOCHASTIC = Group("stochastic", "place of the close in the range", ("high", "low", "close"), features.stochastic, tuple({"k": k} for k in (5, 8, 12, 21)), ("k", "d", "smooth"))
     CANDLES = Group("candles", "candle patterns", ("open", "high", "low", "close", "volume"), features.candles, ({"doji": 0.1, "wick": 2.0, "period": 20}, {"doji": 0.15, "wick": 2.5, "period": 30}), ("period",))
     SEASONALITY = Group("seasonality", "calendar flags", (), features.seasonality)
-    TIME_RANGES = Group("time_ranges", "extremes so far and distances to them", ("high", "low", "close"), features.ath_atl)
+    TIME_RANGES = Group("time_ranges", "extremes so far, distances to them, ranges of sessions", ("open", "high", "low", "close"), sessions.time_ranges, ({"mode": "completed"}, {"mode": "developing"}))
     VOLUME_METRICS = Group("volume_metrics", "rolling volumes", ("quote_volume", "taker_buy_quote_volume"), features.volume_rolling, rows=("widths",))
     VOLUME_SEASONS = Group("volume_seasons", "volumes by season (look ahead)", ("quote_volume", "taker_buy_quote_volume"), features.volume_seasons)
     VOLUME_MOMENTUM = Group("volume_momentum", "changes of volume", ("quote_volume", "taker_buy_quote_volume"), features.volume_momentum, rows=("periods", "widths"))

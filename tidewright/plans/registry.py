@@ -83,9 +83,12 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, make, sql: str | None = None, source=src.hourly) -> None:
+def query(name: str, make, sql: str | None = None, source=src.hourly, exact: bool = False) -> None:
+    """Register make(source(spark, sf_dir)). Doubles are rounded, unless each is made by the same few operations on both sides (exact)."""
+
     def run(spark, sf_dir: str) -> DataFrame:
-        return rounded(make(source(spark, sf_dir)))
+        made = make(source(spark, sf_dir))
+        return made if exact else rounded(made)
 
     run.__name__ = name
     Q[name] = run
@@ -115,8 +118,6 @@ query("rolling_product", lambda b: b.select("symbol", "ts", roll(F.product, 1 +
 query("expanding_minmax", lambda b: b.select("symbol", "ts", F.max("high").over(so_far()).alias("top"), F.min("low").over(so_far()).alias("bottom"), F.avg("close").over(so_far()).alias("mean")), f"WITH {BARS} " + out({"top": f"max(high) {E}", "bottom": f"min(low) {E}", "mean": f"avg(close) {E}"}, "bars", "top bottom mean"))
 query("ewm_span", lambda b: ewm(b.select("symbol", "ts", "close"), "close", [12]).select("symbol", "ts", "ewm_12"), f"WITH {BARS}, l AS (SELECT symbol, ts, list(close) {E} AS x FROM bars) SELECT symbol, ts, round(list_reduce(x, lambda a, v: a + 2.0::DOUBLE / 13 * (v - a)), 6) AS ewm_12 FROM l")
 query("seasonality", lambda b: features.seasonality(b, {"fomc": ("2024-01-10", "2024-01-24")}), f"WITH {BARS} SELECT symbol, ts, quarter(ts)::INTEGER AS quarter, ((year(ts) - 2016) % 4 + 1)::INTEGER AS cycle_year, (isodow(ts) - 1)::INTEGER AS weekday, ((isodow(ts) = 5 AND hour(ts) >= 23) OR isodow(ts) = 6 OR (isodow(ts) = 7 AND hour(ts) < 17))::INTEGER AS is_weekend, (day(ts) <= 7 AND isodow(ts) = 5)::INTEGER AS first_friday, (hour(ts) >= 22 OR hour(ts) < 7)::INTEGER AS session_asia, (hour(ts) >= 8 AND hour(ts) < 16)::INTEGER AS session_london, (hour(ts) >= 14 AND hour(ts) < 21)::INTEGER AS session_us, (ts::DATE::VARCHAR IN ('2024-01-10', '2024-01-24'))::INTEGER AS is_fomc FROM bars")
-query("session_ranges", features.session_ranges, f"WITH {BARS}, g AS (SELECT symbol, CASE WHEN hour(ts) < 7 THEN ts::DATE - 1 ELSE ts::DATE END AS date, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM bars WHERE hour(ts) >= 22 OR hour(ts) < 7 GROUP BY 1, 2) SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(high - low, 6) AS range, round({dv('high - low', 'open')} * 100, 6) AS range_pct, round(close - open, 6) AS body, round({dv('close - open', 'open')} * 100, 6) AS body_pct, round(high - greatest(open, close), 6) AS upper, round(least(open, close) - low, 6) AS lower, round({dv('high - greatest(open, close)', 'least(open, close) - low')}, 6) AS wick_ratio FROM g")
-query("ath_atl", features.ath_atl, f"WITH {BARS}, {sh('high low close')}, a AS (SELECT *, max(high) {E} AS ath, min(low) {E} AS atl FROM s) " + out({"ath": "ath", "atl": "atl", "to_ath": dv("close - ath", "ath") + " * 100", "to_atl": dv("close - atl", "atl") + " * 100", "since_ath": f"coalesce({since('high >= ath')}, count(*) OVER (PARTITION BY symbol))", "since_atl": f"coalesce({since('low <= atl')}, count(*) OVER (PARTITION BY symbol))"}, "a", "ath atl to_ath to_atl"))
 query("volume_categorical", features.volume_by_season, f"WITH {BARS}, s AS (SELECT *, hour(ts)::INTEGER AS season FROM bars) " + out({"season": "season", "total": "sum(quote_volume) OVER p", "buy": "sum(taker_buy_quote_volume) OVER p", "ratio": "sum(taker_buy_quote_volume) OVER p / nullif(sum(quote_volume) OVER p, 0)", "concentration": "max(quote_volume) OVER p / nullif(avg(quote_volume) OVER p, 0)"}, "s WINDOW p AS (PARTITION BY symbol, season)", "total buy ratio concentration"))
 query("funding_asof", lambda b: b, f"WITH {BARS}, {FUNDING} SELECT b.symbol, b.ts, round(b.close, 6) AS close, round(coalesce(r.fundingRate, -1.0), 6) AS fundingRate FROM bars b ASOF LEFT JOIN rates r ON b.symbol = r.symbol AND b.ts >= r.ts", lambda s, d: src.as_of(src.hourly(s, d).select("symbol", "ts", "close"), src.funding(s, d), "fundingRate", -1.0))
 query("resample_ffill", lambda b: src.fill_hours(b, "close"), f"WITH {BARS}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY symbol) SELECT g.symbol, g.ts, round(b.close, 6) AS close FROM g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts >= b.ts")
@@ -149,12 +150,12 @@ query("backtest_replay", lambda b: trading.replay(b.withColumn("signal", F.coale
 
 
 def queries() -> dict:
-    from . import feature_sql, more  # noqa: F401  they add their queries when they are imported
+    from . import feature_sql, more, session_sql  # noqa: F401  they add their queries when they are imported
 
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import feature_sql, more  # noqa: F401
+    from . import feature_sql, more, session_sql  # noqa: F401
 
     return dict(SQL)
