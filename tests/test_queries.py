@@ -136,34 +136,6 @@ def test_volume_profile_by_brute_force(spark):
         assert sorted(x for x in (r.lvn_1, r.lvn_2, r.lvn_3) if x is not None) == pytest.approx(sorted(price[k] for k in small))
 
 
-def test_mixture_by_plain_em(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(0, 1, 400), rng.normal(6, 0.5, 300), rng.normal(20, 2, 300)])
-    rows = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)] * 5 + [("c", None)], "symbol string, x double")
-    fitted = features.mixture(rows, "x")
-    w, m, v = np.full(3, 1 / 3), np.quantile(x, [1 / 6, 0.5, 5 / 6]), np.full(3, x.var() / 3)
-    for _ in range(30):
-        log = np.log(w) - 0.5 * np.log(v) - (x[:, None] - m) ** 2 / (2 * v)
-        r = np.exp(log - log.max(axis=1, keepdims=True))
-        r /= r.sum(axis=1, keepdims=True)
-        n = r.sum(axis=0)
-        w, m = n / len(x), (r * x[:, None]).sum(axis=0) / n
-        v = (r * (x[:, None] - m) ** 2).sum(axis=0) / n
-    got = fitted.where("symbol = 'a'").orderBy("part").collect()
-    assert [g["mean"] for g in got] == pytest.approx(list(m), rel=1e-6) and [g["var"] for g in got] == pytest.approx(list(v), rel=1e-5)
-    named = {round(r.x, 9): r.regime for r in features.labelled_by_mixture(rows, "x", fitted).where("symbol = 'a'").collect()}
-    assert all(named[round(float(z), 9)] == k for z, k in zip(x[[0, 450, 900]], (0, 1, 2)))
-    assert features.labelled_by_mixture(rows, "x", fitted).where("symbol = 'c'").first().regime is None
-
-
-def test_regimes_keep_every_bar(spark):
-    bars = src.hourly(spark, SF)
-    got = features.regimes(bars)
-    assert got.count() == bars.count() and got.where("regime is null").count() >= 24 and {r.regime for r in got.select("regime").distinct().collect()} <= {None, 0, 1, 2}
-
-
 def test_aligned_series(spark):
     a, b = made(spark, [1.0, None, 3.0]), made(spark, [9.0, 8.0])
     assert [r.close for r in src.fill_index(a, b, "close").orderBy("ts").collect()] == [9.0, 8.0, 3.0]

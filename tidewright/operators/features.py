@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunked, with_z
-from ..functions.win import by_symbol, corr, cross, diff, earlier, ewm, flag, frame, lag, numbered, pct_change, roll, row_mean, shifted, so_far, time_since
+from ..functions.scans import Fill, Runs, Sums, scan
+from ..functions.win import by_symbol, corr, cross, diff, ewm, flag, frame, lag, pct_change, roll, row_mean, shifted
 
 YEAR = math.sqrt(252 * 24)
 
@@ -348,24 +349,32 @@ def _market_structure(bars: DataFrame, p: int) -> DataFrame:
 
 
 def streaks(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 100), threshold: float = 0.5, busy: float = 1.5) -> DataFrame:
-    """Signed length of runs of rises or falls (flat rows carry on), the return of a run on its last row (looks ahead by one), running counts of true ranges and volumes well over their means, both together, z-scores."""
-    s = numbered(shifted(bars, ["high", "low", "close", "quote_volume"]))
-    s = s.withColumns({"s": F.signum(pct_change("close")).cast("int"), "tr": true_range()})
-    s = s.withColumn("prev", F.last(F.when(F.col("s") != 0, F.col("s")), ignorenulls=True).over(earlier()))
-    s = s.withColumn("island", F.sum(flag((F.col("s") != 0) & (F.col("prev").isNull() | (F.col("s") != F.col("prev"))))).over(so_far()))
-    island = Window.partitionBy("symbol", "island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("price", F.coalesce(F.sum("s").over(island), F.lit(0)))
-    s = s.withColumn("ended", flag(F.abs(F.lead("price").over(by_symbol())) < F.abs("price")))
-    begun = F.max(F.when(lag("ended") == 1, F.col("rn"))).over(so_far())
-    s = s.withColumns({"length": F.abs("price"), "begun": F.coalesce(begun, F.lit(1))})
-    run = Window.partitionBy("symbol", "begun").orderBy("ts")
-    s = s.withColumn("returns", F.when(F.col("ended") == 1, F.coalesce(percent(F.col("close"), F.first("close").over(run)) - 100, F.lit(0.0))).otherwise(0.0))
-    hits = {}
-    for p in periods:
-        hits |= {f"volatility_{p}": flag(F.col("tr") > roll(F.avg, "tr", p) * (1 + threshold)), f"volume_{p}": flag(F.col("quote_volume") > roll(F.avg, "quote_volume", p) * busy)}
-    s = s.withColumns(hits).withColumns({c: F.sum(c).over(so_far()) for c in hits})
+    """Signed length of runs of rises or falls (flat rows carry on), the return of a run on its last row (looks ahead by one), running counts of true ranges and volumes well over their means, both together, z-scores.
+
+    Runs, counts and the close at which a run began are carried from piece to piece.
+    """
+    hits = [f"{k}_{p}" for p in periods for k in ("volatility", "volume")]
+    s = chunked(bars.select("symbol", "ts", "high", "low", "close", "quote_volume"), lambda b: _streak_rows(b, periods, threshold, busy), max(periods) + 3)
+    s = scan(s, [Runs("_sign", "_sign", "price", through=True), Sums({c: f"_{c}" for c in hits})], name="streaks")
+    s = s.withColumn("price", F.coalesce(F.col("price").cast("long"), F.lit(0)))
+    s = chunked(s, _streak_ends, 2, ahead=1)
+    s = scan(s, [Fill("_begins", {"_first": "close"})], name="streak_ends")
+    s = s.withColumns({"length": F.abs("price"), "returns": F.when(F.col("_ended"), F.coalesce(percent(F.col("close"), F.col("_first")) - 100, F.lit(0.0))).otherwise(0.0)})
     s = s.withColumns({f"combined_{p}": flag((F.col(f"volatility_{p}") > 0) & (F.col(f"volume_{p}") > 0)) for p in periods})
-    return with_z(s, ["length", "returns", *hits]).drop("rn", "high", "low", "close", "quote_volume", "s", "tr", "prev", "island", "ended", "begun")
+    return with_z(s.select("symbol", "ts", "price", "length", "returns", *hits, *[f"combined_{p}" for p in periods]), ["length", "returns", *hits])
+
+
+def _streak_rows(bars: DataFrame, periods: tuple[int, ...], threshold: float, busy: float) -> DataFrame:
+    s = shifted(bars, ["high", "low", "close", "quote_volume"]).withColumns({"_s": F.signum(pct_change("close")), "_tr": true_range()})
+    out = {"_sign": F.when(F.col("_s") != 0, F.col("_s"))}
+    for p in periods:
+        out |= {f"_volatility_{p}": flag(F.col("_tr") > roll(F.avg, "_tr", p) * (1 + threshold)), f"_volume_{p}": flag(F.col("quote_volume") > roll(F.avg, "quote_volume", p) * busy)}
+    return s.select("symbol", "ts", "close", *[v.alias(k) for k, v in out.items()])
+
+
+def _streak_ends(s: DataFrame) -> DataFrame:
+    ended = F.coalesce(F.abs(F.lead("price").over(by_symbol())) < F.abs("price"), F.lit(False))
+    return s.withColumn("_ended", ended).withColumn("_begins", F.coalesce(lag("_ended"), F.lit(False)))
 
 
 def volatility(bars: DataFrame, widths: tuple[int, ...] = (24, 168, 720)) -> DataFrame:
@@ -387,68 +396,6 @@ def _volatility(bars: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     return s.drop("high", "low", "close", "quote_volume", "busy")
 
 
-def mixture(df: DataFrame, value: str, parts: int = 3, rounds: int = 30) -> DataFrame:
-    """(symbol, part, weight, mean, var): a normal mixture of a column for each symbol, parts by rising mean.
-
-    Expectation and maximisation: each round is one aggregation over all rows by
-    symbol, from quantiles at first, so no task holds a symbol; what comes to the
-    driver is a row for each symbol. The seed is fixed, so reruns agree. A symbol
-    with fewer different values than parts gets parts that are alike.
-    """
-    x = df.where(F.col(value).isNotNull()).select("symbol", F.col(value).alias("x"))
-    cuts = ", ".join(str((i + 0.5) / parts) for i in range(parts))
-    first = x.groupBy("symbol").agg(F.expr(f"percentile(x, array({cuts}))").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v")).collect()
-    state = {r.symbol: [(1 / parts, m, max(r.v / parts, 1e-12)) for m in r.m] for r in first}
-    spark, schema = df.sparkSession, "symbol string, w array<double>, m array<double>, v array<double>"
-    for _ in range(rounds if state else 0):
-        table = spark.createDataFrame([(k, *map(list, zip(*p))) for k, p in state.items()], schema)
-        joined = x.join(F.broadcast(table), "symbol")  # a row for each symbol
-        logs = [F.ln(F.col("w")[i]) - 0.5 * F.ln(F.col("v")[i]) - F.pow(F.col("x") - F.col("m")[i], F.lit(2)) / (2 * F.col("v")[i]) for i in range(parts)]
-        joined = joined.select("symbol", "x", *[c.alias(f"l{i}") for i, c in enumerate(logs)]).withColumn("top", F.greatest(*[f"l{i}" for i in range(parts)]))
-        joined = joined.withColumns({f"e{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in range(parts)})
-        total = sum((F.col(f"e{i}") for i in range(1, parts)), F.col("e0"))
-        joined = joined.withColumns({f"r{i}": F.col(f"e{i}") / total for i in range(parts)})
-        sums = joined.groupBy("symbol").agg(F.count("*").alias("n"), *[f.alias(f"{k}{i}") for i in range(parts) for k, f in (("s", F.sum(f"r{i}")), ("a", F.sum(F.col(f"r{i}") * F.col("x"))), ("b", F.sum(F.col(f"r{i}") * F.col("x") * F.col("x"))))]).collect()
-        new = {}
-        for r in sums:
-            part = []
-            for i, old in enumerate(state[r.symbol]):
-                s, a, b = r[f"s{i}"], r[f"a{i}"], r[f"b{i}"]
-                part.append((s / r.n, a / s, max(b / s - (a / s) ** 2, 1e-12)) if s > 1e-9 else (1e-9, old[1], old[2]))
-            new[r.symbol] = part
-        moved = max((abs(a[1] - b[1]) for k in new for a, b in zip(new[k], state[k])), default=0.0)
-        state = new
-        if moved < 1e-10:
-            break
-    rows = [(k, i, *p) for k, ps in state.items() for i, p in enumerate(sorted(ps, key=lambda p: p[1]))]
-    return spark.createDataFrame(rows, "symbol string, part int, weight double, mean double, var double")
-
-
-def labelled_by_mixture(df: DataFrame, value: str, fitted: DataFrame) -> DataFrame:
-    """Add regime: the part that each value most likely comes from; NULL stays NULL."""
-    parts = fitted.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("part", "weight", "mean", "var"))).alias("_parts"))
-    score = F.transform("_parts", lambda p: F.struct((F.ln(p.weight) - 0.5 * F.ln(p["var"]) - F.pow(F.col(value) - p["mean"], F.lit(2)) / (2 * p["var"])).alias("s"), (-p.part).alias("n")))
-    return df.join(F.broadcast(parts), "symbol", "left").withColumn("regime", F.when(F.col(value).isNotNull(), -F.array_max(score)["n"])).drop("_parts")
-
-
-def regime_metrics(s: DataFrame, value: str = "x", width: int = 24) -> DataFrame:
-    """Of (symbol, ts, value, regime): rows that a regime has lasted, stability over 12 rows, deviation from the regime's mean, and how often it changed over width rows (the first row of a frame counts as a change)."""
-    changed = F.col("regime") != lag("regime")
-    s = s.withColumns({"changed": F.when(F.col("regime").isNotNull(), flag(changed)), "fresh": flag(F.col("regime").isNotNull() & lag("regime").isNull())})
-    s = s.withColumn("run", F.sum(F.coalesce("changed", F.lit(0)) + F.col("fresh")).over(so_far()))
-    run, same = Window.partitionBy("symbol", "run").orderBy("ts"), Window.partitionBy("symbol", "regime")
-    mean = F.avg(value).over(same)
-    known = F.col("regime").isNotNull()
-    changes = F.sum("changed").over(by_symbol().rowsBetween(-(width - 2), 0))
-    return s.select("symbol", "ts", "regime", F.when(known, F.row_number().over(run)).alias("duration"), (1 - roll(F.avg, F.col("changed").cast("double"), 12)).alias("stability"), F.when(known, F.try_divide(F.col(value) - mean, mean)).alias("intensity"), F.when(F.count("changed").over(frame(width)) >= width, (changes + 1) / width).alias("transition_prob"))
-
-
-def regimes(bars: DataFrame, width: int = 24, fitted: DataFrame | None = None) -> DataFrame:
-    """Regimes 0 to 2 of the mean true range over width rows, by a mixture fitted to each symbol's whole history (looks ahead), with their metrics; every bar has a row, NULL before the first full frame."""
-    s = volatility(bars, (width,)).select("symbol", "ts", F.col(f"tr_{width}").alias("x"))
-    return regime_metrics(labelled_by_mixture(s, "x", mixture(s, "x") if fitted is None else fitted), "x", width)
-
-
 def funding_features(rates: DataFrame, widths: tuple[int, ...] = (8, 24, 72, 168)) -> DataFrame:
     """Of an eight-hourly rate: annual mean, deviation, skew and share above 0; sees its own row. Runs quarter by quarter."""
     return chunked(rates.select("symbol", "ts", "fundingRate"), lambda r: _funding_features(r, widths), max(widths), "quarter")

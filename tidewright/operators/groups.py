@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import feature_name
-from . import features, sessions
+from . import features, regimes, sessions
 
 KEYS = ["symbol", "ts"]
 

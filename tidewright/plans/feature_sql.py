@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import features, trading
+from ..operators import features, regimes, trading
 from ..sources import bars as src
 from .registry import BARS, DAILY, E, FUNDING, O, YEAR, crs, dv, fl, lg, pc, query, rl, rw, sh, since
 
@@ -249,14 +249,16 @@ query("volatility", features.volatility, _s.z([*_VK, "composite"]).sql([*_VK, *[
 def _fixed_regimes(b):
     """Metrics of regimes by fixed bounds, as SQL can't fit a mixture."""
     s = features.volatility(b, (24, 168, 720)).select("symbol", "ts", F.try_divide("tr_24", "tr_168").alias("x"))
-    return features.regime_metrics(s.withColumn("regime", F.when(F.col("x") < 0.95, 0).when(F.col("x") < 1.05, 1).when(F.col("x").isNotNull(), 2)))
+    s = s.withColumn("x_regime", F.when(F.col("x") < 0.95, 0).when(F.col("x") < 1.05, 1).when(F.col("x").isNotNull(), 2))
+    found = regimes.regime_metrics(s, ["x"], 12)
+    return found.select("symbol", "ts", F.col("x_regime").alias("regime"), *[F.col(f"x_regime_{m}").alias(m) for m in ("duration", "stability", "intensity", "transition_prob")])
 
 
 _s = Steps(BARS, sh("high low close")).add(tr=TR).add(x=dv(q(rl("avg", "tr", 24)), q(rl("avg", "tr", 168)))).add(regime="CASE WHEN x < 0.95 THEN 0 WHEN x < 1.05 THEN 1 WHEN x IS NOT NULL THEN 2 END")
 _s.add(changed=f"CASE WHEN regime IS NOT NULL THEN {fl('regime <> ' + lg('regime'))} END", fresh=f"(regime IS NOT NULL AND {lg('regime')} IS NULL)::INTEGER").add(run=f"sum(coalesce(changed, 0) + fresh) {E}")
-_s.add(duration="CASE WHEN regime IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, run ORDER BY ts) END::INTEGER", stability=f"1 - ({rl('avg', 'changed', 12)})", intensity="CASE WHEN regime IS NOT NULL THEN (x - avg(x) OVER (PARTITION BY symbol, regime)) / nullif(avg(x) OVER (PARTITION BY symbol, regime), 0) END", transition_prob=f"CASE WHEN count(changed) {rw(24)} >= 24 THEN (sum(changed) {rw(23)} + 1) / 24.0::DOUBLE END")
+_s.add(duration="CASE WHEN regime IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, run ORDER BY ts) END::INTEGER", stability=f"1 - ({rl('avg', 'changed', 12)})", intensity="CASE WHEN regime IS NOT NULL THEN (x - avg(x) OVER (PARTITION BY symbol, regime)) / nullif(avg(x) OVER (PARTITION BY symbol, regime), 0) END", transition_prob=f"CASE WHEN count(changed) {rw(12)} >= 12 THEN (sum(changed) {rw(11)} + 1) / 12.0::DOUBLE END")
 query("regime_metrics", _fixed_regimes, _s.sql(["regime", "duration", "stability", "intensity", "transition_prob"], {"regime", "duration"}))
-query("regimes", features.regimes)
+query("regimes", regimes.regimes)
 query("volume_profile", features.volume_profile)
 
 _ff = {}
