@@ -2,10 +2,10 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import epoch, expected_rows
+from ..functions.periods import expected_rows
 from ..functions.win import by_symbol, corr, lag, near, numbered, so_far, time_since
 
 
@@ -16,13 +16,19 @@ def pnl_frame(bars: DataFrame) -> DataFrame:
     return s.withColumn("total", near(F.sum("pnl").over(so_far())))
 
 
+def hours_between(start, end) -> Column:
+    """Hours from one time to another, to the microsecond."""
+    micros = [F.unix_micros((F.col(t) if isinstance(t, str) else t).cast("timestamp")) for t in (start, end)]
+    return (micros[1] - micros[0]) / 3.6e9
+
+
 def drawdowns(frame: DataFrame) -> DataFrame:
     """Largest fall of the running total below its peak, and the longest closed time under one, in hours."""
     s = frame.withColumn("peak", F.max("total").over(so_far())).withColumn("under", F.col("total") < F.col("peak"))
     s = s.withColumn("episode", F.sum(F.when(~F.col("under"), 1).otherwise(0)).over(so_far()))
     runs = s.groupBy("symbol", "episode").agg(F.max(F.col("peak") - F.col("total")).alias("fall"), F.max_by("peak", "ts").alias("p"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
     nxt = F.lead("a").over(Window.partitionBy("symbol").orderBy("episode"))
-    runs = runs.withColumn("hours", F.when((F.col("n") > 1) & nxt.isNotNull(), (F.unix_timestamp(nxt.cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))) / 3600))
+    runs = runs.withColumn("hours", F.when((F.col("n") > 1) & nxt.isNotNull(), hours_between("a", nxt)))
     return runs.groupBy("symbol").agg(F.max("fall").alias("max_drawdown"), F.coalesce(F.max("hours"), F.lit(0.0)).alias("longest_hours"))
 
 
@@ -104,12 +110,6 @@ def overlap(sources: DataFrame) -> DataFrame:
 HOURS_A_YEAR = math.sqrt(365 * 24)
 
 
-def trade_frame(bars: DataFrame) -> DataFrame:
-    """What trading_summary reads, from pnl_frame: position and its change, profit of each bar and in total, value traded, whether a maker (even hours), signals missed (no position) and by how much."""
-    s = pnl_frame(bars).withColumn("change", F.col("position") - F.coalesce(lag("position"), F.lit(0.0)))
-    return s.select("symbol", "ts", F.col("position").alias("coin_position"), F.coalesce("change", F.lit(0.0)).alias("coin_position_change"), F.col("pnl").alias("trade_pnl"), F.col("total").alias("total_pnl"), (F.abs("change") * F.col("close")).alias("trade_value"), (F.hour("ts") % 2 == 0).cast("int").alias("maker_trades"), (F.coalesce("position", F.lit(0.0)) == 0).cast("int").alias("missed_signals"), (F.abs(F.col("close") - lag("close")) / F.col("close") * 1e4).alias("miss_bps"))
-
-
 def trading_summary(frame: DataFrame) -> DataFrame:
     """22 statistics of a run by symbol: profit, drawdown and its longest closed time, risk (first return left out, as it is unknown), trades, execution."""
     s = frame.withColumns({"r": F.col("total_pnl") - lag("total_pnl"), "peak": F.max("total_pnl").over(so_far())})
@@ -117,7 +117,7 @@ def trading_summary(frame: DataFrame) -> DataFrame:
     s = s.withColumns({"trade": is_trade, "previous": F.max(F.when(is_trade, F.col("ts"))).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))})
     win, loss = F.col("trade") & (F.col("trade_pnl") > 0), F.col("trade") & (F.col("trade_pnl") < 0)
     of = lambda f, cond, c: f(F.when(cond, F.col(c)))
-    gap = (epoch("ts") - epoch("previous")) / 3600
+    gap = hours_between("previous", "ts")
     g = s.groupBy("symbol").agg(
         F.max_by("total_pnl", "ts").alias("total_pnl"), F.min(F.col("total_pnl") - F.col("peak")).alias("max_drawdown"),
         F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), of(F.stddev_samp, F.col("r") < 0, "r").alias("down"),

@@ -49,7 +49,6 @@ def _heatmap(s, d):
 
 query("heatmap_triples", lambda h: h, "WITH h AS (SELECT DISTINCT ts::DATE AS day FROM events), c AS (SELECT ts::DATE AS day, floor(value / 10.0::DOUBLE)::INTEGER AS y, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2) SELECT h.day::TIMESTAMP AS ts, (l.y * 10.0)::DOUBLE AS level, round(coalesce(c.value, 0.0), 6) AS value FROM h CROSS JOIN range(8) l(y) LEFT JOIN c ON c.day = h.day AND c.y = l.y", _heatmap)
 
-_trade = f"tf AS (SELECT symbol, ts, position AS cp, coalesce(position - coalesce({lg('position')}, 0.0), 0.0) AS cc, pnl, total, abs(position - coalesce({lg('position')}, 0.0)) * close AS tv, (hour(ts) % 2 = 0)::INTEGER AS mk, (coalesce(position, 0.0) = 0)::INTEGER AS missed, abs(close - {lg('close')}) / close * 10000 AS bps FROM f), tr AS (SELECT *, total - {lg('total')} AS r, max(total) {E} AS peak, cc <> 0 AS t, max(CASE WHEN cc <> 0 THEN ts END) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tf)"
 _hoursql = f"k AS (SELECT *, max(total) {E} AS pk FROM f), e AS (SELECT *, sum(CASE WHEN total < pk THEN 0 ELSE 1 END) {E} AS episode FROM k), rr AS (SELECT symbol, episode, min(ts) AS a, count(*) AS n FROM e GROUP BY 1, 2), hh AS (SELECT *, CASE WHEN n > 1 THEN (epoch(lead(a) OVER (PARTITION BY symbol ORDER BY episode)) - epoch(a)) / 3600 END AS hours FROM rr), hm AS (SELECT symbol, coalesce(max(hours), 0.0) AS hours FROM hh GROUP BY symbol)"
 _sum = {
     "total_pnl": "arg_max(total, ts)", "max_drawdown": "min(total - peak)", "max_drawdown_hours": "any_value(hours)", "sharpe": f"coalesce(avg(r) / nullif(stddev_samp(r), 0) * {_yr}::DOUBLE, 0.0)", "sortino": f"coalesce(avg(r) / nullif(stddev_samp(r) FILTER (r < 0), 0) * {_yr}::DOUBLE, 0.0)", "volatility": f"stddev_samp(r) * {_yr}::DOUBLE",
@@ -57,7 +56,8 @@ _sum = {
     "avg_trade_pnl": "coalesce(avg(pnl) FILTER (t), 0.0)", "avg_winner": "coalesce(avg(pnl) FILTER (t AND pnl > 0), 0.0)", "avg_loser": "coalesce(avg(pnl) FILTER (t AND pnl < 0), 0.0)", "largest_winner": "coalesce(max(pnl) FILTER (t AND pnl > 0), 0.0)", "largest_loser": "coalesce(min(pnl) FILTER (t AND pnl < 0), 0.0)",
     "maker_rate": "coalesce(sum(mk) FILTER (t) * 100.0::DOUBLE / nullif(count(*) FILTER (t), 0), 0.0)", "avg_trade_size": "coalesce(avg(tv) FILTER (t), 0.0)", "avg_trade_spacing": "coalesce(avg((epoch(ts) - epoch(before)) / 3600) FILTER (t), 0.0)", "max_position": "max(abs(cp))", "avg_slippage_bps": "coalesce(avg(bps) FILTER (t), 0.0)",
 }
-query("trading_summary", lambda b: analytics.trading_summary(analytics.trade_frame(b)), f"WITH {BARS}, {_pnl}, {_trade}, {_hoursql} SELECT tr.symbol, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _sum.items()) + ", count(*) FILTER (t) AS total_trades, sum(missed)::BIGINT AS missed_trades FROM tr JOIN hm ON tr.symbol = hm.symbol GROUP BY tr.symbol")
+_trading_sql = "SELECT tr.symbol, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _sum.items()) + ", count(*) FILTER (t) AS total_trades, sum(missed)::BIGINT AS missed_trades FROM tr JOIN hm ON tr.symbol = hm.symbol GROUP BY tr.symbol"
+
 _cm = {"total_return": "tot", "annual_return": "tot * 252.0::DOUBLE / n", "volatility": "sd * sqrt(252.0::DOUBLE / n)", "sharpe": "coalesce(m / nullif(sd, 0) * sqrt(252.0::DOUBLE / n), 0.0)", "sortino": "coalesce(m / nullif(dn, 0) * sqrt(252.0::DOUBLE / n), 0.0)", "max_drawdown": "abs(dd)", "win_rate": "coalesce(ups::DOUBLE / nullif(moves, 0), 0.0)", "profit_factor": "abs(gain / nullif(lost, 0))"}
 query("curve_metrics", lambda b: analytics.curve_metrics(b, "close"), f"WITH {BARS}, r AS (SELECT *, {pc('close')} AS r, close / nullif(max(close) {E}, 0) - 1 AS d FROM bars), g AS (SELECT symbol, count(*) AS n, arg_max(close, ts) / nullif(arg_min(close, ts), 0) - 1 AS tot, avg(r) AS m, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < 0) AS dn, min(d) AS dd, count(*) FILTER (r > 0) AS ups, count(*) FILTER (r <> 0) AS moves, sum(r) FILTER (r > 0) AS gain, sum(r) FILTER (r < 0) AS lost FROM r GROUP BY symbol) SELECT symbol, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _cm.items()) + " FROM g")
 

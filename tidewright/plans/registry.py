@@ -150,12 +150,12 @@ query("backtest_replay", lambda b: trading.replay(b.withColumn("signal", F.coale
 
 
 def queries() -> dict:
-    from . import feature_sql, more, session_sql  # noqa: F401  they add their queries when they are imported
+    from . import event_sql, feature_sql, more, session_sql  # noqa: F401  they add their queries when they are imported
 
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import feature_sql, more, session_sql  # noqa: F401
+    from . import event_sql, feature_sql, more, session_sql  # noqa: F401
 
     return dict(SQL)

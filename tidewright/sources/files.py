@@ -1,92 +1,30 @@
 """Files and paged sources: market data by symbol, auxiliary series, heatmaps, settings, features and results."""
 
 import json
-import os
-from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bars import BARS
+from .paged import paged
 
 #: Where the volatility index of options begins; fixed value.
 DVOL_START = "2021-03-24"
 AUX = "ts timestamp_ntz, open double, high double, low double, close double"
 
 
-class Slice(InputPartition):
-    def __init__(self, symbol: str, start: int, end: int):
-        self.symbol, self.start, self.end = symbol, start, end
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict, fields: list[str]):
-        self.options, self.fields = options, fields
-
-    def partitions(self):
-        """One for each symbol and slice of time, so that pages are fetched by many tasks."""
-        start, end, width = (int(self.options[k]) for k in ("start", "end", "slice"))
-        return [Slice(s, a, min(a + width, end)) for s in self.options["symbols"].split(",") for a in range(start, end, width)]
-
-    def read(self, part: Slice) -> Iterator[tuple]:
-        """Rows with start <= key < end, page by page; a page begins after the last row of the one before."""
-        page, at = int(self.options.get("page", 1000)), part.start
-        fetch = fetcher(self.options["path"])
-        while at < part.end:
-            rows = fetch(part.symbol, at, part.end, page)
-            for r in rows:
-                yield tuple(r.get(f) for f in self.fields)
-            if len(rows) < page:
-                return
-            at = int(rows[-1]["time"]) + 1
-
-
-def fetcher(path: str) -> Callable[[str, int, int, int], list[dict]]:
-    """Pages from JSON lines in {path}/{symbol}.json, ordered by time; stands in for a network service, which has the same signature."""
-
-    def fetch(symbol: str, start: int, end: int, page: int) -> list[dict]:
-        out = []
-        with open(os.path.join(path, f"{symbol}.json"), encoding="utf-8") as f:
-            for line in f:
-                row = json.loads(line)
-                if start <= int(row["time"]) < end:
-                    out.append(row | {"symbol": symbol})
-                    if len(out) == page:
-                        break
-        return out
-
-    return fetch
-
-
-class PagedSource(DataSource):
-    """spark.read.format("paged"): options path, symbols (comma-separated), start, end and slice (in the unit of time), page (rows), and schema by .schema()."""
-
-    @classmethod
-    def name(cls):
-        return "paged"
-
-    def schema(self):
-        return "symbol string, time long, open double, high double, low double, close double, volume double"
-
-    def reader(self, schema):
-        return PagedReader(dict(self.options), schema.names)
-
-
-def paged(spark: SparkSession, path: str, symbols: list[str], start: int, end: int, width: int, schema: str | None = None, page: int = 1000) -> DataFrame:
-    spark.dataSource.register(PagedSource)
-    reader = spark.read.format("paged").options(path=path, symbols=",".join(symbols), start=start, end=end, slice=width, page=page)
-    return (reader.schema(schema) if schema else reader).load()
-
-
 def at_millis(df: DataFrame) -> DataFrame:
-    """time (milliseconds) as ts; rows without one are dropped, and of several rows for one symbol and time the last is kept."""
+    """time (milliseconds) as ts; rows without one are dropped, and of several rows for one symbol and time one is kept whole: the last to arrive (at), if the rows say when, else the largest."""
     rows = df.where("time is not null").withColumn("ts", F.timestamp_millis("time").cast("timestamp_ntz"))
-    return rows.groupBy("symbol", "ts").agg(*[F.max_by(c, "time").alias(c) for c in df.columns if c not in ("symbol", "time")])
+    kept = [c for c in df.columns if c not in ("symbol", "time", "at")]
+    arrival = [F.col("at")] if "at" in df.columns else []
+    last = rows.groupBy("symbol", "ts").agg(F.max(F.struct(*arrival, F.struct(*kept).alias("row"))).alias("last"))
+    return last.select("symbol", "ts", "last.row.*")
 
 
 def klines(spark: SparkSession, path: str, symbols: list[str], start: int, end: int, width: int = 86_400_000) -> DataFrame:
-    schema = "symbol string, time long, open double, high double, low double, close double, volume double, quote_volume double, trades double, taker_buy_quote_volume double"
+    schema = "symbol string, time long, open double, high double, low double, close double, volume double, quote_volume double, trades double, taker_buy_quote_volume double, at long"
     out = at_millis(paged(spark, path, symbols, start, end, width, schema))
     return out.withColumn("taker_sell_quote_volume", F.col("quote_volume") - F.col("taker_buy_quote_volume"))
 
@@ -99,14 +37,15 @@ def funding_history(spark: SparkSession, path: str, symbols: list[str], start: i
 
 
 def options_volatility(spark: SparkSession, path: str, symbol: str, start: int, end: int, width: int = 86_400_000) -> DataFrame:
-    """(symbol, ts, implied_volatility) from the day on that the index exists."""
-    rows = at_millis(paged(spark, path, [symbol], start, end, width))
-    return rows.where(F.col("ts") >= F.lit(DVOL_START).cast("timestamp_ntz")).select("symbol", "ts", F.col("close").alias("implied_volatility"))
+    """(symbol, ts, implied_volatility) from the day on that the index exists; pages go back in time, as the service gives the latest first."""
+    begins = int(datetime.fromisoformat(DVOL_START).replace(tzinfo=UTC).timestamp() * 1000)
+    rows = at_millis(paged(spark, path, [symbol], min(max(start, begins), end), end, width, direction="backward"))
+    return rows.select("symbol", "ts", F.col("close").alias("implied_volatility"))
 
 
-def index_series(spark: SparkSession, path: str, symbol: str, start: int, end: int, width: int = 86_400_000) -> DataFrame:
-    """A share or volatility index: bars with returns."""
-    rows = at_millis(paged(spark, path, [symbol], start, end, width))
+def index_series(spark: SparkSession, path: str, symbol: str, start: int, end: int, width: int = 86_400_000, daily: str | None = None) -> DataFrame:
+    """A share or volatility index: bars with returns. A slice without hourly rows has those of the daily series, if there is a path to one."""
+    rows = at_millis(paged(spark, path, [symbol], start, end, width, **({"fallback": daily} if daily else {})))
     return rows.withColumn("returns", F.try_divide(F.col("close"), F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))) - 1)
 
 
