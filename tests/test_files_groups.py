@@ -85,6 +85,8 @@ def test_raw_features_and_results(spark, tmp_path):
 def test_settings_files(spark, tmp_path):
     (tmp_path / "s.yaml").write_text("# run\nbacktest:\n  symbol: 'A'\n  time:\n    trading_hours: [9, 16]  # hours\n    allow: true\nexecution:\n  fee: 0.5\n")
     assert files.read_settings(str(tmp_path / "s.yaml")) == {"backtest": {"symbol": "A", "time": {"trading_hours": [9, 16], "allow": True}}, "execution": {"fee": 0.5}}
+    (tmp_path / "l.yaml").write_text("a:\n  days:\n    - monday\n    - 'friday'\n  n: 1\nb:\n- 1\n- 2.5\n- x y\nc: [1]\nd:\n")
+    assert files.read_settings(str(tmp_path / "l.yaml")) == {"a": {"days": ["monday", "friday"], "n": 1}, "b": [1, 2.5, "x y"], "c": [1], "d": {}}
     tree = {"events": {"economic": {"JOBS": "first_friday", "RATES": ["2024-01-31"]}, "halvings": ["2024-04-20"]}, "time_features": {"sessions": {"asia": ["22:00", "07:30"]}}}
     (tmp_path / "s.json").write_text(json.dumps(tree))
     assert files.read_settings(str(tmp_path / "s.json")) == tree
@@ -124,3 +126,50 @@ def test_registry_and_driver(spark, tmp_path):
     assert len(groups.slowest(report, 1)) == 1 and set(bars.columns) <= set(out.columns)
     wide = groups.group_features(bars, groups.Groups.find("rsi"), 4, ({"period": 7},))
     assert any(c.startswith("rsi_4h_28_") for c in wide.columns)
+
+
+class Range:
+    """A group of one's own."""
+
+    name, required = "range", ("high", "low")
+    sets = ({"power": 1}, {"power": 2})
+
+    def apply(self, bars, power=1):
+        return bars.select("symbol", "ts", F.pow(F.col("high") - F.col("low"), F.lit(power)).alias("spread"))
+
+
+class OfFeatures:
+    name, required, uses_features = "sum", ("range_1h_1_spread",), True
+
+    def apply(self, bars):
+        return bars.select("symbol", "ts", (F.col("range_1h_1_spread") + F.col("range_1h_2_spread")).alias("both"))
+
+
+def test_groups_of_ones_own(spark):
+    bars = src.hourly(spark, SF).where("symbol in ('view', 'click')")
+    out, report = groups.run_groups(bars, [Range(), "cycle", OfFeatures()])
+    assert [r["group"] for r in report] == ["range", "cycle", "sum"] and [r["features"] for r in report] == [2, 3, 1]
+    row = out.where("high > low").first()
+    assert row.range_1h_2_spread == pytest.approx(row.range_1h_1_spread**2) and row.sum_1h_both == pytest.approx(row.range_1h_1_spread + row.range_1h_2_spread)
+    with pytest.raises(groups.MissingColumns, match="range_1h_1_spread"):
+        groups.run_groups(bars, [OfFeatures()])
+    for name in ("regimes", "relationship", "index", "fear_greed", "cycle", "time_ranges"):
+        assert groups.Groups.find(name).name == name
+    against = groups.group_features(bars, groups.Groups.find("relationship"), sets=({"benchmark": "view"},))
+    assert {r.symbol for r in against.select("symbol").distinct().collect()} == {"click"}
+
+
+def test_catalog_versions(spark, tmp_path):
+    bars, at = src.hourly(spark, SF), f"file://{tmp_path}/catalog"
+    with pytest.raises(FileNotFoundError):
+        analytics.load_catalog(spark, at)
+    entries = analytics.catalog_entries(bars, "raw").withColumn("nickname", F.concat(F.lit("binance_"), "nickname"))
+    assert analytics.save_catalog(entries, at) == 1
+    more = entries.limit(1).withColumns({"source_id": F.lit("vix_daily"), "nickname": F.lit("vix_daily")})
+    assert analytics.save_catalog(analytics.upsert(analytics.load_catalog(spark, at), more), at) == 2
+    (tmp_path / "catalog" / "version=3").mkdir()  # a version that was cut off
+    assert analytics.load_catalog(spark, at).count() == entries.count() + 1 and analytics.load_catalog(spark, at, 1).count() == entries.count()
+    kinds = analytics.source_priorities(spark)
+    status = {r.source_type: r for r in analytics.collection_status(analytics.load_catalog(spark, at), kinds).collect()}
+    assert status["binance"].sources == entries.count() and status["vix"].collected and not status["deribit"].collected and status["deribit"].start is None
+    assert [r.timing for r in analytics.catalog_report(analytics.load_catalog(spark, at), kinds).collect()] == ["t-1"] * (entries.count() + 1)

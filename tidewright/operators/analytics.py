@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import expected_rows
@@ -242,6 +242,10 @@ def chart_frames(states: DataFrame, trades: DataFrame) -> dict[str, DataFrame]:
 PRIORITIES = (("binance", 1, "1h", "t-1", 8760), ("futures", 2, "1h", "t-1", 8760), ("deribit", 3, "1h", "t-1", 720), ("vix", 4, "1d", "t-1", 252), ("fear_greed", 5, "1d", "t+1", 365))
 
 
+#: Kinds of sources that a table of priorities may have.
+MOST_KINDS = 10_000
+
+
 def source_priorities(spark) -> DataFrame:
     return spark.createDataFrame(PRIORITIES, "source_type string, priority int, granularity string, timing string, lookback int")
 
@@ -275,6 +279,40 @@ def missing_sources(catalog_rows: DataFrame, priorities: DataFrame) -> DataFrame
 
 
 def collection_status(catalog_rows: DataFrame, priorities: DataFrame) -> DataFrame:
-    """For each kind of source: how many entries, their span, and whether there is any."""
-    found = priorities.join(F.broadcast(catalog_rows.select("nickname", "start", "end")), F.expr("nickname LIKE '%' || source_type || '%'"), "left")  # a row for each source
-    return found.groupBy("source_type", "priority").agg(F.count("nickname").alias("sources"), F.min("start").alias("start"), F.max("end").alias("end")).withColumn("collected", F.col("sources") > 0)
+    """For each kind of source: how many entries, their span, and whether there is any. There are few kinds, so entries look theirs up."""
+    kinds = F.broadcast(priorities.select("source_type").limit(MOST_KINDS))
+    found = catalog_rows.select("nickname", "start", "end").join(kinds, F.expr("nickname LIKE '%' || source_type || '%'"))
+    found = found.groupBy("source_type").agg(F.count("nickname").alias("sources"), F.min("start").alias("start"), F.max("end").alias("end"))
+    all_ = priorities.select("source_type", "priority").join(found, "source_type", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    return all_.withColumn("collected", F.col("sources") > 0)
+
+
+def save_catalog(catalog_rows: DataFrame, path: str) -> int:
+    """Write a catalog as the next version at path; earlier ones stay, so that a reader is never without. Returns the version."""
+    spark = catalog_rows.sparkSession
+    number = max(catalog_versions(spark, path), default=0) + 1
+    catalog_rows.write.parquet(f"{path}/version={number}")
+    return number
+
+
+def catalog_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a catalog that are written to their end."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = done.getFileSystem(conf).globStatus(done)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def load_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version of a catalog at path, or the one that is named."""
+    versions = catalog_versions(spark, path)
+    if not versions or (version is not None and version not in versions):
+        raise FileNotFoundError(f"no catalog of version {version or 'any'} at {path}")
+    return spark.read.parquet(f"{path}/version={version or versions[-1]}")
+
+
+def catalog_report(catalog_rows: DataFrame, priorities: DataFrame) -> DataFrame:
+    """Entries in order of their kind's priority, with its granularity, timing and lookback; those of no kind come last."""
+    kinds = F.broadcast(priorities.select("source_type", "priority", F.col("granularity").alias("expected"), "timing", "lookback").limit(MOST_KINDS))
+    joined = catalog_rows.join(kinds, F.expr("nickname LIKE '%' || source_type || '%'"), "left")
+    return joined.orderBy(F.col("priority").asc_nulls_last(), "source_id")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,6 +233,8 @@ def _vwap(bars: DataFrame, period: int, mults: tuple[float, ...]) -> DataFrame:
 
 
 NODES = 3
+#: Bins that profiles made at once have together.
+PROFILE_CELLS = 1 << 20
 
 
 def profile_of(p: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, bins: int, area: float, much: float, little: float) -> np.ndarray:
@@ -266,27 +269,23 @@ def volume_profile(bars: DataFrame, period: int = 24, bins: int = 100, area: flo
 
 
 def _volume_profile(bars: DataFrame, period: int, bins: int, area: float, much: float, little: float) -> DataFrame:
-    s = shifted(bars, ["high", "low", "close", "quote_volume"])
-    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    s = s.withColumns({"rows": F.collect_list(F.struct(tp.alias("p"), F.col("quote_volume").alias("v"))).over(frame(period)), "bottom": roll(F.min, "low", period), "top": roll(F.max, "high", period)})
-    ready = (F.size("rows") == period) & (F.col("top") > F.col("bottom")) & F.forall("rows", lambda r: r.p.isNotNull() & r.v.isNotNull())
-    s = s.withColumn("rows", F.when(ready, F.col("rows")))
+    s = shifted(bars, ["high", "low", "close", "quote_volume"]).withColumn("p", (F.col("high") + F.col("low") + F.col("close")) / 3)
     names = ["poc", "va_low", "va_high", *[f"hvn_{i + 1}" for i in range(NODES)], *[f"lvn_{i + 1}" for i in range(NODES)]]
 
-    def run(batches):
-        for batch in batches:
-            rows = batch.column("rows")
-            known = np.flatnonzero(rows.is_valid())
-            values = np.full((len(batch), len(names)), np.nan)
-            if len(known):
-                flat = rows.take(pa.array(known)).flatten()
-                p, v = (flat.field(i).to_numpy(zero_copy_only=False).reshape(len(known), period) for i in (0, 1))
-                low, high = (batch.column(c).to_numpy(zero_copy_only=False)[known] for c in ("bottom", "top"))
-                values[known] = profile_of(p, v, low, high, bins, area, much, little)
-            found = [pa.array(x, mask=np.isnan(x)) for x in values.T]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("symbol", "ts", "close")], *found], ["symbol", "ts", "close", *names])
-
-    s = s.mapInArrow(run, f"symbol {s.schema['symbol'].dataType.simpleString()}, ts timestamp_ntz, close double, " + ", ".join(f"{n} double" for n in names))
+    def slide(piece: pa.Table) -> pa.Table:
+        """Frames of a piece are views of its columns, so a bar is sent once."""
+        piece = piece.take(pc.sort_indices(piece, sort_keys=[("ts", "ascending")]))
+        values = np.full((len(piece), len(names)), np.nan)
+        if len(piece) >= period:
+            p, v, low, high = (np.lib.stride_tricks.sliding_window_view(piece.column(c).to_numpy(zero_copy_only=False), period) for c in ("p", "quote_volume", "low", "high"))
+            bottom, top = low.min(axis=1), high.max(axis=1)
+            known = np.flatnonzero(~np.isnan(p).any(axis=1) & ~np.isnan(v).any(axis=1) & (top > bottom))
+            for some in np.array_split(known, max(1, len(known) * bins // PROFILE_CELLS)):
+                values[some + period - 1] = profile_of(p[some], v[some], bottom[some], top[some], bins, area, much, little)
+        found = [pa.array(x, mask=np.isnan(x)) for x in values.T]
+        return pa.Table.from_arrays([*[piece.column(c) for c in ("symbol", "ts", "close")], *found], ["symbol", "ts", "close", *names])
+
+    s = s.groupBy("symbol").applyInArrow(slide, f"symbol {s.schema['symbol'].dataType.simpleString()}, ts timestamp_ntz, close double, " + ", ".join(f"{n} double" for n in names))
     c = F.col("close")
     away = {f"to_{n}": F.bround(percent(F.col(n) - c, c), 4) for n in names} | {"va_width": F.bround(percent(F.col("va_high") - F.col("va_low"), c), 4)}
     return s.withColumns(away).drop("close")
@@ -493,7 +492,9 @@ HIGH_VALUE = (("2017-12-05", "2017-12-21"), ("2021-01-05", "2021-01-12"), ("2021
 
 
 def in_intervals(bars: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Add inside: whether ts lies in one of the intervals (start, end), both included; a small table of intervals, not overlapping."""
-    spans = intervals.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = bars.join(F.broadcast(spans))  # one row
-    return joined.withColumn("inside", F.exists("_spans", lambda x: F.col("ts").between(x.start, x.end)).cast("int")).drop("_spans")
+    """Add inside: whether ts lies in one of the intervals (start, end), both included; they don't overlap. Bars and intervals meet by month, so neither needs to be small."""
+    month = lambda c: F.date_trunc("month", F.col(c).cast("timestamp_ntz"))
+    months = intervals.select("start", "end", F.explode(F.sequence(month("start"), month("end"), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    months = months.select(F.col("start").alias("_start"), F.col("end").alias("_end"), "_month")
+    joined = bars.join(months, (F.date_trunc("month", F.col("ts")) == F.col("_month")) & F.col("ts").between(F.col("_start"), F.col("_end")), "left")
+    return joined.withColumn("inside", F.col("_start").isNotNull().cast("int")).drop("_start", "_end", "_month")

@@ -29,7 +29,12 @@ def require_columns(df: DataFrame, columns: list[str], what: str = "this operato
 
 
 class FeatureGroup(Protocol):
-    """What a group of one's own has to offer: bars in, (symbol, ts, features) out."""
+    """What a group of one's own has to offer: bars in, (symbol, ts, features) out.
+
+    It may also have sets, the parameters that it runs with, and scaled(params,
+    multiplier), which fits them to a timeframe; without, it runs once as it is.
+    One with an attribute uses_features gets the features of the groups before it.
+    """
 
     name: str
     required: tuple[str, ...]
@@ -79,6 +84,11 @@ class Groups(Enum):
     STREAKS = Group("streaks", "runs of rises and falls", ("high", "low", "close", "quote_volume"), features.streaks)
     VOLATILITY = Group("volatility", "range volatility", ("high", "low", "close", "quote_volume"), features.volatility, rows=("widths",))
     RETURNS = Group("returns", "returns over lags", ("close",), features.returns, rows=("widths",))
+    REGIMES = Group("regimes", "volatility regimes (look ahead)", ("high", "low", "close", "quote_volume"), regimes.regimes, rows=("widths", "width"))
+    RELATIONSHIP = Group("relationship", "against the closes of one symbol, which gets none", ("close",), features.relationship, ({"benchmark": "BTCUSDT"},), ("widths",))
+    INDEX = Group("index", "of an index with open, high, low and close", ("open", "high", "low", "close"), features.aux_series, rows=("widths",))
+    FEAR_GREED = Group("fear_greed", "of a daily value", ("value",), features.fear_greed_features, rows=("widths",))
+    CYCLE = Group("cycle", "year and days of the halving cycle", (), features.cycle)
     FUNDING = Group("funding", "funding rates", ("fundingRate",), features.funding_features, rows=("widths",))
 
     @classmethod
@@ -94,28 +104,29 @@ class Groups(Enum):
         return [g.value.name for g in cls]
 
 
-def group_features(bars: DataFrame, group: Group, timeframe: int = 1, sets: tuple[dict, ...] | None = None) -> DataFrame:
+def group_features(bars: DataFrame, group: Group | FeatureGroup, timeframe: int = 1, sets: tuple[dict, ...] | None = None) -> DataFrame:
     """One group with all its parameter sets, a row for each bar; columns are named by group, timeframe, parameters and metric."""
     frames = []
-    for params in group.sets if sets is None else sets:
-        scaled = group.scaled(params, timeframe)
-        frame = group.apply(bars, **scaled)
+    require_columns(bars, [*KEYS, *group.required], group.name)
+    for params in getattr(group, "sets", ({},)) if sets is None else sets:
+        scaled = group.scaled(params, timeframe) if hasattr(group, "scaled") else params
+        frame = require_columns(group.apply(bars, **scaled), KEYS, f"what {group.name} returns")
         named = [F.col(c).alias(feature_name(group.name, f"{timeframe}h", c, tuple(scaled.values()))) for c in frame.columns if c not in KEYS]
         frames.append(frame.select(*KEYS, *named))
     return reduce(lambda a, b: a.join(b, KEYS, "left"), frames)
 
 
-def run_groups(bars: DataFrame, names: list[str], timeframes: tuple[int, ...] = (1,), sink: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Run groups in order. Returns bars with all their features, and for each group its columns and the seconds that it took.
+def run_groups(bars: DataFrame, wanted: list[str | Group | FeatureGroup], timeframes: tuple[int, ...] = (1,), sink: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
+    """Run groups, by name or of one's own, in order. Returns bars with all features, and for each group its columns and the seconds that it took.
 
     With a sink (such as write_features) each group is written first and read
     back, so that plans stay small and the groups can be used one by one; without
-    one the seconds are those of planning only.
+    one the seconds are those of planning and of tables written on the way.
     """
     out, report = bars, []
-    for name in names:
-        group, began = Groups.find(name), time.time()
-        frames = [group_features(bars, group, t) for t in timeframes]
+    for one in wanted:
+        group, began = Groups.find(one) if isinstance(one, str) else one, time.time()
+        frames = [group_features(out if hasattr(group, "uses_features") else bars, group, t) for t in timeframes]
         frame = reduce(lambda a, b: a.join(b, KEYS, "left"), frames)
         if sink is not None:
             frame = sink(frame, group.name)

@@ -128,26 +128,37 @@ def write_results(states: DataFrame, trades: DataFrame, metrics: DataFrame, path
 
 
 def read_settings(path: str) -> dict:
-    """A JSON or simple YAML file of settings as a dict; only the driver reads it."""
+    """A JSON or simple YAML file of settings as a dict; only the driver reads it. Of YAML it knows nested keys, scalars, [a, b] and lists of scalars by `- item`."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
     if path.endswith(".json"):
         return json.loads(text)
     root: dict = {}
-    stack = [(-1, root)]
+    open_: list[tuple[int, dict, str | None, dict]] = [(-1, root, None, root)]  # indent, keys there, the key above and what holds it
     for line in text.splitlines():
         body = line.split(" #")[0].rstrip()
         if not body.strip() or body.lstrip().startswith("#"):
             continue
-        indent = len(body) - len(body.lstrip())
-        key, _, value = body.strip().partition(":")
-        while stack[-1][0] >= indent:
-            stack.pop()
+        indent, item = len(body) - len(body.lstrip()), body.strip()
+        if item == "-" or item.startswith("- "):
+            while open_[-1][0] > indent or (open_[-1][0] == indent and open_[-1][2] is None):
+                open_.pop()
+            _, keys, name, above = open_[-1]
+            if name is None or (isinstance(keys, dict) and keys):
+                raise ValueError(f"a list without a key of its own: {line!r}")
+            if not isinstance(above[name], list):
+                above[name] = []
+            above[name].append(_scalar(item[1:].strip()))
+            continue
+        while open_[-1][0] >= indent:
+            open_.pop()
+        name, _, value = item.partition(":")
+        keys = open_[-1][1]
         if value.strip():
-            stack[-1][1][key] = _scalar(value.strip())
+            keys[name] = _scalar(value.strip())
         else:
-            stack[-1][1][key] = {}
-            stack.append((indent, stack[-1][1][key]))
+            keys[name] = {}
+            open_.append((indent, keys[name], name, keys))
     return root
 
 
