@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidewright.llm import mixing, packing, sharding, tokens
+from tidewright.llm import flat, mixing, packing, sharding, tokens
 from tidewright.llm.encode import vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -50,18 +50,37 @@ def test_token_ids(spark, odd):
     assert tokens.read_documents(tokens.write_packed(empty(spark), vocabulary_path("byte_bpe_50k.json"), 0)).count() == 0
 
 
-def test_token_counts(spark, odd, monkeypatch):
-    monkeypatch.setattr(tokens, "FLAT_BLOCK_TOKENS", 50)
-    flat = tokens.write_flat(odd, vocabulary_path("byte_bpe_50k.json"), 50256)
-    want = sorted(((d, len(i)) for d, i in expected(ROWS, "byte_bpe_50k.json", 50256, True)), key=repr)
-    got = tokens.separator_scan(flat, 50256).collect()
-    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == want
-    at = 0
-    for r in sorted(got, key=lambda r: r.start):
-        assert r.start == at
+@pytest.mark.parametrize("parts, block, file", [(1, 100, 1 << 20), (4, 2, 1), (2, 1 << 20, 3_000)])
+def test_token_counts(spark, odd, monkeypatch, parts, block, file):
+    monkeypatch.setattr(flat, "BLOCK_BYTES", block)
+    monkeypatch.setattr(flat, "FILE_TOKENS", file)
+    monkeypatch.setattr(flat, "NAMES", 3)
+    made = flat.write_flat(odd.repartition(parts), vocabulary_path("byte_bpe_50k.json"), 50256)
+    rows = expected(ROWS, "byte_bpe_50k.json", 50256, True)
+    found = flat.with_names(flat.separator_scan(made.files, 50256, made.bits), made.names)
+    got = sorted(found.collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == sorted(((d, len(i)) for d, i in rows), key=repr)
+    at, raw = 0, {r.shard: np.fromfile(r.path, "<u2") for r in made.files.collect()}
+    assert sum(map(len, raw.values())) == sum(len(i) for _, i in rows)  # ids and nothing else
+    for r in got:
+        assert r.start == at and any(d == r.doc_id and i == raw[r.shard][r.at : r.at + r.n_tokens].tolist() for d, i in rows)
         at += r.n_tokens
-    raw = spark.createDataFrame([(0, 0, None, np.array([1, 2, 9], "<u2").tobytes()), (0, 1, None, np.array([3, 3], "<u2").tobytes()), (0, 2, None, np.array([9, 9, 4], "<u2").tobytes())], tokens.FLAT)
-    assert [(r.start, r.n_tokens) for r in tokens.separator_scan(raw, 9).orderBy("start").collect()] == [(0, 3), (3, 3), (6, 1), (7, 1)]
+    ordered = flat.ordered_starts(found).orderBy("start").collect()
+    assert [r.doc_id for r in ordered] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+
+
+def test_files_of_others(spark, tmp_path):
+    """Files without any names beside them, of 16 and 32 bits: no end id at the end, none at all, nothing, a broken one."""
+    for kind in ("<u2", "<u4"):
+        for i, ids in enumerate(([1, 2, 9, 3, 3, 9, 9, 4], [], [5, 6], [9])):
+            np.array(ids, kind).tofile(tmp_path / f"{i}.bin")
+        files = spark.createDataFrame([(i, str(tmp_path / f"{i}.bin")) for i in range(4)], "shard int, path string")
+        got = flat.separator_scan(files, 9, 8 * np.dtype(kind).itemsize).orderBy("start").collect()
+        assert [(r.shard, r.ordinal, r.at, r.start, r.n_tokens) for r in got] == [(0, 0, 0, 0, 3), (0, 1, 3, 3, 3), (0, 2, 6, 6, 1), (0, 3, 7, 7, 1), (2, 0, 0, 8, 2), (3, 0, 0, 10, 1)]
+    (tmp_path / "0.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole ids"):
+        flat.separator_scan(files, 9).collect()
+    assert flat.separator_scan(flat.write_flat(empty(spark), vocabulary_path("byte_bpe_50k.json"), 50256).files, 9).count() == 0
 
 
 def test_packing(spark, odd):
@@ -164,13 +183,13 @@ def test_sharding_only_copies(spark):
 
 
 def test_token_positions(spark, odd, monkeypatch, tmp_path):
-    monkeypatch.setattr(tokens, "FLAT_BLOCK_TOKENS", 50)
+    monkeypatch.setattr(flat, "BLOCK_BYTES", 100)
     odd.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     want, start, out = expected(ROWS, "byte_bpe_50k.json", 50256, True), 0, []
     for doc, ids in want:
         out.append((doc, start, len(ids)))
         start += len(ids)
-    got = tokens.op4_token_counts(spark, str(tmp_path)).collect()
+    got = flat.op4_token_counts(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.start, r.n_tokens) for r in got), key=repr) == sorted(out, key=repr)
     ends = {}
     for r in sorted(got, key=lambda r: (r.shard, r.ordinal)):

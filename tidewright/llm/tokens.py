@@ -1,4 +1,4 @@
-"""Token files: documents as bit-packed ids in doc_id order, and a scan of flat files that have no index."""
+"""Token files: documents as bit-packed ids in doc_id order, in blocks that can be unpacked alone."""
 
 import zlib
 from collections.abc import Iterator
@@ -14,7 +14,6 @@ from .encode import encoded, encoder, vocabulary_path
 from .store import save
 
 BLOCK_TOKENS = 1 << 16
-FLAT_BLOCK_TOKENS = 1 << 16
 
 
 def width(vocabulary: int) -> int:
@@ -133,91 +132,3 @@ def read_range(blocks: DataFrame, shard: int, first: int, count: int) -> np.ndar
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_documents(write_packed(docs, vocabulary_path("byte_bpe_50k.json"), 0))
-
-
-FLAT = "shard int, block long, doc_ids array<long>, payload binary"
-
-
-def write_flat(docs: DataFrame, path: str, end_id: int, name: str = "flat") -> DataFrame:
-    """Encode (doc_id, text) to flat files: little-endian ids of 16 or 32 bits, cut into blocks of FLAT_BLOCK_TOKENS wherever that falls, no index.
-
-    Documents stand in the order of the input, so nothing is shuffled. The files have no lengths. doc_ids (the documents that end in a block) stands
-    beside the ids only for naming results; the scan doesn't use it.
-    """
-    kind = "<u2" if width(max(encoder(path, True).size, end_id + 1)) <= 16 else "<u4"
-
-    @tidy
-    def write(batches):
-        shard, block, held, names, ends = TaskContext.get().partitionId(), 0, np.zeros(0, kind), [], np.zeros(0, np.int64)
-
-        def row(n):
-            k = int(np.searchsorted(ends, n, "right"))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([names[:k]], pa.list_(pa.int64())), pa.array([held[:n].tobytes()], pa.binary())], ["shard", "block", "doc_ids", "payload"]), k
-
-        for run_names, ids, offsets in _runs(batches, path, end_id, True):
-            ends = np.concatenate([ends, offsets[1:] + len(held)])
-            held, names = np.concatenate([held, ids.astype(kind)]), names + run_names
-            while len(held) >= FLAT_BLOCK_TOKENS:
-                out, k = row(FLAT_BLOCK_TOKENS)
-                yield out
-                block, held, names, ends = block + 1, held[FLAT_BLOCK_TOKENS:], names[k:], ends[k:] - FLAT_BLOCK_TOKENS
-        if len(held):
-            yield row(len(held))[0]
-
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, FLAT), name)
-
-
-def separator_scan(blocks: DataFrame, end_id: int, bits: int = 16) -> DataFrame:
-    """Documents of flat token files (shard, block, payload, and doc_ids or null): shard, ordinal and place (at) in the shard, doc_id, start (at and the tokens of all shards before), n_tokens with the end id.
-
-    Each block is searched on its own for end_id. A prefix scan over the blocks
-    of a shard (tokens so far, place of the last end id so far) gives the part of
-    the first document that lies in earlier blocks, however many. Tokens after a
-    shard's last end id are a document without one. No block, no row.
-    """
-    kind = f"<u{bits // 8}"
-
-    @tidy
-    def scan(batches):
-        for batch in batches:
-            for b in batch.to_pylist():
-                ids = np.frombuffer(b["payload"], kind)
-                ends = np.flatnonzero(ids == end_id) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([b["shard"]], pa.int32()), pa.array([b["block"]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64())), pa.array([b["doc_ids"]], pa.list_(pa.int64()))], ["shard", "block", "n_tokens", "ends", "doc_ids"])
-
-    found = save(blocks.mapInArrow(scan, "shard int, block long, n_tokens long, ends array<long>, doc_ids array<long>"), "scan")
-    order = Window.partitionBy("shard").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    known = found.withColumn("at", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("last", F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1)))
-    known = known.withColumns({"open": F.coalesce(F.max("last").over(before), F.lit(0)), "done": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "final": F.lead("block").over(order).isNull()})
-    stop = F.col("at") + F.col("n_tokens")
-    ends = F.transform("ends", lambda e: e + F.col("at"))
-    loose = F.col("final") & (F.coalesce("last", "open") < stop)
-    ends = F.when(loose, F.concat(ends, F.array(stop))).otherwise(ends)
-    cut = known.withColumn("ends", ends)
-    starts = F.concat(F.array("open"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
-    each = cut.where(F.size("ends") > 0).select("shard", "done", F.posexplode(F.arrays_zip(starts.alias("s"), F.col("ends").alias("e"), F.coalesce("doc_ids", F.array().cast("array<long>")).alias("d"))).alias("i", "x"))
-    return each.join(shard_starts(found), F.col("shard") == F.col("_shard")).select("shard", (F.col("done") + F.col("i")).alias("ordinal"), F.col("x.s").alias("at"), F.col("x.d").alias("doc_id"), (F.col("shard_start") + F.col("x.s")).alias("start"), (F.col("x.e") - F.col("x.s")).alias("n_tokens"))
-
-
-def ordered_starts(found: DataFrame) -> DataFrame:
-    """Documents of separator_scan with start as it is when they follow one another by doc_id; null ids first, equal ids by n_tokens.
-
-    Only this table of numbers is put in order. Each of its ranges gets running sums of its own, and the totals of the ranges before are added.
-    """
-    order = ["doc_id", "n_tokens", "shard", "ordinal"]
-    ranged = save(found.drop("start").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = shard_starts(ranged.select(F.col("range").alias("shard"), "n_tokens"))
-    placed = ranged.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return placed.join(before, F.col("range") == F.col("_shard")).withColumn("start", F.col("shard_start") + F.col("start")).drop("range", "_shard", "shard_start")
-
-
-def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Id 50256 ends a document; it is taken for ordinary text inside one, so no text makes it.
-
-    start: where a document begins when all follow one another by doc_id, the same however the input was split. shard, ordinal, at: where it stands in the flat files, which keep the input's order.
-    """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = save(separator_scan(write_flat(docs, vocabulary_path("byte_bpe_50k.json"), 50256), 50256), "boundaries")
-    return ordered_starts(found).select("doc_id", "start", "n_tokens", "shard", "ordinal", "at")
