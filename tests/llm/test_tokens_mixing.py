@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -195,3 +196,47 @@ def test_token_positions(spark, odd, monkeypatch, tmp_path):
     for r in sorted(got, key=lambda r: (r.shard, r.ordinal)):
         assert r.at == ends.get(r.shard, 0)
         ends[r.shard] = r.at + r.n_tokens
+
+
+def best_cut(sizes, groups, shards, spread):
+    """Fewest cut pairs of equal texts over all assignments whose sizes differ by at most spread."""
+    best = None
+    for where in itertools.product(range(shards), repeat=len(sizes)):
+        loads = [sum(s for s, w in zip(sizes, where) if w == i) for i in range(shards)]
+        if max(loads) - min(loads) <= spread:
+            cut = sum(groups[i] == groups[j] and where[i] != where[j] for i in range(len(sizes)) for j in range(i))
+            best = cut if best is None else min(best, cut)
+    return best
+
+
+def test_sharding_against_all_assignments(spark):
+    """On tables small enough to try all assignments: never far from the fewest cut pairs that sizes as even as ours allow."""
+    rng, ours, fewest, dealt = np.random.default_rng(3), 0, 0, 0
+    for _ in range(4):
+        groups = rng.integers(0, 5, 10).tolist()
+        rows = [(None if i % 3 == 0 else i % 4, f"text {g} " * (1 + g)) for i, g in enumerate(groups)]
+        placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+        got = placed.collect()
+        loads = [sum(r["size"] for r in got if r.shard == i) for i in range(2)]
+        ours += sharding.cut_edges(placed)
+        fewest += best_cut([len(t) + 1 for _, t in rows], groups, 2, max(loads) - min(loads))
+        dealt += sum(groups[i] == groups[j] for i in range(10) for j in range(i)) / 2
+        assert max(loads) - min(loads) <= 2 * max(len(t) + 1 for _, t in rows)
+    assert fewest <= ours <= (fewest + dealt) / 2, (ours, fewest, dealt)
+
+
+def test_one_group_larger_than_a_shard(spark):
+    """Rows without ids, or with one id, all of one text: cut by bytes, not by ids, and only as far as room asks."""
+    rows = [(None, "the same text") for _ in range(400)] + [(7, "another text!") for _ in range(200)] + [(i, f"{i:013}") for i in range(200)]
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    got = placed.collect()
+    loads = [sum(r["size"] for r in got if r.shard == i) for i in range(4)]
+    assert max(loads) - min(loads) <= 0.05 * sum(loads) / 4
+    for i in range(4):
+        slots = sorted(r.slot for r in got if r.shard == i)
+        assert slots == list(range(len(slots)))
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, []).append(r.shard)
+    assert len(set(where[zlib.crc32(b"another text!")])) == 1  # it fits a shard, so it stays together
+    assert len(set(where[zlib.crc32(b"the same text")])) == 2  # two shards' worth

@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation. DataFrame operations only."""
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +9,8 @@ from .running import running_sum
 from .store import save
 
 SHARDS = 8
-#: A group of linked documents larger than this part of a shard is cut into pieces, as no shard could take it whole.
-PIECE = 4
+#: Into how many parts of the largest room a group is cut that no shard has room for, time after time.
+PIECES = (1, 2, 4, 8)
 
 
 def _totals(df: DataFrame, shards: int) -> list[int]:
@@ -22,38 +22,60 @@ def _by_shard(values: list[float], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), shard.cast("int") + 1)
 
 
-def propagate(linked: DataFrame, shards: int, capacity: float) -> DataFrame:
-    """Move linked documents (size, link, shard, ...) to the shard where most of their neighbours' bytes are.
+def propagate(linked: DataFrame, shards: int, room: list[float], name: str) -> DataFrame:
+    """Move linked documents (size, link, shard, ...) to their neighbours' shards; adds settled, and takes what moved in from room.
 
-    A link holds no bytes of a shard until it is placed there whole. In each
-    round every link that isn't placed asks for the shard with most of its bytes
-    among those with room for all of it. A shard grants requests up to its room
-    (capacity less the links that it was given), large ones first and else in a
-    seeded order. So each round takes a third of the room at least where a request is
-    refused. Ends when no shard has room for any link that is left; if all
-    documents are linked, fewer links than shards are left then. Those keep their
-    documents where they were and lose their link.
+    In each round the documents of a link vote: how many of its bytes lie in each
+    shard now. All of a link's documents that haven't settled ask for the shard
+    with most of their neighbours' bytes among those with room for the whole link,
+    and the shard grants what fits its quota, large links first and else in a
+    seeded order. Those that are granted take the new label, which a join brings to
+    every document, and the next round votes by the new labels. A round takes a
+    third of the room at least where a request is refused, so rounds are few. Ends
+    when no shard has room for any link that is left.
     """
+    linked = linked.withColumn("settled", F.lit(False))
     held = F.array(*[F.coalesce(F.sum(F.when(F.col("shard") == i, F.col("size"))), F.lit(0)) for i in range(shards)])
-    left = save(linked.groupBy("link").agg(F.sum("size").alias("need"), held.alias("held")), "shard_held")
-    room, rounds = [float(capacity)] * shards, []
-    while True:
+    for n in count():
+        votes = linked.where("NOT settled").groupBy("link").agg(F.sum("size").alias("need"), held.alias("held"))
         asks = [F.when(F.col("need") <= room[i], F.struct(F.col("held")[i].alias("bytes"), F.xxhash64("link", F.lit(i)).alias("tie"), F.lit(i).alias("to"))) for i in range(shards)]
-        asks = save(left.withColumn("to", F.array_max(F.array(*asks))["to"]).where("to is not null"), f"shard_asks{len(rounds)}")
+        asks = save(votes.select("link", "need", F.array_max(F.array(*asks))["to"].alias("to")).where("to IS NOT NULL"), f"{name}_asks{n}")
         if asks.isEmpty():
-            break
+            return linked
         large = F.char(F.lit(126) - F.floor(F.log2("need")).cast("int"))
         answers = running_sum(asks, F.col("need"), ["to"], [F.col("link")], prefix=large)
-        answers = save(answers.withColumn("granted", F.col("before") + F.col("need") <= _by_shard(room, F.col("to"))).drop("before"), f"shard_answers{len(rounds)}")
-        rounds.append(answers.where("granted").select(F.col("link").alias("_link"), "to"))
-        for r in answers.where("granted").groupBy("to").agg(F.sum("need").alias("given")).collect():
+        granted = save(answers.where(F.col("before") + F.col("need") <= _by_shard(room, F.col("to"))).select(F.col("link").alias("_link"), "to", "need"), f"{name}_granted{n}")
+        for r in granted.groupBy("to").agg(F.sum("need").alias("given")).collect():
             room[r["to"]] -= r["given"]
-        left = answers.where("not granted").drop("granted", "to")
-    if not rounds:
-        return linked.withColumn("link", F.lit(None).cast("string"))
-    placed = reduce(DataFrame.unionByName, rounds)
-    moved = linked.join(placed, F.col("link") == F.col("_link"), "left").withColumns({"shard": F.coalesce("to", "shard"), "link": F.col("_link")})
-    return moved.drop("_link", "to")
+        joined = linked.join(granted.drop("need"), F.col("link") == F.col("_link"), "left")
+        moved = {"shard": F.coalesce("to", "shard"), "settled": F.col("settled") | F.col("to").isNotNull()}
+        linked = save(joined.withColumns(moved).drop("_link", "to"), f"{name}_labels{n}")
+    return linked
+
+
+def gather(linked: DataFrame, shards: int, capacity: float) -> DataFrame:
+    """Propagate links whole; cut those that no shard has room for, by bytes, whatever ids their rows have.
+
+    Pieces are as large as the largest room, so that a group lies in as few shards
+    as can be; what doesn't fit then is cut again, to parts of PIECES of the largest
+    room. What is left at last keeps its shard and loses its link.
+    """
+    room, settled = [float(capacity)] * shards, None
+    for n, part in enumerate((0, *PIECES)):
+        if part:
+            placed = running_sum(left, F.col("size"), ["link"], [F.col("doc_id"), F.col("key")])
+            most = max(1.0, max(room) / part)
+            piece = F.ceil((F.col("before") + F.col("size")) / most).cast("long")
+            left = save(placed.withColumn("link", F.concat_ws("/", "link", piece)).drop("before"), f"shard_pieces{n}")
+        else:
+            left = linked
+        found = propagate(left, shards, room, f"shard_cut{n}")
+        done = found.where("settled").drop("settled")
+        settled = done if settled is None else settled.unionByName(done)
+        left = save(found.where("NOT settled").drop("settled"), f"shard_left{n}")
+        if left.isEmpty():
+            return settled
+    return settled.unionByName(left.withColumn("link", F.lit(None).cast("string")))
 
 
 def even_out(rows: DataFrame, shards: int, movable: Column, name: str) -> DataFrame:
@@ -81,31 +103,36 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes and 1), text_crc32 (unsigned), key (MD5 of
     the text), shard and slot (0, 1, ... in each shard). Documents are linked if
-    their texts are equal. They start in shards dealt by doc_id; propagate()
-    gathers them, and even_out() then moves mostly unlinked documents, large ones
-    first and small ones last, so that sizes end within about a small document of
-    each other. A group of links larger than a quarter of a shard is cut into
-    pieces that are placed apart; a group that no shard has room for is not kept together. A null text has size 1 and checksum 0 and is
-    linked with nothing. Repeated rows are rows of their own; an empty table gives
-    an empty result.
+    their texts are equal. They start in shards dealt by doc_id; gather() moves
+    them by their neighbours' labels, and even_out() then moves mostly unlinked
+    documents, large ones first and small ones last, so that sizes end within about
+    a small document of each other. A group is cut only if no shard has room for
+    it. A null text has size 1 and checksum 0
+    and is linked with nothing. Rows without doc_id, and repeated rows, are rows of
+    their own; an empty table gives an empty result; other columns are left out.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.md5("text").alias("key"))
     rows = save(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(shards)).cast("int")), "shard_rows")
     total = sum(_totals(rows, shards))
-    groups = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    pieces = F.ceil(F.col("bytes") * (PIECE * shards / max(total, 1))).cast("long")
-    groups = save(groups.select(F.col("key").alias("_key"), pieces.alias("pieces")), "shard_groups")
-    link = F.when(F.col("_key").isNotNull(), F.concat_ws("/", "key", F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces"))))
-    rows = save(rows.join(groups, F.col("key") == F.col("_key"), "left").withColumn("link", link).drop("_key", "pieces"), "shard_links")
-    linked = propagate(rows.where("link is not null"), shards, total / shards)
-    rows = save(linked.unionByName(rows.where("link is null")), "shard_gathered")
+    groups = save(rows.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")), "shard_groups")
+    rows = save(rows.join(groups, F.col("key") == F.col("_key"), "left").withColumnRenamed("_key", "link"), "shard_links")
+    linked = gather(rows.where("link IS NOT NULL"), shards, total / shards)
+    rows = save(linked.unionByName(rows.where("link IS NULL")), "shard_gathered")
     mean = total / max(1, rows.count())
     for name, most in (("all", None), ("middling", mean), ("small", mean / 4)):
         rows = even_out(rows, shards, F.lit(True) if most is None else F.col("size") <= most, f"shard_even_{name}")
     return running_sum(rows, F.lit(1), ["shard"], [F.col("doc_id"), F.col("key")], "slot").select("doc_id", "size", "text_crc32", "key", "shard", "slot")
 
 
+def cut_edges(placed: DataFrame) -> int:
+    """Pairs of equal texts that lie in different shards, of what shard() returns; counted by groups, without making pairs."""
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    each = placed.where("key IS NOT NULL").groupBy("key", "shard").agg(F.count("*").alias("n"))
+    inside, all_ = each.agg(pairs).first()[0], each.groupBy("key").agg(F.sum("n").alias("n")).agg(pairs).first()[0]
+    return int((all_ or 0) - (inside or 0))
+
+
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     found = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
