@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import expected_rows
-from ..functions.win import by_symbol, corr, lag, near, numbered, so_far, time_since
+from ..functions.win import by_symbol, corr, lag, numbered, so_far, time_since
 
 
 def pnl_frame(bars: DataFrame) -> DataFrame:
     """Position is the sign of the last return; profit is position times price change."""
     s = bars.select("symbol", "ts", "close", F.signum(lag("close") - lag("close", 2)).alias("position"))
     s = s.withColumn("pnl", F.coalesce(F.col("position") * (F.col("close") - lag("close")), F.lit(0.0)))
-    return s.withColumn("total", near(F.sum("pnl").over(so_far())))
+    return s.withColumn("total", F.sum("pnl").over(so_far()))
 
 
 def hours_between(start, end) -> Column:

@@ -20,6 +20,12 @@ DAILY = {"asia": (0, 8), "london": (8, 16), "ny": (16, 24)}
 FIGURES = ("high", "low", "range", "range_pct", "body", "body_pct", "upper_wick", "lower_wick", "wick_ratio")
 
 
+def even(x: Column, digits: int) -> Column:
+    """x rounded half to even after scaling, as array libraries round; F.bround looks at the decimal digits of x instead."""
+    scale = float(10**digits)
+    return F.rint(x * scale) / scale
+
+
 def numbered_runs(df: DataFrame, season: Column, name: str = "run") -> DataFrame:
     """Add the number of the run of rows with one season that a row is in, from 1 by symbol; NULL, and the end of a run, where the season is NULL.
 
@@ -75,7 +81,7 @@ def extremes(bars: DataFrame, widths: tuple[int, ...] = (168, 720), least: int =
     s = chunked(bars.select("symbol", "ts", "high", "low", "close"), lambda b: shifted(b, ["high", "low", "close"]), 1)
     s = scan(s, [Extreme("high", "ath", "since_ath"), Extreme("low", "atl", "since_atl", smallest=True)], name="extremes")
     close = F.col("close")
-    away = {"to_ath": F.bround(F.try_divide(F.col("ath") - close, close), 4), "to_atl": F.bround(F.try_divide(close - F.col("atl"), close), 4)}
+    away = {"to_ath": even(F.try_divide(F.col("ath") - close, close), 4), "to_atl": even(F.try_divide(close - F.col("atl"), close), 4)}
     s = s.select("symbol", "ts", "ath", "atl", *[v.alias(k) for k, v in away.items()], "since_ath", "since_atl")
     means = {f"{k}_mean_{w}": (k, w) for k in away for w in widths}
     s = chunked(s, lambda b: b.withColumns({m: roll(F.avg, k, w) for m, (k, w) in means.items()}), max(widths))
@@ -98,8 +104,8 @@ def figures(open_: Column, high: Column, low: Column, close: Column) -> dict[str
     """FIGURES of a session: its range and body, also as shares of its low and open, the wicks over and under the body and the upper one's share of both (0 without any)."""
     upper, lower = high - F.greatest(open_, close), F.least(open_, close) - low
     body, both = F.abs(close - open_), upper + lower
-    ratio = F.when(both > 0, F.bround(upper / both, 4)).when(both.isNotNull(), 0.0)
-    return dict(zip(FIGURES, (high, low, high - low, F.bround(F.try_divide(high - low, low), 4), body, F.bround(F.try_divide(body, open_), 4), upper, lower, ratio)))
+    ratio = F.when(both > 0, even(upper / both, 4)).when(both.isNotNull(), 0.0)
+    return dict(zip(FIGURES, (high, low, high - low, even(F.try_divide(high - low, low), 4), body, even(F.try_divide(body, open_), 4), upper, lower, ratio)))
 
 
 def session_bars(bars: DataFrame, hours: tuple[int, int]) -> DataFrame:

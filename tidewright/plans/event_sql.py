@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.win import near
 from ..operators import analytics, events, matching
 from ..sources import bars as src
 from ..sources import footers
@@ -83,13 +84,21 @@ _frame = f"""x AS (
 ), z AS (
   SELECT *, CASE WHEN missed = 0 THEN coalesce((cp - cc) * (p - lp), 0.0) ELSE 0.0 END AS pnl FROM y
 ), tf AS (
-  SELECT *, sum(pnl) {_so_far} AS total FROM z
+  SELECT *, round(sum(pnl) {_so_far}, 6) AS total FROM z
 ), f AS (
   SELECT * FROM tf
 ), tr AS (
   SELECT *, total - {lg('total')} AS r, max(total) {E} AS peak, cc <> 0 AS t, max(CASE WHEN cc <> 0 THEN ts END) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tf
 )"""
-query("trading_summary", lambda m: analytics.trading_summary(matching.execution_frame(m)), f"WITH {_matched}, {_frame}, {_hoursql} {_trading_sql}", _sequence)
+
+
+def _summary(found):
+    """Totals are rounded as in the SQL, so that a signal that earns nothing is no loss on either side."""
+    frame = matching.execution_frame(found)
+    return analytics.trading_summary(frame.withColumn("total_pnl", near("total_pnl")))
+
+
+query("trading_summary", _summary, f"WITH {_matched}, {_frame}, {_hoursql} {_trading_sql}", _sequence)
 
 # catalogs from footers
 

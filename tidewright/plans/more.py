@@ -6,7 +6,7 @@ from ..functions import names, periods
 from ..operators import analytics, features, groups, strategy
 from ..sources import bars as src
 from ..sources import files
-from .registry import BARS, E, O, _pnl, _yr, dv, lg, pc, query, rw
+from .registry import BARS, E, O, _pnl, _run, _yr, dv, lg, pc, query, rw
 
 RUN = strategy.Settings(trading_hours=(2, 20), trading_days=("monday", "tuesday", "wednesday", "thursday", "friday"), trading_disabled_hours=((22, 1), (11, 12)), trading_disabled_datetime=(("2024-01-10", "2024-01-11"),), allow_overnight=False, signal_start_day="tuesday", signal_start_hour=4)
 
@@ -63,7 +63,7 @@ query("curve_metrics", lambda b: analytics.curve_metrics(b, "close"), f"WITH {BA
 
 
 def _risk_states(b):
-    return analytics.pnl_frame(b).select("symbol", "ts", "close", F.coalesce("position", F.lit(0.0)).alias("size"), (1000 + F.col("total")).alias("equity"), F.col("total").alias("pnl"))
+    return _run(b).select("symbol", "ts", "close", F.coalesce("position", F.lit(0.0)).alias("size"), (1000 + F.col("total")).alias("equity"), F.col("total").alias("pnl"))
 
 
 _full = lambda n, x: f"CASE WHEN count(r) {rw(n)} >= {n} THEN {x} ELSE 0.0 END"

@@ -123,12 +123,17 @@ query("funding_asof", lambda b: b, f"WITH {BARS}, {FUNDING} SELECT b.symbol, b.t
 query("resample_ffill", lambda b: src.fill_hours(b, "close"), f"WITH {BARS}, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY symbol) SELECT g.symbol, g.ts, round(b.close, 6) AS close FROM g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.ts >= b.ts")
 query("cycle", features.cycle, f"WITH {DAILY}, h AS (SELECT *, ts - INTERVAL 1 HOUR AS t0 FROM bars), b AS (SELECT *, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' WHEN t0::DATE >= '2020-05-11' THEN DATE '2020-05-11' WHEN t0::DATE >= '2016-07-09' THEN DATE '2016-07-09' WHEN t0::DATE >= '2012-11-28' THEN DATE '2012-11-28' END AS last, CASE WHEN t0::DATE >= '2024-04-20' THEN DATE '2024-04-20' + 1460 WHEN t0::DATE >= '2020-05-11' THEN DATE '2024-04-20' WHEN t0::DATE >= '2016-07-09' THEN DATE '2020-05-11' WHEN t0::DATE >= '2012-11-28' THEN DATE '2016-07-09' ELSE DATE '2012-11-28' END AS next FROM h) SELECT symbol, ts, (floor((t0::DATE - last) / (next - last)::DOUBLE * 4) + 1)::INTEGER AS cycle_year, (next - t0::DATE)::INTEGER AS days_to_next, coalesce(t0 = last::TIMESTAMP, false)::INTEGER AS is_halving FROM b", src.daily)
 _pnl = f"p AS (SELECT symbol, ts, close, sign({lg('close')} - {lg('close', 2)})::DOUBLE AS position FROM bars), q AS (SELECT *, coalesce(position * (close - {lg('close')}), 0.0) AS pnl FROM p), f AS (SELECT *, round(sum(pnl) {E}, 6) AS total FROM q)"
-query("pnl_frame", analytics.pnl_frame, f"WITH {BARS}, {_pnl} " + out(same("close position pnl total"), "f", "close position pnl total"))
-query("drawdown", lambda b: analytics.drawdowns(analytics.pnl_frame(b)), f"WITH {BARS}, {_pnl}, k AS (SELECT *, max(total) {E} AS peak FROM f), e AS (SELECT *, sum(CASE WHEN total < peak THEN 0 ELSE 1 END) {E} AS episode FROM k), r AS (SELECT symbol, episode, max(peak - total) AS fall, min(ts) AS a, count(*) AS n FROM e GROUP BY 1, 2), h AS (SELECT *, CASE WHEN n > 1 THEN (epoch(lead(a) OVER (PARTITION BY symbol ORDER BY episode)) - epoch(a)) / 3600 END AS hours FROM r) SELECT symbol, round(max(fall), 6) AS max_drawdown, round(coalesce(max(hours), 0.0), 6) AS longest_hours FROM h GROUP BY symbol")
+def _run(bars):
+    """pnl_frame with totals rounded as in the SQL, so that both sides see the same peaks."""
+    return analytics.pnl_frame(bars).withColumn("total", win.near("total"))
+
+
+query("pnl_frame", _run, f"WITH {BARS}, {_pnl} " + out(same("close position pnl total"), "f", "close position pnl total"))
+query("drawdown", lambda b: analytics.drawdowns(_run(b)), f"WITH {BARS}, {_pnl}, k AS (SELECT *, max(total) {E} AS peak FROM f), e AS (SELECT *, sum(CASE WHEN total < peak THEN 0 ELSE 1 END) {E} AS episode FROM k), r AS (SELECT symbol, episode, max(peak - total) AS fall, min(ts) AS a, count(*) AS n FROM e GROUP BY 1, 2), h AS (SELECT *, CASE WHEN n > 1 THEN (epoch(lead(a) OVER (PARTITION BY symbol ORDER BY episode)) - epoch(a)) / 3600 END AS hours FROM r) SELECT symbol, round(max(fall), 6) AS max_drawdown, round(coalesce(max(hours), 0.0), 6) AS longest_hours FROM h GROUP BY symbol")
 _yr = repr(math.sqrt(365 * 24))
-query("trade_stats", lambda b: analytics.trade_stats(analytics.pnl_frame(b)), f"WITH {BARS}, {_pnl} SELECT symbol, count(*) FILTER (pnl <> 0) AS trades, round(count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0), 6) AS win_rate, round(sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0), 6) AS profit_factor, round(max(pnl), 6) AS best, round(min(pnl), 6) AS worst, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * {_yr}::DOUBLE, 6) AS sharpe, round(avg(pnl) / nullif(stddev_samp(pnl) FILTER (pnl < 0), 0) * {_yr}::DOUBLE, 6) AS sortino, round(quantile_cont(pnl, 0.05), 6) AS var_95 FROM f GROUP BY symbol")
+query("trade_stats", lambda b: analytics.trade_stats(_run(b)), f"WITH {BARS}, {_pnl} SELECT symbol, count(*) FILTER (pnl <> 0) AS trades, round(count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0), 6) AS win_rate, round(sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0), 6) AS profit_factor, round(max(pnl), 6) AS best, round(min(pnl), 6) AS worst, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * {_yr}::DOUBLE, 6) AS sharpe, round(avg(pnl) / nullif(stddev_samp(pnl) FILTER (pnl < 0), 0) * {_yr}::DOUBLE, 6) AS sortino, round(quantile_cont(pnl, 0.05), 6) AS var_95 FROM f GROUP BY symbol")
 query("equity_metrics", analytics.equity_metrics, f"WITH {BARS}, r AS (SELECT *, {pc('close')} AS r, close / nullif(max(close) {E}, 0) - 1 AS dd FROM bars), g AS (SELECT symbol, count(r) AS n, arg_max(close, ts) / nullif(arg_min(close, ts), 0) - 1 AS total_return, stddev_samp(r) AS sd, min(dd) AS dd FROM r GROUP BY symbol) SELECT symbol, n, round(total_return, 6) AS total_return, round(pow(1 + total_return, 252.0::DOUBLE / n) - 1, 6) AS annual_return, round(sd * {repr(math.sqrt(252))}::DOUBLE, 6) AS volatility, round(dd, 6) AS max_drawdown FROM g")
-query("risk_windows", lambda b: analytics.risk_windows(analytics.pnl_frame(b)), f"WITH {BARS}, {_pnl}, w AS (SELECT symbol, ts, stddev_pop(pnl) {rw(20)} * {repr(math.sqrt(252))}::DOUBLE AS volatility, list(pnl) {rw(100)} AS x, quantile_cont(pnl, 0.05) {rw(100)} AS var_95 FROM f) SELECT symbol, ts, round(volatility, 6) AS volatility, round(var_95, 6) AS var_95, round(list_avg(list_filter(x, lambda v: v <= var_95)), 6) AS shortfall FROM w")
+query("risk_windows", lambda b: analytics.risk_windows(_run(b)), f"WITH {BARS}, {_pnl}, w AS (SELECT symbol, ts, stddev_pop(pnl) {rw(20)} * {repr(math.sqrt(252))}::DOUBLE AS volatility, list(pnl) {rw(100)} AS x, quantile_cont(pnl, 0.05) {rw(100)} AS var_95 FROM f) SELECT symbol, ts, round(volatility, 6) AS volatility, round(var_95, 6) AS var_95, round(list_avg(list_filter(x, lambda v: v <= var_95)), 6) AS shortfall FROM w")
 _FQ = ("open", "close", "quote_volume", "taker_buy_quote_volume")
 query("feature_quality", lambda b: analytics.feature_quality(b, list(_FQ)), f"WITH {BARS}, t AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, {c} AS x FROM bars''' for c in _FQ)}) SELECT feature, count(*) FILTER (x IS NULL) AS nulls, count(DISTINCT x) AS \"distinct\", round(min(x), 6) AS least, round(max(x), 6) AS greatest, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM t GROUP BY 1")
 query("correlations", lambda b: analytics.correlations(b, list(_FQ)), f"WITH {BARS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, round(covar_samp({a}, {c}) / nullif(stddev_samp({a}) * stddev_samp({c}), 0), 6) AS corr FROM bars" for i, a in enumerate(_FQ) for c in _FQ[i:]))
