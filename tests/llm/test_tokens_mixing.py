@@ -51,6 +51,17 @@ def test_token_ids(spark, odd):
     assert tokens.read_documents(tokens.write_packed(empty(spark), vocabulary_path("byte_bpe_50k.json"), 0)).count() == 0
 
 
+def test_token_ids_of_one_id(spark):
+    """Many rows of one id and of none, with columns named like the operator's own, over several ranges: each once, gapless, nulls first."""
+    rows = [(7 if i % 2 else None, f"text {i % 50}", i, "x", "y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, _hash string, payload string").repartition(5)
+    got = sorted(tokens.read_documents(tokens.write_packed(docs, vocabulary_path("byte_bpe_50k.json"), 0)).collect(), key=lambda r: r.start)
+    want = {(d, zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in expected([r[:2] for r in rows], "byte_bpe_50k.json", 0)}
+    assert {(r.doc_id, r.ids_crc32) for r in got} == want and len(got) == 400
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 200
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("parts, block, file", [(1, 100, 1 << 20), (4, 2, 1), (2, 1 << 20, 3_000)])
 def test_token_counts(spark, odd, monkeypatch, parts, block, file):
     monkeypatch.setattr(flat, "BLOCK_BYTES", block)

@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and Spark runs in one process, a new temporary folder."""
     conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("tidewright.scratch", None)
+    found = conf.get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("tidewright.scratch", own)
-    return own
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -43,8 +43,10 @@ def unpack(payload: bytes, bits: int, count: int, first: int = 0) -> np.ndarray:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """Ascending by doc_id over the partitions and within each; null ids first, equal ids by text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """Ascending by doc_id over the partitions and within each; null ids first, equal ids by a hash of the text and then by the text, so that rows of one id, or of none, spread over many tasks."""
+    order = ["doc_id", "_hash", "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_hash", F.xxhash64("text"))
+    return rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions(*order).drop("_hash")
 
 
 def _runs(batches, path: str, end_id: int, literal: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -63,8 +65,9 @@ def write_packed(docs: DataFrame, path: str, end_id: int, name: str = "tokens")
     A block holds whole documents, of about BLOCK_TOKENS tokens together, and
     names them, their lengths and where it stands in its shard (first_token), so
     that a range of tokens is found by block and unpacked alone. Shards follow
-    one another in doc_id order. A null text has only its end id; an empty table
-    gives no block.
+    one another in doc_id order. A null text has only its end id; a long one makes
+    a block larger than others; repeated rows are encoded each; other columns of
+    docs are left out, whatever their names; an empty table gives no block.
     """
     bits = width(max(encoder(path).size, end_id + 1))
 
