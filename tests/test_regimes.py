@@ -47,7 +47,10 @@ def series(spark, seed=5, days=300):
     return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double, far double, none double, flat double").cache()
 
 
-def test_mixtures_by_plain_em(spark):
+@pytest.mark.parametrize("local", [0, 2_990, regimes.LOCAL_VALUES])
+def test_mixtures_by_plain_em(spark, monkeypatch, local):
+    """All series in rounds, all by one task each, and some this way and some that."""
+    monkeypatch.setattr(regimes, "LOCAL_VALUES", local)
     df, names = series(spark), ["x", "far", "none", "flat"]
     got = {}
     for r in regimes.fit_mixtures(df, names, restarts=3).collect():

@@ -15,6 +15,8 @@ PARTS, RESTARTS, ROUNDS = 3, 5, 100
 #: Change of the mean log-likelihood below which a fit has settled, and the share of a series' variance that is added to those of its parts.
 TOLERANCE, FLOOR, LEAST_FLOOR = 1e-3, 1e-6, 1e-12
 SEED = 42
+#: Values that a series may have to be fitted by one task: some 57 years of hours, 4 MB.
+LOCAL_VALUES = 500_000
 KINDS = ("parkinson", "gk", "tr", "weighted")
 
 
@@ -70,64 +72,101 @@ def responsibilities(x: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.n
     return shares / total, (top + np.log(total))[:, :, 0]
 
 
+def sums_of(x: np.ndarray, weight: float, theta: np.ndarray) -> np.ndarray:
+    """What a round adds up over values, of a size that doesn't depend on them: count, log-likelihoods, and each part's shares, distances and squares around the means so far, so that large values keep their digits."""
+    r, logs = responsibilities(x, theta)
+    away = x[:, None, None] - theta[1]
+    return np.concatenate([[weight * len(x)], weight * logs.sum(axis=0), *[weight * (r * f).sum(axis=0).ravel() for f in (1.0, away, away * away)]])
+
+
+def improved(total: np.ndarray, theta: np.ndarray, before: np.ndarray, floor: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The next theta (3, restarts, parts), the mean log-likelihoods of the one before, and whether all restarts have settled."""
+    restarts = theta.shape[1]
+    n, bound = total[0], total[1 : 1 + restarts] / total[0]
+    s, a, b = total[1 + restarts :].reshape(theta.shape)
+    s = s + 10 * np.finfo(float).eps
+    var = np.maximum(b / s - (a / s) ** 2, 0.0) + floor
+    return np.stack([s / n, theta[1] + a / s, var]), bound, bool((np.abs(bound - before) < tolerance).all())
+
+
+STATE = ("theta", "bound", "floor")
+
+
+def _state(table: pa.Table, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    theta, bound = (table.column(c)[0].values.to_numpy(zero_copy_only=False) for c in STATE[:2])
+    return theta.reshape(shape), bound, table.column("floor")[0].as_py()
+
+
+def _result(table: pa.Table, theta: np.ndarray, bound: np.ndarray, settled: bool) -> pa.Table:
+    return pa.Table.from_arrays([*[table.column(c).slice(0, 1) for c in ("symbol", "series")], pa.array([theta.ravel().tolist()]), pa.array([bound.tolist()]), table.column("floor").slice(0, 1), pa.array([settled])], ["symbol", "series", *STATE, "settled"])
+
+
+def _with_state(saved: DataFrame, parameters: DataFrame) -> tuple[DataFrame, str]:
+    names = parameters.select(F.col("symbol").alias("_symbol"), F.col("series").alias("_series"), *STATE)
+    joined = saved.join(names, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("series") == F.col("_series")))
+    return joined.select("symbol", "series", "weight", "x", *STATE), f"symbol {parameters.schema['symbol'].dataType.simpleString()}, series string, theta array<double>, bound array<double>, floor double"
+
+
 def one_round(saved: DataFrame, parameters: DataFrame, parts: int, restarts: int, tolerance: float) -> DataFrame:
     """The next parameters of all series: the saved rows are read once, each giving sums of fixed size, which are added up by series."""
-    kind = parameters.schema["symbol"].dataType.simpleString()
     shape = (3, restarts, parts)
-    # the sums are taken around the means so far, so that large values keep their digits
-    names = parameters.select(F.col("symbol").alias("_symbol"), F.col("series").alias("_series"), "theta", "bound", "floor")
-    joined = saved.join(names, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("series") == F.col("_series"))).select("symbol", "series", "weight", "x", "theta", "bound", "floor")
-
-    kept = ("theta", "bound", "floor")
+    joined, kind = _with_state(saved, parameters)
 
     def sums(batches):
         for batch in batches:
-            weights, columns = batch.column("weight").to_numpy(), [batch.column(c) for c in ("x", "theta")]
-            out = []
-            for i, weight in enumerate(weights):
-                x, theta = (c[i].values.to_numpy(zero_copy_only=False) for c in columns)
-                theta = theta.reshape(shape)
-                r, logs = responsibilities(x, theta)
-                away = x[:, None, None] - theta[1]
-                out.append(np.concatenate([[weight * len(x)], weight * logs.sum(axis=0), *[weight * (r * f).sum(axis=0).ravel() for f in (1.0, away, away * away)]]))
-            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("series"), pa.array([o.tolist() for o in out], pa.list_(pa.float64())), *[batch.column(c) for c in kept]], ["symbol", "series", "sums", *kept])
+            out = [sums_of(x.values.to_numpy(), weight, theta.values.to_numpy().reshape(shape)).tolist() for weight, x, theta in zip(batch.column("weight").to_numpy(), batch.column("x"), batch.column("theta"))]
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("series"), *[batch.column(c) for c in STATE], pa.array(out, pa.list_(pa.float64()))], ["symbol", "series", *STATE, "sums"])
 
     def step(table: pa.Table) -> pa.Table:
         total = np.sum([s.values.to_numpy() for s in table.column("sums").combine_chunks()], axis=0)
-        old = table.column("theta")[0].values.to_numpy().reshape(shape)
-        before = table.column("bound")[0].values.to_numpy(zero_copy_only=False)
-        n, bound = total[0], total[1 : 1 + restarts] / total[0]
-        s, a, b = total[1 + restarts :].reshape(shape)
-        s = s + 10 * np.finfo(float).eps
-        mean = old[1] + a / s
-        var = np.maximum(b / s - (a / s) ** 2, 0.0) + table.column("floor")[0].as_py()
-        theta = np.stack([s / n, mean, var]).ravel()
-        settled = bool((np.abs(bound - before) < tolerance).all())
-        return pa.Table.from_arrays([*[table.column(c).slice(0, 1) for c in ("symbol", "series")], pa.array([theta.tolist()]), pa.array([bound.tolist()]), table.column("floor").slice(0, 1), pa.array([settled])], ["symbol", "series", *kept, "settled"])
+        return _result(table, *improved(total, *_state(table, shape), tolerance))
+
+    each = joined.mapInArrow(sums, f"{kind}, sums array<double>")
+    return each.groupBy("symbol", "series").applyInArrow(step, f"{kind}, settled boolean")
+
 
-    each = joined.mapInArrow(sums, f"symbol {kind}, series string, sums array<double>, theta array<double>, bound array<double>, floor double")
-    return each.groupBy("symbol", "series").applyInArrow(step, f"symbol {kind}, series string, theta array<double>, bound array<double>, floor double, settled boolean")
+def all_rounds(saved: DataFrame, parameters: DataFrame, parts: int, restarts: int, rounds: int, tolerance: float) -> DataFrame:
+    """The last parameters of series of LOCAL_VALUES values at most, each fitted by one task."""
+    shape = (3, restarts, parts)
+    joined, kind = _with_state(saved, parameters)
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows = [(x.values.to_numpy(), w) for x, w in zip(table.column("x").combine_chunks(), table.column("weight").to_numpy())]
+        theta, bound, floor = _state(table, shape)
+        for _ in range(rounds):
+            theta, bound, settled = improved(np.sum([sums_of(x, w, theta) for x, w in rows], axis=0), theta, bound, floor, tolerance)
+            if settled:
+                break
+        return _result(table, theta, bound, True)
+
+    return joined.groupBy("symbol", "series").applyInArrow(fit, f"{kind}, settled boolean")
 
 
 def fit_mixtures(df: DataFrame, series: list[str], parts: int = PARTS, restarts: int = RESTARTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, unit: str = "quarter") -> DataFrame:
     """(symbol, series, part, weight, mean, var): a normal mixture of each column of df for each symbol, parts by rising mean.
 
-    Expectation and maximisation of all series and restarts at once: a round reads
-    the saved values once and adds up sums of fixed size, so no task holds a
-    symbol's history; series that have settled are left out of later rounds. Of the
+    Expectation and maximisation of all restarts at once. A series of LOCAL_VALUES
+    values at most is fitted by one task, all such series in one job. Longer ones
+    go in rounds over all of them together: a round reads the saved values once and
+    adds up sums of fixed size, so no task holds a long history; series that have
+    settled are left out of later rounds. Both ways do the same sums. Of the
     restarts the one of largest likelihood is taken. Seeds are fixed, so reruns
     agree. Missing values count as the column's mean; a column without values has
     no rows; one with fewer different values than parts gets parts that are alike.
     """
     saved = saved_series(df, series, unit)
-    open_, done = written(first_parameters(df, series, parts, restarts), "parameters"), None
+    first = first_parameters(df, series, parts, restarts)
+    values = saved.groupBy(F.col("symbol").alias("_s"), F.col("series").alias("_c")).agg(F.sum(F.size("x")).alias("_n"))
+    first = first.join(values, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("series") == F.col("_c"))).drop("_s", "_c")
+    first = written(first, "parameters")
+    done = written(all_rounds(saved, first.where(F.col("_n") <= LOCAL_VALUES), parts, restarts, rounds, tolerance), "fitted")
+    open_ = first.where(F.col("_n") > LOCAL_VALUES).drop("_n")
     for _ in range(rounds):
-        new = written(one_round(saved, open_, parts, restarts, tolerance), "parameters")
-        ended, open_ = new.where("settled"), new.where("NOT settled")
-        done = ended if done is None else done.unionByName(ended)
         if open_.isEmpty():
             break
-    found = open_ if done is None else done.unionByName(open_)
+        new = written(one_round(saved, open_, parts, restarts, tolerance), "parameters")
+        done, open_ = done.unionByName(new.where("settled")), new.where("NOT settled")
+    found = done.unionByName(open_)
     n = parts * restarts
     best = F.array_position("bound", F.array_max("bound")).cast("int") - 1
     at = lambda k, i: F.get("theta", F.lit(k * n) + best * parts + i)
