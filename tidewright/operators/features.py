@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunked, with_z
+from ..functions.rolling import Rolled, rolled
 from ..functions.scans import Fill, Runs, Sums, scan
 from ..functions.win import by_symbol, corr, cross, diff, ewm, flag, frame, lag, pct_change, roll, row_mean, shifted
 
@@ -213,9 +214,10 @@ def _volume_momentum(bars: DataFrame, periods: tuple[int, ...], widths: tuple[in
     out = {}
     for p in periods:
         out |= {f"volume_{p}": pct_change("quote_volume", p), f"buy_ratio_{p}": pct_change("r", p), f"total_{p}": pct_change(f"sum_{p}")}
-    for w in widths:
-        out |= {f"relative_{w}": F.try_divide(F.col("quote_volume"), roll(F.avg, "quote_volume", w)), f"buy_relative_{w}": F.try_divide(F.col("taker_buy_quote_volume"), roll(F.avg, "taker_buy_quote_volume", w))}
-    return s.select("symbol", "ts", *[v.alias(k) for k, v in out.items()])
+    volumes = {"relative": "quote_volume", "buy_relative": "taker_buy_quote_volume"}
+    s = s.select("symbol", "ts", *volumes.values(), *[v.alias(k) for k, v in out.items()])
+    s = rolled(s, {f"{name}_{w}": Rolled("mean", w, v) for w in widths for name, v in volumes.items()})
+    return s.withColumns({f"{name}_{w}": F.try_divide(F.col(v), F.col(f"{name}_{w}")) for w in widths for name, v in volumes.items()}).drop(*volumes.values())
 
 
 def vwap(bars: DataFrame, period: int = 20, mults: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
@@ -389,8 +391,7 @@ def _volatility(bars: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = s.withColumns({"parkinson": F.sqrt(hl * hl / (4 * math.log(2))), "gk": F.when(gk >= 0, F.sqrt(gk)), "tr": true_range(), "busy": F.try_divide(F.col("quote_volume"), roll(F.avg, "quote_volume", widths[0]))})
     s = s.withColumn("weighted", F.col("tr") * F.col("busy"))
     kinds = ("parkinson", "gk", "tr", "weighted")
-    means = {f"{m}_{w}": roll(F.avg, m, w) for m in kinds for w in widths}
-    s = s.withColumns(means)
+    s = rolled(s, {f"{m}_{w}": Rolled("mean", w, m) for m in kinds for w in widths})
     s = s.withColumn("composite", row_mean([F.col(f"{m}_{widths[min(1, len(widths) - 1)]}") for m in kinds]))
     return s.drop("high", "low", "close", "quote_volume", "busy")
 
@@ -438,11 +439,12 @@ def _relationship(pairs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = shifted(pairs, ["close", "bench"]).withColumns({"a": F.ln(F.try_divide(F.col("close"), lag("close"))), "b": F.ln(F.try_divide(F.col("bench"), lag("bench")))})
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     s = s.withColumns({"x": F.when(both, F.col("a")), "y": F.when(both, F.col("b")), "spread": F.ln(F.try_divide(F.col("close"), F.col("bench")))})
-    out = {}
-    for w in widths:
-        enough = F.count("x").over(frame(w)) >= w
-        out |= {f"corr_{w}": F.when(enough, corr("x", "y", frame(w))), f"beta_{w}": F.when(enough, F.try_divide(F.covar_samp("x", "y").over(frame(w)), F.var_samp("y").over(frame(w)))), f"strength_{w}": F.bround((pct_change("close", w) - pct_change("bench", w)) * 100, 4), f"relative_vol_{w}": F.when(enough, F.bround(F.try_divide(F.stddev_samp("x").over(frame(w)), F.stddev_samp("y").over(frame(w))), 4))}
-    return s.select("symbol", "ts", "spread", *[v.alias(k) for k, v in out.items()])
+    strength = {f"strength_{w}": F.bround((pct_change("close", w) - pct_change("bench", w)) * 100, 4) for w in widths}
+    pairs = {"corr": "corr", "beta": "beta", "relative_vol": "sd_ratio"}
+    s = s.select("symbol", "ts", "spread", "x", "y", *[v.alias(k) for k, v in strength.items()])
+    s = rolled(s, {f"{name}_{w}": Rolled(kind, w, "x", "y") for w in widths for name, kind in pairs.items()})
+    made = {f"{name}_{w}": F.bround(f"{name}_{w}", 4) if name == "relative_vol" else F.col(f"{name}_{w}") for w in widths for name in ("corr", "beta", "strength", "relative_vol")}
+    return s.select("symbol", "ts", "spread", *[v.alias(k) for k, v in made.items()])
 
 
 HALVINGS = ("2012-11-28", "2016-07-09", "2020-05-11", "2024-04-20")  # fixed values
@@ -471,10 +473,9 @@ def _aux_series(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     s = shifted(series, ["open", "high", "low", "close"])
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     out = {"range_pct": F.bround(percent(h - lo, o), 2), "body_pct": F.bround(percent(c - o, o), 2), "upper_pct": F.bround(percent(h - F.greatest(o, c), o), 2), "lower_pct": F.bround(percent(F.least(o, c) - lo, o), 2)}
-    for w in widths:
-        out |= {f"mean_{w}": roll(F.avg, c, w), f"vs_mean_{w}": percent(c, roll(F.avg, c, w)) - 100}
     out |= {f"change_{n}": pct_change("close", n) * 100 for n in (24, 168)}
-    return s.withColumns(out).drop("open", "high", "low")
+    s = rolled(s.withColumns(out), {f"mean_{w}": Rolled("mean", w, "close") for w in widths})
+    return s.withColumns({f"vs_mean_{w}": percent(c, F.col(f"mean_{w}")) - 100 for w in widths}).drop("open", "high", "low")
 
 
 def fear_greed_features(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
