@@ -47,7 +47,13 @@ def test_fill_accounting():
 
 
 def bar(**more):
-    return {"symbol": "a", "ts": T0 + dt.timedelta(hours=5), "close": 10.0, "gate": False, "trading_state": "ENABLED", "low_bid": 9.0, "low_ask": 9.1, "close_bid": 10.0, "close_ask": 10.1, "high_bid": 11.0, "high_ask": 11.1, "exec_volatility": 0.0, "exec_stochastic": 0.5, "exec_momentum": 0.0} | more
+    return {"symbol": "a", "ts": T0 + dt.timedelta(hours=5), "close": 10.0, "gate": False, "trading_state": "ENABLED", "low_bid": 9.0, "low_ask": 9.1, "close_bid": 10.0, "close_ask": 10.1, "high_bid": 11.0, "high_ask": 11.1, "buy_limit": 10.0, "sell_limit": 10.1, "buy_urgency": "", "sell_urgency": ""} | more
+
+
+def quoted(spark, s, **more):
+    """A bar with the quotes that Spark makes of it."""
+    rows = spark.createDataFrame([({"close_bid": 10.0, "close_ask": 10.1, "exec_volatility": 0.0, "exec_stochastic": 0.5, "exec_momentum": 0.0} | more)])
+    return bar(**strategy.quotes(rows, s).first().asDict())
 
 
 def order(**more):
@@ -60,21 +66,27 @@ def test_limit_fills():
     assert strategy.limit_fill(order(side=-1, price=10.5), bar()) == 10.5 and strategy.limit_fill(order(side=-1, price=8.5), bar()) is None
 
 
-def test_conversion_to_taker():
+def test_conversion_to_taker(spark):
     s = Settings(taker_conversion_hours=2.0)
-    assert strategy.becomes_taker(order(), bar(), s) == ""
-    assert strategy.becomes_taker(order(ts=T0), bar(), s) == "age"
-    assert strategy.becomes_taker(order(), bar(exec_volatility=0.03), s) == "volatility"
-    assert strategy.becomes_taker(order(), bar(exec_momentum=0.02), s) == "momentum" and strategy.becomes_taker(order(side=-1), bar(exec_momentum=0.02), s) == ""
-    assert strategy.becomes_taker(order(), bar(exec_stochastic=0.05), s) == "stochastic" and strategy.becomes_taker(order(side=-1), bar(exec_stochastic=0.95), s) == "stochastic"
-
-
-def test_new_limits_by_hand():
+    why = lambda side=1, settings=s, **more: strategy.becomes_taker(order(side=side), quoted(spark, settings, **more), settings)
+    assert why() == "" and strategy.becomes_taker(order(ts=T0), bar(), s) == "age"
+    assert why(exec_volatility=0.03) == "volatility" and why(exec_volatility=0.02) == ""
+    assert why(exec_momentum=0.02) == "momentum" and why(-1, exec_momentum=0.02) == "" and why(-1, exec_momentum=-0.02) == "momentum"
+    assert why(exec_stochastic=0.05) == "stochastic" and why(-1, exec_stochastic=0.95) == "stochastic"
+    assert why(exec_stochastic=0.1) == "" and why(-1, exec_stochastic=0.9) == ""
+    assert why(exec_volatility=0.03, exec_momentum=0.02, exec_stochastic=0.05) == "volatility"
+    none = Settings(use_dynamic_spread=False, use_momentum=False, use_stochastic_oscillator=False)
+    assert why(settings=none, exec_volatility=0.03, exec_momentum=0.02, exec_stochastic=0.05) == ""
+
+
+def test_new_limits_by_hand(spark):
     s = Settings(simulated_spread_bps=1.0, max_spread_bps=10.0)
-    assert strategy.new_limit(order(), bar(), s) == pytest.approx(10.0 * (1 - 0.0001 + min(0, 0.0002) * -1))
-    b = bar(exec_volatility=0.01, exec_stochastic=0.1, exec_momentum=3.0)
-    assert strategy.new_limit(order(), b, s) == pytest.approx(10.0 * (1 - (0.0001 + 0.001 + 0.0001 - 0.0002)))
-    assert strategy.new_limit(order(side=-1), b, s) == pytest.approx(10.1 * (1 + 0.0001 + 0.001 + 0.0002))
+    assert quoted(spark, s)["buy_limit"] == pytest.approx(10.0 * (1 - 0.0001 + min(0, 0.0002) * -1))
+    b = quoted(spark, s, exec_volatility=0.01, exec_stochastic=0.1, exec_momentum=3.0)
+    assert b["buy_limit"] == pytest.approx(10.0 * (1 - (0.0001 + 0.001 + 0.0001 - 0.0002)))
+    assert b["sell_limit"] == pytest.approx(10.1 * (1 + 0.0001 + 0.001 + 0.0002))
+    b = quoted(spark, s, exec_stochastic=0.9, exec_momentum=-1.0)
+    assert b["buy_limit"] == pytest.approx(10.0 * (1 - (0.0001 + 0.0001))) and b["sell_limit"] == pytest.approx(10.1 * (1 + 0.0001 + 0.0001 - 0.0001))
 
 
 def test_orders_wait_reprice_convert_and_cancel(spark):

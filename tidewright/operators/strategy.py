@@ -15,6 +15,12 @@ from ..functions.win import by_symbol, lag
 
 #: Signal periods are counted from here: 1996-01-01, in seconds; fixed value.
 GRID_START = 820454400
+#: The two sides of an order.
+SIDES = {1: "buy", -1: "sell"}
+#: A maker order turns into a taker order beyond these, of the bar before: range, move with the order, and stochastic from the order's own end.
+URGENT_RANGE, URGENT_MOVE, URGENT_STOCHASTIC = 0.02, 0.01, 0.1
+#: How a new limit keeps its distance: shares of the range and of how far the stochastic is beyond STRETCHED, and of the move with the order, up to MOST_CHASE.
+RANGE_SHARE, STRETCHED, STRETCH_SHARE, CHASE_SHARE, MOST_CHASE = 5.0, 0.2, 0.001, 0.0001, 0.0002
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -144,6 +150,22 @@ def book(bars: DataFrame, s: Settings) -> DataFrame:
     return out.withColumns({"exec_volatility": F.coalesce(F.try_divide(h - lo, c), F.lit(0.0)), "exec_stochastic": F.coalesce(F.try_divide(c - lo, h - lo), F.lit(0.5)), "exec_momentum": F.coalesce(c - lag("open"), F.lit(0.0))})
 
 
+def quotes(booked: DataFrame, s: Settings) -> DataFrame:
+    """Add to a book what a bar decides for open orders of each side, whatever their size: buy_limit and sell_limit, where one would be placed anew, and buy_urgency and sell_urgency, why it would turn into a taker order ('' if nothing in the bar says so)."""
+    most, range_, stochastic = s.max_spread_bps / 1e4, F.col("exec_volatility"), F.col("exec_stochastic")
+    out = {}
+    for sign, side in SIDES.items():
+        ahead = sign * F.col("exec_momentum")  # the price moves away from the order
+        stretched = F.lit(STRETCHED) - stochastic if sign > 0 else stochastic - (1 - STRETCHED)
+        at_end = stochastic < URGENT_STOCHASTIC if sign > 0 else stochastic > 1 - URGENT_STOCHASTIC
+        rules = [(s.use_dynamic_spread, "volatility", range_ > URGENT_RANGE, F.least(range_ * RANGE_SHARE, F.lit(most))), (s.use_momentum, "momentum", ahead > URGENT_MOVE, -F.greatest(F.least(ahead * CHASE_SHARE, F.lit(MOST_CHASE)), F.lit(-MOST_CHASE))), (s.use_stochastic_oscillator, "stochastic", at_end, F.greatest(stretched, F.lit(0.0)) * STRETCH_SHARE)]
+        used = [(name, urgent, distance) for on, name, urgent, distance in rules if on]
+        distance = sum((d for _, _, d in used), F.lit(s.simulated_spread_bps / 1e4))
+        out[f"{side}_limit"] = F.col("close_bid" if sign > 0 else "close_ask") * (1 - sign * distance)
+        out[f"{side}_urgency"] = F.coalesce(*[F.when(urgent, name) for name, urgent, _ in used], F.lit(""))
+    return booked.withColumns(out)
+
+
 def limit_price(s: Settings, bar: dict, side: int, edge_bps: float) -> float:
     return bar["close_bid"] * (1 - edge_bps / 1e4) if side > 0 else bar["close_ask"] * (1 + edge_bps / 1e4)
 
@@ -276,17 +298,9 @@ def risk_signals(bar: dict, state: State, s: Settings) -> list[dict]:
 
 
 def becomes_taker(order: dict, bar: dict, s: Settings) -> str:
-    """Why a maker order becomes a taker order, or ''."""
-    buy = order["side"] > 0
-    if (bar["ts"] - order["ts"]).total_seconds() > s.taker_conversion_hours * 3600:
-        return "age"
-    if s.use_dynamic_spread and bar["exec_volatility"] > 0.02:
-        return "volatility"
-    if s.use_momentum and (bar["exec_momentum"] > 0.01 if buy else bar["exec_momentum"] < -0.01):
-        return "momentum"
-    if s.use_stochastic_oscillator and (bar["exec_stochastic"] < 0.1 if buy else bar["exec_stochastic"] > 0.9):
-        return "stochastic"
-    return ""
+    """Why a maker order becomes a taker order, or '': its age, or what the bar says for its side (quotes)."""
+    age = (bar["ts"] - order["ts"]).total_seconds()
+    return "age" if age > s.taker_conversion_hours * 3600 else bar[f"{SIDES[order['side']]}_urgency"]
 
 
 def limit_fill(order: dict, bar: dict) -> float | None:
@@ -295,18 +309,6 @@ def limit_fill(order: dict, bar: dict) -> float | None:
     return max(order["price"], bar["low_bid"]) if bar["low_bid"] <= order["price"] <= bar["high_bid"] else None
 
 
-def new_limit(order: dict, bar: dict, s: Settings) -> float:
-    buy, edge = order["side"] > 0, s.simulated_spread_bps / 1e4
-    if s.use_dynamic_spread:
-        edge += min(bar["exec_volatility"] * 5, s.max_spread_bps / 1e4)
-    if s.use_stochastic_oscillator:
-        edge += max(0.2 - bar["exec_stochastic"] if buy else bar["exec_stochastic"] - 0.8, 0.0) * 0.001
-    if s.use_momentum:
-        push = min(abs(bar["exec_momentum"]) * 0.0001, 0.0002) * (1 if bar["exec_momentum"] > 0 else -1)
-        edge += -push if buy else push
-    return bar["close_bid"] * (1 - edge) if buy else bar["close_ask"] * (1 + edge)
-
-
 def fill(state: State, side: int, size: float, price: float, fees: float, is_maker: bool) -> None:
     """Average-cost accounting: the entry is weighted on adding, stays on reducing, and is the price after a flip."""
     old, change = state.size, side * size
@@ -335,7 +337,7 @@ def step(state: State, bar: dict, s: Settings, strategy: Strategy) -> list[dict]
         rows.append({"kind": kind, "name": name} | more)
 
     def order_event(name, o, **more):
-        event("order", name, id=o["id"], ref=o["signal"], side="buy" if o["side"] > 0 else "sell", order_type=o["order_type"], size=o["size"], price=more.pop("price", o["price"]), **more)
+        event("order", name, id=o["id"], ref=o["signal"], side=SIDES[o["side"]], order_type=o["order_type"], size=o["size"], price=more.pop("price", o["price"]), **more)
 
     state.mark(close)
     open_before = list(state.orders)
@@ -349,7 +351,7 @@ def step(state: State, bar: dict, s: Settings, strategy: Strategy) -> list[dict]
         state.made += 1
         name = f"{bar['symbol']}-{bar['ts']:%Y%m%d%H%M%S}-{state.made}"
         safe = x["type"] in ("stop", "risk")
-        side = "buy" if x["side"] > 0 else "sell"
+        side = SIDES[x["side"]]
         event("signal", x["type"], id=f"s-{name}", side=side, order_type=x["order_type"], size=x["size"], price=x["price"], params=x["params"])
         try:
             if not enabled and not safe:
@@ -379,7 +381,7 @@ def step(state: State, bar: dict, s: Settings, strategy: Strategy) -> list[dict]
             order_event("converted", o, reason=why)
         price = close if o["order_type"] == "taker" else limit_fill(o, bar)
         if price is None:
-            moved = new_limit(o, bar, s)
+            moved = bar[f"{SIDES[o['side']]}_limit"]
             if abs(moved - o["price"]) / o["price"] > s.price_update_threshold:
                 o["price"] = moved
                 order_event("repriced", o)
@@ -389,7 +391,7 @@ def step(state: State, bar: dict, s: Settings, strategy: Strategy) -> list[dict]
         fees = o["size"] * price * (s.maker_fee_bps if maker else s.taker_fee_bps) / 1e4
         fill(state, o["side"], o["size"], price, fees, maker)
         order_event("filled", o, price=price)
-        event("trade", o["type"], id=f"t-{o['id'][2:]}", ref=o["id"], side="buy" if o["side"] > 0 else "sell", order_type=o["order_type"], size=o["size"], price=price, fees=fees, is_maker=maker, params=o["params"])
+        event("trade", o["type"], id=f"t-{o['id'][2:]}", ref=o["id"], side=SIDES[o["side"]], order_type=o["order_type"], size=o["size"], price=price, fees=fees, is_maker=maker, params=o["params"])
     state.orders = left
     state.mark(close)
     pnl = state.realized + state.unrealized(close)
@@ -404,12 +406,12 @@ EVENTS = "symbol string, ts timestamp_ntz, seq int, kind string, name string, id
 _KINDS = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,double>": pa.map_(pa.string(), pa.float64())}
 _ARROW = pa.schema([(n, _KINDS[k]) for n, k in (f.rsplit(" ", 1) for f in EVENTS.split(", "))])
 #: Columns that the fold reads.
-READS = ["symbol", "ts", "close", "gate", "trading_state", "low_bid", "low_ask", "close_bid", "close_ask", "high_bid", "high_ask", "exec_volatility", "exec_stochastic", "exec_momentum"]
+READS = ["symbol", "ts", "close", "gate", "trading_state", "low_bid", "low_ask", "close_bid", "close_ask", "high_bid", "high_ask", *[f"{side}_{what}" for side in SIDES.values() for what in ("limit", "urgency")]]
 
 
 def prepared(bars: DataFrame, s: Settings) -> DataFrame:
     """bars with everything that the fold takes from a bar alone."""
-    return book(signal_gate(trading_state(bars, s), s), s)
+    return quotes(book(signal_gate(trading_state(bars, s), s), s), s)
 
 
 def replay(bars: DataFrame, s: Settings = Settings(), strategy: Strategy | None = None, features: tuple[str, ...] = ("line", "signal", "hist", "z_week", "z_month")) -> DataFrame:
