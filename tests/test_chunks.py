@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.chunks import chunked, with_z
 from tidewright.functions.win import by_symbol, frame, lag, numbered, time_since, zscore
-from tidewright.operators import features
+from tidewright.operators import analytics, features
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -120,12 +120,20 @@ LEVELS = {"low": (30,), "high": (70,)}
 GROUPS = {
     "bollinger": {"sigmas": (2,), "levels": (2.0,)}, "rsi": LEVELS, "stochastic": LEVELS, "macd": {}, "candles": {}, "volume_momentum": {"periods": (5, 20), "widths": (24,)}, "vwap": {"mults": (2.0,)}, "volume_profile": {},
     "price_levels": {}, "market_structure": {}, "volatility": {"widths": (24, 72)}, "returns": {"lags": (1, 5), "widths": (5, 50)}, "relationship": {"benchmark": "b", "widths": (24, 72)}, "aux_series": {"widths": (24,)},
+    "fear_greed_features": {"widths": (24, 72)},
 }
 
 
+def test_risk_windows_in_pieces_equal_whole_histories(spark, monkeypatch):
+    frame = analytics.pnl_frame(hours(spark, 60)).cache()
+    pieces = analytics.risk_windows(frame)
+    monkeypatch.setattr(analytics, "chunked", lambda df, make, *_, **__: make(df))
+    same_rows(pieces, analytics.risk_windows(frame))
+
+
 @pytest.mark.parametrize("group", GROUPS)
 def test_groups_in_pieces_equal_whole_histories(spark, monkeypatch, group):
-    bars = hours(spark, 60).cache()
+    bars = hours(spark, 60).withColumn("value", F.round("volume")).cache()
     make = lambda: getattr(features, group)(bars, **GROUPS[group])
     given = features.chunked
     monkeypatch.setattr(features, "chunked", lambda df, make, reach, unit="month", ahead=0: given(df, make, reach, "month", ahead))

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import chunked
 from ..functions.periods import expected_rows
 from ..functions.win import by_symbol, corr, lag, numbered, so_far, time_since
 
@@ -47,7 +48,11 @@ def equity_metrics(bars: DataFrame) -> DataFrame:
 
 
 def risk_windows(frame: DataFrame) -> DataFrame:
-    """Trailing volatility over 20 rows, value at risk and expected shortfall over 100."""
+    """Trailing volatility over 20 rows, value at risk and expected shortfall over 100. Runs month by month."""
+    return chunked(frame.select("symbol", "ts", "pnl"), _risk_windows, 99)
+
+
+def _risk_windows(frame: DataFrame) -> DataFrame:
     h = by_symbol().rowsBetween(-99, 0)
     s = frame.select("symbol", "ts", "pnl", (F.stddev_pop("pnl").over(by_symbol().rowsBetween(-19, 0)) * math.sqrt(252)).alias("volatility"), F.collect_list("pnl").over(h).alias("x"), F.expr("percentile(pnl, 0.05) over (partition by symbol order by ts rows between 99 preceding and current row)").alias("var_95"))
     low = F.filter("x", lambda v: v <= F.col("var_95"))

@@ -479,13 +479,16 @@ def _aux_series(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
 
 
 def fear_greed_features(series: DataFrame, widths: tuple[int, ...] = (24, 72, 168)) -> DataFrame:
-    """Of a daily value: the day before, means and distances to them, changes, z-scores; widths are rows of the daily series."""
-    s = series.select("symbol", "ts", lag("value").alias("value"))
-    out = {}
-    for w in widths:
-        out |= {f"mean_{w}": roll(F.avg, "value", w), f"vs_mean_{w}": F.col("value") - roll(F.avg, "value", w)}
-    out |= {f"change_{n}": diff("value", n) for n in (24, 168)}
-    return with_z(s.withColumns(out), ["value", "change_24", "change_168"])
+    """Of a daily value: the day before, means and distances to them, changes, z-scores; widths are rows of the daily series. Runs year by year."""
+    s = chunked(series.select("symbol", "ts", "value"), lambda d: _fear_greed_features(d, widths), max(*widths, 168) + 1, "year")
+    return with_z(s, ["value", "change_24", "change_168"])
+
+
+def _fear_greed_features(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    s = shifted(series, ["value"])
+    s = s.withColumns({f"change_{n}": diff("value", n) for n in (24, 168)})
+    s = rolled(s, {f"mean_{w}": Rolled("mean", w, "value") for w in widths})
+    return s.withColumns({f"vs_mean_{w}": F.col("value") - F.col(f"mean_{w}") for w in widths})
 
 
 #: Times of high value to miners, (start, end); fixed values.
