@@ -21,6 +21,8 @@ SIDES = {1: "buy", -1: "sell"}
 URGENT_RANGE, URGENT_MOVE, URGENT_STOCHASTIC = 0.02, 0.01, 0.1
 #: How a new limit keeps its distance: shares of the range and of how far the stochastic is beyond STRETCHED, and of the move with the order, up to MOST_CHASE.
 RANGE_SHARE, STRETCHED, STRETCH_SHARE, CHASE_SHARE, MOST_CHASE = 5.0, 0.2, 0.001, 0.0001, 0.0002
+#: The least histogram that counts as a signal; the weekly z-score that ends a position, in multiples of the one that forbids an entry; the hour from which overnight begins.
+LEAST_HIST, EXIT_Z, OVERNIGHT = 1e-4, 1.5, 16
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -122,7 +124,7 @@ def trading_state(bars: DataFrame, s: Settings) -> DataFrame:
         rules.append((in_ranges(s.trading_disabled_datetime), "DISABLED_RANGE"))
     rules += [(in_hours(a, b), "DISABLED_HOURS") for a, b in s.trading_disabled_hours]
     if not s.allow_overnight:
-        rules.append((F.hour("ts") >= 16, "DISABLED_OVERNIGHT"))
+        rules.append((F.hour("ts") >= OVERNIGHT, "DISABLED_OVERNIGHT"))
     return bars.withColumn("trading_state", F.coalesce(*[F.when(cond, name) for cond, name in reversed(rules)], F.lit("ENABLED")))
 
 
@@ -233,10 +235,10 @@ class MacdStrategy:
     def enters(self, bar, s):
         hist, line, signal = (bar[k] or 0.0 for k in ("hist", "line", "signal"))
         calm = abs(bar["z_week"] or 0.0) <= s.zscore_weekly_threshold and abs(bar["z_month"] or 0.0) <= s.zscore_monthly_threshold
-        return abs(hist) >= 1e-4 and calm and (line > signal if hist > 0 else line < signal)
+        return abs(hist) >= LEAST_HIST and calm and (line > signal if hist > 0 else line < signal)
 
     def leaves(self, bar, state, s):
-        return state.size * (bar["hist"] or 0.0) < 0 or abs(bar["z_week"] or 0.0) > 1.5 * s.zscore_weekly_threshold
+        return state.size * (bar["hist"] or 0.0) < 0 or abs(bar["z_week"] or 0.0) > EXIT_Z * s.zscore_weekly_threshold
 
     def signals(self, bar, state, s):
         out = self.decide(bar, state, s)
