@@ -18,7 +18,7 @@ def chunked(df: DataFrame, make: Callable[[DataFrame], DataFrame], reach: int, u
     look over all rows so far or across symbols. Only row counts of pieces are
     added up by symbol.
     """
-    df = df.withColumn("_piece", F.date_trunc(unit, F.col("ts")))
+    df = df.withColumn("_piece", F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz"))
     counts = df.groupBy("symbol", "_piece").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy("symbol").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
@@ -34,7 +34,7 @@ def chunked(df: DataFrame, make: Callable[[DataFrame], DataFrame], reach: int, u
     given_to = F.transform(F.filter(F.coalesce("_wanted", F.array().cast(wanted.schema["_wanted"].dataType)), lambda w: (F.col("_i") >= w["_from"]) & (F.col("_i") < w["_until"])), lambda w: w["_p"])
     rows = rows.withColumn("_piece", F.explode(F.concat(F.array("_piece"), given_to)))
     given = [F.struct("symbol", "_piece").alias("symbol") if c == "symbol" else F.col(c) for c in df.columns if c != "_piece"]
-    made = make(rows.select(*given)).where(F.date_trunc(unit, F.col("ts")) == F.col("symbol")["_piece"])
+    made = make(rows.select(*given)).where(F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz") == F.col("symbol")["_piece"])
     return made.withColumn("symbol", F.col("symbol")["symbol"])
 
 

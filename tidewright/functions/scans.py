@@ -271,7 +271,7 @@ def scan(df: DataFrame, scans: Sequence[Scan], unit: str = "month", order: Seque
     """
     if not scans:
         return df
-    rows = written(df.withColumn("_piece", F.date_trunc(unit, F.col("ts"))), name)
+    rows = written(df.withColumn("_piece", F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz")), name)
     keys, by = ["symbol", "_piece"], [("ts", "ascending"), *[(c, "ascending") for c in order]]
 
     def in_order(piece: pa.Table) -> pa.Table:
