@@ -43,7 +43,7 @@ def saved_series(df: DataFrame, series: list[str], unit: str) -> DataFrame:
         return pa.Table.from_arrays([symbol, pa.array([c for c, _ in lists], pa.string()), pa.array([1.0] * len(lists), pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["symbol", "series", "weight", "x"])
 
     kind = df.schema["symbol"].dataType.simpleString()
-    rows = df.select("symbol", F.date_trunc(unit, F.col("ts")).alias("_piece"), *[F.col(c).cast("double").alias(c) for c in series])
+    rows = df.select("symbol", F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz").alias("_piece"), *[F.col(c).cast("double").alias(c) for c in series])
     full = rows.groupBy(*keys).applyInArrow(pieces, f"symbol {kind}, series string, weight double, x array<double>")
     gaps = df.groupBy("symbol").agg(F.array(*[F.struct(F.lit(c).alias("series"), F.count_if(F.col(c).isNull()).cast("double").alias("weight"), F.avg(c).alias("mean")) for c in series]).alias("g")).select("symbol", F.explode("g").alias("g"))
     gaps = gaps.where("g.weight > 0 AND g.mean IS NOT NULL").select("symbol", "g.series", "g.weight", F.array("g.mean").alias("x"))
