@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidewright.llm import shingles
@@ -103,3 +104,53 @@ def test_few_frequent_tokens(spark, monkeypatch):
     assert len(tokens) <= 5 and tokens.tolist() == list(range(41 - len(tokens), 41))
     rows = made(4, 120)
     assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
+def test_group_below_threshold(spark, monkeypatch):
+    """Documents that all share much of one text, too little to link, meet in few rows and not once for each pair and token."""
+    rng = random.Random(5)
+    text, rows, met = [f"w{rng.randrange(10**6)}" for _ in range(300)], [], []
+    for i in range(40):
+        words = text.copy()
+        for at in rng.sample(range(0, 300, 6), 10):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words), 1, 2))
+    rows += [(100 + i, rows[i][1] + " and more", 1, 2) for i in range(5)]
+    made_by = shingles.matches
+
+    def counted(*given):
+        out = made_by(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "FREQUENT_TOKENS", 0)  # as in a large table, where a group of 40 isn't frequent
+    monkeypatch.setattr(shingles, "matches", counted)
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+    assert sum(met) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_all_lists_long(spark, monkeypatch, seed):
+    monkeypatch.setattr(shingles, "LONG", 2)
+    rows = made(seed)
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
+def test_sketches_never_differ_more_than_sets(spark):
+    rng = np.random.default_rng(8)
+    sets, pairs = [], []
+    for n in (1, 3, 31, 32, 33, 63, 64, 65, 200, 1000, 1030, 2000, 2100, 5000):
+        one = rng.choice(1 << 48, n, replace=False)
+        for share in (1.0, 0.9, 0.5):
+            kept = one[: int(n * share)]
+            other = np.concatenate([kept, rng.choice(1 << 48, max(1, n // 8), replace=False)])
+            sets += [np.sort(one), np.sort(other)]
+            pairs.append(len(np.setxor1d(one, other)))
+    words, starts = shingles.sketches(np.concatenate(sets).astype(np.uint64), np.cumsum([0, *map(len, sets)]))
+    each = [words[a:b].tolist() for a, b in zip(starts, starts[1:])]
+    assert max(map(len, each)) == shingles.SKETCH_WORDS and len({(len(a), len(b)) for a, b in zip(each[::2], each[1::2]) if len(a) != len(b)}) > 1
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(each[::2], each[1::2])) if max(len(a), len(b)) <= 2 * min(len(a), len(b))]
+    found = spark.createDataFrame(rows, "i long, a array<long>, b array<long>").select("i", shingles.differences("a", "b"), shingles.differences("b", "a"), shingles.differences("a", "a")).collect()
+    assert len(found) > 30
+    for i, there, back, same in found:
+        assert pairs[i] >= there == back and same == 0 and (pairs[i] < 20 or there > pairs[i] // 3)

@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, mix, prefix_sums, range_hash, slices, tidy, words
@@ -20,6 +20,10 @@ FREQUENT_TOKENS = 1 << 20
 RARE, CHECK = 0.25, 1 / 16
 #: Smallest tokens of a set that the first round looks at, and how many of them a pair must share there.
 LOWEST, LOWEST_SHARED = 8, 3
+#: A token's list is long if it has this many sets; pairs of long lists are held against each other by sketch first.
+LONG = 8
+#: 64-bit words of a sketch at most.
+SKETCH_WORDS = 64
 #: Postings that one group of the candidate search is meant to hold.
 GROUP_POSTINGS = 1_000_000
 #: Postings that a task gathers before it deals them to the groups.
@@ -77,6 +81,21 @@ def _ids(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def sketches(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set: 64-bit words that say of each bucket of its tokens whether it holds an odd number, and where each set's words begin.
+
+    A token that only one of two sets has changes one bit, so their sketches
+    differ in no more bits than the sets have tokens alone. A set has 2 to 4 bits
+    a token, as a power of two, and SKETCH_WORDS words at most.
+    """
+    n = np.diff(offsets)
+    size = np.minimum(1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64), SKETCH_WORDS)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    at = 64 * np.repeat(starts[:-1], n) + (keys.astype(np.int64) & np.repeat(64 * size - 1, n))
+    odd = (np.bincount(at, minlength=64 * starts[-1]) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view("<i8"), starts
+
+
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
@@ -99,11 +118,11 @@ def _once(table: DataFrame, names: DataFrame, name: str) -> DataFrame:
 
 
 def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row (doc_id, key, set_id, n, lowest, common) for each of named_texts, and rows (token, docs) for tokens that a run of texts has often.
+    """One row (doc_id, key, set_id, n, lowest, sketch, common) for each of named_texts, and rows (token, docs) for tokens that a run of texts has often.
 
     common: how many of the tokens other texts of the run have; it only serves to choose whom others are held against first.
     """
-    names = ["doc_id", "key", "set_id", "n", "lowest", "common", "token", "docs"]
+    names = ["doc_id", "key", "set_id", "n", "lowest", "sketch", "common", "token", "docs"]
 
     @tidy
     def profile(batches):
@@ -115,6 +134,8 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 stops = np.concatenate([[0], np.cumsum(few)])
                 at = np.arange(stops[-1]) - np.repeat(stops[:-1], few) + np.repeat(offsets[:-1], few)
                 lowest = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(keys[at].view(np.int64)))
+                words, starts = sketches(keys, offsets)
+                sketch = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(words))
                 if len(seen) > _SEEN:
                     seen.clear()
                 fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool)
@@ -124,12 +145,12 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 common = np.zeros(end - first, np.int64)
                 common[fresh] = met[stops[1:]] - met[stops[:-1]]
                 none = pa.nulls(end - first, pa.int64())
-                yield _rows(names, batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), ids, n, lowest, common, none, none)
+                yield _rows(names, batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), ids, n, lowest, sketch, common, none, none)
                 often = counts >= max(3, fresh.sum() // 256)
                 none = pa.nulls(int(often.sum()), pa.int64())
-                yield _rows(names, none, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), none, tokens[often].view(np.int64), counts[often])
+                yield _rows(names, none, none, none, none, *[pa.nulls(len(none), pa.list_(pa.int64()))] * 2, none, tokens[often].view(np.int64), counts[often])
 
-    return save(docs.select(F.col("_id").alias("doc_id"), "text", "_key").mapInArrow(profile, "doc_id long, key long, set_id long, n long, lowest array<long>, common long, token long, docs long"), "profiles")
+    return save(docs.select(F.col("_id").alias("doc_id"), "text", "_key").mapInArrow(profile, "doc_id long, key long, set_id long, n long, lowest array<long>, sketch array<long>, common long, token long, docs long"), "profiles")
 
 
 def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,12 +343,30 @@ def first_links(low: DataFrame, labels: DataFrame | None, texts: DataFrame, clas
 
 
 def with_main(found: DataFrame) -> DataFrame:
-    """The postings of tokens that different components have, with the component of each token's smallest set (main)."""
-    lists = found.groupBy("token").agg(F.min(F.struct("set_id", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    lists = lists.select(F.col("token").alias("_token"), F.col("p.c").alias("main"))
+    """The postings of tokens that different components have, with the component of each token's smallest set (main) and whether the list is long."""
+    lists = found.groupBy("token").agg(F.min(F.struct("set_id", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"), (F.count("*") >= LONG).alias("long")).where("low < high")
+    lists = lists.select(F.col("token").alias("_token"), F.col("p.c").alias("main"), "long")
     return found.join(lists, F.col("token") == F.col("_token")).drop("_token")
 
 
+def sketched(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings with the sketch of their set and its token before (in the order of tokens)."""
+    before = F.lag("token").over(Window.partitionBy("set_id").orderBy("token"))
+    return found.withColumn("before", before).join(classes.select(F.col("set_id").alias("_set"), "sketch"), F.col("set_id") == F.col("_set")).drop("_set")
+
+
+def differences(a: str, b: str) -> Column:
+    """How many bits two sketches differ in; one twice as long as the other is folded to its length."""
+
+    def fitted(x: str, y: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(y), folded).otherwise(F.col(x))
+
+    bits = F.zip_with(fitted(a, b), fitted(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+
 def matches(found: DataFrame, percent: int) -> DataFrame:
     """Postings that two sets in different components share and that don't rule out that the sets link, from with_main.
 
@@ -336,27 +375,41 @@ def matches(found: DataFrame, percent: int) -> DataFrame:
     before it and |(n - i) - (m - j)| after it. A pair that shares no rare token
     differs in all its k rare ones, so it meets in a frequent token's list only
     if those are few, and one of them has few for its size; so sets that share a
-    very common passage and little else aren't paired.
+    very common passage and little else aren't paired. With sketches two sets
+    meet only if these differ in few enough bits, and only in tokens before which
+    they don't share the token before, as they meet there already.
     """
+    more = [x for x in ("before", "sketch") if x in found.columns]
     rare = F.col("token") < _OFTEN_BIT
     found = found.withColumn("few", rare | (2 * percent * F.col("k") <= (100 - percent) * F.col("n")) | (F.col("n") == CAP))
-    minor = found.where("c != main").select(*[F.col(x).alias(f"{x}_a") for x in ("token", "set_id", "c", "few", *_NUMBERS)])
+    minor = found.where("c != main").select(*[F.col(x).alias(f"{x}_a") for x in ("token", "set_id", "c", "few", *_NUMBERS, *more)])
     large = (F.col("n") == CAP) | (F.col("n_a") == CAP)
     room = (100 - percent) * (F.col("n") + F.col("n_a"))
     apart = F.abs(F.col("i") - F.col("i_a")) + F.abs(F.col("n") - F.col("i") - F.col("n_a") + F.col("i_a"))
     once = (F.col("c_a") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("set_id_a") < F.col("set_id")))
     may = large | (((100 + percent) * apart <= room) & (rare | ((100 + percent) * (F.col("k") + F.col("k_a")) <= room)))
     on = (F.col("token_a") == F.col("token")) & once & _near("n_a", "n", percent) & may
+    if more:
+        on = on & F.coalesce((F.col("before") != F.col("before_a")) | (F.col("before") == F.col("token")), F.lit(True)) & (large | ((100 + percent) * differences("sketch_a", "sketch") <= room))
     met = minor.where("few_a").join(found, on).unionByName(minor.where("not few_a").join(found.where("few"), on))
     return met.withColumns({"room": room, "large": large})
 
 
-def cross_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components that may link, from with_main: they share as many prefix tokens as the smaller l, and of their tokens up to the last match few enough don't match."""
+def cross_pairs(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, from with_main.
+
+    Either they meet in a long list and their sketches are near, or they share
+    as many prefix tokens in short lists as the smaller l, and of their tokens up
+    to the last match few enough don't match. A pair whose shared tokens all lie
+    in short lists is counted in full there; any other is met in the long ones.
+    """
+    a, b = F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")
+    near = matches(sketched(found.where("long"), classes), percent).select(a, b)
     first = F.col("set_id_a") < F.col("set_id")  # which of the two is a differs from token to token
     places = F.max(F.when(first, F.col("i_a")).otherwise(F.col("i"))) + F.max(F.when(first, F.col("i")).otherwise(F.col("i_a")))
-    each = matches(found, percent).groupBy(F.least("set_id_a", "set_id").alias("a"), F.greatest("set_id_a", "set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (places + 2).alias("seen"), F.first("room").alias("room"), F.first("large").alias("large"))
-    return each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
+    each = matches(found.where("not long"), percent).groupBy(a, b).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l")).alias("need"), (places + 2).alias("seen"), F.first("room").alias("room"), F.first("large").alias("large"))
+    each = each.where((F.col("shared") >= F.col("need")) & (F.col("large") | ((100 + percent) * (F.col("seen") - 2 * F.col("shared")) <= F.col("room")))).select("a", "b")
+    return near.unionByName(each).distinct()
 
 
 def _name(doc: str, key: str):
@@ -371,8 +424,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     has much of its smallest tokens, the first of their lists; what links becomes
     components, so a group of near copies costs about as many checks as members.
     Then all pairs of sets in different components that share as many prefix
-    tokens as the smaller of their numbers says are checked, so no link between
-    components is missed. component_id is the smallest doc_id that links reach. A
+    tokens as the smaller of their numbers says, or a token of a long list and
+    have near sketches, are checked, so no link between components is missed. component_id is the smallest doc_id that links reach. A
     null, empty or blank text has 0 shingles and links with nothing; equal rows
     are linked; rows with equal doc_id are documents of their own; an empty table
     gives no row.
@@ -392,7 +445,7 @@ def _named_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     each = profile.where("n is not null").select("doc_id", "key", "set_id", "n")
     texts = _once(texts, save(each.where("n > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_hash")).count().where("count > 1").drop("count"), "repeated"), "repeated_texts")
     documents, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min(_name("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("lowest").alias("lowest"), F.max("common").alias("common")).select("*", F.col("first.doc").alias("first_doc"), F.col("first.key").alias("first_key")).drop("first"), "classes")
+    classes = save(profile.where("n > 0").groupBy("set_id").agg(F.min(_name("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("lowest").alias("lowest"), F.first("sketch").alias("sketch"), F.max("common").alias("common")).select("*", F.col("first.doc").alias("first_doc"), F.col("first.key").alias("first_key")).drop("first"), "classes")
 
     low = save(classes.select(F.explode("lowest").alias("token"), "set_id", "n", "common"), "lowest")
     links, labels = first_links(low, None, texts, classes, size, percent, "star")
@@ -403,7 +456,7 @@ def _named_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     known = save(classes.join(labels, F.col("set_id") == F.col("node"), "left").select(F.col("first_doc").alias("_doc"), F.col("first_key").alias("_hash"), "set_id", F.coalesce("label", "set_id").alias("c")), "labelled")
     found = postings(_named(texts, broadcast_if_small(known)).select("text", "set_id", "c"), _frequent(profile, documents), total, size, percent).distinct()
     mixed = save(with_main(found), "mixed_postings")
-    more = verified(save(cross_pairs(mixed, percent), "cross_pairs"), texts, classes, size, percent, "cross")
+    more = verified(save(cross_pairs(mixed, classes, percent), "cross_pairs"), texts, classes, size, percent, "cross")
     labels = components(links.unionByName(more), "links")
 
     label = F.coalesce("label", "set_id").alias("label")
